@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contamination
 from .hilbert_sharding import hilbert_shards
+from .line_dedup import line_dedup
+from .quality_rules import judged
 from .token_counts import token_counts
 
 
@@ -27,9 +29,19 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that ten or more of them hold."""
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed limits and robust outliers for every document."""
+    return judged(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package."""
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op9_hilbert_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op4_line_dedup, op9_hilbert_sharding, op10_quality_rules)}
 
 
 #: Words and windows as the contract has them; a window of an item is found by its words.
@@ -62,6 +74,23 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+#: Lines are keyed by what is left between white space, with A-Z in lower case.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), e AS (
+  SELECT r, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS p FROM d
+), k AS (
+  SELECT r, doc_id, line, p, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM e
+), common AS (
+  SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10
+)
+SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(common.k) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE common.k IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN common USING (k) GROUP BY r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can say what a query returns."""
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL}

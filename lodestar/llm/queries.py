@@ -11,6 +11,7 @@ from .decontamination import contamination
 from .hilbert_sharding import hilbert_shards
 from .line_dedup import line_dedup
 from .quality_rules import judged
+from .simhash import near_duplicates
 from .token_counts import token_counts
 
 
@@ -24,6 +25,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in eight runs of the Hilbert curve."""
     return hilbert_shards(table(spark, sf_dir, "documents"))
@@ -41,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package."""
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op4_line_dedup, op9_hilbert_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op4_line_dedup, op5_simhash_near_dedup, op9_hilbert_sharding, op10_quality_rules)}
 
 
 #: Words and windows as the contract has them; a window of an item is found by its words.

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .best_fit_packing import best_fit_packing
 from .common import table
 from .decontamination import contamination
 from .hilbert_sharding import hilbert_shards
@@ -13,6 +14,7 @@ from .line_dedup import line_dedup
 from .quality_rules import judged
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .token_matrix import packed_ids
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +32,21 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 2048 tokens."""
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in eight runs of the Hilbert curve."""
     return hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as packed id matrices."""
+    return packed_ids(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines that ten or more of them hold."""
     return line_dedup(table(spark, sf_dir, "documents"))
@@ -47,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package."""
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op4_line_dedup, op5_simhash_near_dedup, op9_hilbert_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_matrix, op4_line_dedup, op5_simhash_near_dedup, op8_best_fit_packing, op9_hilbert_sharding, op10_quality_rules)}
 
 
 #: Words and windows as the contract has them; a window of an item is found by its words.

@@ -13,6 +13,7 @@ from .hilbert_sharding import hilbert_shards
 from .line_dedup import line_dedup
 from .quality_rules import judged
 from .simhash import near_duplicates
+from .suffix_tree_lm import suffix_tree_scores
 from .token_counts import token_counts
 from .token_matrix import packed_ids
 
@@ -32,6 +33,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of documents under a suffix tree trained on six sevenths of them."""
+    return suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 2048 tokens."""
     return best_fit_packing(table(spark, sf_dir, "documents"))
@@ -59,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package."""
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_matrix, op4_line_dedup, op5_simhash_near_dedup, op8_best_fit_packing, op9_hilbert_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_matrix, op4_line_dedup, op5_simhash_near_dedup, op6_suffix_tree_lm, op8_best_fit_packing, op9_hilbert_sharding, op10_quality_rules)}
 
 
 #: Words and windows as the contract has them; a window of an item is found by its words.

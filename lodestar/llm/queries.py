@@ -11,6 +11,7 @@ from .common import table
 from .decontamination import contamination
 from .hilbert_sharding import hilbert_shards
 from .line_dedup import line_dedup
+from .pii_surrogates import private_documents
 from .quality_rules import judged
 from .simhash import near_duplicates
 from .suffix_tree_lm import suffix_tree_scores
@@ -38,6 +39,11 @@ def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_scores(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data; a deployment passes its own secret key."""
+    return private_documents(table(spark, sf_dir, "documents"), b"key of the published query")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 2048 tokens."""
     return best_fit_packing(table(spark, sf_dir, "documents"))
@@ -65,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package."""
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_matrix, op4_line_dedup, op5_simhash_near_dedup, op6_suffix_tree_lm, op8_best_fit_packing, op9_hilbert_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_matrix, op4_line_dedup, op5_simhash_near_dedup, op6_suffix_tree_lm, op7_pii_surrogates, op8_best_fit_packing, op9_hilbert_sharding, op10_quality_rules)}
 
 
 #: Words and windows as the contract has them; a window of an item is found by its words.

@@ -6,7 +6,6 @@ suffix that occurs in some item. A match as long as a window marks its words as
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -232,15 +231,15 @@ def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.05, max_span: int | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, words_per_hit: int = 20, max_span: int | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without contamination, in docs' own columns.
 
-    Rows whose share of hit words reaches max_coverage go. If max_span is given, rows that
+    Rows with at least one hit word in words_per_hit go. If max_span is given, rows that
     stay lose every span of max_span hit words or more; else their text stays as it is.
     """
     rows, (n_words, spans, found) = benchmark_hits(docs, items, window, block_bytes)
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    kept = rows.where(~((n_hit > 0) & (n_hit >= F.col(n_words) * F.lit(max_coverage))))
+    kept = rows.where(~((n_hit > 0) & (n_hit * words_per_hit >= F.col(n_words))))
     if max_span is None:
         return kept.drop(n_words, spans, found)
     at, schema = docs.columns.index("text"), docs.schema
@@ -255,8 +254,3 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_coverage: float = 0.05,
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(schema)])
 
     return kept.mapInArrow(cut, with_fields(schema))
-
-
-def items_digest(ids: set[str]) -> str:
-    """The digest of found item ids, for tests."""
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()

@@ -14,6 +14,7 @@ from ..config import DEFAULT, EngineConfig
 from ..functions import paths
 from ..functions.ids import file_id
 from ..functions.secrets import secret_count
+from ..session import with_package
 
 
 def classified(files: DataFrame, config: EngineConfig = DEFAULT, extra_ignored: list[str] | None = None) -> DataFrame:
@@ -65,6 +66,7 @@ def zip_members(archives: DataFrame, config: EngineConfig = DEFAULT) -> DataFram
             for r in batch.itertuples(index=False):
                 yield pd.DataFrame(_members(r.archive, bytes(r.content), config), columns=["archive", "path", "bytes", "error"])
 
+    with_package(archives.sparkSession)
     return archives.mapInPandas(run, "archive string, path string, bytes binary, error string")
 
 

@@ -173,7 +173,7 @@ class LineIndex:
         return self.updated(docs, -1)
 
     def common_lines(self, docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-        """(row, keys) for rows of docs with common lines: hash of the row's text, its common keys.
+        """(row, keys) for rows of docs with common lines: hash of the row's id and text, its common keys.
 
         The filters pick the lines that may be common; a join with the counts settles them.
         """
@@ -194,7 +194,7 @@ class LineIndex:
                         out.append(k)
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(out, pa.binary())], names=["row", "key"])
 
-        lines = docs.select("text", F.xxhash64("text").alias("row")).mapInArrow(keys, "row long, key binary")
+        lines = docs.select("text", _row_key().alias("row")).mapInArrow(keys, "row long, key binary")
         common = self.counts.where(F.col("n") >= self.threshold).select("key")
         if filters is not None:
 
@@ -215,6 +215,10 @@ class LineIndex:
         return lines.join(common, "key").groupBy("row").agg(F.collect_set("key").alias("keys"))
 
 
+def _row_key() -> F.Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def key_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, n): the rows of docs that hold a key. Counts are summed before they are shuffled."""
     prepare(docs.sparkSession)
@@ -242,12 +246,12 @@ def _filters(common: DataFrame, shards: int) -> DataFrame:
 
 def _cut(docs: DataFrame, index: LineIndex) -> tuple[DataFrame, list[str]]:
     """docs and n_lines, n_dropped, kept text, and those names. A row meets its common keys by
-    the hash of its text; keys found by another row's equal hash are common too, so no line is
+    the hash of its id and text, so that copies of a text are spread; keys found by another row's equal hash are common too, so no line is
     dropped that should stay."""
     names = fresh(docs, "n_lines", "n_dropped", "kept_text", "_row", "_keys")
     n_lines, n_dropped, kept, row, keys = names
     common = index.common_lines(docs).select(F.col("row").alias(row), F.col("keys").alias(keys))
-    joined = docs.withColumn(row, F.xxhash64("text")).join(common, row, "left").select(*docs.columns, keys)
+    joined = docs.withColumn(row, _row_key()).join(common, row, "left").select(*docs.columns, keys)
     at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

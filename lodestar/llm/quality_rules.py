@@ -171,12 +171,13 @@ def estimate(vectors: DataFrame, group: str, steps: int = STEPS, support: float
         medians = one if medians is None else medians.join(one, group)
     start = {f"v{i}{j}": F.lit(1 / FLOORS[i] ** 2 if i == j else 0.0) for i in range(DIMS) for j in range(i, DIMS)}
     now = stable(medians.withColumns(start))
+    beside = F.broadcast if _few(now) else (lambda df: df)  # so that a hot group's rows stay where they are
     for _ in range(steps):
-        near = vectors.join(now, group).select(group, *(f"x{i}" for i in range(DIMS)), _log_distance().alias("_ld"))
+        near = vectors.join(beside(now), group).select(group, *(f"x{i}" for i in range(DIMS)), _log_distance().alias("_ld"))
         limits = grouped_quantile(near, group, F.col("_ld"), support)
-        core = near.join(limits, group).where(F.floor(F.col("_ld") * 64) <= F.col("bin"))
+        core = near.join(beside(limits), group).where(F.floor(F.col("_ld") * 64) <= F.col("bin"))
         now = stable(_estimates(_moments(core, group), group))
-    near = vectors.join(now, group).select(group, _log_distance().alias("_ld"))
+    near = vectors.join(beside(now), group).select(group, _log_distance().alias("_ld"))
     middle = grouped_quantile(near, group, F.col("_ld"), 0.5).select(group, F.greatest(F.exp((F.col("bin") + 0.5) / 64) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
     return stable(now.join(middle, group))
 
@@ -196,9 +197,13 @@ def _group_keys(rows: DataFrame, pair: str, lang: Column, min_group: int) -> Dat
     return pools.select(pair, "_group")
 
 
-def _small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+def _few(df: DataFrame, rows: int = 50_000) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
+def _small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has few rows; beyond that the join is Spark's to choose."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if _few(df) else df
 
 
 def _pair() -> Column:

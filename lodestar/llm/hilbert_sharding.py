@@ -128,10 +128,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, rows_a_file: int =
     """Write docs as Parquet under shard=N in curve order, so that row groups prune by every dimension.
 
     Rows are range-partitioned by the curve again, on their way to files; a shard is written
-    by as many tasks as its rows need.
+    by as many tasks as its rows need. A column of docs named shard is replaced.
     """
     prepare(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({"_curve": hilbert_column(document_levels(bits), bits), "_tie": F.xxhash64(text)})
-    placed = place(keyed, ["_curve", "doc_id", "_tie"], shards).drop("_tie", "_curve")
+    placed = place(keyed, ["_curve", "doc_id", "_tie"], shards).drop("_tie", "_curve", "slot")
     placed.write.option("maxRecordsPerFile", rows_a_file).partitionBy("shard").parquet(path)

@@ -79,7 +79,7 @@ def assembled(questions: DataFrame, primary: DataFrame, related: DataFrame, repo
     near = related.withColumn("block", block(*cols, F.lit(None).cast("string"), with_code=False)).withColumn("size", F.length("block"))
     used = opening.select("query_id", F.col("size").alias("_open")).join(text.select("query_id", "_p"), "query_id", "left").select("query_id", (F.col("_open") + F.coalesce("_p", F.lit(0)) + len("=== RELATED CONTEXT ===")).alias("_used"))
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    fits = near.join(used, "query_id").where(True).withColumn("_run", F.sum("size").over(w)).where(F.col("_used") + F.col("_run") < budget)
+    fits = near.join(used, "query_id").withColumn("_run", F.sum("size").over(w)).where(F.col("_used") + F.col("_run") < budget)
     more = fits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("n"))
     all_ = questions.join(text, "query_id", "left").join(more, "query_id", "left").join(refs, "query_id", "left")
     lines = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), "\n\n")

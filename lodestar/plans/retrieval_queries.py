@@ -154,7 +154,7 @@ _BOOST = """CASE WHEN lower('small ring') = lower(name) THEN 1.5 WHEN contains(l
 
 
 @query(
-    f"""SELECT p_partkey, round({_BOOST}, 6) AS boost FROM (SELECT p_partkey, p_name AS name, p_brand || '.' || p_name AS full_name, p_size % 2 = 0 AS doc,
+    f"""SELECT p_partkey, round(CAST({_BOOST} AS DOUBLE), 6) AS boost FROM (SELECT p_partkey, p_name AS name, p_brand || '.' || p_name AS full_name, p_size % 2 = 0 AS doc,
 CASE p_type WHEN 'ECONOMY' THEN 'function' WHEN 'STANDARD' THEN 'method' WHEN 'LARGE' THEN 'class' WHEN 'SMALL' THEN 'endpoint' ELSE 'file' END AS kind FROM part)"""
 )
 def rerank_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ def _rule_sql() -> str:
 _NO_DOTALL = "replace(lower(trim(text)), chr(10), ' | ')"
 
 
-@query(f"SELECT query_id, CASE WHEN b.h = 0 THEN 'GENERAL_CODEBASE_QA' ELSE b.i END AS intent, round(CASE WHEN b.h = 0 THEN 0.4 ELSE least(0.4 + 0.2 * b.h, 0.95) END, 6) AS confidence FROM (SELECT query_id, {_rule_sql()} AS b FROM (SELECT query_id, lower(trim(text)) AS t FROM {QUESTIONS_SQL}))")
+@query(f"SELECT query_id, CASE WHEN b.h = 0 THEN 'GENERAL_CODEBASE_QA' ELSE b.i END AS intent, round(CAST(CASE WHEN b.h = 0 THEN 0.4 ELSE least(0.4 + 0.2 * b.h, 0.95) END AS DOUBLE), 6) AS confidence FROM (SELECT query_id, {_rule_sql()} AS b FROM (SELECT query_id, lower(trim(text)) AS t FROM {QUESTIONS_SQL}))")
 def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, sure = tx.intent(F.col("text"))
     return questions(spark, sf_dir).select("query_id", name.alias("intent"), F.round(sure, 6).alias("confidence"))

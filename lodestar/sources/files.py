@@ -29,16 +29,15 @@ def classified(files: DataFrame, config: EngineConfig = DEFAULT, extra_ignored:
     known = known.withColumns({"language": paths.language(path), "classification": paths.classification(path), "is_binary": paths.is_binary(F.col("bytes")), "content_hash": F.sha2("bytes", 256), "size_bytes": F.octet_length("bytes")})
     known = known.where(~F.col("is_binary") | F.col("classification").isin("config", "documentation"))
     secret = (F.col("classification") == "secret") | paths.looks_secret(path)
-    text = F.when(~secret & ~F.col("is_binary"), F.decode(F.col("bytes"), F.lit("UTF-8")))
     return (
-        known.withColumns({"is_secret": secret, "id": file_id(F.col("repository_id"), path), "content": _decoded(text, secret)})
+        known.withColumns({"is_secret": secret, "id": file_id(F.col("repository_id"), path), "content": _decoded(secret)})
         .withColumn("secret_findings", F.coalesce(secret_count(F.col("content")), F.lit(0)))
         .drop("bytes")
         .orderBy("repository_id", "path")
     )
 
 
-def _decoded(text: F.Column, secret: F.Column) -> F.Column:
+def _decoded(secret: F.Column) -> F.Column:
     @F.pandas_udf("string")
     def lossy(data: pd.Series, skip: pd.Series) -> pd.Series:
         return pd.Series([None if s or b is None else bytes(b).decode("utf-8", errors="replace") for b, s in zip(data, skip, strict=True)])
@@ -47,11 +46,40 @@ def _decoded(text: F.Column, secret: F.Column) -> F.Column:
 
 
 def scan(spark: SparkSession, root: str, repository_id: str, config: EngineConfig = DEFAULT, extra_ignored: list[str] | None = None) -> DataFrame:
-    """Files of a folder in any store that Spark reads. Size and path filters reach the listing."""
+    """Files of a folder in any store that Spark reads. Size and path filters reach the listing.
+
+    Spark's readers pass over names that begin with a dot or an underscore, which source trees
+    have; these few are read one by one, up to the limits of a repository.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= config.max_file_bytes)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     relative = F.element_at(F.split(F.col("path"), F.lit(f"/?\\Q{base}\\E/"), 2), -1)
-    return classified(found.select(F.lit(repository_id).alias("repository_id"), relative.alias("path"), F.col("content").alias("bytes")), config, extra_ignored)
+    seen = found.select(F.lit(repository_id).alias("repository_id"), relative.alias("path"), F.col("content").alias("bytes"))
+    hidden = spark.createDataFrame([(repository_id, path, data) for path, data in _hidden(spark, root, config)], "repository_id string, path string, bytes binary")
+    return classified(seen.union(hidden), config, extra_ignored)
+
+
+def _hidden(spark: SparkSession, root: str, config: EngineConfig) -> Iterator[tuple[str, bytearray]]:
+    """Files with a name or folder that Spark's readers pass over, ignored folders left out."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    left, files, folders = config.max_repository_bytes, 0, [(top, "")]
+    while folders:
+        folder, prefix = folders.pop()
+        for status in fs.listStatus(folder):
+            name = status.getPath().getName()
+            path = f"{prefix}{name}"
+            if status.isDirectory():
+                if name not in paths.IGNORED_COMPONENTS:
+                    folders.append((status.getPath(), f"{path}/"))
+            elif any(part[0] in "._" for part in path.split("/")) and status.getLen() <= config.max_file_bytes:
+                left, files = left - status.getLen(), files + 1
+                if left < 0 or files > config.max_zip_files:
+                    raise ValueError(f"{root} is over the limits of a repository")
+                stream = fs.open(status.getPath())
+                data = stream.readAllBytes()
+                stream.close()
+                yield path, bytearray(data)
 
 
 def zip_members(archives: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

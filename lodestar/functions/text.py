@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What separates parts of an identifier, and words within a part: a letter and
-# small letters; capitals before a capitalised word, a digit or an edge; a capital; digits.
-SEPARATORS = r"[\s_/.\-]+"
-WORDS = r"[a-zA-Z][a-z]+|[A-Z]+(?=[A-Z][a-z]|[0-9]|\b)|[A-Z][a-z]*|[0-9]+"
+# Words of identifiers and prose: a letter and small letters; capitals before a
+# capitalised word, a digit or an edge; a capital; digits. White space, _ / . - and all else part them.
+# An underscore parts words too, so capitals may stand before one.
+WORDS = r"[a-zA-Z][a-z]+|[A-Z]+(?=[A-Z][a-z]|[0-9]|_|\b)|[A-Z][a-z]*|[0-9]+"
 
 # Words that are no search terms.
 STOP_WORDS = "where is are the a an how does what which files file function method class in of to and or it this that for on with all find me show explain".split()
@@ -48,10 +48,8 @@ SYNONYMS = {
 
 def tokenize(text: Column) -> Column:
     """Lower-case words of identifiers and prose; a text without any gives itself in lower case."""
-    parts = F.split(text, SEPARATORS)
-    found = F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(WORDS), F.lit(0))))
-    tokens = F.transform(found, F.lower)
-    return F.when(F.size(tokens) == 0, F.array(F.lower(text))).otherwise(tokens)
+    tokens = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+    return F.when(F.size(tokens) == 0, F.array(F.lower(text))).otherwise(F.transform(tokens, F.lower))
 
 
 def query_tokens(question: Column) -> Column:

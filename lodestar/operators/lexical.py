@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.text import tokenize
+from ..session import stable
 
 
 @dataclass
@@ -40,9 +41,10 @@ def postings(tokens: DataFrame) -> DataFrame:
     return exploded.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus_statistics(tokens: DataFrame) -> DataFrame:
+def corpus_statistics(postings_: DataFrame) -> DataFrame:
     """One row: n documents and their mean length."""
-    return tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    lengths = postings_.groupBy("id").agg(F.first("dl").alias("dl"))
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def term_statistics(postings_: DataFrame, corpus: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -54,9 +56,10 @@ def term_statistics(postings_: DataFrame, corpus: DataFrame, config: EngineConfi
 
 
 def build_index(docs: DataFrame, id_col: str, text: Column, config: EngineConfig = DEFAULT) -> LexicalIndex:
-    """Postings and statistics of docs; callers that search often save them or cache postings."""
-    tokens = document_tokens(docs, id_col, text)
-    posted, corpus = postings(tokens), corpus_statistics(tokens)
+    """Postings and statistics of docs. Texts are read once: postings are kept in the shared
+    folder, and the statistics come from them, as every document has a token at least."""
+    posted = stable(postings(document_tokens(docs, id_col, text)))
+    corpus = corpus_statistics(posted)
     return LexicalIndex(posted, term_statistics(posted, corpus, config), corpus)
 
 

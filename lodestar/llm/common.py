@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir, stable, with_package  # noqa: F401  operators take stable from here
+
 #: ASCII white space of every contract in this package: [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
 #: Byte table that lower-cases A-Z only; bytes of multi-byte characters stay.
@@ -25,12 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches by rows and bytes, and let local Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    seen = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in seen.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, seen) if p)
-    return spark
+    return with_package(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,26 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a local session may go without the setting."""
-    found = spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        given = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(given)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def stable(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -35,7 +35,7 @@ DISCOUNT = 0.75
 #: Nats that a context has to save for each of its entries to stay.
 GAIN = 3.0
 #: Words whose counts are broadcast, at most; contexts and entries of one broadcast block.
-HEAD, CONTEXT_BLOCK, MODEL_BLOCK = 1 << 20, 4 << 20, 6 << 20
+HEAD, CONTEXT_BLOCK, MODEL_BLOCK = 1 << 18, 1 << 20, 2 << 20
 #: Tokens that a task sums before it sends them, and tokens of the corpus for each reducer.
 FLUSH_TOKENS, REDUCER_TOKENS = 4 << 20, 2 << 20
 #: Documents whose crc32 modulo FOLDS is HELD are held out of training.
@@ -172,15 +172,19 @@ class SuffixTree:
         return np.log10((c + 1) / (self.tokens + self.distinct + 1))
 
 
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a bounded number of rows, as arrays."""
+    return [c.to_numpy() for c in df.toArrow().columns]
+
+
 def _head(words: DataFrame, bound: int) -> Broadcast:
     """Counts of all words over a power of two, the least that leaves ``bound`` of them at most."""
     spark = words.sparkSession
     sizes = words.agg(*(F.sum((F.col("c") >= (1 << k)).cast("long")).alias(f"k{k}") for k in range(48))).first()
     k = next((k for k in range(48) if (sizes[k] or 0) <= bound), 48)
-    found = words.where(F.col("c") >= (1 << k)).toPandas()
-    hashes = unsigned(found["w"])
-    order = np.argsort(hashes)
-    return spark.sparkContext.broadcast((hashes[order], found["c"].to_numpy(dtype=np.int64)[order], 1 << k))
+    w, c = _columns(words.where(F.col("c") >= (1 << k)).select("w", "c"))
+    order = np.argsort(w.view(np.uint64))
+    return spark.sparkContext.broadcast((w.view(np.uint64)[order], c[order], 1 << k))
 
 
 def _ge(head: tuple, hashes: np.ndarray, least: int) -> np.ndarray:
@@ -224,8 +228,8 @@ def train(docs: DataFrame, min_context: int = MIN_CONTEXT, min_entry: int = MIN_
     blocks = max(1, -(-two.count() // context_block))
     counts2 = None
     for k in range(blocks):  # each block of contexts is one pass
-        block = two.where(F.pmod("u", F.lit(blocks)) == k).select("ctx").toPandas()
-        sought = spark.sparkContext.broadcast(np.sort(unsigned(block["ctx"])))
+        (block,) = _columns(two.where(F.pmod("u", F.lit(blocks)) == k).select("ctx"))
+        sought = spark.sparkContext.broadcast(np.sort(block.view(np.uint64)))
 
         def second_order(t: np.ndarray, c: np.ndarray, sought: Broadcast = sought) -> tuple[np.ndarray, np.ndarray]:
             _, both, known = contexts_of(t, c)
@@ -235,6 +239,7 @@ def train(docs: DataFrame, min_context: int = MIN_CONTEXT, min_entry: int = MIN_
 
         one = counted(docs, second_order, reducers, min_entry)
         counts2 = one if counts2 is None else counts2.union(one)
+    counts2 = _written(counts2, "triples")
     parents = entries1.select(F.col("ctx").alias("u"), "w", F.pow(F.lit(10.0), "logp").alias("p1"))
     lam = states1.select(F.col("ctx").alias("u"), F.pow(F.lit(10.0), "loglam").alias("lam1"))
     deep = counts2.select(F.col("first").alias("ctx"), F.col("second").alias("w"), "n").join(two, "ctx").join(words, "w").join(lam, "u").join(parents, ["u", "w"], "left")
@@ -267,12 +272,12 @@ def _retained(entries: DataFrame, gain: float, last: Column) -> tuple[DataFrame,
 def _block(tree: SuffixTree, k: int, blocks: int) -> tuple[np.ndarray, ...]:
     """Sorted states and entries of the contexts whose last word is in block k."""
     mine = F.pmod("last", F.lit(blocks)) == k
-    s, e = tree.states.where(mine).select("ctx", "loglam").toPandas(), tree.entries.where(mine).select("ctx", "w", "logp").toPandas()
-    ctx = unsigned(s["ctx"])
-    a = np.argsort(ctx)
-    keys = mix(unsigned(e["ctx"]), unsigned(e["w"]))
+    ctx, loglam = _columns(tree.states.where(mine).select("ctx", "loglam"))
+    of, w, logp = _columns(tree.entries.where(mine).select("ctx", "w", F.col("logp").cast("float")))
+    a = np.argsort(ctx.view(np.uint64))
+    keys = mix(of.view(np.uint64), w.view(np.uint64))
     b = np.argsort(keys)
-    return ctx[a], s["loglam"].to_numpy()[a], keys[b], e["logp"].to_numpy()[b]
+    return ctx.view(np.uint64)[a], loglam[a], keys[b], logp[b]
 
 
 _TAIL = "array<struct<w:bigint,n:bigint,m:bigint>>"

@@ -15,18 +15,19 @@ the most frequent words, a bounded number, are broadcast; all others are joined.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, prepare, shared_path, stable, utf8
+from .common import LOWER, WHITE, prepare, shared_path, stable, utf8
 
 #: A context and an entry (next symbol of a context) need so many occurrences.
 MIN_CONTEXT, MIN_ENTRY = 64, 4
@@ -37,12 +38,12 @@ GAIN = 3.0
 #: Words whose counts are broadcast, at most; contexts and entries of one broadcast block.
 HEAD, CONTEXT_BLOCK, MODEL_BLOCK = 1 << 18, 1 << 20, 2 << 20
 #: Tokens that a task sums before it sends them, and tokens of the corpus for each reducer.
-FLUSH_TOKENS, REDUCER_TOKENS = 4 << 20, 2 << 20
+FLUSH_TOKENS, REDUCER_TOKENS = 3 << 20, 1 << 20
 #: Documents whose crc32 modulo FOLDS is HELD are held out of training.
 FOLDS, HELD = 7, 2
 
-#: The end of a text, which is a token; no word hashes the line feed.
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
+#: The end of a text, which is a token.
+END = np.uint64(0xE7037ED1A0B428DB)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -54,17 +55,66 @@ def mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Bytes that are hashed together, up to the next white space.
+_SEGMENT = 1 << 20
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
+_IS_BLANK = np.array([b in WHITE for b in range(256)])
+_OF_BYTE = np.random.default_rng(6).integers(1, 2**63, size=256, dtype=np.uint64)
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    out = []
+    for x in (_BASE, _INVERSE):
+        p = np.full(n, x, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 64-bit hashes of the words of lower-case bytes that end in white space.
+
+    A word's hash is a polynomial of its bytes' random numbers, taken for all words at once from
+    running sums: what a word adds to the sum, moved to the power 0.
+    """
+    places, hashes, at = [], [], 0
+    while at < len(data):
+        m = _BLANK.search(data, min(at + _SEGMENT, len(data) - 1))
+        a = np.frombuffer(data, dtype=np.uint8, count=m.end() - at, offset=at)
+        powers, inverse = _powers(1 << max(21, int(len(a)).bit_length()))
+        blank = _IS_BLANK[a]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if not blank[0]:
+            edges = np.concatenate([[0], edges])
+        starts, ends = edges[0::2], edges[1::2]
+        if len(starts):
+            sums = np.cumsum(_OF_BYTE[a] * powers[: len(a)])
+            before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+            value = (sums[ends - 1] - before) * inverse[starts]
+            hashes.append(mix(value, (ends - starts).astype(np.uint64)))
+            places.append(starts + at)
+        at = m.end()
+    if not places:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    return np.concatenate(places), np.concatenate(hashes)
+
+
 def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' tokens end to end, each text's end among them, and tokens of each text."""
-    digest = xxhash.xxh3_64_intdigest
-    split = [t.translate(LOWER).split() if t else [] for t in texts]
-    counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split)) + 1
-    out = np.empty(int(counts.sum()), dtype=np.uint64)
+    lengths = np.fromiter((len(t or b"") + 1 for t in texts), dtype=np.int64, count=len(texts))
+    places, hashes = word_hashes(b"".join((t or b"") + b"\n" for t in texts).translate(LOWER))
+    upto = np.searchsorted(places, np.cumsum(lengths))
+    counts = np.diff(upto, prepend=0) + 1
+    out = np.empty(len(hashes) + len(texts), dtype=np.uint64)
     last = np.cumsum(counts) - 1
     words = np.ones(len(out), dtype=bool)
     words[last] = False
     out[last] = END
-    out[words] = np.fromiter((digest(w) for ws in split for w in ws), dtype=np.uint64, count=int(counts.sum()) - len(split))
+    out[words] = hashes
     return out, counts
 
 

@@ -38,7 +38,7 @@ GAIN = 3.0
 #: Words whose counts are broadcast, at most; contexts and entries of one broadcast block.
 HEAD, CONTEXT_BLOCK, MODEL_BLOCK = 1 << 18, 1 << 20, 2 << 20
 #: Tokens that a task sums before it sends them, and tokens of the corpus for each reducer.
-FLUSH_TOKENS, REDUCER_TOKENS = 3 << 20, 1 << 20
+FLUSH_TOKENS, REDUCER_TOKENS = 1 << 20, 1 << 20
 #: Documents whose crc32 modulo FOLDS is HELD are held out of training.
 FOLDS, HELD = 7, 2
 

@@ -36,7 +36,7 @@ DISCOUNT = 0.75
 #: Nats that a context has to save for each of its entries to stay.
 GAIN = 3.0
 #: Words whose counts are broadcast, at most; contexts and entries of one broadcast block.
-HEAD, CONTEXT_BLOCK, MODEL_BLOCK = 1 << 18, 1 << 20, 2 << 20
+HEAD, CONTEXT_BLOCK, MODEL_BLOCK = 1 << 18, 1 << 20, 4 << 20
 #: Tokens that a task sums before it sends them, and tokens of the corpus for each reducer.
 FLUSH_TOKENS, REDUCER_TOKENS = 1 << 20, 1 << 20
 #: Documents whose crc32 modulo FOLDS is HELD are held out of training.
@@ -384,6 +384,20 @@ def _tails(owner: np.ndarray, words: np.ndarray, to_root: np.ndarray, texts: int
     return out
 
 
+def _slices(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[list[bytes | None]]:
+    """Runs of texts of about ``size`` bytes, one text at least; what is held for each token is bounded by them."""
+    run: list[bytes | None] = []
+    held = 0
+    for t in texts:
+        run.append(t)
+        held += len(t or b"")
+        if held >= size:
+            yield run
+            run, held = [], 0
+    if run or not texts:
+        yield run
+
+
 def score(docs: DataFrame, tree: SuffixTree, model_block: int = MODEL_BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
@@ -402,7 +416,9 @@ def score(docs: DataFrame, tree: SuffixTree, model_block: int = MODEL_BLOCK) ->
 
         def step(batches: Iterator[pa.RecordBatch], k: int = k, model: Broadcast = model, head: Broadcast = tree.head) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n, known, base, value, tails = score_texts(utf8(b.column(1)), head.value, model.value, tree_size, k, blocks)
+                parts = [score_texts(x, head.value, model.value, tree_size, k, blocks) for x in _slices(utf8(b.column(1)))]
+                n, known, base, value = (np.concatenate([x[i] for x in parts]) for i in range(4))
+                tails = [t for x in parts for t in x[4]]
                 if k:
                     known, base, value = (x + b.column(i).to_numpy() for x, i in ((known, 2), (base, 4), (value, 5)))
                     tails = [x + y for x, y in zip(b.column(6).to_pylist(), tails, strict=True)]

@@ -3,7 +3,8 @@
 An entity is a type and a value. Its surrogate comes from a keyed hash, so it is the same
 wherever the value stands and can't be traced back without the key. Entities of the corpus are
 then held against each other: a surrogate that is some entity's value, or another entity's
-surrogate, is drawn again, so different values stay different.
+surrogate, is drawn again, so different values stay different. Names are drawn by their words,
+so that full names, family names and later mentions without an honorific agree.
 """
 
 from __future__ import annotations
@@ -32,7 +33,14 @@ SYLLABLES = {
     "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ".split(), "α ε ι ο υ".split(), {"f": "α", "m": "ς"}),
 }
 
-_NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+#: Words inside names that stay as they are: particles before a family name, and what follows it.
+PARTICLES = frozenset("van von der den dem zu zur de del della di da dos das du la le les las los y e bin ibn al el d l".split())
+SUFFIXES = frozenset(("Jr", "Sr", "II", "III", "IV"))
+#: Capitals by which initials of a script are exchanged.
+CAPITALS = {"latin": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
+
+_LETTERS = r"(?:[^\W\d_][\u0300-\u036f]*)+"
+_NAME = rf"{_LETTERS}(?:[-'’]{_LETTERS})*"
 PATTERNS = [
     ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"), 0),
     ("aws_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), 0),
@@ -42,10 +50,12 @@ PATTERNS = [
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"), 0),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
     ("card", re.compile(r"(?<![\d.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])"), 0),
-    ("name", re.compile(r"\b(?:" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + rf")\.?[  ]({_NAME}(?: {_NAME})?)"), 1),
+    ("name", re.compile(r"\b(?:" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + r")\.?[ \u00a0](?:(?:Dr|Prof|Dipl|Ing|Mag)\b\.?[- \u00a0])*"), 0),
 ]
 _DIGIT, _WORDY = re.compile(r"\d"), re.compile(r"(?i)passw|pwd|secret|token|api.?key|access.?key")
 _HONOR = re.compile("|".join(sorted(HONORIFICS, key=len, reverse=True)))
+_WORD, _PART, _TOKEN = re.compile(_NAME), re.compile(_LETTERS), re.compile(rf"(?<!\w){_NAME}(?!\w)")
+_OWNED, _BETWEEN = re.compile(r"['’]s?$"), re.compile(r"\.?\s{0,2}")
 
 
 def luhn(digits: str) -> int:
@@ -65,15 +75,88 @@ def _holds(kind: str, value: str) -> bool:
     if kind == "iban":
         plain = value.replace(" ", "")
         return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
-    if kind == "name":
-        return all(w[0].isupper() for w in value.split(" "))
-    return True
+    return bool(value)
+
+
+def _capital(word: str) -> bool:
+    return any(p[:1].isupper() for p in re.split("[-'’]", word))
+
+
+def _name_end(text: str, start: int) -> int:
+    """Where the run of capitalised words, initials and particles from start ends; start if there is none."""
+    at = end = start
+    while m := _WORD.match(text, at):
+        word = _OWNED.sub("", m[0]) if m[0][-1] == "s" else m[0]
+        if _capital(word):
+            end = m.start() + len(word)
+        elif word not in PARTICLES:
+            break
+        if end == m.start() + len(word) < m.end():  # Smith's
+            break
+        at = m.end()
+        if len(word) == 1 and _capital(word) and text[at : at + 1] == ".":
+            at += 1
+            if text[at : at + 1] not in (" ", "\u00a0"):  # J.R. Smith
+                continue
+        if text[at : at + 1] not in (" ", "\u00a0"):
+            break
+        at += 1
+    return end
+
+
+def _word_key(word: str) -> str:
+    """What words of one spelling share: SMITH is Smith."""
+    return word.capitalize() if len(word) > 1 and word.isupper() else word
+
+
+def _core(value: str) -> list[re.Match]:
+    """A name's words without particles and suffixes, the family name last."""
+    words = list(_WORD.finditer(value))
+    return [w for w in words if w[0] not in PARTICLES and w[0] not in SUFFIXES] or words[-1:]
+
+
+def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Mentions, outside of found, of its names: all words, the first and the last, or the family name alone."""
+    known: dict[tuple[str, ...], str] = {}
+    for _, _, kind, value in found:
+        if kind.startswith("name_"):
+            core = [_word_key(w[0]) for w in _core(value)]
+            every = [_word_key(w[0]) for w in _WORD.finditer(value)]
+            for words in (every, core, [core[0], core[-1]], core[-1:]):
+                if len(words) > 1 or len(words[0]) > 1:  # a lone letter is no mention
+                    known.setdefault(tuple(words), kind)
+    if not known:
+        return []
+    lengths: dict[str, set[int]] = {}
+    for words in known:
+        lengths.setdefault(words[0], set()).add(len(words))
+    covered = bytearray(len(text))
+    for s, e, _, _ in found:
+        covered[s:e] = b"\1" * (e - s)
+    tokens = []
+    for m in _TOKEN.finditer(text):
+        bare = _OWNED.sub("", m[0]) if m[0][-1] == "s" else m[0]
+        tokens.append((m.start(), m.start() + len(bare), _word_key(bare)))
+    out, i = [], 0
+    while i < len(tokens):
+        start, step = tokens[i][0], 1
+        for n in sorted(lengths.get(tokens[i][2], ()), reverse=True):
+            run = tokens[i : i + n]
+            kind = known.get(tuple(w for _, _, w in run))
+            if kind and not any(covered[start : run[-1][1]]) and all(_BETWEEN.fullmatch(text, a[1], b[0]) for a, b in zip(run, run[1:], strict=False)):
+                out.append((start, run[-1][1], kind, text[start : run[-1][1]]))
+                step = n
+                break
+        i += step
+    return out
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, value) in order; where two overlap, the earlier pattern of the list wins.
 
-    A name is cut to its capitalised words and has the gender of its honorific in its type.
+    A name is the whole run of capitalised words and initials behind an honorific and has the
+    honorific's gender in its type. Where the text has it again, in full or its family name
+    alone, that is an entity too.
     """
     if not text:
         return []
@@ -86,13 +169,12 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             start, end = m.span(group)
             value, named = m[group], kind
             if kind == "name":
-                first, _, second = value.partition(" ")
-                if second and not second[0].isupper():
-                    value, end = first, start + len(first)
+                start, end = m.end(), _name_end(text, m.end())
+                value = text[start:end]
                 named = f"name_{HONORIFICS[_HONOR.match(m[0])[0]]}"
             if _holds(kind, value) and not any(s < end and start < e for s, e, _, _ in found):
                 found.append((start, end, named, value))
-    return sorted(found)
+    return sorted(found + _mentions(text, found))
 
 
 class _Draw:
@@ -128,25 +210,43 @@ def _script(text: str) -> str:
     return "cyrillic" if 0x400 <= at < 0x530 else "greek" if 0x370 <= at < 0x400 else "latin"
 
 
-def _person(key: bytes, value: str, gender: str, draw: int) -> str:
-    """A name word by word: a given name (the first of two words) ends as its gender does, and a
-    word has the same surrogate in every name, so that full and short forms still agree."""
-    words = value.split(" ")
-    return " ".join(_name_word(w, gender if i < len(words) - 1 else "", _Draw(key, f"given {gender}" if i < len(words) - 1 else "family", w, draw)) for i, w in enumerate(words))
-
-
-def _name_word(word: str, gender: str, draw: _Draw) -> str:
+def _name_parts(kind: str, value: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, word) of what is replaced in a name: word_f or word_m for given names, word_ for
+    the family name, which has no gender; initial for a lone letter before it."""
+    core, out = _core(value), []
+    for w in core:
+        given = kind[-1] if w is not core[-1] else ""
+        for p in _PART.finditer(value, w.start(), w.end()):
+            if p[0] not in PARTICLES:
+                lone = given and len(p[0]) == 1 and p[0] in CAPITALS[_script(p[0])]
+                out.append((p.start(), p.end(), "initial" if lone else f"word_{given}", _word_key(p[0])))
+    return out
+
+
+def _person(key: bytes, kind: str, value: str, words: dict[tuple[str, str], str]) -> str:
+    """A name with the surrogates of its words, by type and word, in their places and cases."""
+    out, end = [], 0
+    for s, e, role, word in _name_parts(kind, value):
+        part = value[s:e]
+        made = _initial(key, word) if role == "initial" else words[role, word]
+        cased = made.upper() if part.isupper() and len(part) > 1 or role == "initial" else made.capitalize() if part[0].isupper() else made
+        out += [value[end:s], cased]
+        end = e
+    return "".join([*out, value[end:]])
+
+
+def _initial(key: bytes, letter: str) -> str:
+    """The next letter on a keyed round of the script's capitals: never the same, never that of another letter."""
+    order = sorted(CAPITALS[_script(letter)], key=lambda c: hmac.new(key, f"initial\0{c}".encode(), hashlib.sha256).digest())
+    return order[(order.index(letter) + 1) % len(order)]
+
+
+def _name_word(key: bytes, kind: str, word: str, draw: int) -> str:
+    """A word in small letters that ends as its gender does; later draws have more syllables."""
+    d = _Draw(key, kind, word, draw)
     consonants, vowels, last = SYLLABLES[_script(word)]
-    out = []
-    for i, part in enumerate(re.split(r"([-'’])", word)):
-        if i % 2:
-            out.append(part)
-            continue
-        made = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(2 + draw.below(2)))
-        if gender:
-            made = made[:-1] + last["f"] if gender == "f" else made + last["m"]
-        out.append(made.upper() if part.isupper() and len(part) > 1 else made.capitalize())
-    return "".join(out)
+    made = "".join(consonants[d.below(len(consonants))] + vowels[d.below(len(vowels))] for _ in range(3 + d.below(2) + draw // 2))
+    return made[:-1] + last["f"] if kind == "word_f" else made + last["m"] if kind == "word_m" else made
 
 
 def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
@@ -180,12 +280,13 @@ def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
     elif kind == "phone" and value[0] == "+":
         country = re.match(r"\+\d{1,3}", value)[0]
         out = country + _like(value[len(country) :], d)
+    elif kind.startswith("word_"):
+        out = _name_word(key, kind, value, draw)
     elif kind.startswith("name_"):
-        out = _person(key, value, kind[-1], draw)
-        return out + _name_word("x" if _script(value) == "latin" else value[0], "", d).lower() if more else out
+        out = _person(key, kind, value, {(k, w): _name_word(key, k, w, draw) for _, _, k, w in _name_parts(kind, value)})
     else:
         out = _like(value, d)
-    return out + str(d.below(10**9)) if more and kind != "email" else out
+    return out + str(d.below(10**9)) if more and kind not in ("email",) and not kind.startswith(("word_", "name_")) else out
 
 
 def with_entities(docs: DataFrame) -> tuple[DataFrame, str]:

@@ -68,3 +68,13 @@ def test_documents(spark, docs, odd, empty):
     out = P.with_surrogates(odd, KEY)
     assert out.columns == odd.columns and sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
     assert P.private_documents(empty, KEY).count() == 0
+
+
+def test_names_are_taken_whole_and_found_again():
+    def names(text):
+        return [text[s:e] for s, e, k, _ in P.entities(text) if k.startswith("name_")]
+
+    assert names("Mrs Anna Maria Smith left.") == ["Anna Maria Smith"]
+    assert names("Mr John F. Kennedy and Herr Dr. Karl von Braun") == ["John F. Kennedy", "Karl von Braun"]
+    assert names("Mr John Smith came. Smith said that John Smith's, SMITH's and Smithson's coats") == ["John Smith", "Smith", "John Smith", "SMITH"]
+    assert names("Mr John F. Kennedy; John Kennedy, Kennedy; Mr T and vitamin T; Mr King Jr. and King") == ["John F. Kennedy", "John Kennedy", "Kennedy", "T", "King Jr", "King"]

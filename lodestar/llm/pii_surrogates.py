@@ -3,8 +3,9 @@
 An entity is a type and a value. Its surrogate comes from a keyed hash, so it is the same
 wherever the value stands and can't be traced back without the key. Entities of the corpus are
 then held against each other: a surrogate that is some entity's value, or another entity's
-surrogate, is drawn again, so different values stay different. Names are drawn by their words,
-so that full names, family names and later mentions without an honorific agree.
+surrogate, is drawn again, so different values stay different. Names are drawn by their words:
+a word has one surrogate in the whole corpus, so full names, family names and later mentions
+without an honorific still agree.
 """
 
 from __future__ import annotations
@@ -250,7 +251,8 @@ def _name_word(key: bytes, kind: str, word: str, draw: int) -> str:
 
 
 def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
-    """The surrogate of an entity at a draw; draws from SAME_FORMAT_DRAWS on are longer."""
+    """The surrogate of an entity at a draw; draws from SAME_FORMAT_DRAWS on are longer, but for addresses,
+    whose numbers then have any length."""
     d = _Draw(key, kind, value, draw)
     more = draw >= SAME_FORMAT_DRAWS
     if kind == "email":
@@ -258,7 +260,7 @@ def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
         labels = domain.rpartition(".")[0]
         out = f"{_like(local, d)}{_like('x9' * 4, d) if more else ''}@{_like(labels, _Draw(key, 'domain', domain.lower(), 0))}.example"
     elif kind == "ip":
-        span = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
+        span = {n: (0, 256) for n in (1, 2, 3)} if more else {1: (0, 10), 2: (10, 90), 3: (100, 156)}
         out = ".".join(str(span[len(o)][0] + d.below(span[len(o)][1])) for o in value.split("."))
     elif kind == "card":
         places = [i for i, c in enumerate(value) if c.isdigit()]
@@ -286,7 +288,7 @@ def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
         out = _person(key, kind, value, {(k, w): _name_word(key, k, w, draw) for _, _, k, w in _name_parts(kind, value)})
     else:
         out = _like(value, d)
-    return out + str(d.below(10**9)) if more and kind not in ("email",) and not kind.startswith(("word_", "name_")) else out
+    return out + str(d.below(10**9)) if more and kind not in ("email", "ip") and not kind.startswith(("word_", "name_")) else out
 
 
 def with_entities(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -307,7 +309,9 @@ def with_entities(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def surrogates(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) for distinct entities (kind, value): no surrogate is any value of
-    its kind, and no two entities of a kind share one. Each draw settles all that don't clash."""
+    its kind, and no two entities of a kind share one, but a family name alone has the same for
+    either gender. Clashes of names are settled by word, so that a word has the same surrogate
+    in all names. Each draw settles all that don't clash."""
 
     def drawn(draw: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,10 +320,23 @@ def surrogates(found: DataFrame, key: bytes) -> DataFrame:
 
         return run
 
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = {(k, v, role, w) for k, v in zip(b["kind"], b["value"], strict=True) for _, _, role, w in _name_parts(k, v) if role != "initial"}
+            yield pd.DataFrame(sorted(rows), columns=["kind", "value", "role", "word"], dtype=object)
+
+    def composed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [_person(key, k, v, {(x["role"], x["word"]): x["surrogate"] for x in own}) for k, v, own in zip(b["kind"], b["value"], b["own"], strict=True)]
+            yield b[["kind", "value"]].assign(surrogate=made)
+
     found = stable(found.select("kind", "value").distinct())
-    family = F.split("kind", "_")[0]  # names clash whatever their gender
-    taken = found.select(family.alias("family"), F.col("value").alias("surrogate"))
-    pending, settled, draw = found, None, 0
+    is_name = F.col("kind").startswith("name_")
+    named = found.where(is_name).mapInPandas(words, "kind string, value string, role string, word string")
+    units = stable(found.where(~is_name).union(named.select("role", "word").distinct()))
+    family = F.split("kind", "_")[0]  # names clash whatever their gender, and whatever the case of a word
+    taken = units.select(family.alias("family"), F.when(family == "word", F.lower("value")).otherwise(F.col("value")).alias("surrogate")).distinct()
+    pending, settled, draw = units, None, 0
     while True:
         made = pending.mapInPandas(drawn(draw), "kind string, value string, surrogate string").withColumn("family", family)
         made = stable(made.join(taken, ["family", "surrogate"], "left_anti"))
@@ -328,9 +345,12 @@ def surrogates(found: DataFrame, key: bytes) -> DataFrame:
         settled = good if settled is None else settled.union(good)
         pending = stable(pending.join(good, ["kind", "value"], "left_anti"))
         if not pending.limit(1).count():
-            return settled
+            break
         taken = taken.union(good.select(family.alias("family"), "surrogate"))
         draw += 1
+    of_word = settled.where(F.col("kind").startswith("word_")).select(F.col("kind").alias("role"), F.col("value").alias("word"), "surrogate")
+    own = named.join(of_word, ["role", "word"]).groupBy("kind", "value").agg(F.collect_list(F.struct("role", "word", "surrogate")).alias("own"))
+    return settled.where(~F.col("kind").startswith("word_")).union(own.mapInPandas(composed, "kind string, value string, surrogate string"))
 
 
 def _replaced(docs: DataFrame, key: bytes) -> tuple[DataFrame, str]:

@@ -78,3 +78,26 @@ def test_names_are_taken_whole_and_found_again():
     assert names("Mr John F. Kennedy and Herr Dr. Karl von Braun") == ["John F. Kennedy", "Karl von Braun"]
     assert names("Mr John Smith came. Smith said that John Smith's, SMITH's and Smithson's coats") == ["John Smith", "Smith", "John Smith", "SMITH"]
     assert names("Mr John F. Kennedy; John Kennedy, Kennedy; Mr T and vitamin T; Mr King Jr. and King") == ["John F. Kennedy", "John Kennedy", "Kennedy", "T", "King Jr", "King"]
+
+
+def test_mentions_agree_and_no_name_is_left(spark):
+    text = "Mr John F. Smith met Mrs Smith and Mr Smith. Smith told John Smith that SMITH and Mrs Anna Maria Smith agree."
+    docs = spark.createDataFrame([(1, text), (2, "Herr Smith, IP 10.1.2.3")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in P.private_documents(docs, KEY).collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w)\. (\w+) met Mrs (\w+) and Mr (\w+)\. (\w+) told (\w+) (\w+) that (\w+) and Mrs (\w+) (\w+) (\w+) agree\.", out[1])
+    assert m and {m[i] for i in (3, 4, 5, 6, 8, 12)} == {m[3]} and m[9] == m[3].upper() and m[1] == m[7] and m[2] != "F"
+    assert out[2].startswith(f"Herr {m[3]},")
+    assert not re.search("(?i)smith|john|anna|maria", out[1] + out[2])
+
+
+def test_many_names_agree_with_their_short_forms(spark):
+    words = [a + b + c for a in ("Ba", "Du", "Ke", "Lo") for b in ("bero", "dola", "kine", "muta", "sori") for c in map("".join, zip("abcdefghijklmnopqrstuvwxyz" * 6, "aeiou" * 31, strict=False))]
+    families = sorted(set(words))
+    rows = [(f"name_{g}", v) for f in families for g in "fm" for v in (f, f"Kim {f}")] + [("ip", f"{a}.{b}.1.{c}") for a in range(1, 10) for b in range(10) for c in range(1, 10)]
+    got = {(r["kind"], r["value"]): r["surrogate"] for r in P.surrogates(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()}
+    assert len(families) > 2000 and set(got) == set(rows)
+    assert len({got["name_f", f] for f in families}) == len(families) and not {got["name_f", f] for f in families} & set(families)
+    for f in families:
+        assert got["name_f", f] == got["name_m", f] == got["name_f", f"Kim {f}"].split(" ")[1] == got["name_m", f"Kim {f}"].split(" ")[1]
+    for draw in range(12):
+        assert all(int(o) < 256 for o in P.surrogate(KEY, "ip", "10.1.2.3", draw).split("."))

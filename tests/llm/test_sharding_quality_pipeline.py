@@ -75,6 +75,25 @@ def test_outliers_go_and_the_bulk_stays(spark):
     assert got[2000]["base_failed"] and got[2001]["base_failed"] and not got[2001]["kept"] and not got[1000]["base_failed"]
 
 
+def test_outliers_of_every_statistic_go(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n=None: "".join(rng.choice(list("abcdefghij"), size=n or rng.integers(2, 9)))
+    words = lambda n, k=None: [word(k) for _ in range(n)]
+    rows = [(i, " ".join(words(int(rng.integers(40, 200)))), "en", "s") for i in range(300)]
+    same, passage = " ".join(words(3)), words(27)
+    odd = {
+        "n_words": " ".join(words(20_000)),
+        "word_chars": " ".join(words(100, 12)),
+        "n_symbols": " ".join(w + "#" * (i % 2) for i, w in enumerate(words(100))),
+        "n_dup_lines": "\n".join(x for _ in range(15) for x in (same, " ".join(words(5)))),
+        "n_repeat_words": " ".join([*words(50), *passage, *words(50), *passage, *words(46)]),
+    }
+    planted = [(1000 + i, text, "en", "s") for i, text in enumerate(odd.values())]
+    got = {r["doc_id"]: r for r in Q.judged(spark.createDataFrame(rows + planted, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    assert {name: (got[1000 + i]["base_failed"], got[1000 + i]["kept"]) for i, name in enumerate(odd)} == dict.fromkeys(odd, (False, False))
+
+
 def test_small_groups_are_pooled(spark):
     rows = spark.createDataFrame([(f"p{i % 7}", "en" if i % 7 < 6 else None) for i in range(70)], "_pair string, lang string")
     pools = {r["_pair"]: r["_group"] for r in Q._group_keys(rows, "_pair", F.col("lang"), 20).collect()}

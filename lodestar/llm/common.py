@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +64,18 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, text: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of the batch's rows with about ``size`` bytes in column ``text``, one row at least."""
+    if not batch.num_rows:
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def attach(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch with more columns behind it."""
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])

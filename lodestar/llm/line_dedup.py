@@ -9,17 +9,18 @@ the threshold enter or leave their filter, and a line whose key is no longer com
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WHITE, attach, fresh, prepare, stable, utf8, with_fields
+from .common import LOWER, WHITE, attach, fresh, prepare, slices, stable, utf8, with_fields
 
 #: Documents that hold a line before it is common.
 THRESHOLD = 10
@@ -43,6 +44,14 @@ class CuckooFilter:
     def from_bytes(data: bytes) -> CuckooFilter:
         return CuckooFilter(0, np.frombuffer(data, dtype=np.uint16).reshape(-1, _SLOTS).copy())
 
+    @staticmethod
+    def of(keys: np.ndarray) -> CuckooFilter:
+        """A filter of these keys, with twice the room as long as they don't fit."""
+        room = len(keys)
+        while not (made := CuckooFilter(room)).insert(keys):
+            room *= 2
+        return made
+
     def to_bytes(self) -> bytes:
         return self.table.tobytes()
 
@@ -114,8 +123,14 @@ def text_keys(data: bytes | None, min_chars: int = MIN_CHARS) -> list[bytes]:
     return [_digest(k) for k in {line_key(x) for x in (data or b"").split(b"\n")} if _long_enough(k, min_chars)]
 
 
-def shard_of(key: str | F.Column, shards: int) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+def shard_of(key: str, shards: int) -> F.Column:
+    """The shard of a key, by its first 15 hexadecimal digits."""
+    return F.pmod(F.conv(F.substring(F.hex(key), 1, 15), 16, 10).cast("long"), F.lit(shards)).cast("int")
+
+
+def _shards_of(keys: list[bytes], shards: int) -> np.ndarray:
+    """The same in Python."""
+    return (halves(keys)[:, 0].byteswap() >> np.uint64(4)) % np.uint64(shards)
 
 
 @dataclass
@@ -127,6 +142,7 @@ class LineIndex:
     shards: int
     threshold: int
     min_chars: int
+    shard_keys: int = SHARD_KEYS
 
     @staticmethod
     def build(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> LineIndex:
@@ -135,12 +151,17 @@ class LineIndex:
         common = counts.where(F.col("n") >= threshold)
         shards = max(1, -(-common.count() // shard_keys))
         filters = stable(_filters(common, shards))
-        return LineIndex(counts, filters, shards, threshold, min_chars)
+        return LineIndex(counts, filters, shards, threshold, min_chars, shard_keys)
 
     def updated(self, docs: DataFrame, sign: int) -> LineIndex:
-        """The index with docs inserted (sign 1) or deleted (sign -1); deleted texts as they were inserted."""
+        """The index with docs inserted (sign 1) or deleted (sign -1); deleted texts as they were inserted.
+
+        A deletion that takes more from a key than was ever put in is refused with a ValueError.
+        """
         delta = key_counts(docs, self.min_chars).select("key", (F.col("n") * sign).alias("d"))
         both = stable(self.counts.join(delta, "key", "full").select("key", F.coalesce("n", F.lit(0)).alias("was"), (F.coalesce("n", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("n")))
+        if sign < 0 and both.where("n < 0").limit(1).count():
+            raise ValueError("documents to delete hold lines that were not inserted as often")
         counts = both.where("n > 0").select("key", "n")
         t, shards = self.threshold, self.shards
         crossed = both.where((F.col("was") >= t) != (F.col("n") >= t)).select("key", (F.col("n") >= t).alias("enters"), shard_of("key", shards).alias("shard"))
@@ -162,9 +183,9 @@ class LineIndex:
         changed = stable(self.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(change, "shard int, keys long, data binary"))
         if changed.where("data is null").limit(1).count():  # a shard is full: make all of them anew, with room
             common = counts.where(F.col("n") >= t)
-            shards = max(1, -(-common.count() // SHARD_KEYS))
+            shards = max(1, -(-common.count() // self.shard_keys))
             changed = stable(_filters(common, shards))
-        return LineIndex(counts, changed, shards, t, self.min_chars)
+        return LineIndex(counts, changed, shards, t, self.min_chars, self.shard_keys)
 
     def inserted(self, docs: DataFrame) -> LineIndex:
         return self.updated(docs, 1)
@@ -172,47 +193,48 @@ class LineIndex:
     def deleted(self, docs: DataFrame) -> LineIndex:
         return self.updated(docs, -1)
 
-    def common_lines(self, docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-        """(row, keys) for rows of docs with common lines: hash of the row's id and text, its common keys.
+    def common(self) -> DataFrame:
+        """(key) of the lines that go."""
+        return self.counts.where(F.col("n") >= self.threshold).select("key")
 
-        The filters pick the lines that may be common; a join with the counts settles them.
-        """
-        spark = prepare(docs.sparkSession)
-        size = self.filters.agg(F.sum(F.length("data"))).first()[0] or 0
-        filters = None
-        if size <= broadcast_bytes:
-            filters = spark.sparkContext.broadcast({r["shard"]: CuckooFilter.from_bytes(r["data"]) for r in self.filters.collect()})
-        min_chars, shards = self.min_chars, self.shards
+    def save(self, path: str) -> None:
+        """Write the index under a path of any store, for a later session."""
+        head = self.counts.sparkSession.createDataFrame([(self.shards, self.threshold, self.min_chars, self.shard_keys)], "shards int, threshold int, min_chars int, shard_keys int")
+        for name, df in (("counts", self.counts), ("filters", self.filters), ("index", head)):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
 
-        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                row = batch.column(1)
-                rows, out = [], []
-                for r, data in zip(row.to_pylist(), utf8(batch.column(0)), strict=True):
-                    for k in text_keys(data, min_chars):
-                        rows.append(r)
-                        out.append(k)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(out, pa.binary())], names=["row", "key"])
-
-        lines = docs.select("text", _row_key().alias("row")).mapInArrow(keys, "row long, key binary")
-        common = self.counts.where(F.col("n") >= self.threshold).select("key")
-        if filters is not None:
-
-            def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    found = halves(batch.column(1).to_pylist())
-                    shard = batch.column(2).to_numpy()
-                    maybe = np.zeros(len(found), dtype=bool)
-                    for s in np.unique(shard):
-                        if s in filters.value:
-                            at = shard == s
-                            maybe[at] = filters.value[s].contains(found[at])
-                    yield batch.filter(pa.array(maybe)).select([0, 1])
-
-            lines = lines.withColumn("shard", shard_of("key", shards)).mapInArrow(probe, "row long, key binary")
-        return lines.join(common, "key").groupBy("row").agg(F.collect_set("key").alias("keys"))
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LineIndex:
+        """The index that was saved under path."""
+        head = spark.read.parquet(f"{path}/index").first()
+        return LineIndex(spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/filters"), head["shards"], head["threshold"], head["min_chars"], head["shard_keys"])
+
+    def broadcast_filters(self, bound: int = BROADCAST_BYTES) -> Broadcast | None:
+        """The filters by shard, or None if they are larger than bound together."""
+        size = self.filters.agg(F.sum(F.length("data"))).first()[0] or 0
+        if size > bound:
+            return None
+        return self.filters.sparkSession.sparkContext.broadcast({r["shard"]: CuckooFilter.from_bytes(r["data"]) for r in self.filters.collect()})
+
+    def broadcast_common(self, bound: int = BROADCAST_BYTES) -> Broadcast | None:
+        """The exact common keys in order, or None if they are larger than bound together."""
+        common = self.common()
+        if common.count() * 16 > bound:
+            return None
+        keys = np.array(common.toArrow().column("key").to_pylist(), dtype="S16")
+        return self.counts.sparkSession.sparkContext.broadcast(np.sort(keys))
+
+
+def _may_be_common(filters: dict[int, CuckooFilter], keys: list[bytes], shards: int) -> np.ndarray:
+    """Which keys their shard's filter lets through."""
+    found = halves(keys)
+    shard = _shards_of(keys, shards)
+    maybe = np.zeros(len(found), dtype=bool)
+    for s in np.unique(shard).tolist():
+        if s in filters:
+            at = shard == s
+            maybe[at] = filters[s].contains(found[at])
+    return maybe
 
 
 def _row_key() -> F.Column:
@@ -225,8 +247,9 @@ def key_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [k for data in utf8(batch.column(0)) for k in text_keys(data, min_chars)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
+            for part in slices(batch, 0):
+                keys = [k for data in utf8(part.column(0)) for k in text_keys(data, min_chars)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
 
     return docs.select("text").mapInArrow(run, "key binary").groupBy("key").agg(F.count("*").alias("n"))
 
@@ -234,43 +257,117 @@ def key_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def _filters(common: DataFrame, shards: int) -> DataFrame:
     def make(group: pd.DataFrame) -> pd.DataFrame:
         keys = halves(sorted(group["key"]))
-        room = len(keys)
-        made = CuckooFilter(room)
-        while not made.insert(keys):
-            room *= 2
-            made = CuckooFilter(room)
+        made = CuckooFilter.of(keys)
         return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "keys": [len(keys)], "data": [made.to_bytes()]})
 
     return common.select("key", shard_of("key", shards).alias("shard")).groupBy("shard").applyInPandas(make, "shard int, keys long, data binary")
 
 
-def _cut(docs: DataFrame, index: LineIndex) -> tuple[DataFrame, list[str]]:
-    """docs and n_lines, n_dropped, kept text, and those names. A row meets its common keys by
-    the hash of its id and text, so that copies of a text are spread; keys found by another row's equal hash are common too, so no line is
-    dropped that should stay."""
+def _candidates(docs: DataFrame, index: LineIndex, filters: Broadcast | None) -> DataFrame:
+    """(row, key) of the distinct keys of each row of docs that the filters let through, all keys without filters."""
+    min_chars, shards = index.min_chars, index.shards
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                rows, out = [], []
+                for r, data in zip(part.column(1).to_pylist(), utf8(part.column(0)), strict=True):
+                    found = text_keys(data, min_chars)
+                    rows += [r] * len(found)
+                    out += found
+                whole = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(out, pa.binary())], names=["row", "key"])
+                yield whole.filter(pa.array(_may_be_common(filters.value, out, shards))) if filters and out else whole
+
+    return docs.select("text", _row_key().alias("row")).mapInArrow(keys, "row long, key binary")
+
+
+def common_lines(docs: DataFrame, index: LineIndex, filters: Broadcast | None) -> DataFrame:
+    """(row, keys) for rows of docs with common lines: hash of the row's id and text, its common keys."""
+    return _candidates(docs, index, filters).join(index.common(), "key").groupBy("row").agg(F.collect_set("key").alias("keys"))
+
+
+def _among(keys: np.ndarray, sought: list[bytes]) -> np.ndarray:
+    """Which sought keys are in the ordered keys."""
+    if not len(keys):
+        return np.zeros(len(sought), dtype=bool)
+    values = np.array(sought, dtype="S16")
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
+def _drop(text: bytes | None, gone: Callable[[list[bytes]], np.ndarray], min_chars: int) -> tuple[int, int, bytes]:
+    """Lines of a text, how many of them go, and what stays."""
+    lines = (text or b"").split(b"\n")
+    held = [line_key(x) for x in lines]
+    at = [i for i, k in enumerate(held) if _long_enough(k, min_chars)]
+    if not at:
+        return len(lines), 0, text or b""
+    goes = np.zeros(len(lines), dtype=bool)
+    goes[at] = gone([_digest(held[i]) for i in at])
+    left = [x for x, g in zip(lines, goes.tolist(), strict=True) if not g]
+    return len(lines), len(lines) - len(left), b"\n".join(left)
+
+
+def _cut(docs: DataFrame, index: LineIndex, bound: int = BROADCAST_BYTES) -> tuple[DataFrame, list[str]]:
+    """docs and n_lines, n_dropped, kept text, and those names.
+
+    Filters and exact common keys are broadcast while each is ``bound`` bytes at most: then a row
+    is cut where it is, and no text moves. Beyond that, rows whose lines all fail the filters stay
+    where they are, and the others meet their common keys by the hash of their id and text, so
+    that copies of a text are spread. Keys found by another row's equal hash are common too, so no
+    line goes that should stay. Filters beyond the bound are not used, and every row is joined.
+    """
+    prepare(docs.sparkSession)
     names = fresh(docs, "n_lines", "n_dropped", "kept_text", "_row", "_keys")
     n_lines, n_dropped, kept, row, keys = names
-    common = index.common_lines(docs).select(F.col("row").alias(row), F.col("keys").alias(keys))
-    joined = docs.withColumn(row, _row_key()).join(common, row, "left").select(*docs.columns, keys)
-    at, width = docs.columns.index("text"), len(docs.columns)
+    at, width, min_chars, shards = docs.columns.index("text"), len(docs.columns), index.min_chars, index.shards
+    schema = with_fields(docs.schema, (n_lines, T.LongType()), (n_dropped, T.LongType()), (kept, T.StringType()))
+    filters = index.broadcast_filters(bound)
+    exact = index.broadcast_common(bound) if filters else None
+
+    def settled(found: list[bytes]) -> np.ndarray:
+        maybe = _may_be_common(filters.value, found, shards)
+        if maybe.any():
+            maybe[maybe] = _among(exact.value, [k for k, m in zip(found, maybe.tolist(), strict=True) if m])
+        return maybe
+
+    def cut(own: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, at):
+                    drops = part.column(width).to_pylist() if own else [None] * part.num_rows
+                    rows = []
+                    for data, drop in zip(utf8(part.column(at)), drops, strict=True):
+                        gone = set(drop or ())
+                        rows.append(_drop(data, (lambda found, gone=gone: np.array([k in gone for k in found])) if own else settled, min_chars))
+                    out = pa.RecordBatch.from_arrays(part.columns[:width], names=part.schema.names[:width])
+                    a, b, c = zip(*rows, strict=True)
+                    yield attach(out, {n_lines: pa.array(a, pa.int64()), n_dropped: pa.array(b, pa.int64()), kept: pa.array(c, pa.binary()).cast(pa.string())})
+
+        return run
+
+    if exact:
+        return docs.mapInArrow(cut(own=False), schema), names[:3]
+    found = common_lines(docs, index, filters).select(F.col("row").alias(row), F.col("keys").alias(keys))
+    some, none = docs, None
+    if filters:
+        marked, name = _marked(docs, filters, min_chars, shards)
+        some, none = marked.where(name).drop(name), marked.where(~F.col(name)).drop(name).withColumn(keys, F.lit(None).cast("array<binary>"))
+    joined = some.withColumn(row, _row_key()).join(found, row, "left").select(*docs.columns, keys)
+    return (joined.union(none) if filters else joined).mapInArrow(cut(own=True), schema), names[:3]
+
+
+def _marked(docs: DataFrame, filters: Broadcast, min_chars: int, shards: int) -> tuple[DataFrame, str]:
+    """docs and whether any line of a row passes the filters, and that column's name."""
+    (name,) = fresh(docs, "_some")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines_n, dropped_n, texts = [], [], []
-            for data, drop in zip(utf8(batch.column(at)), batch.column(width).to_pylist(), strict=True):
-                lines = (data or b"").split(b"\n")
-                left = lines
-                if drop:
-                    gone = set(drop)
-                    left = [x for x in lines if _digest(line_key(x)) not in gone]
-                lines_n.append(len(lines))
-                dropped_n.append(len(lines) - len(left))
-                texts.append(b"\n".join(left))
-            own = pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
-            yield attach(own, {n_lines: pa.array(lines_n, pa.int64()), n_dropped: pa.array(dropped_n, pa.int64()), kept: pa.array(texts, pa.binary()).cast(pa.string())})
-
-    out = joined.mapInArrow(run, with_fields(docs.schema, (n_lines, T.LongType()), (n_dropped, T.LongType()), (kept, T.StringType())))
-    return out, names[:3]
+            for part in slices(batch, at):
+                keys = [text_keys(data, min_chars) for data in utf8(part.column(at))]
+                yield attach(part, {name: pa.array([bool(k) and bool(_may_be_common(filters.value, k, shards).any()) for k in keys], pa.bool_())})
+
+    return docs.mapInArrow(run, with_fields(docs.schema, (name, T.BooleanType()))), name
 
 
 def line_dedup(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -13,8 +14,7 @@ from lodestar.llm.queries import op4_line_dedup, oracle_sql
 @given(st.sets(st.integers(0, 10**9), min_size=1, max_size=400), st.data())
 def test_cuckoo_filter_never_loses_a_key(numbers, data):
     keys = [hashlib.md5(str(n).encode()).digest() for n in sorted(numbers)]
-    f = L.CuckooFilter(len(keys))
-    assert f.insert(L.halves(keys))
+    f = L.CuckooFilter.of(L.halves(keys))
     gone = set(data.draw(st.lists(st.sampled_from(keys), unique=True)))
     if gone:
         f.delete(L.halves(sorted(gone)))
@@ -46,9 +46,20 @@ def kept(df):
 
 def test_without_filters_the_same(docs):
     index = L.LineIndex.build(docs, threshold=3)
-    one = L.line_dedup(docs, index)
-    no_filter = index.common_lines(docs, broadcast_bytes=-1).count()
-    assert no_filter == index.common_lines(docs).count() > 0 and one.where("n_dropped > 0").count() > 0
+    filters = index.broadcast_filters()
+    assert L.common_lines(docs, index, None).count() == L.common_lines(docs, index, filters).count() > 0
+    size = index.filters.agg({"data": "max"}).count() and len(index.filters.first()["data"])
+    rows = []
+    for bound in (L.BROADCAST_BYTES, size, -1):  # all broadcast, filters alone, nothing
+        out, names = L._cut(docs.select("doc_id", "text"), index, bound)
+        rows.append(sorted(map(tuple, out.select("doc_id", *names).collect())))
+    assert rows[0] == rows[1] == rows[2] and any(r[2] for r in rows[0])
+    assert index.broadcast_common(size) is None or index.common().count() * 16 <= size
+
+
+def test_narrow_cut_moves_no_text(docs):
+    plan = L._cut(docs.select("doc_id", "text"), L.LineIndex.build(docs, threshold=3))[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
 
 
 def test_insertions_and_deletions_can_be_undone(docs):
@@ -64,6 +75,21 @@ def test_insertions_and_deletions_can_be_undone(docs):
     assert nothing.counts.count() == 0 and L.line_dedup(docs, nothing).where("n_dropped > 0").count() == 0
 
 
+def test_saved_index_goes_on(spark, docs, tmp_path):
+    part = L.LineIndex.build(docs.where("doc_id % 3 <> 0"), threshold=3, shard_keys=4)
+    part.save(str(tmp_path / "index"))
+    loaded = L.LineIndex.load(spark, str(tmp_path / "index"))
+    assert (loaded.shards, loaded.threshold, loaded.min_chars, loaded.shard_keys) == (part.shards, 3, part.min_chars, 4)
+    b = docs.where("doc_id % 3 = 0")
+    assert kept(L.line_dedup(docs, loaded.inserted(b))) == kept(L.line_dedup(docs, L.LineIndex.build(docs, threshold=3)))
+
+
+def test_what_was_never_inserted_is_not_deleted(spark, docs):
+    index = L.LineIndex.build(docs.limit(0), threshold=2)
+    with pytest.raises(ValueError):
+        index.deleted(docs)
+
+
 def test_odd_rows(spark, odd, empty):
     index = L.LineIndex.build(odd, threshold=3)
     got = {r["doc_id"]: r.asDict() for r in L.line_dedup(odd, index).collect()}

@@ -1,16 +1,22 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree's nodes are contexts of up to two words. A context stays in it if its next-symbol
-distribution diverges from its parent's (the context without its first word) by enough for
-what it costs to keep; a distribution keeps the symbols seen often enough behind the context
-and hands the rest of its mass, and a discount, to its parent; the root is the add-one unigram
-distribution. A token is scored by the longest suffix of its past that is a node.
-
-Counting is one pass for each order. A task sums what it has seen and sends it on in blocks of
-sorted keys; a reducer's share of keys is bounded by the corpus size divided by the number of
-reducers, which grows with the corpus, and no key is hot as every task sends it once at most a
-flush. Words are known by 64-bit hashes. Word counts are looked up in two ways with one result:
-the most frequent words, a bounded number, are broadcast; all others are joined.
+The tree's nodes are contexts of one word, two words, and so on. A context is tried if it occurs
+often enough, its suffix (the context without its first word) is a node, and its own beginning was
+tried; it stays if its next-symbol distribution diverges from its suffix's by enough for what it
+costs to keep. So the tree grows as deep as the test lets it, up to a depth that is a parameter. A
+distribution keeps the symbols seen often enough behind the context and hands the rest of its
+mass, and a discount, to its suffix's; the root is the add-one unigram distribution. A token is
+scored by the longest suffix of its past that is a node.
+
+Counting is one pass for each depth. A task sums what it has seen and sends it on in blocks of
+sorted keys; what it sends is held against a filter of the contexts to be tried, whose size is
+bounded: a fuller filter lets more pass, which the exact join behind it takes out.
+
+The model is one table of keys and numbers: a node has what its distribution leaves to its
+suffix's, an entry has what it adds to that. A text's score is the sum of what its tokens find,
+so the model is looked up in two ways with one result: the most frequent keys, a bounded number,
+are broadcast, and all others are joined. Word counts are looked up likewise. No model, and no
+level of it, is gathered whole.
 """
 
 from __future__ import annotations
@@ -27,18 +33,21 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, prepare, shared_path, stable, utf8
+from .common import LOWER, WHITE, prepare, shared_path, slices, stable, utf8
 
-#: A context and an entry (next symbol of a context) need so many occurrences.
-MIN_CONTEXT, MIN_ENTRY = 64, 4
-#: Taken from each entry's count for its parent to spread.
+#: Words of a context at most.
+DEPTH = 4
+#: A context, and an entry (next symbol of a context), need so many occurrences to be tried.
+LEAST = 4
+#: Taken from each entry's count for its suffix to spread.
 DISCOUNT = 0.75
 #: Nats that a context has to save for each of its entries to stay.
 GAIN = 3.0
-#: Words whose counts are broadcast, at most; contexts and entries of one broadcast block.
-HEAD, CONTEXT_BLOCK, MODEL_BLOCK = 1 << 18, 1 << 20, 4 << 20
-#: Tokens that a task sums before it sends them, and tokens of the corpus for each reducer.
-FLUSH_TOKENS, REDUCER_TOKENS = 1 << 20, 1 << 20
+#: Word counts and model keys that are broadcast, at most; rows of a join's broadcast side; 64-bit words of a filter.
+HEAD, MODEL_HEAD, OFTEN, FILTER_WORDS = 1 << 18, 1 << 21, 1 << 15, 1 << 22
+#: Tokens that a task sums before it sends them, tokens of the corpus for each reducer, and reducers beyond
+#: which blocks would hold few keys and Spark's own aggregation takes the keys one by one.
+FLUSH_TOKENS, REDUCER_TOKENS, REDUCERS = 1 << 21, 1 << 20, 1 << 12
 #: Documents whose crc32 modulo FOLDS is HELD are held out of training.
 FOLDS, HELD = 7, 2
 
@@ -55,6 +64,11 @@ def mix(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def entry_key(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The key of a symbol as an entry of a context; the context longer by the symbol has another."""
+    return ~mix(context, symbol)
+
+
 #: Bytes that are hashed together, up to the next white space.
 _SEGMENT = 1 << 20
 _BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
@@ -118,24 +132,59 @@ def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def contexts_of(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The word before each token, the key of the two words before it, and how many it has (0, 1, 2)."""
+def keys_of(tokens: np.ndarray, counts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For contexts of one word, two words, ... ``depth`` words: each token's context, and where its text has that many."""
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
     before = np.concatenate([tokens[:1], tokens[:-1]])
-    twice = np.concatenate([before[:1], before[:-1]])
-    starts = np.cumsum(counts) - counts
-    known = np.full(len(tokens), 2, dtype=np.int8)
-    known[starts] = 0
-    second = starts + 1
-    known[second[counts > 1]] = 1
-    return before, mix(twice, before), known
-
-
-def find(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of sought values in sorted keys, and which are there."""
-    if not len(keys):
-        return np.zeros(len(sought), dtype=np.int64), np.zeros(len(sought), dtype=bool)
-    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
-    return at, keys[at] == sought
+    key = before
+    for d in range(1, depth + 1):
+        if d > 1:
+            key = mix(np.concatenate([key[:1], key[:-1]]), before)
+        yield key, place >= d
+
+
+class Table:
+    """Numbers by 64-bit key, found by the key's first bits and a step or two from there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+
+    def find(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of sought keys, and which are there."""
+        slot = sought >> self.shift
+        at, end = self.starts[slot].astype(np.int64), self.starts[slot + np.uint64(1)]
+        there = np.zeros(len(sought), dtype=bool)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == sought[left]
+            there[left[hit]] = True
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        at[~there] = 0
+        return at, there
+
+
+class KeyFilter:
+    """Three bits in one word for each key: never false for a key that was put in."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+        self.shift = np.uint64(64 - (len(words) - 1).bit_length())
+
+    @staticmethod
+    def places(keys: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Words and bits of keys."""
+        one, six, low = np.uint64(1), np.uint64(6), np.uint64(63)
+        return keys >> shift, (one << (keys & low)) | (one << ((keys >> six) & low)) | (one << ((keys >> (six + six)) & low))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at, bits = self.places(keys, self.shift)
+        return (self.words[at] & bits) == bits
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -149,8 +198,10 @@ def unsigned(x: pd.Series) -> np.ndarray:
 def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], reducers: int, least: int) -> DataFrame:
     """(first, second, n) of the pairs that ``pairs`` takes from texts' tokens, n >= least.
 
-    A task sends, for each reducer, its sorted keys and counts as one row of bytes.
+    A task sends, for each reducer, its sorted keys and counts as one row of bytes; with more than
+    REDUCERS of them, a row for each key, which Spark sums.
     """
+    single = reducers > REDUCERS
     width = (1 << 64) // reducers + 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,19 +212,25 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
             first, second = (np.concatenate(x) for x in zip(*held, strict=True))
             keys, at, n = np.unique(mix(first, second), return_index=True, return_counts=True)
             first, second, n = first[at], second[at], n.astype(np.uint32)
+            if single:
+                for k in range(0, len(n), 1 << 16):
+                    cut = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(first[cut])), pa.array(signed(second[cut])), pa.array(n[cut].astype(np.int64))], names=["first", "second", "n"])
+                return
             cuts = np.searchsorted(keys, np.array([min(width * r, (1 << 64) - 1) for r in range(1, reducers)], dtype=np.uint64))
             rows = [(r, a.tobytes(), b.tobytes(), c.tobytes()) for r, (a, b, c) in enumerate(zip(np.split(first, cuts), np.split(second, cuts), np.split(n, cuts), strict=True)) if len(a)]
             for k in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 256], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["r", "a", "b", "n"])
 
         for batch in batches:
-            got = pairs(*tokens_of(utf8(batch.column(0))))
-            if len(got[0]):
-                held.append(got)
-                size += len(got[0])
-            if size >= FLUSH_TOKENS:
-                yield from flush()
-                held, size = [], 0
+            for part in slices(batch, 0, 4 << 20):
+                got = pairs(*tokens_of(utf8(part.column(0))))
+                if len(got[0]):
+                    held.append(got)
+                    size += len(got[0])
+                if size >= FLUSH_TOKENS:
+                    yield from flush()
+                    held, size = [], 0
         if held:
             yield from flush()
 
@@ -189,6 +246,8 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
         at = order[starts][kept]
         return pd.DataFrame({"first": signed(first[at]), "second": signed(second[at]), "n": sums[kept]})
 
+    if single:
+        return docs.select("text").mapInArrow(send, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return docs.select("text").mapInArrow(send, "r int, a binary, b binary, n binary").groupBy("r").applyInPandas(total, "first long, second long, n long")
 
 
@@ -206,20 +265,15 @@ def is_held_out(doc_id: Column) -> Column:
 
 @dataclass
 class SuffixTree:
-    """words: w, c. states: ctx, last, loglam. entries: ctx, w, last, logp. Logarithms to base 10.
-
-    ``last`` is the context's last word, by which states and entries are dealt into blocks.
-    """
+    """words: w, c. model: key, value (to base 10), n. The key of a node is its context's, that of an
+    entry is its symbol's and its context's; n is how often it was seen, depth the words of its context."""
 
     words: DataFrame
-    states: DataFrame
-    entries: DataFrame
+    model: DataFrame
     tokens: int
     distinct: int
-    head: Broadcast  # (sorted hashes, counts, all words of at least so many occurrences are here)
-
-    def log_base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 1) / (self.tokens + self.distinct + 1))
+    depth: int
+    head: Broadcast  # (counts of words as a Table, all words of at least so many occurrences are here)
 
 
 def _columns(df: DataFrame) -> list[np.ndarray]:
@@ -227,24 +281,57 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in df.toArrow().columns]
 
 
+def _power(df: DataFrame, count: str, bound: int) -> tuple[int, bool]:
+    """The least power of two that at most ``bound`` rows' counts reach, and whether the others are any."""
+    sizes = df.agg(F.count("*").alias("all"), *(F.sum((F.col(count) >= (1 << k)).cast("long")).alias(f"k{k}") for k in range(48))).first()
+    k = next((k for k in range(48) if (sizes[k + 1] or 0) <= bound), 48)
+    return 1 << k, sizes["all"] > ((sizes[k + 1] or 0) if k < 48 else 0)
+
+
 def _head(words: DataFrame, bound: int) -> Broadcast:
     """Counts of all words over a power of two, the least that leaves ``bound`` of them at most."""
-    spark = words.sparkSession
-    sizes = words.agg(*(F.sum((F.col("c") >= (1 << k)).cast("long")).alias(f"k{k}") for k in range(48))).first()
-    k = next((k for k in range(48) if (sizes[k] or 0) <= bound), 48)
-    w, c = _columns(words.where(F.col("c") >= (1 << k)).select("w", "c"))
-    order = np.argsort(w.view(np.uint64))
-    return spark.sparkContext.broadcast((w.view(np.uint64)[order], c[order], 1 << k))
+    least, _ = _power(words, "c", bound)
+    w, c = _columns(words.where(F.col("c") >= least).select("w", "c"))
+    return words.sparkSession.sparkContext.broadcast((Table(w.view(np.uint64), c), least))
 
 
-def _ge(head: tuple, hashes: np.ndarray, least: int) -> np.ndarray:
+def _ge(head: tuple[Table, int], hashes: np.ndarray, least: int) -> np.ndarray:
     """Whether a word may have ``least`` occurrences, by what is broadcast."""
-    keys, counts, threshold = head
-    at, there = find(keys, hashes)
-    return np.where(there, (counts[at] if len(keys) else 0) >= least, threshold > least)
+    table, threshold = head
+    at, there = table.find(hashes)
+    return np.where(there, table.values[at] >= least if len(table.values) else False, threshold > least)
 
 
-def train(docs: DataFrame, min_context: int = MIN_CONTEXT, min_entry: int = MIN_ENTRY, gain: float = GAIN, head: int = HEAD, context_block: int = CONTEXT_BLOCK) -> SuffixTree:
+def _filter(keys: DataFrame, column: str, bound: int) -> Broadcast:
+    """A filter of the keys in a column, with 16 bits for each of them but ``bound`` words at most."""
+    n = keys.count()
+    size = min(bound, 1 << max(6, (n // 4).bit_length()))
+    shift = np.uint64(64 - (size - 1).bit_length())
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at, bits = KeyFilter.places(unsigned(b["key"]), shift)
+            yield pd.DataFrame({"at": at.astype(np.int64), "bits": signed(bits)})
+
+    at, bits = _columns(keys.select(F.col(column).alias("key")).mapInPandas(places, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")))
+    words = np.zeros(size, dtype=np.uint64)
+    words[at] = bits.view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(KeyFilter(words))
+
+
+def _beside(rows: DataFrame, table: DataFrame, key: str, count: str, bound: int) -> DataFrame:
+    """rows joined with table by its unique key. Keys that many rows may have, by count, are broadcast,
+    ``bound`` of them at most, so that no task gets all rows of one of them."""
+    least, others = _power(table, count, bound)
+    often = F.broadcast(table.where(F.col(count) >= least))
+    out = rows.join(often, key)
+    if not others:
+        return out
+    rest = rows.join(often.select(key), key, "left_anti").join(table.where(F.col(count) < least), key)
+    return out.unionByName(rest)
+
+
+def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, head: int = HEAD, often: int = OFTEN, filter_words: int = FILTER_WORDS) -> SuffixTree:
     """The suffix tree of all rows of docs. Null texts are empty; repeated rows count each."""
     spark = prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
@@ -254,151 +341,141 @@ def train(docs: DataFrame, min_context: int = MIN_CONTEXT, min_entry: int = MIN_
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = _head(words, head)
     root = (F.col("c") + 1) / F.lit(float(tokens + distinct + 1))
-
-    def first_order(t: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        before, _, known = contexts_of(t, c)
-        keep = (known > 0) & _ge(top.value, before, min_context) & _ge(top.value, t, min_entry)
-        return before[keep], t[keep]
-
-    counts1 = _written(counted(docs, first_order, reducers, min_entry), "pairs")
-    with_root = counts1.select(F.col("first").alias("ctx"), F.col("second").alias("w"), "n").join(words, "w").withColumn("q", root)
-    totals = words.select(F.col("w").alias("ctx"), F.col("c").alias("all")).where(F.col("all") >= min_context)
-    states1, entries1 = _retained(with_root.join(totals, "ctx"), gain, F.col("ctx"))
-    states1, entries1 = stable(states1), _written(entries1, "entries")
-
-    # Contexts of two words whose own last word is a node, so that a node's parent is one.
-    two = counts1.where((F.col("n") >= min_context) & (F.col("second") != int(signed(np.array([END]))[0])))
-    two = two.join(states1.select(F.col("ctx").alias("second")), "second").select(F.col("first").alias("v"), F.col("second").alias("u"), F.col("n").alias("all"))
-
-    def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(ctx=signed(mix(unsigned(b["v"]), unsigned(b["u"]))))[["ctx", "u", "all"]]
-
-    two = stable(two.mapInPandas(key, "ctx long, u long, all long"))
-    blocks = max(1, -(-two.count() // context_block))
-    counts2 = None
-    for k in range(blocks):  # each block of contexts is one pass
-        (block,) = _columns(two.where(F.pmod("u", F.lit(blocks)) == k).select("ctx"))
-        sought = spark.sparkContext.broadcast(np.sort(block.view(np.uint64)))
-
-        def second_order(t: np.ndarray, c: np.ndarray, sought: Broadcast = sought) -> tuple[np.ndarray, np.ndarray]:
-            _, both, known = contexts_of(t, c)
-            keep = (known > 1) & _ge(top.value, t, min_entry)
-            keep[keep] = find(sought.value, both[keep])[1]
-            return both[keep], t[keep]
-
-        one = counted(docs, second_order, reducers, min_entry)
-        counts2 = one if counts2 is None else counts2.union(one)
-    counts2 = _written(counts2, "triples")
-    parents = entries1.select(F.col("ctx").alias("u"), "w", F.pow(F.lit(10.0), "logp").alias("p1"))
-    lam = states1.select(F.col("ctx").alias("u"), F.pow(F.lit(10.0), "loglam").alias("lam1"))
-    deep = counts2.select(F.col("first").alias("ctx"), F.col("second").alias("w"), "n").join(two, "ctx").join(words, "w").join(lam, "u").join(parents, ["u", "w"], "left")
-    deep = deep.withColumn("q", F.coalesce("p1", F.col("lam1") * root)).select("ctx", "w", "n", "all", "q", "u")
-    states2, entries2 = _retained(deep, gain, F.col("u"))
-    states = states1.union(stable(states2))
-    entries = entries1.union(_written(entries2, "entries"))
-    return SuffixTree(words, states, entries, int(tokens), int(distinct), top)
-
-
-def _retained(entries: DataFrame, gain: float, last: Column) -> tuple[DataFrame, DataFrame]:
-    """States (ctx, last, loglam) that pass the divergence test, and their entries (ctx, w, last, logp).
-
-    entries: ctx, w, n, all (the context's occurrences), q (the parent's probability of w). What
-    is no entry counts as one symbol, so the divergence is a lower bound of the full one.
+    end = F.lit(int(signed(np.array([END]))[0]))
+    contexts = words.where((F.col("c") >= least) & (F.col("w") != end)).select(F.col("w").alias("ctx"), F.lit(0).cast("long").alias("suffix"), F.col("c").alias("all"))
+    model, above = None, None
+    for d in range(1, depth + 1):
+        sought = _filter(contexts, "ctx", filter_words) if d > 1 else None
+
+        def pairs(t: np.ndarray, c: np.ndarray, d: int = d, sought: Broadcast | None = sought) -> tuple[np.ndarray, np.ndarray]:
+            *_, (key, inside) = keys_of(t, c, d)
+            at = np.flatnonzero(inside)
+            at = at[sought.value.has(key[at]) if sought else _ge(top.value, key[at], least)]
+            at = at[_ge(top.value, t[at], least)]
+            return key[at], t[at]
+
+        counts = _written(counted(docs, pairs, reducers, least), "counts").withColumnsRenamed({"first": "ctx", "second": "w"})
+        if sought:
+            sought.destroy()
+        rows = _beside(counts, contexts, "ctx", "all", often)
+        if d == 1:
+            rows = _beside(rows, words, "w", "c", often).withColumn("q", root)
+        else:  # a suffix has every entry of its contexts, as it has seen it no less often
+            rows = rows.join(above.select(F.col("ctx").alias("suffix"), "w", F.col("p").alias("q")), ["suffix", "w"])
+        rows = _written(rows.select("ctx", "suffix", "w", "n", "all", "q"), "tried")
+        states = _written(_retained(rows, gain), "states")
+        entries = _written(_entries(rows, states, often), "entries")
+        level = _keyed(states.select("ctx", F.log10("lam").alias("value"), F.col("all").alias("n"), F.lit(None).cast("long").alias("w")).unionByName(entries.select("ctx", "value", "n", "w")), d)
+        model = level if model is None else model.unionByName(level)
+        if d == depth:
+            break
+        contexts, above = _written(_extended(rows.where(F.col("w") != end), states, d, often), "contexts"), entries
+        if not contexts.limit(1).count():
+            break
+    return SuffixTree(words, model, int(tokens), int(distinct), depth, top)
+
+
+def _retained(rows: DataFrame, gain: float) -> DataFrame:
+    """(ctx, all, lam) of contexts that pass the divergence test; lam is the mass left to the suffix.
+
+    rows: ctx, w, n, all (the context's occurrences), q (the suffix's probability of w). What is no
+    entry counts as one symbol, so the divergence is a lower bound of the full one.
     """
     n, q = F.col("n"), F.col("q")
-    named = entries.withColumn("last", last)
-    sums = named.groupBy("ctx", "last", "all").agg(F.sum("n").alias("ns"), F.sum("q").alias("qs"), F.count("*").alias("k"), F.sum(n * F.log(n / F.col("all") / q)).alias("g"))
+    sums = rows.groupBy("ctx", "all").agg(F.sum("n").alias("ns"), F.sum("q").alias("qs"), F.count("*").alias("k"), F.sum(n * F.log(n / F.col("all") / q)).alias("g"))
     rest = F.col("all") - F.col("ns")
     other = F.when(rest > 0, rest * F.log(rest / F.col("all") / F.greatest(1 - F.col("qs"), F.lit(1e-12)))).otherwise(0.0)
     kept = sums.where(F.col("g") + other >= F.lit(gain) * F.col("k"))
-    lam = (F.col("all") - F.col("ns") + F.lit(DISCOUNT) * F.col("k")) / F.col("all")
-    states = kept.select("ctx", "last", "all", lam.alias("lam"))
-    inside = named.drop("last", "all").join(states, "ctx")
-    p = (n - DISCOUNT) / F.col("all") + F.col("lam") * q
-    return states.select("ctx", "last", F.log10("lam").alias("loglam")), inside.select("ctx", "w", "last", F.log10(p).alias("logp"))
+    return kept.select("ctx", "all", ((F.col("all") - F.col("ns") + F.lit(DISCOUNT) * F.col("k")) / F.col("all")).alias("lam"))
 
 
-def _block(tree: SuffixTree, k: int, blocks: int) -> tuple[np.ndarray, ...]:
-    """Sorted states and entries of the contexts whose last word is in block k."""
-    mine = F.pmod("last", F.lit(blocks)) == k
-    ctx, loglam = _columns(tree.states.where(mine).select("ctx", "loglam"))
-    of, w, logp = _columns(tree.entries.where(mine).select("ctx", "w", F.col("logp").cast("float")))
-    a = np.argsort(ctx.view(np.uint64))
-    keys = mix(of.view(np.uint64), w.view(np.uint64))
-    b = np.argsort(keys)
-    return ctx.view(np.uint64)[a], loglam[a], keys[b], logp[b]
+def _entries(rows: DataFrame, states: DataFrame, often: int) -> DataFrame:
+    """(ctx, w, n, p, value) of the nodes' entries: their probability, and by how much its logarithm is
+    over what they would have without being entries."""
+    inside = _beside(rows.drop("all"), states, "ctx", "all", often)
+    handed = F.col("lam") * F.col("q")
+    p = (F.col("n") - DISCOUNT) / F.col("all") + handed
+    return inside.select("ctx", "w", "n", p.alias("p"), F.log10(p / handed).alias("value"))
 
 
-_TAIL = "array<struct<w:bigint,n:bigint,m:bigint>>"
-_ARROW_TAIL = pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64()), ("m", pa.int64())]))
+def _keyed(level: DataFrame, depth: int) -> DataFrame:
+    """(key, value, n, depth) of nodes, whose w is null, and entries."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx, entry = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            w = b.column(3).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            key = np.where(entry, entry_key(ctx, w), ctx)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), b.column(1), b.column(2), pa.array(np.full(len(key), depth, dtype=np.int32))], names=["key", "value", "n", "depth"])
 
-def score_texts(texts: list[bytes | None], head: tuple, model: tuple[np.ndarray, ...], tree_size: int, k: int, blocks: int) -> tuple[np.ndarray, ...]:
-    """n_tokens, known, base, score and the tail of each text, of what block k answers for.
+    return level.mapInArrow(run, "key long, value double, n long, depth int")
 
-    The tail has, for words that are not broadcast, their hash, occurrences, and occurrences whose
-    score ends at the root; block 0 answers for the base and for tokens without a past.
-    """
-    hashes, counts, _ = head
-    states, loglam, keys, logp = model
+
+def _extended(rows: DataFrame, states: DataFrame, depth: int, often: int) -> DataFrame:
+    """(ctx, suffix, all) of contexts a word longer, those whose suffix is a node."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w = unsigned(b["w"])
+            suffix = w if depth == 1 else mix(unsigned(b["suffix"]), w)
+            yield pd.DataFrame({"ctx": signed(mix(unsigned(b["ctx"]), w)), "suffix": signed(suffix), "all": b["n"]})
+
+    longer = rows.select("ctx", "suffix", "w", "n").mapInPandas(run, "ctx long, suffix long, all long")
+    return _beside(longer, states.select(F.col("ctx").alias("suffix"), F.col("all").alias("seen")), "suffix", "seen", often).select("ctx", "suffix", "all")
+
+
+_WORDS, _KEYS = "array<struct<w:bigint,n:bigint>>", "array<struct<k:bigint,n:bigint>>"
+
+
+def _lists(owner: np.ndarray, keys: np.ndarray, texts: int, name: str) -> pa.Array:
+    """For each text its distinct keys with their number."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.append(starts, len(keys)))
+    offsets = np.searchsorted(owner[starts], np.arange(texts + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(signed(keys[starts])), pa.array(n.astype(np.int64))], [name, "n"]))
+
+
+def score_texts(texts: list[bytes | None], head: Table, model: Table, others: KeyFilter | None, tree_size: int, depth: int) -> tuple:
+    """n_tokens, known, base and score of each text by what is broadcast, the words that are not, and the
+    model keys that may be in the model but are not broadcast."""
     t, sizes = tokens_of(texts)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    before, both, known = contexts_of(t, sizes)
-    at, there = find(hashes, t)
-    c = np.where(there, counts[at] if len(hashes) else 0, 0)
-    base = np.where(there, np.log10((c + 1) / tree_size), 0.0)
-    mine = signed(before) % blocks == k if blocks > 1 else np.ones(len(t), dtype=bool)
-    mine = np.where(known > 0, mine, k == 0)
-    value = np.zeros(len(t))
-    to_root = mine.copy()
-    for order, ctx in ((2, both), (1, before)):
-        open_ = to_root & (known >= order)
-        sa, sf = find(states, ctx[open_])
-        at_ = np.flatnonzero(open_)[sf]
-        sa = sa[sf]
-        ea, ef = find(keys, mix(ctx[at_], t[at_]))
-        value[at_[ef]] += logp[ea[ef]] if len(logp) else 0.0
-        to_root[at_[ef]] = False
-        value[at_[~ef]] += loglam[sa[~ef]] if len(loglam) else 0.0
-    value += np.where(to_root, base, 0.0)
-    score = np.bincount(owner, weights=value, minlength=len(texts))
-    first = k == 0
-    lost = ~there & (to_root | first)
-    tails = _tails(owner[lost], t[lost], to_root[lost], len(texts), first)
-    if not first:
-        return sizes, np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), score, tails
-    return sizes, np.bincount(owner[there], minlength=len(texts)), np.bincount(owner, weights=base, minlength=len(texts)), score, tails
-
-
-def _tails(owner: np.ndarray, words: np.ndarray, to_root: np.ndarray, texts: int, count: bool) -> list[list[dict]]:
-    out: list[list[dict]] = [[] for _ in range(texts)]
-    if len(words):
-        order = np.lexsort((words, owner))
-        owner, words, to_root = owner[order], words[order], to_root[order]
-        starts = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])]))
-        n = np.diff(np.append(starts, len(words))) if count else np.zeros(len(starts), dtype=np.int64)
-        m = np.add.reduceat(to_root.astype(np.int64), starts)
-        for o, w, a, b in zip(owner[starts].tolist(), signed(words[starts]).tolist(), n.tolist(), m.tolist(), strict=True):
-            out[o].append({"w": w, "n": a, "m": b})
-    return out
-
-
-def _slices(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[list[bytes | None]]:
-    """Runs of texts of about ``size`` bytes, one text at least; what is held for each token is bounded by them."""
-    run: list[bytes | None] = []
-    held = 0
-    for t in texts:
-        run.append(t)
-        held += len(t or b"")
-        if held >= size:
-            yield run
-            run, held = [], 0
-    if run or not texts:
-        yield run
-
-
-def score(docs: DataFrame, tree: SuffixTree, model_block: int = MODEL_BLOCK) -> DataFrame:
+    at, there = head.find(t)
+    base = np.zeros(len(t))
+    base[there] = np.log10((head.values[at[there]] + 1) / tree_size)
+    value = base.copy()
+    asked: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def look_up(places: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Add what is found, ask for what may be elsewhere; which of them there may be."""
+        at, found = model.find(keys)
+        value[places[found]] += model.values[at[found]]
+        if others:
+            rest = np.flatnonzero(~found)
+            rest = rest[others.has(keys[rest])]
+            asked.append((owner[places[rest]], keys[rest]))
+            found[rest] = True
+        return found
+
+    nodes = entries = None  # tokens whose shorter context may be a node; of them, those that may be its entries
+    for key, inside in keys_of(t, sizes, depth):
+        nodes = np.flatnonzero(inside) if nodes is None else nodes[inside[nodes]]
+        node = np.zeros(len(t), dtype=bool)
+        node[nodes[look_up(nodes, key[nodes])]] = True
+        nodes = nodes[node[nodes]]
+        entries = nodes if entries is None else entries[node[entries]]
+        entries = entries[look_up(entries, entry_key(key[entries], t[entries]))]
+        if not len(nodes):
+            break
+    n = len(texts)
+    some, keys = (np.concatenate(x) for x in zip(*asked, strict=True)) if asked else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+    sums = (np.bincount(owner[there], minlength=n), np.bincount(owner, weights=base, minlength=n), np.bincount(owner, weights=value, minlength=n))
+    return sizes, *sums, _lists(owner[~there], t[~there], n, "w"), _lists(some, keys, n, "k")
+
+
+def score(docs: DataFrame, tree: SuffixTree, model_head: int = MODEL_HEAD, filter_words: int = FILTER_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     score is the log10 probability of the whole text, its end included. A null or empty text is
@@ -406,32 +483,32 @@ def score(docs: DataFrame, tree: SuffixTree, model_block: int = MODEL_BLOCK) ->
     on; an empty table gives no rows; other columns are not read.
     """
     spark = prepare(docs.sparkSession)
-    blocks = max(1, -(-(tree.entries.count() + tree.states.count()) // model_block))
-    tree_size = tree.tokens + tree.distinct + 1
+    tree_size, depth, head = tree.tokens + tree.distinct + 1, tree.depth, tree.head
+    least, more = _power(tree.model, "n", model_head)
+    key, value = _columns(tree.model.where(F.col("n") >= least).select("key", F.col("value").cast("float")))
+    model = spark.sparkContext.broadcast(Table(key.view(np.uint64), value))
+    rest = tree.model.where(F.col("n") < least)
+    others = _filter(rest, "key", filter_words) if more else None
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").withColumns({"known": F.lit(0).cast("long"), "tokens": F.lit(0).cast("long"), "base": F.lit(0.0), "score": F.lit(0.0), "tail": F.array().cast(_TAIL)})
-    names = ["doc_id", "text", "known", "tokens", "base", "score", "tail"]
-    for k in range(blocks):
-        model = spark.sparkContext.broadcast(_block(tree, k, blocks))
-
-        def step(batches: Iterator[pa.RecordBatch], k: int = k, model: Broadcast = model, head: Broadcast = tree.head) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                parts = [score_texts(x, head.value, model.value, tree_size, k, blocks) for x in _slices(utf8(b.column(1)))]
-                n, known, base, value = (np.concatenate([x[i] for x in parts]) for i in range(4))
-                tails = [t for x in parts for t in x[4]]
-                if k:
-                    known, base, value = (x + b.column(i).to_numpy() for x, i in ((known, 2), (base, 4), (value, 5)))
-                    tails = [x + y for x, y in zip(b.column(6).to_pylist(), tails, strict=True)]
-                text = b.column(1) if k < blocks - 1 else pa.nulls(b.num_rows, pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), text, pa.array(known, pa.int64()), pa.array(n, pa.int64()), pa.array(base), pa.array(value), pa.array(tails, _ARROW_TAIL)], names=names)
-
-        rows = rows.mapInArrow(step, f"doc_id {kind}, text string, known long, tokens long, base double, score double, tail {_TAIL}")
-    rows = stable(rows.drop("text")).withColumn("row", F.monotonically_increasing_id())
-    tail = rows.select("row", F.explode("tail").alias("t")).select("row", F.col("t")["w"].alias("w"), F.col("t")["n"].alias("n"), F.col("t")["m"].alias("m"))
-    found = tail.join(tree.words, "w", "left").withColumn("l", F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree_size))))
-    sums = found.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known2"), F.sum(F.col("n") * F.col("l")).alias("base2"), F.sum(F.col("m") * F.col("l")).alias("score2"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, 1):
+                n, known, base, value, words, keys = score_texts(utf8(b.column(1)), head.value[0], model.value, others.value if others else None, tree_size, depth)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(value), words, keys], names=["doc_id", "tokens", "known", "base", "score", "words", "keys"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(step, f"doc_id {kind}, tokens long, known long, base double, score double, words {_WORDS}, keys {_KEYS}")
+    rows = stable(rows).withColumn("row", F.monotonically_increasing_id())
+    n = F.col("x")["n"]
+    words = rows.select("row", F.explode("words").alias("x")).select("row", F.col("x")["w"].alias("w"), n.alias("n")).join(tree.words, "w", "left")
+    log = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree_size)))
+    more_ = words.select("row", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known2"), log.alias("base2"), log.alias("score2"))
+    if others:
+        keys = rows.select("row", F.explode("keys").alias("x")).select("row", F.col("x")["k"].alias("key"), n.alias("m")).join(rest.select("key", "value"), "key")
+        more_ = more_.unionByName(keys.select("row", F.lit(0).cast("long").alias("known2"), F.lit(0.0).alias("base2"), (F.col("m") * F.col("value")).alias("score2")))
+    sums = more_.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known2", "base2", "score2")))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.join(sums, "row", "left").select(
+    return rows.drop("words", "keys").join(sums, "row", "left").select(
         "doc_id",
         is_held_out(F.col("doc_id")).alias("held_out"),
         F.col("tokens").alias("n_tokens"),

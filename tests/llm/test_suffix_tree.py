@@ -10,21 +10,15 @@ from lodestar.llm import suffix_tree_lm as M
 from lodestar.llm.common import LOWER
 
 
-def tree(texts, least_context, least_entry, gain):
-    """The whole method in plain Python."""
-    uni, two, three = collections.Counter(), collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
-    for t in texts:
-        uni.update(t)
-        for a, b in zip(t, t[1:], strict=False):
-            two[a][b] += 1
-        for a, b, c in zip(t, t[1:], t[2:], strict=False):
-            three[a, b][c] += 1
+def tree(texts, depth, least, gain):
+    """The whole method in plain Python: the root's distribution, those of the nodes by context, and counts."""
+    uni = collections.Counter(w for t in texts for w in t)
     total, distinct = sum(uni.values()), len(uni)
     root = lambda w: (uni[w] + 1) / (total + distinct + 1)
 
     def fit(counts, parent):
-        n, kept = sum(counts.values()), {w: c for w, c in counts.items() if c >= least_entry}
-        if n < least_context or not kept:
+        n, kept = sum(counts.values()), {w: c for w, c in counts.items() if c >= least}
+        if not kept:
             return None
         q = {w: parent(w) for w in kept}
         rest = n - sum(kept.values())
@@ -34,46 +28,77 @@ def tree(texts, least_context, least_entry, gain):
         lam = (rest + M.DISCOUNT * len(kept)) / n
         return lambda w: (kept[w] - M.DISCOUNT) / n + lam * q[w] if w in kept else lam * parent(w)
 
-    ones = {u: f for u, c in two.items() if (f := fit(c, root))}
-    twos = {k: f for k, c in three.items() if k[1] in ones and (f := fit(c, ones[k[1]]))}
-    return root, ones, twos, uni, total
-
-
-@pytest.mark.parametrize("head,block,model", [(1 << 18, 1 << 20, 1 << 20), (50, 20, 100)])
-def test_scores_equal_brute_force(docs, head, block, model):
+    nodes, tried = {(): root}, {()}
+    for d in range(1, depth + 1):
+        next_ = collections.defaultdict(collections.Counter)
+        for t in texts:
+            for i in range(d, len(t)):
+                next_[tuple(t[i - d : i])][t[i]] += 1
+        now = {c: n for c, n in next_.items() if sum(n.values()) >= least and c[:-1] in tried and c[1:] in nodes}
+        nodes |= {c: f for c, n in now.items() if (f := fit(n, nodes[c[1:]]))}
+        tried = set(now)
+    return nodes, uni, total
+
+
+def longest(nodes, past, depth):
+    """The distribution of the longest suffix of the past that is a node."""
+    for d in range(1, min(depth, len(past)) + 1):
+        if tuple(past[-d:]) not in nodes:
+            return nodes[tuple(past[len(past) - d + 1 :])]
+    return nodes[tuple(past[len(past) - min(depth, len(past)) :])]
+
+
+@pytest.mark.parametrize(
+    "depth,least,gain,limits",
+    [(4, 2, 0.5, {}), (4, 2, 0.5, {"head": 50, "often": 20, "filter_words": 64, "model_head": 100}), (2, 4, 1.0, {"often": 1}), (M.DEPTH, M.LEAST, M.GAIN, {"model_head": 30})],
+)
+def test_scores_equal_brute_force(docs, depth, least, gain, limits):
     rows = docs.select("doc_id", "text").collect()
     held = [zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows]
     tokens = [[*r["text"].encode().translate(LOWER).split(), b"\n"] for r in rows]
-    root, ones, twos, uni, total = tree([t for t, h in zip(tokens, held, strict=True) if not h], 8, 2, 0.5)
-    assert ones and twos
-
-    def value(t):
-        out = 0.0
-        for i, w in enumerate(t):
-            p = ones.get(t[i - 1], root) if i else root
-            p = twos.get((t[i - 2], t[i - 1]), p) if i > 1 else p
-            out += math.log10(p(w))
-        return out
-
-    made = M.train(docs.where(~M.is_held_out(F.col("doc_id"))), 8, 2, 0.5, head, block)
-    got = {r["doc_id"]: r for r in M.score(docs, made, model).collect()}
+    nodes, uni, total = tree([t for t, h in zip(tokens, held, strict=True) if not h], depth, least, gain)
+    assert max(map(len, nodes)) >= min(depth, 3)
+    limits = dict(limits)
+    filter_words = limits.get("filter_words", M.FILTER_WORDS)
+    model_head = limits.pop("model_head", M.MODEL_HEAD)
+    made = M.train(docs.where(~M.is_held_out(F.col("doc_id"))), depth, least, gain, **limits)
+    assert made.model.where("depth = 1").count() > 0 and made.model.count() >= len(nodes) - 1
+    got = {r["doc_id"]: r for r in M.score(docs, made, model_head, filter_words).collect()}
     for r, t, h in zip(rows, tokens, held, strict=True):
         g = got[r["doc_id"]]
         assert g["held_out"] == h and g["n_tokens"] == len(t) and g["n_known"] == sum(uni[w] > 0 for w in t) and g["train_tokens"] == total
-        assert abs(g["base_score"] - sum(math.log10(root(w)) for w in t)) < 1e-6
-        assert abs(g["score"] - value(t)) < 1e-3
+        assert abs(g["base_score"] - sum(math.log10(nodes[()](w)) for w in t)) < 1e-6
+        assert abs(g["score"] - sum(math.log10(longest(nodes, t[max(0, i - depth) : i], depth)(w)) for i, w in enumerate(t))) < 1e-3
+
+
+def test_many_reducers_count_the_same(docs, monkeypatch):
+    pairs = lambda t, c: (np.zeros(len(t), dtype=np.uint64), t)
+    blocks = sorted(map(tuple, M.counted(docs, pairs, 5, 2).collect()))
+    monkeypatch.setattr(M, "REDUCERS", 4)
+    assert sorted(map(tuple, M.counted(docs, pairs, 5, 2).collect())) == blocks and blocks
+
+
+def test_table_and_filter():
+    keys = np.random.default_rng(1).integers(0, 2**63, size=5000, dtype=np.uint64) * np.uint64(2)
+    table = M.Table(keys[:3000], np.arange(3000))
+    at, there = table.find(keys)
+    assert there[:3000].all() and not there[3000:].any() and (table.values[at[:3000]] == np.arange(3000)).all()
+    assert not M.Table(keys[:0], np.arange(0)).find(keys)[1].any()
+    words = np.zeros(1 << 10, dtype=np.uint64)
+    np.bitwise_or.at(words, *M.KeyFilter.places(keys[:3000], np.uint64(54)))
+    assert M.KeyFilter(words).has(keys[:3000]).all() and M.KeyFilter(words).has(keys[3000:]).mean() < 0.1
 
 
 def test_distribution_sums_to_one(docs):
     texts = [[*r["text"].encode().translate(LOWER).split(), b"\n"] for r in docs.collect()]
-    root, ones, twos, uni, _ = tree(texts, 8, 2, 0.5)
-    for p in [root, *list(ones.values())[:5], *list(twos.values())[:5]]:
-        assert abs(sum(p(w) for w in uni) + p(b"never seen") - 1) < 1e-9
+    nodes, uni, _ = tree(texts, 3, 2, 0.5)
+    for c in [(), *(next(c for c in nodes if len(c) == d) for d in (1, 2, 3))]:
+        assert abs(sum(nodes[c](w) for w in uni) + nodes[c](b"never seen") - 1) < 1e-9
 
 
 def test_it_predicts_held_out_texts_better_than_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    s = M.score(docs, M.train(docs.where(~M.is_held_out(F.col("doc_id"))), 16, 3, 1.0)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    s = M.suffix_tree_scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert s[0] > s[1]
 
 
@@ -90,6 +115,7 @@ def test_odd_rows(odd, empty):
 def test_tokens_and_contexts():
     t, n = M.tokens_of([b"A b", None, b""])
     assert n.tolist() == [3, 1, 1] and (t[[2, 3, 4]] == M.END).all()
-    before, both, known = M.contexts_of(t, n)
-    assert known.tolist() == [0, 1, 2, 0, 0] and before[2] == t[1] and both[2] == M.mix(t[:1], t[1:2])[0]
+    (one, first), (two, second) = M.keys_of(t, n, 2)
+    assert first.tolist() == [False, True, True, False, False] and second.tolist() == [False, False, True, False, False]
+    assert one[2] == t[1] and two[2] == M.mix(t[:1], t[1:2])[0]
     assert np.unique(M.mix(np.arange(100, dtype=np.uint64).repeat(100), np.tile(np.arange(100, dtype=np.uint64), 100))).size == 10000

@@ -38,7 +38,11 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+    return majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 8192):
         bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -46,13 +50,19 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def covering_masks(radius: int = RADIUS, seed: int = 1) -> list[int]:
-    """2 ** (radius + 1) - 1 masks of 64 bits, as signed numbers; any ``radius`` bits are outside of one."""
-    vectors = np.random.default_rng(seed).integers(0, 2 ** (radius + 1), size=64)
+def covering_masks(radius: int = RADIUS, parts: int = 1, seed: int = 1) -> list[int]:
+    """Masks of 64 bits, as signed numbers, so that any ``radius`` differing bits are outside of one.
+
+    A fingerprint in equal parts has a part with at most radius // parts of them, and each part has
+    2 ** (radius // parts + 1) - 1 masks: parts make fewer tables, with fewer bits in a mask.
+    """
+    near, width = radius // parts, 64 // parts
+    vectors = np.random.default_rng(seed).integers(0, 2 ** (near + 1), size=64)
     masks = []
-    for v in range(1, 2 ** (radius + 1)):
-        mask = sum(1 << i for i, m in enumerate(vectors.tolist()) if (m & v).bit_count() & 1)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
+    for part in range(parts):
+        for v in range(1, 2 ** (near + 1)):
+            mask = sum(1 << i for i in range(part * width, 64 if part == parts - 1 else (part + 1) * width) if (int(vectors[i]) & v).bit_count() & 1)
+            masks.append(mask - (1 << 64) if mask >> 63 else mask)
     return masks
 
 
@@ -89,46 +99,56 @@ def linked_within(bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect exactly what pairs of fp within the radius connect.
+#: A cell is a bucket of a table, or a pair of a large bucket's blocks.
+CELL = ["t", "k", "i", "j"]
+
 
-    prints has distinct fp. Buckets of one fingerprint go before anything is gathered. A bucket
-    over ``block`` is dealt to tasks as pairs of blocks, so no task holds more than two blocks.
-    Each task returns a tree of links, never all pairs.
+def cells(prints: DataFrame, masks: list[int], block: int = BLOCK) -> DataFrame:
+    """prints, with distinct fp or more columns that tell its rows apart, in every cell it shares with others.
+
+    Buckets of one row go before anything is gathered. A bucket over ``block`` is dealt to tasks
+    as pairs of blocks, so no task holds more than two blocks.
     """
-    masks = covering_masks(radius)
-    keys = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "k"))
+    own_columns = prints.columns
+    keys = prints.select(*own_columns, F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "k"))
     shared = keys.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(*own_columns), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    members = (
+    return (
         keys.join(shared, ["t", "k"])
-        .select("t", "k", "fp", blocks.alias("blocks"))
-        .select("t", "k", "fp", own.alias("own"), F.explode(others).alias("other"))
-        .select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        .select("t", "k", *own_columns, blocks.alias("blocks"))
+        .select("t", "k", *own_columns, own.alias("own"), F.explode(others).alias("other"))
+        .select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *own_columns)
     )
-    cell = ["t", "k", "i", "j"]
+
+
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect exactly what pairs of fp within the radius connect.
+
+    prints has distinct fp. Each task returns a tree of links for each cell, never all pairs.
+    """
+    members = cells(prints, covering_masks(radius), block)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if len(rest):
-                last = (rest[cell] == rest[cell].iloc[-1]).all(axis=1).to_numpy()
-                yield _links(rest[~last], cell, radius)
+                last = (rest[CELL] == rest[CELL].iloc[-1]).all(axis=1).to_numpy()
+                yield _links(rest[~last], radius)
                 rest = rest[last]
         if rest is not None and len(rest):
-            yield _links(rest, cell, radius)
+            yield _links(rest, radius)
 
-    return members.repartition(*cell).sortWithinPartitions(*cell, "fp").mapInPandas(compare, "a long, b long").distinct()
+    return members.repartition(*CELL).sortWithinPartitions(*CELL, "fp").mapInPandas(compare, "a long, b long").distinct()
 
 
-def _links(rows: pd.DataFrame, cell: list[str], radius: int) -> pd.DataFrame:
+def _links(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
     """Links of whole cells, whose rows are sorted together."""
     if rows.empty:
         return pd.DataFrame({"a": np.array([], dtype=np.int64), "b": np.array([], dtype=np.int64)})
-    values = rows[cell].to_numpy()
+    values = rows[CELL].to_numpy()
     fps = rows["fp"].to_numpy().astype(np.int64)
     cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
     starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(rows)]])
@@ -164,27 +184,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = rooted.join(ids, "root").select("fp", "component_id")
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """docs with one row of each component, in docs' own columns: the one with the smallest doc_id.
-
-    Rows of one doc_id are ordered by text, a null doc_id comes last; of equal rows one stays.
-    """
-    width = len(docs.columns)
-    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
-    inner = docs.toDF(*("text" if i == text_at else f"c{i}" for i in range(width)))
-    rows, name = with_fingerprints(inner, shingle)
-    # A row is known by its content; equal rows share a key and are told apart at the end only.
-    row_key = F.xxhash64(f"c{id_at}", "text")
-    narrow = stable(rows.select(F.col(f"c{id_at}").alias("doc_id"), row_key.alias("row"), F.col(name).alias("fp")))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    prints = stable(narrow.groupBy("fp").agg(F.min(order).alias("first")))
-    rooted = prints.join(_classes(prints.select("fp"), radius, block), "fp", "left")
-    chosen = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first")["doc_id"].alias("_id"), F.col("first")["row"].alias("_row"))
-    keyed = inner.withColumn("_row", row_key)
-    kept = keyed.join(chosen, (keyed["_row"] == chosen["_row"]) & keyed[f"c{id_at}"].eqNullSafe(chosen["_id"]), "left_semi").drop("_row")
-    repeated = narrow.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if repeated:  # rows with equal doc_id and text: one of each stays
-        kept = kept.dropDuplicates([f"c{id_at}", "text"])
-    return kept.select(*(F.col("text" if i == text_at else f"c{i}").alias(docs.columns[i]) for i in range(width)))

@@ -89,10 +89,14 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_one_of_each_stays(spark, docs, odd, empty):
-    kept = S.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({r["component_id"] for r in S.near_duplicates(docs).collect()})
-    out = S.keep_one(odd)
-    assert out.columns == odd.columns and out.where("doc_id = 6").count() == 1 and out.where("doc_id = 7").count() == 0
-    assert S.keep_one(empty).count() == 0 and S.near_duplicates(empty).count() == 0
+def test_empty(empty):
+    assert S.near_duplicates(empty).count() == 0
+
+
+def test_masks_of_parts_cover():
+    random.seed(2)
+    masks = [m & (2**64 - 1) for m in S.covering_masks(9, 2)]
+    assert len(masks) == 62
+    for _ in range(3000):
+        bits = sum(1 << i for i in random.sample(range(64), 9))
+        assert any(not m & bits for m in masks)

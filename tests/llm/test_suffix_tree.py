@@ -112,6 +112,14 @@ def test_odd_rows(odd, empty):
     assert {r["n_known"] for r in M.score(odd, made).collect()} == {0}
 
 
+def test_word_hashes_tell_words_apart():
+    words = sorted({b"w" * n for n in range(1, 200)} | {b"a" * n + b"b" for n in range(200)} | {str(i).encode() for i in range(20000)} | {"é漢".encode() * n for n in range(1, 40)})
+    at, h = M.word_hashes(b" \t".join(words) + b"\n")
+    assert len(set(h.tolist())) == len(words) == len(at)
+    assert all(M.word_hashes(w + b"\x0b")[1][0] == x for w, x in list(zip(words, h, strict=True))[::97])
+    assert not len(M.word_hashes(b"\r\n")[0])
+
+
 def test_tokens_and_contexts():
     t, n = M.tokens_of([b"A b", None, b""])
     assert n.tolist() == [3, 1, 1] and (t[[2, 3, 4]] == M.END).all()

@@ -41,6 +41,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of this package in the shared folder, once nothing reads it any more."""
+    if not path.startswith(shared_dir(spark)):
+        raise ValueError("not in the shared folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have, whatever its case or extra columns."""
     taken = {c.lower() for c in df.columns}

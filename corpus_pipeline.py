@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.best_fit_packing import best_fit_packing
-from lodestar.llm.common import prepare, shared_path, table
+from lodestar.llm.common import prepare, remove, shared_path, table
 from lodestar.llm.decontamination import decontaminate
 from lodestar.llm.line_dedup import drop_common_lines
+from lodestar.llm.near_copies import keep_one
 from lodestar.llm.quality_rules import keep_good
-from lodestar.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every SimHash component."""
+    """One document of each group of near copies, found by SimHash and settled by five-word shingles."""
     prepare(spark)
     return keep_one(docs)
 
@@ -58,10 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, each but the last written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages, each but the last written to the shared folder and read again; what the next has read goes."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

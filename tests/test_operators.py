@@ -111,11 +111,97 @@ def test_parse_python_spans_and_edges(spark):
     assert {("A.f", "CALLS", "g"), ("A.f", "CALLS", "getcwd"), ("A.h", "CALLS", "f"), ("A", "IMPORTS", "os"), ("GET /x", "ROUTES_TO", "A.h"), ("a.py", "CONTAINS", "A")} <= edges
 
 
+TS = """import { x, y as z } from 'lib';
+import 'side';
+// class Fake { }
+interface Shape { area(): number; }
+enum Color { Red, Green }
+export class App extends Base {
+  name = "}{";
+  constructor(private a: number) { super(a); this.init(); }
+  async start<T>(v: T) { return x(v); }
+  get size(): number { return this.items.map(i => i.len()); }
+}
+export async function main() {
+  new App(1).start();
+  function inner() { return g(); }
+}
+main();
+"""
+JAVA = """package a;
+import java.util.List;
+import static a.b.C.*;
+public class Main extends Base {
+  @GetMapping("/all")
+  public List<String> all(int n) throws Exception {
+    String s = "} {"; /* } */
+    return helper(new Foo(n), s.trim());
+  }
+  Main() { init(); }
+  interface Inner { void run(); }
+  enum E { A, B }
+}
+"""
+GO = """package main
+import (
+  "fmt"
+  m "math"
+)
+type Point struct {
+  X int
+}
+func (p Point) Norm() float64 { return m.Sqrt(p.X) }
+func main() {
+  if true { fmt.Println(call(1)) }
+}
+"""
+C = """#include <stdio.h>
+#define F(x) (x)
+struct node { int v; };
+int add(int a, int b);
+static int *make(struct node *n) {
+  char c = '}';
+  for (int i = 0; i < 3; i++) { printf("%d", add(1, 2)); }
+  return 0;
+}
+"""
+CPP = """#include <vector>
+namespace n {
+class Box : public Base {
+ public:
+  int get() const { return compute(v); }
+  void set(int);
+};
+void Box::set(int x) { v = std::max(x, 1); }
+}
+"""
+
+
+@pytest.mark.parametrize(
+    "language,source,symbols,imports,calls",
+    [
+        ("typescript", TS, ["interface Shape 4 4", "enum Color 5 5", "class App 6 11", "method App.constructor 8 8", "method App.start 9 9", "method App.size 10 10", "function main 12 15", "function inner 14 14"],
+         ["lib", "side"], ["init 8", "x 9", "map 10", "len 10", "start 13", "g 14", "main 16"]),
+        ("java", JAVA, ["class Main 4 13", "method Main.all 6 9", "endpoint GET /all 6 9", "method Main.Main 10 10", "interface Inner 11 11", "method Inner.run 11 11", "enum E 12 12"],
+         ["java.util.List", "a.b.C.*"], ["helper 8", "trim 8", "init 10"]),
+        ("go", GO, ["struct Point 6 8", "method Norm 9 9", "function main 10 12"], ["fmt", "math"], ["Sqrt 9", "Println 11", "call 11"]),
+        ("c", C, ["struct node 3 3", "function make 5 9"], ["#include <stdio.h>"], ["printf 7", "add 7"]),
+        ("cpp", CPP, ["class Box 3 7", "function get 5 5", "function set 8 8"], ["#include <vector>"], ["compute 5", "max 8"]),
+        ("javascript", "class A { m() { b(); } static n(x) { return x.y(); } }\nfunction f(a) { return `}`; }\nk(", ["class A 1 1", "method A.m 1 1", "method A.n 1 1", "function f 2 2"], [], ["b 1", "y 1", "k 3"]),
+    ],
+)
+def test_languages_with_braces(language, source, symbols, imports, calls):
+    got = parse.parse_file("f", language, source)
+    assert [f"{s['symbol_type']} {s['qualified_name']} {s['start_line']} {s['end_line']}" for s in got["symbols"]] == symbols
+    assert [i["module"] for i in got["imports"]] == imports and [f"{c['callee']} {c['line']}" for c in got["calls"]] == calls
+    assert all(s["end_column"] > 0 for s in got["symbols"])
+
+
 def test_parse_other_languages():
     java = "class Main {\n  public void run() {\n    if (x) {\n    }\n  }\n}\n"
     assert [(s["qualified_name"], s["start_line"], s["end_line"]) for s in parse.parse_file("M.java", "java", java)["symbols"]] == [("Main", 1, 6), ("Main.run", 2, 5)]
     assert parse.parse_file("x.txt", None, "a\nb")["symbols"][0]["end_line"] == 2
-    assert parse.brace_end(["f()", "{", "}", "x"], 1) == 3 and parse.brace_end(["f()"], 1) == 1
+    assert [(s["qualified_name"], s["end_line"]) for s in parse.parse_file("a.js", "javascript", "function f()\n{ x('}') }\nclass A {\n")["symbols"]] == [("f", 2), ("A", 3)]
     assert parse.route_of('@GetMapping("/a")') == ("GET", "/a") and parse.route_of('@RequestMapping("/b")') == ("GET", "/b") and parse.route_of("@x") is None
 
 

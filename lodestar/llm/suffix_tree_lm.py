@@ -32,7 +32,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, prepare, shared_path, slices, stable, utf8
+from ..session import removed, written
+from .common import LOWER, prepare, slices, utf8
 
 #: Words of a context at most.
 DEPTH = 4
@@ -43,7 +44,7 @@ DISCOUNT = 0.75
 #: Nats that a context has to save for each of its entries to stay.
 GAIN = 3.0
 #: Word counts and model keys that are broadcast, at most; rows of a join's broadcast side; 64-bit words of a filter.
-HEAD, MODEL_HEAD, OFTEN, FILTER_WORDS = 1 << 18, 1 << 20, 1 << 15, 1 << 22
+HEAD, MODEL_HEAD, OFTEN, FILTER_WORDS = 1 << 18, 1 << 21, 1 << 15, 1 << 22
 #: Tokens that a task sums before it sends them, tokens of the corpus for each reducer, and reducers beyond
 #: which blocks would hold few keys and Spark's own aggregation takes the keys one by one.
 FLUSH_TOKENS, REDUCER_TOKENS, REDUCERS = 1 << 20, 1 << 20, 1 << 12
@@ -201,8 +202,13 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
                     cut = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(signed(first[cut])), pa.array(signed(second[cut])), pa.array(n[cut].astype(np.int64))], names=["first", "second", "n"])
                 return
+            # in a block by the first key, whose repetitions then take little room
             cuts = np.searchsorted(keys, np.array([min(width * r, (1 << 64) - 1) for r in range(1, reducers)], dtype=np.uint64))
-            rows = [(r, a.tobytes(), b.tobytes(), c.tobytes()) for r, (a, b, c) in enumerate(zip(np.split(first, cuts), np.split(second, cuts), np.split(n, cuts), strict=True)) if len(a)]
+            rows = []
+            for r, (a, b, c) in enumerate(zip(np.split(first, cuts), np.split(second, cuts), np.split(n, cuts), strict=True)):
+                if len(a):
+                    order = np.argsort(a)
+                    rows.append((r, a[order].tobytes(), b[order].tobytes(), c[order].tobytes()))
             for k in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 256], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["r", "a", "b", "n"])
 
@@ -235,13 +241,6 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
     return docs.select("text").mapInArrow(send, "r int, a binary, b binary, n binary").groupBy("r").applyInPandas(total, "first long, second long, n long")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def is_held_out(doc_id: Column) -> Column:
     """Whether a row is held out; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % FOLDS == HELD
@@ -321,7 +320,7 @@ def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     reducers = max(1, -(-size // 6 // REDUCER_TOKENS))
     zeros = counted(docs, lambda t, c: (np.zeros(len(t), dtype=np.uint64), t), reducers, 1)
-    words = _written(zeros.select(F.col("second").alias("w"), F.col("n").alias("c")), "words")
+    words = written(zeros.select(F.col("second").alias("w"), F.col("n").alias("c")), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = _head(words, head)
     root = (F.col("c") + 1) / F.lit(float(tokens + distinct + 1))
@@ -338,7 +337,7 @@ def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
             at = at[_ge(top.value, t[at], least)]
             return key[at], t[at]
 
-        counts = _written(counted(docs, pairs, reducers, least), "counts").withColumnsRenamed({"first": "ctx", "second": "w"})
+        counts = written(counted(docs, pairs, reducers, least), "counts").withColumnsRenamed({"first": "ctx", "second": "w"})
         if sought:
             sought.destroy()
         rows = _beside(counts, contexts, "ctx", "all", often)
@@ -346,14 +345,18 @@ def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
             rows = _beside(rows, words, "w", "c", often).withColumn("q", root)
         else:  # a suffix has every entry of its contexts, as it has seen it no less often
             rows = rows.join(above.select(F.col("ctx").alias("suffix"), "w", F.col("p").alias("q")), ["suffix", "w"])
-        rows = _written(rows.select("ctx", "suffix", "w", "n", "all", "q"), "tried")
-        states = _written(_retained(rows, gain), "states")
-        entries = _written(_entries(rows, states, often), "entries")
+        rows = written(rows.select("ctx", "suffix", "w", "n", "all", "q"), "tried")
+        removed(counts)
+        states = written(_retained(rows, gain), "states")
+        entries = written(_entries(rows, states, often), "entries")
         level = _keyed(states.select("ctx", F.log10("lam").alias("value"), F.col("all").alias("n"), F.lit(None).cast("long").alias("w")).unionByName(entries.select("ctx", "value", "n", "w")), d)
         model = level if model is None else model.unionByName(level)
         if d == depth:
             break
-        contexts, above = _written(_extended(rows.where(F.col("w") != end), states, d, often), "contexts"), entries
+        if d > 1:
+            removed(contexts)
+        contexts, above = written(_extended(rows.where(F.col("w") != end), states, d, often), "contexts"), entries
+        removed(rows)
         if not contexts.limit(1).count():
             break
     return SuffixTree(words, model, int(tokens), int(distinct), depth, top)
@@ -482,7 +485,7 @@ def score(docs: DataFrame, tree: SuffixTree, model_head: int = MODEL_HEAD, filte
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(value), words, keys], names=["doc_id", "tokens", "known", "base", "score", "words", "keys"])
 
     rows = docs.select("doc_id", "text").mapInArrow(step, f"doc_id {kind}, tokens long, known long, base double, score double, words {_WORDS}, keys {_KEYS}")
-    rows = stable(rows).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     n = F.col("x")["n"]
     words = rows.select("row", F.explode("words").alias("x")).select("row", F.col("x")["w"].alias("w"), n.alias("n")).join(tree.words, "w", "left")
     log = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree_size)))

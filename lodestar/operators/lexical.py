@@ -1,4 +1,4 @@
-"""BM25 over postings: corpus statistics once, then scores by joins on terms."""
+"""BM25: a table of tokens, corpus statistics once, then scores of the terms that are asked for."""
 
 from __future__ import annotations
 
@@ -9,25 +9,34 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.text import tokenize
-from ..session import stable
+from ..session import written
+
+
+#: Asked terms that are broadcast against the documents' tokens, at most.
+FEW_TERMS = 100_000
 
 
 @dataclass
 class LexicalIndex:
-    """postings: term, id, tf, dl. terms: term, df, idf. corpus: one row of n, avgdl."""
+    """documents: id, tokens. terms: term, df, idf. corpus: one row of n, avgdl."""
 
-    postings: DataFrame
+    documents: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, id, tf, dl) of all terms."""
+        return postings(self.documents)
+
     def save(self, path: str) -> None:
         """Write the three tables; a later session reads them with ``load``."""
-        for name in ("postings", "terms", "corpus"):
+        for name in ("documents", "terms", "corpus"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark, path: str) -> LexicalIndex:
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "corpus")))
+        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("documents", "terms", "corpus")))
 
 
 def document_tokens(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -35,43 +44,46 @@ def document_tokens(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), tokenize(F.coalesce(text, F.lit(""))).alias("tokens"))
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """(term, id, tf, dl): one shuffle by document and term, counted before it."""
+def postings(tokens: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, dl), of the asked terms (term) only if they are given: others never leave their row."""
     exploded = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if asked is not None:
+        few = asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+        exploded = exploded.join(F.broadcast(asked) if few else asked, "term", "left_semi")
     return exploded.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
-def corpus_statistics(postings_: DataFrame) -> DataFrame:
-    """One row: n documents and their mean length."""
-    lengths = postings_.groupBy("id").agg(F.first("dl").alias("dl"))
-    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def corpus_statistics(tokens: DataFrame) -> DataFrame:
+    """One row: n documents and their mean length, from the lengths alone."""
+    return tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
-def term_statistics(postings_: DataFrame, corpus: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(term, df, idf): a negative idf becomes epsilon times the mean over all terms."""
-    df = postings_.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus.select("n")))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def term_statistics(tokens: DataFrame, corpus: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(term, df, idf): a negative idf becomes epsilon times the mean over all terms. A term is counted
+    once in each document and summed in tasks, so what is shuffled is terms, not postings."""
+    counted = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = counted.crossJoin(F.broadcast(corpus.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(config.bm25_epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def build_index(docs: DataFrame, id_col: str, text: Column, config: EngineConfig = DEFAULT) -> LexicalIndex:
-    """Postings and statistics of docs. Texts are read once: postings are kept in the shared
-    folder, and the statistics come from them, as every document has a token at least."""
-    posted = stable(postings(document_tokens(docs, id_col, text)))
-    corpus = corpus_statistics(posted)
-    return LexicalIndex(posted, term_statistics(posted, corpus, config), corpus)
+    """Tokens and statistics of docs. Texts are read once, in one narrow pass: their tokens are kept
+    as a table in the shared folder, and everything else comes from them."""
+    tokens = written(document_tokens(docs, id_col, text), "tokens")
+    corpus = corpus_statistics(tokens)
+    return LexicalIndex(tokens, written(term_statistics(tokens, corpus, config), "terms"), corpus)
 
 
 def score(index: LexicalIndex, query_terms: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(query_id, id, score) for query_terms (query_id, term); a repeated term counts again.
 
-    Postings meet the queries' terms first, so that only matching ones are weighed.
+    Tokens meet the asked terms where they are, so that only matching ones are counted and weighed.
     """
     k1, b = config.bm25_k1, config.bm25_b
     wanted = query_terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
     weighed = wanted.join(index.terms.select("term", "idf"), "term")
-    hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    hits = postings(index.documents, query_terms.select("term").distinct()).join(weighed, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"))  # copies of a text tie whatever the order of sums
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def with_package(spark: SparkSession) -> SparkSession:
     """Let Python workers of a local session import this package; a cluster has it installed or sent along."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -38,6 +42,32 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, so that readers take the columns they need.
+
+    What was shuffled for it is of no use once it is written, and goes from the executors' disks.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete a table that ``written`` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if shared_dir(spark).split(":", 1)[-1].lstrip("/") not in folder:
+            raise ValueError("not in the shared folder")
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", name: str = "lodestar") -> SparkSession:
     """A session on this machine, as tests and the bench use it."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)

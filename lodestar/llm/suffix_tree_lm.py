@@ -21,6 +21,7 @@ level of it, is gathered whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -44,10 +45,10 @@ DISCOUNT = 0.75
 #: Nats that a context has to save for each of its entries to stay.
 GAIN = 3.0
 #: Word counts and model keys that are broadcast, at most; rows of a join's broadcast side; 64-bit words of a filter.
-HEAD, MODEL_HEAD, OFTEN, FILTER_WORDS = 1 << 18, 1 << 21, 1 << 15, 1 << 22
+HEAD, MODEL_HEAD, OFTEN, FILTER_WORDS = 1 << 18, 3 << 20, 1 << 15, 1 << 22
 #: Tokens that a task sums before it sends them, tokens of the corpus for each reducer, and reducers beyond
 #: which blocks would hold few keys and Spark's own aggregation takes the keys one by one.
-FLUSH_TOKENS, REDUCER_TOKENS, REDUCERS = 1 << 20, 1 << 20, 1 << 12
+FLUSH_TOKENS, REDUCER_TOKENS, REDUCERS = 1 << 20, 1 << 19, 1 << 12
 #: Documents whose crc32 modulo FOLDS is HELD are held out of training.
 FOLDS, HELD = 7, 2
 
@@ -180,6 +181,13 @@ def unsigned(x: pd.Series) -> np.ndarray:
     return x.to_numpy(dtype=np.int64).view(np.uint64)
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal keys together, and where their runs begin in it."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+
+
 def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], reducers: int, least: int) -> DataFrame:
     """(first, second, n) of the pairs that ``pairs`` takes from texts' tokens, n >= least.
 
@@ -195,8 +203,11 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
 
         def flush() -> Iterator[pa.RecordBatch]:
             first, second = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, at, n = np.unique(mix(first, second), return_index=True, return_counts=True)
-            first, second, n = first[at], second[at], n.astype(np.uint32)
+            keys = mix(first, second)
+            at, starts = _runs(keys)
+            n = np.diff(np.append(starts, len(keys))).astype(np.uint32)
+            at = at[starts]
+            keys, first, second = keys[at], first[at], second[at]
             if single:
                 for k in range(0, len(n), 1 << 16):
                     cut = slice(k, k + (1 << 16))
@@ -228,9 +239,7 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
         first, second = (np.frombuffer(b"".join(group[c]), dtype=np.uint64) for c in ("a", "b"))
         n = np.frombuffer(b"".join(group["n"]), dtype=np.uint32).astype(np.int64)
         keys = mix(first, second)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        order, starts = _runs(keys)
         sums = np.add.reduceat(n[order], starts)
         kept = sums >= least
         at = order[starts][kept]
@@ -264,16 +273,25 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in df.toArrow().columns]
 
 
-def _power(df: DataFrame, count: str, bound: int) -> tuple[int, bool]:
-    """The least power of two that at most ``bound`` rows' counts reach, and whether the others are any."""
-    sizes = df.agg(F.count("*").alias("all"), *(F.sum((F.col(count) >= (1 << k)).cast("long")).alias(f"k{k}") for k in range(48))).first()
-    k = next((k for k in range(48) if (sizes[k + 1] or 0) <= bound), 48)
-    return 1 << k, sizes["all"] > ((sizes[k + 1] or 0) if k < 48 else 0)
+def _limit(df: DataFrame, count: str, bound: int) -> tuple[int, bool]:
+    """The least count, or nearly, that at most ``bound`` rows reach, and whether there are others.
+
+    Limits are all counts up to 40 and a quarter apart from there on.
+    """
+    c = F.col(count)
+    place = F.when(c < 40, c).otherwise(40 + F.floor(F.log(c / 40) / math.log(1.25))).cast("int")
+    sizes = dict(df.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect())  # some two hundred rows at most
+    upto, k = 0, 240
+    while k > 0 and upto + sizes.get(k, 0) <= bound:
+        upto += sizes.get(k, 0)
+        k -= 1
+    least = 0 if k == 0 and upto + sizes.get(0, 0) <= bound else k + 1 if k < 40 else math.ceil(40 * 1.25 ** (k + 1 - 40))
+    return least, least > 0
 
 
 def _head(words: DataFrame, bound: int) -> Broadcast:
     """Counts of all words over a power of two, the least that leaves ``bound`` of them at most."""
-    least, _ = _power(words, "c", bound)
+    least, _ = _limit(words, "c", bound)
     w, c = _columns(words.where(F.col("c") >= least).select("w", "c"))
     return words.sparkSession.sparkContext.broadcast((Table(w.view(np.uint64), c), least))
 
@@ -305,7 +323,7 @@ def _filter(keys: DataFrame, column: str, bound: int) -> Broadcast:
 def _beside(rows: DataFrame, table: DataFrame, key: str, count: str, bound: int) -> DataFrame:
     """rows joined with table by its unique key. Keys that many rows may have, by count, are broadcast,
     ``bound`` of them at most, so that no task gets all rows of one of them."""
-    least, others = _power(table, count, bound)
+    least, others = _limit(table, count, bound)
     often = F.broadcast(table.where(F.col(count) >= least))
     out = rows.join(often, key)
     if not others:
@@ -471,7 +489,7 @@ def score(docs: DataFrame, tree: SuffixTree, model_head: int = MODEL_HEAD, filte
     """
     spark = prepare(docs.sparkSession)
     tree_size, depth, head = tree.tokens + tree.distinct + 1, tree.depth, tree.head
-    least, more = _power(tree.model, "n", model_head)
+    least, more = _limit(tree.model, "n", model_head)
     key, value = _columns(tree.model.where(F.col("n") >= least).select("key", F.col("value").cast("float")))
     model = spark.sparkContext.broadcast(Table(key.view(np.uint64), value))
     rest = tree.model.where(F.col("n") < least)

@@ -26,8 +26,10 @@ URL_HOSTS = "github.com www.github.com gitlab.com www.gitlab.com bitbucket.org w
 
 
 def normalized(path: Column) -> Column:
-    """Slashes forward, none in front."""
-    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+", "")
+    """Slashes forward, one at a time and none at the ends; parts that stay in place (.) go. A path of nothing else is a dot."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != "."))
+    whole = F.array_join(parts, "/")
+    return F.when((whole == "") & ~path.startswith("/"), ".").otherwise(whole)
 
 
 def file_name(path: Column) -> Column:

@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.vectors import cosine
+from ..session import written
 from .lexical import top_k
 
-#: Queries that are held against a batch of vectors at once.
-QUERY_BLOCK = 1024
+#: Queries that are held against a batch of vectors at once, and bytes of queries that a pass takes.
+QUERY_BLOCK, QUERY_BYTES = 1024, 64 << 20
 
 
 def nearest(vectors: DataFrame, query: Column, k: int = DEFAULT.dense_top_k, id_col: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -26,42 +28,60 @@ def nearest(vectors: DataFrame, query: Column, k: int = DEFAULT.dense_top_k, id_
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT.dense_top_k, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): the k nearest of each query (query_id, vector).
 
-    Queries are taken in blocks of a bounded size. A block is held against every batch of
-    vectors as one matrix product; a partition keeps its k best for each query, so what is
-    shuffled is partitions times queries times k rows, not vectors times queries.
+    Vectors are read once for each QUERY_BYTES of queries, usually once for all: a task holds
+    them against its vectors in blocks, as matrix products, and keeps the k best of each query, so
+    what is shuffled is partitions times queries times k rows. Null vectors and ids, and vectors
+    of another length than the queries', are left out.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("vector").cast("array<double>").alias("vector")).toPandas()
-        if block.empty:
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("query_id is not null and vector is not null")
+    size = asked.agg(F.sum(F.size("vector")) * 8).first()[0] or 0
+    passes = max(1, -(-size // QUERY_BYTES))
+    kind, id_kind = dict(queries.dtypes)["query_id"], dict(rows.dtypes)["id"]
+    found = rows.limit(0).select(F.lit(None).cast(kind).alias("query_id"), "id", F.lit(None).cast("double").alias("score"))
+    for b in range(passes):
+        held = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == b).toPandas()
+        if held.empty:
             continue
-        matrix = np.stack(block["vector"].to_numpy())
-        norms = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((block["query_id"].to_numpy(), matrix / np.where(norms == 0, 1, norms)[:, None]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, unit = shared.value
-            best: pd.DataFrame | None = None
-            for batch in batches:
-                if batch.empty:
-                    continue
-                v = np.stack(batch["v"].to_numpy())
-                n = np.linalg.norm(v, axis=1)
-                scores = unit @ (v / np.where(n == 0, 1, n)[:, None]).T
-                one = pd.DataFrame({"query_id": np.repeat(names, len(batch)), "id": np.tile(batch["id"].to_numpy(), len(names)), "score": scores.ravel()})
-                one = one[one["score"] >= 0]
-                best = one if best is None else pd.concat([best, one])
-                best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        kind = {f.name: f.dataType.simpleString() for f in queries.schema}["query_id"]
-        id_kind = {f.name: f.dataType.simpleString() for f in rows.schema}["id"]
-        part = rows.mapInPandas(run, f"query_id {kind}, id {id_kind}, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = rows.limit(0).select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(None).cast("double").alias("score"))
+        shared = spark.sparkContext.broadcast((held["query_id"].to_numpy(), _unit(np.stack(held["vector"].to_numpy()))))
+        part = rows.mapInPandas(_best_of(shared, k), f"query_id {kind}, id {id_kind}, score double")
+        if passes > 1:  # one pass at a time, and its queries go
+            part = written(top_k(part, k).drop("rank"), "nearest")
+            shared.destroy()
+        found = found.union(part)
     return top_k(found, k)
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(matrix, axis=1)
+    return matrix / np.where(norms == 0, 1, norms)[:, None]
+
+
+def _best_of(shared: Broadcast, k: int):
+    """The k best vectors of a partition for each query."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, unit = shared.value
+        best = (np.zeros(0, dtype=np.int64), None, np.zeros(0))
+        for batch in batches:
+            batch = batch[[len(x) == unit.shape[1] for x in batch["v"]]]
+            if batch.empty:
+                continue
+            ids, v = np.asarray(batch["id"].tolist()), _unit(np.stack(batch["v"].to_numpy()))
+            parts = [best] if best[1] is not None else []
+            for at in range(0, len(unit), QUERY_BLOCK):
+                scores = unit[at : at + QUERY_BLOCK] @ v.T
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(scores), -np.inf)
+                q, j = np.nonzero((scores >= least[:, None]) & (scores >= 0))  # ties with the k-th stay for now
+                parts.append((q + at, ids[j], scores[q, j]))
+            q, i, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, dtype=np.int64)
+            place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+            best = (q[place < k], i[place < k], s[place < k])
+        if best[1] is not None:
+            yield pd.DataFrame({"query_id": names[best[0]], "id": best[1], "score": best[2]})
+
+    return run

@@ -42,6 +42,35 @@ def per_question(results: DataFrame, k: int = 10) -> DataFrame:
     return results.withColumns({"recall_at_k": recall_at_k(e, r, k), "precision_at_k": precision_at_k(e, r, k), "mrr": reciprocal_rank(e, r), "citation_accuracy": citation_accuracy(F.col("expected_files"), F.col("retrieved_files"))})
 
 
+def per_question_rows(retrieved: DataFrame, expected: DataFrame, by: list[str], k: int = 10, cited: int = 5, few: int = 50_000) -> DataFrame:
+    """The four measures where expected names are rows (by, name), any number of a question.
+
+    retrieved has a row for each question: by, and ``retrieved``, at most 62 names in order. Expected
+    names meet that list where they are and are summed in tasks, so a question with very many is
+    spread; the first ``cited`` retrieved are what is cited.
+    """
+    lists = retrieved.select(*by, "retrieved")
+    beside = F.broadcast(lists) if lists.limit(few + 1).count() <= few else lists
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("retrieved"), F.lit(1))), lambda i: F.coalesce(_in(F.get("retrieved", i - 1), F.col("name")), F.lit(False)))
+    met = expected.join(beside, by).select(*by, "name", places.alias("places"))
+    first = F.coalesce(F.get("places", F.lit(0)), F.lit(99))
+    bits = F.aggregate("places", F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    sums = met.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.countDistinct(F.when(first <= k, F.col("name"))).alias("_found"), F.bit_or(bits).alias("_bits"), F.min(first).alias("_first"), F.sum((first <= cited).cast("long")).alias("_cited")
+    )
+    size = F.least(F.size("retrieved"), F.lit(k))
+    some = F.col("_n").isNotNull()
+    inside = F.bit_count(F.coalesce("_bits", F.lit(0).cast("long")).bitwiseAND(F.lit((1 << (k + 1)) - 2)))
+    return retrieved.join(sums, by, "left").withColumns(
+        {
+            "recall_at_k": F.when(some, F.col("_found") / F.col("_n")).otherwise(1.0),
+            "precision_at_k": F.when(size > 0, inside / size).otherwise(0.0),
+            "mrr": F.when(~some, 1.0).when(F.col("_first") < 99, 1 / F.col("_first")).otherwise(0.0),
+            "citation_accuracy": F.when(some, F.col("_cited") / F.col("_n")).otherwise(1.0),
+        }
+    ).drop("_n", "_found", "_bits", "_first", "_cited")
+
+
 def report(measured: DataFrame) -> DataFrame:
     """One row of means, and the share of questions with an error."""
     return measured.agg(F.count("*").alias("questions"), F.avg("recall_at_k").alias("recall_at_k"), F.avg("precision_at_k").alias("precision_at_k"), F.avg("mrr").alias("mrr"), F.avg("citation_accuracy").alias("citation_accuracy"), F.avg("latency_ms").alias("latency_ms"), F.avg(F.col("error").isNotNull().cast("double")).alias("error_rate"))

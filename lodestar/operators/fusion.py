@@ -58,5 +58,5 @@ def rerank_boost(exact: Column, terms: Column, intent: Column, name: Column, qua
 
 def reranked(candidates: DataFrame, top: int = DEFAULT.rerank_top_k) -> DataFrame:
     """The ``top`` best of each query by score + boost, with rerank_score and rank; ties by rank, then id."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("rerank_score", 9)), "id")  # equal sums tie, however they were added
     return candidates.withColumn("rerank_score", F.col("score") + F.col("boost")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stable
+
 # Relations that make one symbol depend on another.
 DEPENDENCY_TYPES = ["CALLS", "IMPORTS", "USES", "REFERENCES"]
 
@@ -78,6 +80,8 @@ def levels(arcs: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         step = frontier.join(arcs, frontier["id"] == arcs["a"]).select("root", F.col("b").alias("id")).distinct()
         frontier = step.join(visited.select("root", "id"), ["root", "id"], "left_anti").withColumn("level", F.lit(level))
         visited = visited.union(frontier)
+        if depth > 2 and level < depth:  # or each level would compute all before it twice
+            frontier, visited = stable(frontier), stable(visited)
     return visited
 
 
@@ -115,6 +119,21 @@ def subgraph(edges: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 60
     return nodes, kept
 
 
+def roots_by_name(nodes: DataFrame, name: str, n: int = 3) -> DataFrame:
+    """(id): the first n nodes whose id or name holds ``name``, whatever its case."""
+    low = F.lower(F.lit(name))
+    held = F.contains(F.lower("id"), low)
+    if "name" in nodes.columns:
+        held = held | F.coalesce(F.contains(F.lower("name"), low), F.lit(False))
+    return nodes.where(held).orderBy("id").limit(n).select("id")
+
+
+def shown_nodes(ids: DataFrame, symbols: DataFrame) -> DataFrame:
+    """ids (id) with name, symbol_type and file_path; a node that is no symbol has its id as name and the type external."""
+    own = symbols.select("id", F.col("qualified_name").alias("_n"), F.col("symbol_type").alias("_t"), F.col("file_path").alias("_f"))
+    return ids.join(own, "id", "left").select("id", F.coalesce("_n", F.col("id").cast("string")).alias("name"), F.coalesce("_t", F.lit("external")).alias("symbol_type"), F.coalesce("_f", F.lit("")).alias("file_path"))
+
+
 def default_roots(nodes: DataFrame) -> DataFrame:
     """(id): the first ten classes, modules and files by id; without any, the first five nodes."""
     ranked = nodes.select("id", F.col("symbol_type").isin("class", "module", "file").alias("main"))

@@ -23,6 +23,11 @@ def as_of(events: DataFrame, states: DataFrame, key: list[str], at: str, since:
     return s.unionByName(e).withColumn(value, F.last("_value", ignorenulls=True).over(w)).where("_kind = 1").select("_e.*", value)
 
 
+def first_of(rows: DataFrame, by: list[str], value: str, order: Column, name: str) -> DataFrame:
+    """(by, name): the value of each group's first row in order."""
+    return rows.groupBy(*by).agg(F.min_by(value, order).alias(name))
+
+
 def relationships(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges by name with the ids of both ends where a symbol has that qualified name.
 
@@ -32,7 +37,7 @@ def relationships(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     base = ["repository_id", "file_path"]
     contains = symbols.select(*base, F.col("start_line").alias("line"), F.col("file_path").alias("source_name"), F.col("qualified_name").alias("target_name"), F.lit("CONTAINS").alias("relation_type"))
-    firsts = symbols.groupBy(*base).agg(F.min_by("qualified_name", "ordinal").alias("source_name"))
+    firsts = first_of(symbols, base, "qualified_name", F.col("ordinal"), "source_name")
     imports = parsed.select("repository_id", F.col("path").alias("file_path"), F.explode("imports").alias("i")).select(*base, F.col("i.line").alias("line"), F.col("i.module").alias("target_name"))
     imports = imports.join(firsts, base).select(*base, "line", "source_name", "target_name", F.lit("IMPORTS").alias("relation_type"))
     calls = parsed.select("repository_id", F.col("path").alias("file_path"), F.explode("calls").alias("c")).select(*base, F.col("c.line").alias("line"), F.col("c.callee").alias("target_name"))

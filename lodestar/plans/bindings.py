@@ -19,13 +19,27 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("id"), F.col("source").alias("repository_id"), F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("file_path"),
         F.col("lang").alias("language"), kind.alias("symbol_type"), name.alias("symbol_name"), F.concat_ws(".", "source", name).alias("qualified_name"), F.col("text").alias("code"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("About "), name)).alias("documentation"),
         F.lit(1).alias("start_line"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("end_line"),
     )
 
 
 SYMBOLS_SQL = """(SELECT doc_id AS id, source AS repository_id, source || '/' || lang || '/' || doc_id || '.txt' AS file_path, lang AS language,
   (['function','class','method','file'])[CAST(doc_id % 4 AS INT) + 1] AS symbol_type, left(regexp_extract(text, '^\\S+'), 40) AS symbol_name,
-  source || '.' || left(regexp_extract(text, '^\\S+'), 40) AS qualified_name, text AS code, 1 AS start_line, length(text) - length(replace(text, chr(10), '')) + 1 AS end_line FROM documents)"""
+  source || '.' || left(regexp_extract(text, '^\\S+'), 40) AS qualified_name, text AS code,
+  CASE WHEN doc_id % 3 = 0 THEN 'About ' || left(regexp_extract(text, '^\\S+'), 40) END AS documentation, 1 AS start_line, length(text) - length(replace(text, chr(10), '')) + 1 AS end_line FROM documents)"""
+
+
+def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document calls the next one and imports that of twice its id, where they are; seq is the order of insertion."""
+    ids = read(spark, sf_dir, "documents").select("doc_id")
+    known = ids.select(F.col("doc_id").alias("dst"))
+    next_ = ids.select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit("CALLS").alias("relation_type"))
+    twice = ids.where("doc_id > 0").select(F.col("doc_id").alias("src"), (F.col("doc_id") * 2).alias("dst"), F.lit("IMPORTS").alias("relation_type"))
+    return next_.union(twice).join(known, "dst", "left_semi").select("src", "dst", "relation_type", F.lit(0.9).alias("confidence"), F.col("src").alias("seq"))
+
+
+SYMBOL_EDGES_SQL = """(SELECT * FROM (SELECT doc_id AS src, doc_id + 1 AS dst FROM documents UNION ALL SELECT doc_id, doc_id * 2 FROM documents WHERE doc_id > 0) WHERE dst IN (SELECT doc_id FROM documents))"""
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:

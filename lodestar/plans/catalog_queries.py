@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, secrets
 from ..functions import text as tx
-from ..operators import catalog, context, evaluate, lexical, parse, relate
+from ..operators import catalog, context, evaluate, parse, relate
 from .bindings import PATHS_SQL, SYMBOLS_SQL, symbols
 from .bindings import paths as path_rows
 from .registry import query, read
@@ -19,9 +19,9 @@ def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.page(rows, [F.col("file_path")], 5, 200).select("id", "file_path")
 
 
-@query(f"SELECT id, file_path, CAST(end_line AS INT) AS end_line FROM {SYMBOLS_SQL} WHERE repository_id = 'src3' AND symbol_type = 'class' ORDER BY file_path, start_line, id LIMIT 100")
+@query(f"SELECT id, file_path, CAST(end_line AS INT) AS end_line FROM {SYMBOLS_SQL} WHERE repository_id = 'src3' AND symbol_type = 'file' ORDER BY file_path, start_line, id LIMIT 100")
 def list_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog.of_repository(symbols(spark, sf_dir), "src3").where("symbol_type = 'class'")
+    rows = catalog.of_repository(symbols(spark, sf_dir), "src3").where("symbol_type = 'file'")
     return catalog.page(rows, [F.col("file_path"), F.col("start_line"), F.col("id")], 0, 100).select("id", "file_path", "end_line")
 
 
@@ -166,9 +166,12 @@ def zip_member_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _members(spark, sf_dir).select("doc_id", paths.safe_member(F.col("path")).alias("safe"))
 
 
-@query(f"SELECT doc_id, ltrim(replace(path, chr(92), '/'), '/') AS path FROM {_MEMBER}")
+@query(f"SELECT doc_id, CASE WHEN p = '' AND NOT starts_with(path, '/') THEN '.' ELSE p END AS path FROM (SELECT doc_id, path, array_to_string(list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS p FROM (SELECT doc_id, './' || path || '//x/./y' AS path FROM {_MEMBER} UNION ALL SELECT -1 - doc_id, path FROM {_MEMBER}))")
 def normalize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _members(spark, sf_dir).select("doc_id", paths.normalized(F.col("path")).alias("path"))
+    """Member names as they are, and with parts around them that a normal path doesn't have."""
+    m = _members(spark, sf_dir).select("doc_id", "path")
+    odd = m.select("doc_id", F.concat(F.lit("./"), "path", F.lit("//x/./y")).alias("path"))
+    return odd.union(m.select(-1 - F.col("doc_id"), "path")).select("doc_id", paths.normalized(F.col("path")).alias("path"))
 
 
 @query(f"SELECT doc_id, {', '.join(f'CAST(len(regexp_extract_all(text, {p.replace(chr(39), chr(39) * 2).join((chr(39), chr(39)))})) AS INT) AS {n}' for n, p in secrets.PATTERNS.items())} FROM documents")
@@ -232,7 +235,8 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents GROUP BY md5(text)")
 def dedupe_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of each content."""
-    return read(spark, sf_dir, "documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    rows = read(spark, sf_dir, "documents").select(F.md5("text").alias("h"), "doc_id")
+    return catalog.first_of_each(rows, ["h"], ["doc_id"]).select("doc_id", "h")
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT source) AS repositories FROM documents WHERE source = 'src5'")
@@ -284,7 +288,7 @@ def context_budget_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.within_budget(rows, "repository_id", "rank", "size", 9000).select("doc_id", "repository_id")
 
 
-_EVAL = """(SELECT d.lang AS category, d.source AS question, coalesce(list(CAST(l.doc_id AS VARCHAR) ORDER BY l.doc_id) FILTER (WHERE l.quality = 1 AND l.toxic = 0 AND n <= 12), []) AS expected,
+_EVAL = """(SELECT d.lang AS category, d.source AS question, coalesce(list(CAST(l.doc_id AS VARCHAR) ORDER BY l.doc_id) FILTER (WHERE l.quality = 1 AND l.toxic = 0), []) AS expected,
  list(CAST(d.doc_id AS VARCHAR) ORDER BY n_chars DESC, d.doc_id) FILTER (WHERE n <= 15) AS retrieved FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS n FROM documents) d LEFT JOIN labels l USING (doc_id) GROUP BY d.lang, d.source)"""
 _HIT = "contains(lower(r), lower(e))"
 _MEASURES = f"""(SELECT category, question, CASE WHEN len(expected) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(list_distinct(expected), lambda e: list_bool_or(list_transform(retrieved[1:10], lambda r: {_HIT})))) / len(expected)::DOUBLE END AS recall_at_k,
@@ -294,15 +298,14 @@ _MEASURES = f"""(SELECT category, question, CASE WHEN len(expected) = 0 THEN 1.0
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question for each language and source: its longest documents should be of good quality."""
+    """A question for each language and source: its good documents, all of them, should be its longest."""
     d, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     w = Window.partitionBy("lang", "source").orderBy(F.desc("n_chars"), "doc_id")
     ranked = d.select("doc_id", "lang", "source", F.row_number().over(w).alias("n")).where("n <= 15")
-    good = ranked.where("n <= 12").join(labels.where("quality = 1 AND toxic = 0").select("doc_id"), "doc_id").groupBy("lang", "source").agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")).alias("expected_symbols"))
-    found = ranked.groupBy("lang", "source").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("retrieved_symbols"))
-    both = found.join(good, ["lang", "source"], "left").withColumn("expected_symbols", F.coalesce("expected_symbols", F.array().cast("array<string>")))
-    rows = both.withColumns({"expected_files": F.col("expected_symbols"), "retrieved_files": F.slice("retrieved_symbols", 1, 5), "category": F.col("lang"), "question": F.col("source"), "latency_ms": F.lit(1.0), "error": F.when(F.col("source") == "src7", "late")})
-    return evaluate.per_question(rows)
+    found = ranked.groupBy("lang", "source").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("retrieved"))
+    good = d.join(labels.where("quality = 1 AND toxic = 0").select("doc_id"), "doc_id", "left_semi").select("lang", "source", F.col("doc_id").cast("string").alias("name"))
+    rows = evaluate.per_question_rows(found, good, ["lang", "source"])
+    return rows.withColumns({"category": F.col("lang"), "question": F.col("source"), "latency_ms": F.lit(1.0), "error": F.when(F.col("source") == "src7", "late")})
 
 
 def _measure(name: str):
@@ -343,17 +346,76 @@ def _parsed(spark: SparkSession) -> DataFrame:
     return parse.parse_files(spark.createDataFrame(SOURCES, "repository_id string, path string, language string, content string"))
 
 
-@query()
+def _values(columns: str, rows: list[tuple]) -> str:
+    """SQL of literal rows."""
+    text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else f"{x}::INT"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) v({columns})"
+
+
+#: What the literal sources hold, read by eye: type, name, lines, columns, parent and documentation.
+_SYMBOLS = [
+    ('README.md', 'file', 'README.md', 1, 2, 0, 14, None, None),
+    ('src/Main.java', 'class', 'Main', 1, 6, 0, 1, None, None),
+    ('src/Main.java', 'endpoint', 'GET /all', 3, 5, 2, 3, 'Main.all', None),
+    ('src/Main.java', 'method', 'Main.all', 3, 5, 2, 3, 'Main', None),
+    ('src/app.ts', 'class', 'App', 2, 4, 7, 1, None, None),
+    ('src/app.ts', 'method', 'App.start', 3, 3, 2, 23, 'App', None),
+    ('src/app.ts', 'function', 'main', 5, 7, 13, 1, None, None),
+    ('src/auth.py', 'class', 'Auth', 4, 11, 0, 23, None, 'Checks users.'),
+    ('src/auth.py', 'method', 'Auth.login', 7, 8, 4, 33, 'Auth', None),
+    ('src/auth.py', 'method', 'Auth.logout', 10, 11, 4, 23, 'Auth', None),
+    ('src/auth.py', 'endpoint', 'GET /health', 14, 15, 0, 32, 'health', None),
+    ('src/auth.py', 'function', 'health', 14, 15, 0, 32, None, None),
+    ('src/broken.py', 'class', 'Open', 1, 4, 0, 0, None, None),
+    ('src/broken.py', 'method', 'Open.run', 2, 4, 4, 0, 'Open', None),
+    ('src/broken.py', 'function', 'unfinished', 5, 5, 0, 15, None, None),
+    ('src/main.go', 'function', 'main', 3, 6, 0, 1, None, None),
+    ('src/util.c', 'function', 'add', 1, 3, 0, 1, None, None),
+]
+_EDGES = [
+    ('App', 'lib', 'IMPORTS', 0.9, 1, 0, 'src/app.ts:1'),
+    ('Auth', 'db.users', 'IMPORTS', 0.9, 1, 0, 'src/auth.py:2'),
+    ('Auth', 'os', 'IMPORTS', 0.9, 1, 0, 'src/auth.py:1'),
+    ('Auth.login', 'find', 'CALLS', 0.55, 1, 0, 'src/auth.py:8'),
+    ('Auth.login', 'strip', 'CALLS', 0.55, 1, 0, 'src/auth.py:8'),
+    ('Auth.logout', 'login', 'CALLS', 0.55, 1, 0, 'src/auth.py:11'),
+    ('GET /all', 'Main.all', 'ROUTES_TO', 1.0, 1, 1, 'src/Main.java:2'),
+    ('GET /health', 'health', 'ROUTES_TO', 1.0, 1, 1, 'src/auth.py:14'),
+    ('README.md', 'README.md', 'CONTAINS', 1.0, 1, 1, 'README.md:1'),
+    ('health', 'Auth', 'CALLS', 0.55, 1, 1, 'src/auth.py:15'),
+    ('health', 'login', 'CALLS', 0.55, 1, 0, 'src/auth.py:15'),
+    ('src/Main.java', 'GET /all', 'CONTAINS', 1.0, 0, 1, 'src/Main.java:3'),
+    ('src/Main.java', 'Main', 'CONTAINS', 1.0, 0, 1, 'src/Main.java:1'),
+    ('src/Main.java', 'Main.all', 'CONTAINS', 1.0, 0, 1, 'src/Main.java:3'),
+    ('src/app.ts', 'App', 'CONTAINS', 1.0, 0, 1, 'src/app.ts:2'),
+    ('src/app.ts', 'App.start', 'CONTAINS', 1.0, 0, 1, 'src/app.ts:3'),
+    ('src/app.ts', 'main', 'CONTAINS', 1.0, 0, 1, 'src/app.ts:5'),
+    ('src/auth.py', 'Auth', 'CONTAINS', 1.0, 0, 1, 'src/auth.py:4'),
+    ('src/auth.py', 'Auth.login', 'CONTAINS', 1.0, 0, 1, 'src/auth.py:7'),
+    ('src/auth.py', 'Auth.logout', 'CONTAINS', 1.0, 0, 1, 'src/auth.py:10'),
+    ('src/auth.py', 'GET /health', 'CONTAINS', 1.0, 0, 1, 'src/auth.py:14'),
+    ('src/auth.py', 'health', 'CONTAINS', 1.0, 0, 1, 'src/auth.py:14'),
+    ('src/broken.py', 'Open', 'CONTAINS', 1.0, 0, 1, 'src/broken.py:1'),
+    ('src/broken.py', 'Open.run', 'CONTAINS', 1.0, 0, 1, 'src/broken.py:2'),
+    ('src/broken.py', 'unfinished', 'CONTAINS', 1.0, 0, 1, 'src/broken.py:5'),
+    ('src/main.go', 'main', 'CONTAINS', 1.0, 0, 1, 'src/main.go:3'),
+    ('src/util.c', 'add', 'CONTAINS', 1.0, 0, 1, 'src/util.c:1'),
+]
+
+
+@query(_values("file_path, symbol_type, qualified_name, start_line, end_line, start_column, end_column, parent_symbol, documentation", _SYMBOLS))
 def parse_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of the literal sources; no SQL can read them."""
-    return parse.symbols_of(_parsed(spark)).select("id", "file_path", "symbol_type", "qualified_name", "start_line", "end_line", "parent_symbol", "documentation")
+    """Symbols of the literal sources."""
+    return parse.symbols_of(_parsed(spark)).select("file_path", "symbol_type", "qualified_name", "start_line", "end_line", "start_column", "end_column", "parent_symbol", "documentation")
 
 
-@query()
+@query(_values("source_name, target_name, relation_type, confidence, source_known, target_known, evidence", _EDGES))
 def code_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between the literal sources' symbols."""
+    """Edges between the literal sources' symbols, and whether each end is one."""
     parsed = _parsed(spark)
-    return relate.relationships(parsed, parse.symbols_of(parsed)).select("source_name", "target_name", "relation_type", "confidence", "source_symbol_id", "target_symbol_id", "evidence")
+    edges = relate.relationships(parsed, parse.symbols_of(parsed))
+    known = lambda c: F.col(c).isNotNull().cast("int")
+    return edges.select("source_name", "target_name", "relation_type", "confidence", known("source_symbol_id").alias("source_known"), known("target_symbol_id").alias("target_known"), "evidence")
 
 
 @query(r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) SELECT doc_id, count(*) AS lines, CAST(min(CASE WHEN n > 1 THEN n END) AS INT) AS second, md5(string_agg(CASE WHEN n BETWEEN 2 AND 4 THEN line END, chr(10) ORDER BY n)) AS slice_md5 FROM l GROUP BY doc_id")
@@ -368,10 +430,3 @@ def symbol_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = tx.short_label(F.concat_ws(" ", "p_brand", "p_name"), 12)
     return read(spark, sf_dir, "part").select("p_partkey", label.alias("label"))
-
-
-def lexical_index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    """Postings of the documents' search texts, as the index keeps them."""
-    s = symbols(spark, sf_dir)
-    t = tx.lexical_text(F.col("qualified_name"), F.col("symbol_name"), F.col("file_path"), F.lit(None).cast("string"), F.col("code"))
-    return lexical.build_index(s, "id", t)

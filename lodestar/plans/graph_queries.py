@@ -10,6 +10,8 @@ from .bindings import EDGES_SQL, NODES_SQL, edges, nodes
 from .registry import query, read
 
 ORDER, PART = "o7", "p7"
+#: An order that calls parts in tables of every size.
+CALLER = "o3"
 _TYPES = "('CALLS', 'IMPORTS', 'USES', 'REFERENCES')"
 
 
@@ -18,9 +20,9 @@ def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.callers(edges(spark, sf_dir), PART)
 
 
-@query(f"SELECT DISTINCT dst AS id FROM {EDGES_SQL} WHERE src = '{ORDER}' AND relation_type = 'CALLS'")
+@query(f"SELECT DISTINCT dst AS id FROM {EDGES_SQL} WHERE src = '{CALLER}' AND relation_type = 'CALLS'")
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.callees(edges(spark, sf_dir), ORDER)
+    return graph.callees(edges(spark, sf_dir), CALLER)
 
 
 @query(f"SELECT DISTINCT src AS id FROM {EDGES_SQL} WHERE dst = '{PART}' AND relation_type IN {_TYPES}")
@@ -107,8 +109,8 @@ def edge_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").cast("string").alias("source_symbol_id"))
     suppliers = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_suppkey").cast("string").alias("target_symbol_id"))
     named = item.join(parts, "l_partkey", "left").join(suppliers, "l_suppkey", "left").withColumns({"source_name": F.concat(F.lit("part "), F.col("l_partkey").cast("string")), "target_name": F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"))})
-    end = lambda i, n: F.coalesce(F.nullif(F.col(i), F.lit("")), F.col(n))
-    return named.select("l_orderkey", "l_linenumber", end("source_symbol_id", "source_name").alias("source_end"), end("target_symbol_id", "target_name").alias("target_end"))
+    edge = named.select("*", F.lit("USES").alias("relation_type"), F.lit(1.0).alias("confidence"), F.struct("l_orderkey", "l_linenumber").alias("seq"))
+    return graph.endpoints(edge).select("seq.*", F.col("src").alias("source_end"), F.col("dst").alias("target_end"))
 
 
 @query(
@@ -126,5 +128,10 @@ def asof_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_symbol_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order with its customer's first one."""
     o = read(spark, sf_dir, "orders")
-    first = o.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_order"))
+    first = relate.first_of(o, ["o_custkey"], "o_orderkey", F.struct("o_orderdate", "o_orderkey"), "first_order")
     return o.join(first, "o_custkey").select("o_orderkey", "first_order")
+
+
+@query(f"SELECT id FROM {NODES_SQL} WHERE contains(lower(id), lower('P7')) ORDER BY id LIMIT 3")
+def roots_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.roots_by_name(nodes(spark, sf_dir), "P7")

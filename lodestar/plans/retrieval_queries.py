@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import catalog, dense, fusion, lexical
-from .bindings import QUESTIONS_SQL, SYMBOLS_SQL, questions, symbols, tokens_sql
+from . import search
+from .bindings import QUESTIONS_SQL, SYMBOL_EDGES_SQL, SYMBOLS_SQL, questions, symbol_edges, symbols, tokens_sql
 from .registry import query, read
 
 FLAGSHIP = "the schachber que zyxwvut"
@@ -164,50 +165,92 @@ def rerank_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HYBRID_TERMS = ["schachber", "que", "implementation", "small"]
-_HYBRID_SQL = f"""WITH {_BM25}, asked AS (SELECT 'q' AS query_id, unnest({[HYBRID.lower(), *HYBRID.lower().split()]!r}) AS term), {_SCORED},
-bm AS (SELECT id, CAST(rank AS INT) AS rank, 0 AS list FROM {_RANKED} WHERE rank <= 20),
-sym AS (SELECT *, row_number() OVER (ORDER BY symbol_name, id) AS rank FROM {SYMBOLS_SQL} WHERE symbol_name ILIKE '%schachber%' QUALIFY rank <= 20),
-fused AS (SELECT id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(list * 1000 + rank) AS seen FROM (SELECT id, rank, list FROM bm UNION ALL SELECT id, rank, 1 FROM sym) GROUP BY id),
-top AS (SELECT f.id, f.score, s.language, s.symbol_type, lower(symbol_name) AS n, lower(qualified_name) AS f FROM fused f JOIN {SYMBOLS_SQL} s USING (id)),
-boosted AS (SELECT *, score + CASE WHEN {" AND ".join(f"contains(f, '{t}')" for t in _HYBRID_TERMS)} THEN 0.6 WHEN {" OR ".join(f"contains(n, '{t}')" for t in _HYBRID_TERMS)} THEN 0.3 ELSE 0 END
- + CASE symbol_type WHEN 'function' THEN 0.4 WHEN 'method' THEN 0.35 WHEN 'class' THEN 0.3 ELSE 0 END AS rerank_score FROM top),
-best AS (SELECT id, language, symbol_type, rerank_score, row_number() OVER (ORDER BY rerank_score DESC, id) AS rank FROM boosted QUALIFY rank <= 12)"""
+#: The question and the first five of its widened terms, the last of which is the question itself.
+_WIDE = f"{HYBRID} {' '.join(_HYBRID_TERMS)} {HYBRID.lower()}".lower()
 
 
-def hybrid(spark: SparkSession, sf_dir: str, question: str = HYBRID) -> DataFrame:
-    """One question through analysis, lexical and name search, fusion and reranking; names decide with text."""
-    syms = symbols(spark, sf_dir)
-    asked = spark.range(1).select(F.lit("q").alias("query_id"), F.lit(question).alias("text"))
-    terms, exact = tx.search_terms(F.col("text")), tx.exact_symbol(F.col("text"))
-    analysis = asked.select("query_id", "text", terms.alias("terms"), exact.alias("exact"), tx.intent(F.col("text"))[0].alias("intent"))
-    words = analysis.select("query_id", F.explode(tx.query_tokens(F.col("text"))).alias("term"))
-    bm = lexical.search(_index(spark, sf_dir), words)
-    name = F.coalesce("exact", F.get("terms", F.lit(0)))
-    named = syms.select("id", "symbol_name").crossJoin(F.broadcast(analysis.select("query_id", name.alias("name")))).where(F.expr("symbol_name ilike concat('%', name, '%')"))
-    named = named.orderBy("symbol_name", "id").limit(20).select("query_id", "id", "symbol_name")
-    by_name = named.withColumn("rank", F.row_number().over(_order("symbol_name", "id")))
-    fused = fusion.reciprocal_rank_fusion([bm, by_name])
-    payload = syms.select("id", "language", "symbol_type", "symbol_name", "qualified_name", "file_path", "start_line", "end_line", "code")
-    full = payload.join(F.broadcast(fused), "id").join(F.broadcast(analysis), "query_id")  # forty ids at most, and one question
-    boost = fusion.rerank_boost(F.col("exact"), F.col("terms"), F.col("intent"), F.col("symbol_name"), F.col("qualified_name"), F.col("symbol_type"), F.lit(False))
-    return fusion.reranked(full.withColumn("boost", boost))
+def _hash_numbers(name: str, rows: str) -> str:
+    """CTE of (id, p, n): the numbers of the hash embedding of rows (id, t), not yet of length one."""
+    return f"""{name} AS MATERIALIZED (SELECT id, p, CAST(CASE WHEN n >= 2147483648 THEN n - 4294967296 ELSE n END AS DOUBLE) AS n FROM (SELECT id, seed * 8 + i AS p, CAST('0x' || substr(h, i * 8 + 1, 8) AS BIGINT) AS n
+ FROM (SELECT id, seed, sha256(unhex(h) || unhex(lpad(printf('%x', seed), 8, '0'))) AS h FROM (SELECT id, sha256(t) AS h FROM ({rows})), range(48) r(seed)), range(8) q(i)))"""
 
 
-def _order(*columns: str):
-    from pyspark.sql import Window
+_EMBEDDED = f"SELECT id, concat_ws(chr(10), symbol_type || ': ' || qualified_name, 'file: ' || file_path, left(documentation, 500), left(code, 1200)) AS t FROM {SYMBOLS_SQL}"
+_HYBRID_SQL = f"""WITH RECURSIVE {_BM25}, asked AS (SELECT 'q' AS query_id, unnest({[_WIDE, *_WIDE.split()]!r}) AS term), {_SCORED},
+{_hash_numbers("of_symbol", _EMBEDDED)}, {_hash_numbers("of_question", f"SELECT 0 AS id, '{HYBRID}' AS t")},
+dn AS (SELECT id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank, 0 AS list FROM (SELECT s.id, sum(s.n * q.n) / (sqrt(sum(s.n * s.n)) * sqrt(sum(q.n * q.n))) AS score FROM of_symbol s JOIN of_question q USING (p) GROUP BY s.id) WHERE score >= 0 QUALIFY rank <= 20),
+bm AS (SELECT id, CAST(rank AS INT) AS rank, 1 AS list FROM {_RANKED} WHERE rank <= 20),
+sym AS (SELECT id, CAST(row_number() OVER (ORDER BY symbol_name, id) AS INT) AS rank, 2 AS list FROM {SYMBOLS_SQL} WHERE symbol_name ILIKE '%schachber%' QUALIFY rank <= 20),
+fused AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, seen, id) AS place FROM (SELECT id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(list * 1000 + rank) AS seen FROM (SELECT * FROM dn UNION ALL SELECT * FROM bm UNION ALL SELECT * FROM sym) GROUP BY id)),
+top AS (SELECT f.id, f.score, s.*, lower(symbol_name) AS n, lower(qualified_name) AS f FROM fused f JOIN {SYMBOLS_SQL} s USING (id)),
+boosted AS (SELECT *, score + CASE WHEN {" AND ".join(f"contains(f, '{t}')" for t in _HYBRID_TERMS)} THEN 0.6 WHEN {" OR ".join(f"contains(n, '{t}')" for t in _HYBRID_TERMS)} THEN 0.3 ELSE 0 END
+ + CASE symbol_type WHEN 'function' THEN 0.4 WHEN 'method' THEN 0.35 WHEN 'class' THEN 0.3 ELSE 0 END + CASE WHEN length(documentation) > 0 THEN 0.1 ELSE 0 END AS rerank_score FROM top),
+best AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY round(rerank_score, 9) DESC, id) AS rank FROM boosted QUALIFY rank <= 12)"""
+_AROUND_SQL = f"""arcs AS MATERIALIZED (SELECT src AS a, dst AS b FROM {SYMBOL_EDGES_SQL} UNION SELECT dst, src FROM {SYMBOL_EDGES_SQL}),
+l1 AS (SELECT DISTINCT place AS seed, id, b FROM fused JOIN arcs ON id = a WHERE place <= 5), l2 AS (SELECT DISTINCT l1.seed, l1.id, arcs.b FROM l1 JOIN arcs ON l1.b = a WHERE NOT EXISTS (SELECT 1 FROM l1 x WHERE x.seed = l1.seed AND x.b = arcs.b)),
+near AS (SELECT seed, level, b FROM (SELECT seed, id, b, 1 AS level FROM l1 UNION ALL SELECT seed, id, b, 2 FROM l2) WHERE b <> id QUALIFY row_number() OVER (PARTITION BY seed ORDER BY level, b) <= 4),
+around AS (SELECT b AS id, row_number() OVER (ORDER BY first_at) AS rank FROM (SELECT b, min({{'s': seed, 'l': level, 'b': b}}) AS first_at FROM near WHERE b NOT IN (SELECT id FROM fused WHERE place <= 12) GROUP BY b))"""
+
 
-    return Window.partitionBy("query_id").orderBy(*columns)
+def hybrid(spark: SparkSession, sf_dir: str, question: str = HYBRID) -> search.Retrieval:
+    """One question through all stages."""
+    syms = symbols(spark, sf_dir)
+    asked = spark.range(1).select(F.lit("q").alias("query_id"), F.lit(question).alias("text"))
+    return search.retrieve(asked, syms, _index(spark, sf_dir), search.symbol_vectors(syms), symbol_edges(spark, sf_dir))
 
 
 @query(f"{_HYBRID_SQL} SELECT id AS doc_id, round(rerank_score, 6) AS rerank_score, CAST(rank AS INT) AS rank FROM best")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid(spark, sf_dir).select(F.col("id").alias("doc_id"), F.round("rerank_score", 6).alias("rerank_score"), "rank")
+    """Dense, lexical and name search, fused and reranked."""
+    return hybrid(spark, sf_dir).candidates.select(F.col("id").alias("doc_id"), F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
 @query(f"{_HYBRID_SQL} SELECT id AS doc_id, CAST(rank AS INT) AS rank FROM best WHERE rank <= 8 AND language IN ('de', 'en') AND symbol_type IN ('function', 'class', 'method')")
 def search_post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight, and of these those of a language and type: fewer than eight may be left."""
-    return hybrid(spark, sf_dir).where("rank <= 8").where(F.col("language").isin("de", "en") & F.col("symbol_type").isin("function", "class", "method")).select(F.col("id").alias("doc_id"), "rank")
+    return hybrid(spark, sf_dir).candidates.where("rank <= 8").where(F.col("language").isin("de", "en") & F.col("symbol_type").isin("function", "class", "method")).select(F.col("id").alias("doc_id"), "rank")
+
+
+@query(f"{_HYBRID_SQL}, {_AROUND_SQL} SELECT id AS doc_id, CAST(rank AS INT) AS rank FROM around")
+def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of the first five results."""
+    return hybrid(spark, sf_dir).neighbors.select(F.col("id").alias("doc_id"), "rank")
+
+
+@query(f"{_HYBRID_SQL} SELECT id AS doc_id, file_path, CAST(start_line AS INT) AS start_line, round(rerank_score, 6) AS score FROM best")
+def hybrid_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the results cite; every document is a place of its own."""
+    return hybrid(spark, sf_dir).citations().select(F.col("symbol_id").alias("doc_id"), "file_path", "start_line", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""{_HYBRID_SQL}, {_AROUND_SQL} SELECT * FROM (SELECT 'dense' AS stage, count(*) AS hits FROM dn UNION ALL SELECT 'lexical', count(*) FROM bm UNION ALL SELECT 'names', count(*) FROM sym
+UNION ALL SELECT 'fused', count(*) FROM fused UNION ALL SELECT 'reranked', count(*) FROM best UNION ALL SELECT 'graph', count(*) FROM around)"""
+)
+def retrieval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir).stats().select("stage", "hits")
+
+
+@query(f"{_HYBRID_SQL} SELECT 'Retrieved evidence:' || chr(10) || string_agg('• ' || qualified_name || ' @ ' || file_path || ':' || start_line, chr(10) ORDER BY rank) AS answer, 'CONFIRMED' AS confidence FROM best WHERE rank <= 8")
+def answer_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid(spark, sf_dir).answers().select("answer", "confidence")
+
+
+_SHOWN = "'Location: ' || file_path || ':' || start_line || '-' || end_line, CASE WHEN coalesce(language, '') <> '' THEN 'Language: ' || language END, CASE WHEN length(documentation) > 0 THEN 'Documentation: ' || left(documentation, 300) END"
+_HEAD = f"'REPOSITORY: tables' || chr(10) || 'QUESTION: {HYBRID}' || chr(10) || 'DETECTED_INTENT: LOCATION' || chr(10)"
+
+
+@query(
+    f"""{_HYBRID_SQL}, {_AROUND_SQL},
+one AS (SELECT rank, qualified_name, file_path, start_line, end_line, concat_ws(chr(10), '--- ' || upper(symbol_type) || ': ' || qualified_name || ' ---', {_SHOWN}, CASE WHEN length(code) > 0 THEN '```' || coalesce(language, '') || chr(10) || left(code, 600) || chr(10) || '```' END) AS b FROM best),
+fold AS (SELECT CAST(0 AS BIGINT) AS rank, length({_HEAD}) + 24 AS used, CAST(NULL AS VARCHAR) AS b UNION ALL SELECT one.rank, CASE WHEN used + length(one.b) < 24000 THEN used + length(one.b) ELSE used END, CASE WHEN used + length(one.b) < 24000 THEN one.b END FROM fold JOIN one ON one.rank = fold.rank + 1),
+more AS (SELECT rank, b, (SELECT max(used) FROM fold) + 23 + sum(length(b)) OVER (ORDER BY rank) AS used FROM (SELECT a.rank, concat_ws(chr(10), '--- ' || upper(symbol_type) || ': ' || qualified_name || ' ---', {_SHOWN}) AS b FROM around a JOIN {SYMBOLS_SQL} s USING (id)))
+SELECT md5(concat_ws(chr(10) || chr(10), {_HEAD}, '=== PRIMARY EVIDENCE ===', (SELECT string_agg(b, chr(10) || chr(10) ORDER BY rank) FROM fold), CASE WHEN (SELECT count(*) FROM more WHERE used < 24000) > 0 THEN '=== RELATED CONTEXT ===' END,
+ (SELECT string_agg(b, chr(10) || chr(10) ORDER BY rank) FROM more WHERE used < 24000), '=== SOURCE REFERENCES ===', (SELECT string_agg('• ' || qualified_name || ' @ ' || file_path || ':' || start_line || '-' || end_line, chr(10) || chr(10) ORDER BY rank) FROM one))) AS context_md5"""
+)
+def context_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence within the budget, what is around it, and where it stands."""
+    return hybrid(spark, sf_dir).assembled("tables").select(F.md5("context").alias("context_md5"))
 
 
 def _rule_sql() -> str:

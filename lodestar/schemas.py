@@ -25,6 +25,8 @@ TABLES = {"repositories": REPOSITORIES, "files": FILES, "symbols": SYMBOLS, "rel
 
 # Domains of the enumerated columns.
 INDEX_STATUS = ["QUEUED", "CLONING", "SCANNING", "PARSING", "EXTRACTING_SYMBOLS", "BUILDING_GRAPH", "GENERATING_EMBEDDINGS", "INDEXING", "VALIDATING", "READY", "FAILED"]
+#: A run in one of these is not started again.
+BUSY = ["CLONING", "PARSING", "INDEXING"]
 EDGE_CONFIDENCE = {"CONTAINS": 1.0, "IMPORTS": 0.9, "CALLS": 0.55, "ROUTES_TO": 1.0}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,7 @@ from ..session import with_package
 
 
 def classified(files: DataFrame, config: EngineConfig = DEFAULT, extra_ignored: list[str] | None = None) -> DataFrame:
-    """Files (repository_id, path, bytes) that a scan keeps, with what is known of each, ordered by path.
+    """Files (repository_id, path, bytes) that a scan keeps, with what is known of each, in no order: contents are never sorted.
 
     Ignored paths and files over the size limit go, and binary ones unless they are
     configuration or documentation. Content is UTF-8 with bad bytes replaced; secrets and
@@ -33,7 +34,6 @@ def classified(files: DataFrame, config: EngineConfig = DEFAULT, extra_ignored:
         known.withColumns({"is_secret": secret, "id": file_id(F.col("repository_id"), path), "content": _decoded(secret)})
         .withColumn("secret_findings", F.coalesce(secret_count(F.col("content")), F.lit(0)))
         .drop("bytes")
-        .orderBy("repository_id", "path")
     )
 
 
@@ -109,9 +109,19 @@ def _members(archive: str, data: bytes, config: EngineConfig) -> list[tuple]:
             safe = [i for i in infos if not i.filename.startswith(("/", "\\")) and ":" not in i.filename[:2] and ".." not in i.filename.replace("\\", "/").split("/")]
             tops = {i.filename.split("/")[0] for i in safe}
             cut = len(tops.pop()) + 1 if len(tops) == 1 and all("/" in i.filename for i in safe) else 0
-            return [(archive, i.filename[cut:], z.read(i), None) for i in safe]
+            out, left = [], config.max_repository_bytes
+            for i in safe:
+                with z.open(i) as member:
+                    data = member.read(left + 1)  # what an archive says of its sizes isn't trusted
+                left -= len(data)
+                if left < 0:
+                    return [(archive, None, None, "too many bytes")]
+                out.append((archive, i.filename[cut:], data, None))
+            return out
     except zipfile.BadZipFile:
         return [(archive, None, None, "no archive")]
+    except (RuntimeError, NotImplementedError, EOFError, OSError, zlib.error) as e:  # encrypted, damaged or packed in an odd way
+        return [(archive, None, None, f"unreadable: {type(e).__name__}")]
 
 
 def zip_totals(members: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ level of it, is gathered whole.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import removed, written
-from .common import LOWER, prepare, slices, utf8
+from .common import LOWER, count_limit, join_frequent, prepare, slices, utf8
 
 #: Words of a context at most.
 DEPTH = 4
@@ -189,7 +188,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], reducers: int, least: int) -> DataFrame:
-    """(first, second, n) of the pairs that ``pairs`` takes from texts' tokens, n >= least.
+    """(first, second, n, key) of the pairs that ``pairs`` takes from texts' tokens, n >= least; the key is entry_key's.
 
     A task sends, for each reducer, its sorted keys and counts as one row of bytes; with more than
     REDUCERS of them, a row for each key, which Spark sums.
@@ -211,7 +210,7 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
             if single:
                 for k in range(0, len(n), 1 << 16):
                     cut = slice(k, k + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(first[cut])), pa.array(signed(second[cut])), pa.array(n[cut].astype(np.int64))], names=["first", "second", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(first[cut])), pa.array(signed(second[cut])), pa.array(n[cut].astype(np.int64)), pa.array(signed(~keys[cut]))], names=["first", "second", "n", "key"])
                 return
             # in a block by the first key, whose repetitions then take little room
             cuts = np.searchsorted(keys, np.array([min(width * r, (1 << 64) - 1) for r in range(1, reducers)], dtype=np.uint64))
@@ -243,11 +242,11 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
         sums = np.add.reduceat(n[order], starts)
         kept = sums >= least
         at = order[starts][kept]
-        return pd.DataFrame({"first": signed(first[at]), "second": signed(second[at]), "n": sums[kept]})
+        return pd.DataFrame({"first": signed(first[at]), "second": signed(second[at]), "n": sums[kept], "key": signed(~keys[at])})
 
     if single:
-        return docs.select("text").mapInArrow(send, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return docs.select("text").mapInArrow(send, "r int, a binary, b binary, n binary").groupBy("r").applyInPandas(total, "first long, second long, n long")
+        return docs.select("text").mapInArrow(send, "first long, second long, n long, key long").groupBy("first", "second", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("first", "second", "n", "key")
+    return docs.select("text").mapInArrow(send, "r int, a binary, b binary, n binary").groupBy("r").applyInPandas(total, "first long, second long, n long, key long")
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -273,25 +272,9 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in df.toArrow().columns]
 
 
-def _limit(df: DataFrame, count: str, bound: int) -> tuple[int, bool]:
-    """The least count, or nearly, that at most ``bound`` rows reach, and whether there are others.
-
-    Limits are all counts up to 40 and a quarter apart from there on.
-    """
-    c = F.col(count)
-    place = F.when(c < 40, c).otherwise(40 + F.floor(F.log(c / 40) / math.log(1.25))).cast("int")
-    sizes = dict(df.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect())  # some two hundred rows at most
-    upto, k = 0, 240
-    while k > 0 and upto + sizes.get(k, 0) <= bound:
-        upto += sizes.get(k, 0)
-        k -= 1
-    least = 0 if k == 0 and upto + sizes.get(0, 0) <= bound else k + 1 if k < 40 else math.ceil(40 * 1.25 ** (k + 1 - 40))
-    return least, least > 0
-
-
 def _head(words: DataFrame, bound: int) -> Broadcast:
     """Counts of all words over a power of two, the least that leaves ``bound`` of them at most."""
-    least, _ = _limit(words, "c", bound)
+    least, _ = count_limit(words, "c", bound)
     w, c = _columns(words.where(F.col("c") >= least).select("w", "c"))
     return words.sparkSession.sparkContext.broadcast((Table(w.view(np.uint64), c), least))
 
@@ -320,18 +303,6 @@ def _filter(keys: DataFrame, column: str, bound: int) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(KeyFilter(words))
 
 
-def _beside(rows: DataFrame, table: DataFrame, key: str, count: str, bound: int) -> DataFrame:
-    """rows joined with table by its unique key. Keys that many rows may have, by count, are broadcast,
-    ``bound`` of them at most, so that no task gets all rows of one of them."""
-    least, others = _limit(table, count, bound)
-    often = F.broadcast(table.where(F.col(count) >= least))
-    out = rows.join(often, key)
-    if not others:
-        return out
-    rest = rows.join(often.select(key), key, "left_anti").join(table.where(F.col(count) < least), key)
-    return out.unionByName(rest)
-
-
 def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, head: int = HEAD, often: int = OFTEN, filter_words: int = FILTER_WORDS) -> SuffixTree:
     """The suffix tree of all rows of docs. Null texts are empty; repeated rows count each."""
     spark = prepare(docs.sparkSession)
@@ -358,22 +329,22 @@ def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
         counts = written(counted(docs, pairs, reducers, least), "counts").withColumnsRenamed({"first": "ctx", "second": "w"})
         if sought:
             sought.destroy()
-        rows = _beside(counts, contexts, "ctx", "all", often)
+        rows = join_frequent(counts, contexts, "ctx", "all", often)
         if d == 1:
-            rows = _beside(rows, words, "w", "c", often).withColumn("q", root)
+            rows = join_frequent(rows, words, "w", "c", often).withColumns({"q": root, "longer": F.col("w")})
         else:  # a suffix has every entry of its contexts, as it has seen it no less often
-            rows = rows.join(above.select(F.col("ctx").alias("suffix"), "w", F.col("p").alias("q")), ["suffix", "w"])
-        rows = written(rows.select("ctx", "suffix", "w", "n", "all", "q"), "tried")
+            rows = rows.join(above.select(F.col("ctx").alias("suffix"), "w", F.col("p").alias("q"), F.bitwise_not("key").alias("longer")), ["suffix", "w"])
+        rows = written(rows.select("ctx", "w", "n", "key", "all", "q", "longer"), "tried")
         removed(counts)
         states = written(_retained(rows, gain), "states")
         entries = written(_entries(rows, states, often), "entries")
-        level = _keyed(states.select("ctx", F.log10("lam").alias("value"), F.col("all").alias("n"), F.lit(None).cast("long").alias("w")).unionByName(entries.select("ctx", "value", "n", "w")), d)
+        level = states.select(F.col("ctx").alias("key"), F.log10("lam").alias("value"), F.col("all").alias("n")).unionByName(entries.select("key", "value", "n")).withColumn("depth", F.lit(d))
         model = level if model is None else model.unionByName(level)
         if d == depth:
             break
         if d > 1:
             removed(contexts)
-        contexts, above = written(_extended(rows.where(F.col("w") != end), states, d, often), "contexts"), entries
+        contexts, above = written(_extended(rows.where(F.col("w") != end), states, often), "contexts"), entries
         removed(rows)
         if not contexts.limit(1).count():
             break
@@ -395,38 +366,19 @@ def _retained(rows: DataFrame, gain: float) -> DataFrame:
 
 
 def _entries(rows: DataFrame, states: DataFrame, often: int) -> DataFrame:
-    """(ctx, w, n, p, value) of the nodes' entries: their probability, and by how much its logarithm is
+    """(ctx, w, n, key, p, value) of the nodes' entries: their probability, and by how much its logarithm is
     over what they would have without being entries."""
-    inside = _beside(rows.drop("all"), states, "ctx", "all", often)
+    inside = join_frequent(rows.drop("all"), states, "ctx", "all", often)
     handed = F.col("lam") * F.col("q")
     p = (F.col("n") - DISCOUNT) / F.col("all") + handed
-    return inside.select("ctx", "w", "n", p.alias("p"), F.log10(p / handed).alias("value"))
-
+    return inside.select("ctx", "w", "n", "key", p.alias("p"), F.log10(p / handed).alias("value"))
 
-def _keyed(level: DataFrame, depth: int) -> DataFrame:
-    """(key, value, n, depth) of nodes, whose w is null, and entries."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ctx, entry = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(3).is_valid().to_numpy(zero_copy_only=False)
-            w = b.column(3).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            key = np.where(entry, entry_key(ctx, w), ctx)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), b.column(1), b.column(2), pa.array(np.full(len(key), depth, dtype=np.int32))], names=["key", "value", "n", "depth"])
-
-    return level.mapInArrow(run, "key long, value double, n long, depth int")
-
-
-def _extended(rows: DataFrame, states: DataFrame, depth: int, often: int) -> DataFrame:
-    """(ctx, suffix, all) of contexts a word longer, those whose suffix is a node."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            w = unsigned(b["w"])
-            suffix = w if depth == 1 else mix(unsigned(b["suffix"]), w)
-            yield pd.DataFrame({"ctx": signed(mix(unsigned(b["ctx"]), w)), "suffix": signed(suffix), "all": b["n"]})
 
-    longer = rows.select("ctx", "suffix", "w", "n").mapInPandas(run, "ctx long, suffix long, all long")
-    return _beside(longer, states.select(F.col("ctx").alias("suffix"), F.col("all").alias("seen")), "suffix", "seen", often).select("ctx", "suffix", "all")
+def _extended(rows: DataFrame, states: DataFrame, often: int) -> DataFrame:
+    """(ctx, suffix, all) of contexts a word longer, those whose suffix is a node. A context with an entry's
+    word behind it has the complement of the entry's key."""
+    longer = rows.select(F.bitwise_not("key").alias("ctx"), F.col("longer").alias("suffix"), F.col("n").alias("all"))
+    return join_frequent(longer, states.select(F.col("ctx").alias("suffix"), F.col("all").alias("seen")), "suffix", "seen", often).select("ctx", "suffix", "all")
 
 
 _WORDS, _KEYS = "array<struct<w:bigint,n:bigint>>", "array<struct<k:bigint,n:bigint>>"
@@ -489,7 +441,7 @@ def score(docs: DataFrame, tree: SuffixTree, model_head: int = MODEL_HEAD, filte
     """
     spark = prepare(docs.sparkSession)
     tree_size, depth, head = tree.tokens + tree.distinct + 1, tree.depth, tree.head
-    least, more = _limit(tree.model, "n", model_head)
+    least, more = count_limit(tree.model, "n", model_head)
     key, value = _columns(tree.model.where(F.col("n") >= least).select("key", F.col("value").cast("float")))
     model = spark.sparkContext.broadcast(Table(key.view(np.uint64), value))
     rest = tree.model.where(F.col("n") < least)

@@ -1,19 +1,23 @@
 """Quality rules: fixed limits, then robust multivariate outliers for each language and source.
 
-Every text gives a vector of transformed statistics. The minimum-covariance-determinant
-estimate of a group is found by concentration steps: distances under the last estimate, the
-half of the rows with the smallest ones, their mean and covariance as the next estimate. A
-step is two aggregations over the narrow table of statistics, whatever the size of a group.
+Every text gives a vector of transformed statistics. The minimum-covariance-determinant estimate
+of a group is sought from several starts by concentration steps: distances under the last
+estimate, the part of the rows with the smallest ones, their mean and covariance as the next. The
+start with the smallest determinant after two steps goes on until its determinant stops falling.
+A step is one aggregation over the narrow table of statistics for all groups and starts: rows are
+summed by bins of their distance, and a group's estimate is read from its bins, whose number does
+not grow with the group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +29,12 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Share of a group's rows that a concentration step keeps.
 SUPPORT = 0.75
-#: Concentration steps.
-STEPS = 4
+#: Concentration steps of all starts, and of the best one at most.
+FIRST_STEPS, STEPS = 2, 12
+#: A step ends the search if the determinant falls by less than this share.
+FALLS = 1e-4
+#: Bins for each factor of e between squared distances, and for each unit of a statistic.
+BINS, UNIT = 64, 64
 #: Groups of fewer rows are pooled by language, and languages of fewer rows with each other.
 MIN_GROUP = 200
 #: The smallest standard deviations, by dimension: differences below them are never evidence.
@@ -38,6 +46,8 @@ CUTOFF = 35.9
 #: Median of that distribution, for scaling the distances of a group.
 CHI2_MEDIAN = 4.3515
 DIMS = len(FLOORS)
+#: Texts to be taken out that may be broadcast.
+FEW_ROWS = 1 << 20
 
 _SYMBOLS = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 _WHITE = bytes(b for b in range(256) if b not in b" \t\n\x0b\x0c\r")
@@ -116,89 +126,157 @@ def vector(n_words: str, word_chars: str, n_symbols: str, n_dup_lines: str, n_re
     ]
 
 
-def grouped_quantile(rows: DataFrame, group: str, value: Column, share: float, a_unit: int = 64) -> DataFrame:
-    """(group, bin): the smallest bin floor(value * a_unit) with at least that share at or below it.
+def chi_square(x: float, degrees: int) -> float:
+    """The chi-square distribution function, by its series."""
+    half, term = degrees / 2, 1.0
+    total, k = 0.0, 0
+    term = math.exp(-x / 2 + half * math.log(x / 2) - math.lgamma(half + 1))
+    while term > 1e-17 * total or k < 5:
+        total += term
+        k += 1
+        term *= (x / 2) / (half + k)
+    return total
+
+
+#: The chi-square value that SUPPORT of good rows stay under, and what a core's covariance is short of all rows' by.
+_INSIDE = next(x / 1000 for x in range(1, 100_000) if chi_square(x / 1000, DIMS) >= SUPPORT)
+CONSISTENCY = SUPPORT / chi_square(_INSIDE, DIMS + 2)
+_PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
+_M, _V = [f"m{i}" for i in range(DIMS)], [f"v{i}{j}" for i, j in _PAIRS]
+_STATE = ", ".join(["start int", *(f"{c} double" for c in (*_M, *_V)), "logdet double"])
+
+
+def _sums(x: list[Column]) -> list[Column]:
+    """Count, sums and products of five columns."""
+    return [F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(DIMS)), *(F.sum(x[i] * x[j]).alias(f"p{i}{j}") for i, j in _PAIRS)]
+
+
+_S, _P = [f"s{i}" for i in range(DIMS)], [f"p{i}{j}" for i, j in _PAIRS]
+
+
+def _moments(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of summed rows: n, sums, products."""
+    mean = sums[1 : 1 + DIMS] / sums[0]
+    cov = np.zeros((DIMS, DIMS))
+    for k, (i, j) in enumerate(_PAIRS):
+        cov[i, j] = cov[j, i] = sums[1 + DIMS + k] / sums[0] - mean[i] * mean[j]
+    return mean, cov
+
+
+def _state(start: int, mean: np.ndarray, cov: np.ndarray) -> list[float]:
+    """start, mean, upper triangle of the inverse, logarithm of the determinant of a covariance, no dimension of
+    which is tighter than its floor, and which is never singular."""
+    cov = cov * 0.999
+    cov[range(DIMS), range(DIMS)] = np.maximum(np.diag(cov) / 0.999, np.square(FLOORS))
+    inverse = np.linalg.inv(cov)
+    return [start, *mean, *(inverse[i, j] for i, j in _PAIRS), float(np.linalg.slogdet(cov)[1])]
+
+
+def _starts(vectors: DataFrame, group: str) -> DataFrame:
+    """(group, start, estimate): the median with the floors as spread, with the quartiles' spread, with the
+    covariance of signs, and with that of rows whose far values are drawn in."""
+    kind = dict(vectors.dtypes)[group]
+    values = vectors.select(group, F.explode(F.array(*(F.struct(F.lit(i).alias("d"), F.floor(F.col(f"x{i}") * UNIT).alias("bin")) for i in range(DIMS)))).alias("v"))
+    bins = values.groupBy(group, "v.d", "v.bin").agg(F.count("*").alias("n"))
+
+    def quartiles(rows: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {group: [rows[group].iloc[0]]}
+        for d, of in rows.sort_values("bin").groupby("d"):
+            upto = of["n"].cumsum().to_numpy()
+            low, mid, high = ((of["bin"].to_numpy()[np.searchsorted(upto, share * upto[-1])] + 0.5) / UNIT for share in (0.25, 0.5, 0.75))
+            out[f"m{d}"], out[f"r{d}"] = [mid], [max((high - low) / 1.349, FLOORS[d])]
+        return pd.DataFrame(out)
+
+    fields = ", ".join([f"{group} {kind}", *(f"m{i} double, r{i} double" for i in range(DIMS))])
+    middle = stable(bins.groupBy(group).applyInPandas(quartiles, fields))
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"r{i}") for i in range(DIMS)]
+    length = F.sqrt(sum((c * c for c in z), F.lit(0.0)) + 1e-12)
+    near = vectors.join(_small(middle), group).select(group, *(c.alias(f"z{i}") for i, c in enumerate(z)), length.alias("length"))
+    ways = F.array(F.struct(F.lit(2).alias("start"), *(F.col(f"z{i}") / F.col("length") for i in range(DIMS))), F.struct(F.lit(3).alias("start"), *(F.tanh(f"z{i}") for i in range(DIMS)))).cast(f"array<struct<start:int,{','.join(f'y{i}:double' for i in range(DIMS))}>>")
+    summed = near.select(group, F.explode(ways).alias("w")).select(group, "w.*").groupBy(group, "start").agg(*_sums([F.col(f"y{i}") for i in range(DIMS)]))
+
+    def begin(rows: pd.DataFrame, middles: pd.DataFrame) -> pd.DataFrame:
+        at = middles.iloc[0]
+        mean, spread = at[_M].to_numpy(dtype=float), at[[f"r{i}" for i in range(DIMS)]].to_numpy(dtype=float)
+        made = [_state(0, mean, np.diag(np.square(FLOORS))), _state(1, mean, np.diag(np.square(spread)))]
+        for _, r in rows.sort_values("start").iterrows():
+            _, cov = _moments(r[["n", *_S, *_P]].to_numpy(dtype=float))
+            size = np.sqrt(np.maximum(np.diag(cov), 1e-12))  # its correlations, with the quartiles' spread
+            made.append(_state(int(r["start"]), mean, cov / np.outer(size, size) * np.outer(spread, spread)))
+        return pd.DataFrame([[at[group], *m] for m in made], columns=[group, "start", *_M, *_V, "logdet"])
+
+    return stable(summed.groupBy(group).cogroup(middle.groupBy(group)).applyInPandas(begin, f"{group} {kind}, {_STATE}"))
 
-    Exact on the bins and the same for any order of rows; a group moves as its bins, not its rows.
-    """
-    bins = rows.select(group, F.floor(value * a_unit).alias("bin")).groupBy(group, "bin").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(group)
-    run = bins.select(group, "bin", F.sum("n").over(w.orderBy("bin")).alias("run"), F.sum("n").over(w).alias("all"))
-    return run.where(F.col("run") >= F.ceil(F.col("all") * share)).groupBy(group).agg(F.min("bin").alias("bin"))
 
+def _distance() -> Column:
+    d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIMS)]
+    return sum((F.lit(1.0 if i == j else 2.0) * F.col(f"v{i}{j}") * d[i] * d[j] for i, j in _PAIRS), F.lit(0.0))
 
-def _moments(rows: DataFrame, group: str) -> DataFrame:
-    x = [F.col(f"x{i}") for i in range(DIMS)]
-    means = [F.avg(x[i]).alias(f"m{i}") for i in range(DIMS)]
-    products = [F.avg(x[i] * x[j]).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]
-    return rows.groupBy(group).agg(F.count("*").alias("n"), *means, *products)
 
+def _bin() -> Column:
+    return F.floor(F.log(_distance() + 1e-9) * BINS)
 
-def _estimates(moments: DataFrame, group: str) -> DataFrame:
-    """Mean and upper triangle of the inverse covariance of each group, one small matrix a row."""
-    kind = next(f.dataType.simpleString() for f in moments.schema if f.name == group)
-    pairs = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            mean = batch[[f"m{i}" for i in range(DIMS)]].to_numpy(dtype=float)
-            cov = np.zeros((len(batch), DIMS, DIMS))
-            for i, j in pairs:
-                cov[:, i, j] = cov[:, j, i] = batch[f"p{i}{j}"].to_numpy(dtype=float) - mean[:, i] * mean[:, j]
-            spread = np.einsum("kii->ki", cov)
-            cov = cov * 0.999  # never singular, whatever the correlations
-            cov[:, range(DIMS), range(DIMS)] = np.maximum(spread, np.square(FLOORS))  # no dimension is tighter than its floor
-            inverse = np.linalg.inv(cov)
-            out = {group: batch[group]} | {f"m{i}": mean[:, i] for i in range(DIMS)} | {f"v{i}{j}": inverse[:, i, j] for i, j in pairs}
-            yield pd.DataFrame(out)
-
-    fields = [f"{group} {kind}", *(f"m{i} double" for i in range(DIMS)), *(f"v{i}{j} double" for i, j in pairs)]
-    return moments.mapInPandas(solve, ", ".join(fields))
+def _step(vectors: DataFrame, now: DataFrame, group: str, support: float) -> DataFrame:
+    """The next estimate of each group and start, from the sums of its rows by bins of distance."""
+    near = vectors.join(_small(now), group).select(group, "start", _bin().alias("bin"), *(f"x{i}" for i in range(DIMS)))
+    bins = near.groupBy(group, "start", "bin").agg(*_sums([F.col(f"x{i}") for i in range(DIMS)]))
 
+    def concentrate(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bin")
+        upto = rows["n"].cumsum().to_numpy()
+        inside = rows.iloc[: int(np.searchsorted(upto, support * upto[-1])) + 1]
+        mean, cov = _moments(inside[["n", *_S, *_P]].to_numpy(dtype=float).sum(axis=0))
+        return pd.DataFrame([[rows[group].iloc[0], *_state(int(rows["start"].iloc[0]), mean, cov * CONSISTENCY)]], columns=[group, "start", *_M, *_V, "logdet"])
 
-def _distance() -> Column:
-    d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(DIMS)]
-    return sum((F.lit(1.0 if i == j else 2.0) * F.col(f"v{i}{j}") * d[i] * d[j] for i in range(DIMS) for j in range(i, DIMS)), F.lit(0.0))
+    return stable(bins.groupBy(group, "start").applyInPandas(concentrate, f"{group} {dict(now.dtypes)[group]}, {_STATE}"))
 
 
-def estimate(vectors: DataFrame, group: str, steps: int = STEPS, support: float = SUPPORT) -> DataFrame:
+def _best(states: DataFrame, group: str) -> DataFrame:
+    """The estimate with the smallest determinant of each group; ties by start."""
+    rest = [c for c in states.columns if c != group]
+    least = states.groupBy(group).agg(F.min_by(F.struct(*rest), F.struct("logdet", "start")).alias("b"))
+    return least.select(group, *(F.col("b")[c].alias(c) for c in rest))
+
+
+def estimate(vectors: DataFrame, group: str, support: float = SUPPORT) -> DataFrame:
     """Minimum-covariance-determinant estimates: group, m*, v*, and ``scale`` of its distances.
 
-    vectors has the group and x0..x4. The start is the coordinate-wise median with the floors
-    as spread, so that no outlier leads the first step.
+    vectors has the group and x0..x4. The covariance is the core's, made consistent for normal
+    rows before floors hold; scale is what the group's median distance is over the chi-square median, 1 at least.
     """
-    medians = None
-    for i in range(DIMS):
-        one = grouped_quantile(vectors, group, F.col(f"x{i}"), 0.5).select(group, ((F.col("bin") + 0.5) / 64).alias(f"m{i}"))
-        medians = one if medians is None else medians.join(one, group)
-    start = {f"v{i}{j}": F.lit(1 / FLOORS[i] ** 2 if i == j else 0.0) for i in range(DIMS) for j in range(i, DIMS)}
-    now = stable(medians.withColumns(start))
-    beside = F.broadcast if _few(now) else (lambda df: df)  # so that a hot group's rows stay where they are
-    for _ in range(steps):
-        near = vectors.join(beside(now), group).select(group, *(f"x{i}" for i in range(DIMS)), _log_distance().alias("_ld"))
-        limits = grouped_quantile(near, group, F.col("_ld"), support)
-        core = near.join(beside(limits), group).where(F.floor(F.col("_ld") * 64) <= F.col("bin"))
-        now = stable(_estimates(_moments(core, group), group))
-    near = vectors.join(beside(now), group).select(group, _log_distance().alias("_ld"))
-    middle = grouped_quantile(near, group, F.col("_ld"), 0.5).select(group, F.greatest(F.exp((F.col("bin") + 0.5) / 64) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    return stable(now.join(middle, group))
-
-
-def _log_distance() -> Column:
-    return F.log(_distance() + 1e-9)
+    now = _starts(vectors, group)
+    for _ in range(FIRST_STEPS):
+        now = _step(vectors, now, group, support)
+    best = now = stable(_best(now, group))
+    for _ in range(STEPS):
+        after = _step(vectors, now, group, support)
+        both = after.join(best.select(group, F.col("logdet").alias("was")), group)
+        now = stable(both.where(F.col("logdet") < F.col("was") - FALLS).drop("was"))
+        if not now.limit(1).count():
+            break
+        best = stable(_best(best.unionByName(now), group))
+    bins = vectors.join(_small(best), group).groupBy(group, _bin().alias("bin")).agg(F.count("*").alias("n"))
+
+    def middle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bin")
+        upto = rows["n"].cumsum().to_numpy()
+        at = rows["bin"].to_numpy()[int(np.searchsorted(upto, 0.5 * upto[-1]))]
+        return pd.DataFrame({group: [rows[group].iloc[0]], "scale": [max(math.exp((at + 0.5) / BINS) / CHI2_MEDIAN, 1.0)]})
+
+    scales = bins.groupBy(group).applyInPandas(middle, f"{group} {dict(vectors.dtypes)[group]}, scale double")
+    return stable(best.join(scales, group).drop("start", "logdet"))
 
 
 def _group_keys(rows: DataFrame, pair: str, lang: Column, min_group: int) -> DataFrame:
     """(pair, group): the pair itself, else its language's pool, else the pool of all; small pools have no group."""
-    pools = rows.groupBy(pair, lang.alias("_lang")).agg(F.count("*").alias("_n"))
-    for level, key in (("_lang", F.concat(F.lit("language "), F.coalesce("_lang", F.lit("")))), (None, F.lit("all"))):
-        w = Window.partitionBy(level) if level else Window.partitionBy(F.lit(0))
-        left = F.when(F.col("_n") < min_group, F.col("_n")) if level else F.when(F.col("_group").isNull(), F.col("_n"))
-        pooled = F.when(F.sum(left).over(w) >= min_group, key)
-        pools = pools.withColumn("_group", F.when(F.col("_n") >= min_group, F.concat(F.lit("pair "), F.col(pair))).otherwise(pooled) if level else F.coalesce("_group", pooled))
-    return pools.select(pair, "_group")
+    pools = stable(rows.groupBy(pair, F.coalesce(lang, F.lit("")).alias("_lang")).agg(F.count("*").alias("_n")))
+    own = F.when(F.col("_n") >= min_group, F.concat(F.lit("pair "), F.col(pair)))
+    of_language = pools.where(F.col("_n") < min_group).groupBy("_lang").agg(F.sum("_n").alias("_l"))
+    pools = pools.join(_small(of_language), "_lang", "left").withColumn("_group", F.coalesce(own, F.when(F.col("_l") >= min_group, F.concat(F.lit("language "), F.col("_lang")))))
+    left = pools.where("_group is null").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_a"))
+    pools = pools.crossJoin(F.broadcast(left))  # one row
+    return pools.select(pair, F.coalesce("_group", F.when(F.col("_a") >= min_group, F.lit("all"))).alias("_group"))
 
 
 def _few(df: DataFrame, rows: int = 50_000) -> bool:
@@ -254,9 +332,16 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROU
     width = len(docs.columns)
     inner = docs.toDF(*(f"c{i}" for i in range(width)))  # so that no name of docs meets one of ours
     named = {c: f"c{docs.columns.index(c)}" for c in ("text", "lang", "source")}
-    rows, names = with_statistics(inner.withColumnsRenamed({v: k for k, v in named.items()}))
-    rows = rows.withColumn("_pair", _pair())
-    estimates, keys = _fit(stable(rows.select("lang", *names, "_pair")), names, min_group)
-    kept = _verdicts(rows, names, estimates, keys, "_base", "_kept", cutoff).where("_kept")
+    inner = inner.withColumnsRenamed({v: k for k, v in named.items()})
     back = {v: k for k, v in named.items()}
+    rows, names = with_statistics(inner)
+    rows = rows.withColumn("_pair", _pair())
+    keys_of_row = {"_k1": F.xxhash64("text", "lang", "source"), "_k2": F.xxhash64(F.lit(1), "source", "lang", "text")}
+    narrow = stable(rows.withColumns(keys_of_row).select("lang", *names, "_pair", *keys_of_row))
+    estimates, keys = _fit(narrow, names, min_group)
+    gone = stable(_verdicts(narrow, names, estimates, keys, "_base", "_kept", cutoff).where(~F.col("_kept")).select(*keys_of_row).distinct())
+    if _few(gone, FEW_ROWS):  # what goes is taken out, and no text is looked at twice
+        kept = inner.withColumns(keys_of_row).join(F.broadcast(gone), list(keys_of_row), "left_anti")
+    else:
+        kept = _verdicts(rows, names, estimates, keys, "_base", "_kept", cutoff).where("_kept")
     return kept.select(*(F.col(back.get(f"c{i}", f"c{i}")).alias(docs.columns[i]) for i in range(width)))

@@ -101,12 +101,54 @@ def test_small_groups_are_pooled(spark):
     assert {r["_group"] for r in Q._group_keys(rows, "_pair", F.col("lang"), 70).collect()} == {"all"}
 
 
-def test_estimate_is_the_robust_one(spark):
+def mcd(x, starts=60):
+    """A plain search: random starts, concentration steps until the determinant stops falling."""
+    rng = np.random.default_rng(1)
+    h, best = int(np.ceil(Q.SUPPORT * len(x))), None
+    for _ in range(starts):
+        at = rng.choice(len(x), 6, replace=False)
+        last = np.inf
+        while True:
+            cov = np.cov(x[at].T, bias=True) * Q.CONSISTENCY * 0.999
+            cov[range(5), range(5)] = np.maximum(np.diag(cov) / 0.999, np.square(Q.FLOORS))
+            det, mean = np.linalg.slogdet(cov)[1], x[at].mean(axis=0)
+            if len(at) == h and det >= last - 1e-9:
+                break
+            last = det if len(at) == h else np.inf
+            d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+            at = np.argsort(d, kind="stable")[:h]
+        if best is None or det < best[0]:
+            best = det, mean, cov
+    _, mean, cov = best
+    d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+    return d / max(np.median(d) / Q.CHI2_MEDIAN, 1.0)
+
+
+def test_estimates_reject_what_a_plain_search_rejects(spark):
     rng = np.random.default_rng(2)
-    good, bad = rng.normal(0, 1, (900, 5)) + 3, rng.normal(0, 0.1, (100, 5)) + 40
-    rows = [("g", *map(float, x)) for x in np.concatenate([good, bad])]
-    e = Q.estimate(spark.createDataFrame(rows, "k string, " + ", ".join(f"x{i} double" for i in range(5))), "k").first()
-    assert max(abs(e[f"m{i}"] - 3) for i in range(5)) < 0.25
+    tables = {}
+    for g, bad in (("a", 0), ("b", 80), ("c", 240)):
+        mixed = rng.normal(0, 1, (1000 - bad, 5)) @ np.array([[1.0, 0.5, 0, 0, 0], [0, 0.8, 0.2, 0, 0], [0, 0, 1, 0, 0], [0, 0, 0.3, 0.1, 0], [0, 0, 0, 0, 0.2]]) + 3
+        tables[g] = np.concatenate([mixed, rng.normal(0, 0.3, (bad, 5)) + rng.choice([9, -4], (bad, 1))])
+    rows = [(g, *map(float, x)) for g, xs in tables.items() for x in xs]
+    vectors = spark.createDataFrame(rows, "k string, " + ", ".join(f"x{i} double" for i in range(5)))
+    estimates = {r["k"]: r for r in Q.estimate(vectors, "k").collect()}
+    for g, xs in tables.items():
+        e, d = estimates[g], xs - [estimates[g][f"m{i}"] for i in range(5)]
+        inverse = np.array([[e[f"v{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)])
+        got, want = np.einsum("ni,ij,nj->n", d, inverse, d) / e["scale"], mcd(xs)
+        assert ((got > Q.CUTOFF) != (want > Q.CUTOFF)).mean() <= 0.005
+        assert (got > Q.CUTOFF)[len(xs) - {"a": 0, "b": 80, "c": 240}[g] :].all()
+
+
+def test_chi_square():
+    assert abs(Q.chi_square(Q.CHI2_MEDIAN, 5) - 0.5) < 1e-4 and abs(1 - Q.chi_square(Q.CUTOFF, 5) - 1e-6) < 1e-7
+
+
+def test_kept_without_few(docs, monkeypatch):
+    few = sorted(r["doc_id"] for r in Q.keep_good(docs).collect())
+    monkeypatch.setattr(Q, "FEW_ROWS", 0)
+    assert sorted(r["doc_id"] for r in Q.keep_good(docs).collect()) == few == sorted(r["doc_id"] for r in Q.judged(docs).where("kept").collect())
 
 
 def test_odd_rows(odd, empty):

@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, fresh, prepare, utf8, with_fields
+from ..session import written
+from .common import attach, fresh, prepare, slices, utf8, with_fields
 
 #: A window: so many consecutive words of an item.
 WINDOW = 13
-#: Bytes of item texts in one automaton; more items make more automata, each streamed in turn.
+#: Bytes of item texts in one automaton; more items make more automata, each a pass of its own.
 BLOCK_BYTES = 1 << 20
+#: Spans, items and keys of all hits that are broadcast, at most.
+FEW_NUMBERS = 1 << 21
 
 #: Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: digits, a-z and non-ASCII.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -146,15 +149,17 @@ class ItemAutomaton:
             spans.append((start, end))
 
 
-def _blocks(items: DataFrame, block_bytes: int, window: int) -> Iterator[Broadcast]:
-    """Broadcast automata of at most about block_bytes of item text each, one at a time."""
-    sc = items.sparkSession.sparkContext
+def _blocks(items: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """Distinct items (id, text, block) and the number of blocks of about block_bytes of text."""
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text").where("text is not null").distinct()
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    for k in range(n):
-        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield sc.broadcast(ItemAutomaton([(r["id"], r["text"].encode()) for r in block.collect()], window))
+    n = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+    return (written(rows, "items") if n > 1 else rows), n
+
+
+def _automaton(rows: DataFrame, k: int, window: int) -> Broadcast:
+    """The automaton of a block's items, whose bytes are bounded."""
+    return rows.sparkSession.sparkContext.broadcast(ItemAutomaton([(r["id"], r["text"].encode()) for r in rows.where(F.col("block") == k).collect()], window))
 
 
 def _join_spans(old: list, new: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -174,39 +179,80 @@ _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
     """docs with three columns more, and their names: n_words, spans of hit words, item ids.
 
-    Texts are never shuffled: each block of items is one narrow pass over the rows. Every row
-    has its own result, repeated rows too. A null text has no words; a null item text is no
-    item; a null item id counts as the empty id. Without items there are no hits.
+    Items of one block are one narrow pass over the rows, and no text moves. Of more blocks each
+    is a pass of its own, which writes what it hits and ends before the next one's automaton is
+    made; texts then meet their hits where they are while these are few. Every row has its own
+    result, repeated rows too. A null text has no words; a null item text is no item; a null item
+    id counts as the empty id. Without items there are no hits.
     """
     prepare(docs.sparkSession)
+    rows, blocks = _blocks(items, block_bytes)
+    if blocks == 1:
+        return _with_hits(docs, _automaton(rows, 0, window), None)
+    found = None
+    for k in range(blocks):
+        one = _block_hits(docs, rows, k, window)
+        found = one if found is None else found.unionByName(one)
+    return _with_hits(docs, None, found)
+
+
+#: A text is known by two hashes, as its hits depend on nothing else.
+_KEYS = {"k1": F.xxhash64, "k2": lambda text: F.xxhash64(F.lit(1), text)}
+
+
+def _block_hits(docs: DataFrame, items: DataFrame, k: int, window: int) -> DataFrame:
+    """(k1, k2, spans, items) of distinct texts that a block hits, written; its automaton is gone afterwards."""
+    automaton = _automaton(items, k, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0):
+                hits = [(a, b, *automaton.value.stream(fold(data).split())) for data, a, b in zip(utf8(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True) if data]
+                hits = [h for h in hits if h[2]]
+                columns = [pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in h[2]] for h in hits], _ARROW_SPANS), pa.array([sorted(h[3]) for h in hits], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "spans", "items"])
+
+    keyed = docs.select("text", *(f("text").alias(n) for n, f in _KEYS.items()))
+    found = written(keyed.mapInArrow(run, T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])).dropDuplicates(["k1", "k2"]), "hits")
+    automaton.destroy()
+    return found
+
+
+def _with_hits(docs: DataFrame, automaton: Broadcast | None, hits: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """docs with n_words, spans and items: of the automaton, or of hits (k1, k2, spans, items) of any blocks."""
     names = fresh(docs, "n_words", "hit_spans", "hit_items")
     n_words, spans, found = names
     at, width = docs.columns.index("text"), len(docs.columns)
-    out = docs.withColumns({n_words: F.lit(None).cast("long"), spans: F.lit(None).cast(_SPANS), found: F.lit(None).cast("array<string>")})
     schema = with_fields(docs.schema, (n_words, T.LongType()), (spans, _SPANS), (found, T.ArrayType(T.StringType())))
-
-    def step(automaton: Broadcast | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = automaton.value if automaton else None
-            for batch in batches:
+    rows = docs
+    if hits is not None:
+        every = hits.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias(spans), F.array_distinct(F.flatten(F.collect_list("items"))).alias(found))
+        every = written(every, "hits")
+        k1, k2, salt = fresh(docs, "k1", "k2", "salt")
+        keyed = docs.withColumns({k1: _KEYS["k1"](F.col("text")), k2: _KEYS["k2"](F.col("text"))})
+        size = every.agg(F.coalesce(F.sum(F.size(spans) + F.size(found) + 4), F.lit(0))).first()[0]
+        if size <= FEW_NUMBERS:
+            rows = keyed.join(F.broadcast(every.withColumnsRenamed({"k1": k1, "k2": k2})), [k1, k2], "left")
+        else:  # copies of a text are spread by where they are read
+            spread = every.withColumnsRenamed({"k1": k1, "k2": k2}).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(15))))
+            rows = keyed.withColumn(salt, F.spark_partition_id() % 16).join(spread, [k1, k2, salt], "left")
+        rows = rows.select(*docs.columns, spans, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, at):
                 counts, all_spans, all_items = [], [], []
-                before = zip(batch.column(spans).to_pylist(), batch.column(found).to_pylist(), strict=True)
-                for data, (old_spans, old_items) in zip(utf8(batch.column(at)), before, strict=True):
+                others = zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True) if automaton is None else repeat((None, None))
+                for data, (old_spans, old_items) in zip(utf8(batch.column(at)), others, strict=automaton is None):
                     words = fold(data).split() if data else []
-                    hit, ids = machine.stream(words) if machine else ([], set())
+                    hit, ids = automaton.value.stream(words) if automaton else (_join_spans(old_spans or [], []), old_items or ())
                     counts.append(len(words))
-                    all_spans.append([{"start": s, "end": e} for s, e in (_join_spans(old_spans, hit) if old_spans else hit)])
-                    all_items.append(sorted(ids.union(old_items or ())))
+                    all_spans.append([{"start": s, "end": e} for s, e in hit])
+                    all_items.append(sorted(ids))
                 kept = pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
                 yield attach(kept, {n_words: pa.array(counts, pa.int64()), spans: pa.array(all_spans, _ARROW_SPANS), found: pa.array(all_items, pa.list_(pa.string()))})
 
-        return run
-
-    any_block = False
-    for automaton in _blocks(items, block_bytes, window):
-        any_block = True
-        out = out.mapInArrow(step(automaton), schema)
-    return out if any_block else out.mapInArrow(step(None), schema), names
+    return rows.mapInArrow(run, schema), names
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -44,10 +44,14 @@ def test_query_equals_sql(spark, sf):
     same(op1_decontamination(spark, sf), tables(sf), oracle_sql()["op1_decontamination"])
 
 
-def test_blocks_give_the_same(spark, sf, docs):
+def test_blocks_give_the_same(spark, sf, docs, monkeypatch):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     one = sorted(map(tuple, D.contamination(docs, items).collect()))
     assert sorted(map(tuple, D.contamination(docs, items, block_bytes=1500).collect())) == one
+    monkeypatch.setattr(D, "FEW_NUMBERS", -1)
+    assert sorted(map(tuple, D.contamination(docs, items, block_bytes=1500).collect())) == one
+    plan = D.contamination(docs, items, block_bytes=1500)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # no block's automaton is in another's action
 
 
 def test_odd_rows(spark, odd, empty):

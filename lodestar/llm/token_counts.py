@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from .common import attach, fresh, prepare, text_bytes, with_fields
 
-#: Text that is encoded at once, in characters; batches are filled up to it whatever their rows.
-BATCH_CHARS = 1 << 18
+#: Text that is encoded at once, in bytes; batches are filled up to it whatever their rows.
+BATCH_BYTES = 1 << 18
 #: Longer texts are split into pieces of about so many characters.
 PIECE_CHARS = 1 << 14
 #: Texts above it are over the limit of a context.
@@ -57,13 +57,13 @@ def safe_pieces(text: str, size: int) -> list[str]:
     return [*out, text[at:]]
 
 
-def count_tokens(texts: list[str | None], path: str, batch_chars: int = BATCH_CHARS, piece_chars: int = PIECE_CHARS) -> list[int]:
+def count_tokens(texts: list[str | None], path: str, batch_bytes: int = BATCH_BYTES, piece_chars: int = PIECE_CHARS) -> list[int]:
     """Tokens of each text; null counts as empty."""
     model, safe = sentencepiece_model(path)
     counts = [0] * len(texts)
     batch: list[str] = []
     owner: list[int] = []
-    chars = 0
+    held = 0  # bytes, by which batches are balanced
 
     def flush() -> None:
         for i, ids in zip(owner, model.encode(batch, num_threads=1), strict=True):
@@ -75,10 +75,10 @@ def count_tokens(texts: list[str | None], path: str, batch_chars: int = BATCH_CH
         for piece in safe_pieces(text, piece_chars) if text and safe else [text or ""]:
             batch.append(piece)
             owner.append(i)
-            chars += len(piece)
-            if chars >= batch_chars:
+            held += len(piece.encode())
+            if held >= batch_bytes:
                 flush()
-                chars = 0
+                held = 0
     if batch:
         flush()
     return counts

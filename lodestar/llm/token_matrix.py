@@ -87,11 +87,10 @@ def position_ids(cu_seqlens: list[int]) -> np.ndarray:
     return np.arange(cu[-1]) - np.repeat(cu[:-1], np.diff(cu))
 
 
-_FIELDS = [
-    ("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())),
-    ("position_resets", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())),
-]
-_SCHEMA = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>"
+def _fields(doc_id: pa.DataType) -> list[tuple[str, pa.DataType]]:
+    """The columns of packed rows, for documents with ids of a type."""
+    ints = pa.list_(pa.int32())
+    return [("sequence_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", ints), ("position_resets", ints), ("doc_ids", pa.list_(doc_id)), ("starts", pa.list_(pa.int64()))]
 
 
 def packed_ids(docs: DataFrame, width: int = WIDTH, window_tokens: int = WINDOW_TOKENS, ranks: str | None = None, json: str | None = None) -> DataFrame:
@@ -101,12 +100,12 @@ def packed_ids(docs: DataFrame, width: int = WIDTH, window_tokens: int = WINDOW_
     ``width`` of them, filled up with the end id behind n_tokens. A document is its ids and the
     end id; a null or empty text is the end id alone. Segment k is ids[cu_seqlens[k] :
     cu_seqlens[k + 1]] and stands at starts[k] of document doc_ids[k]. Repeated rows are packed
-    each; a null doc_id stays null; an empty table gives no rows; other columns are not read.
+    each; doc_ids are of doc_id's type, a null one stays null; an empty table gives no rows; other columns are not read.
     """
     prepare(docs.sparkSession)
     ranks, json = ranks or default_ranks(), json or default_json()
 
-    def pack(held: list[tuple[int | None, int, np.ndarray]], first: int) -> pa.RecordBatch:
+    def pack(held: list[tuple], first: int, fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
         bins = best_fit_decreasing([len(x[2]) for x in held], width)
         out = []
         for k, members in enumerate(bins):
@@ -117,28 +116,30 @@ def packed_ids(docs: DataFrame, width: int = WIDTH, window_tokens: int = WINDOW_
                 row[cu[-1] : cu[-1] + len(ids)] = ids
                 cu.append(cu[-1] + len(ids))
             out.append((first + k, cu[-1], row.tobytes(), cu, cu[:-1], [held[i][0] for i in members], [held[i][1] for i in members]))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int | None, int, np.ndarray]] = []
-        tokens, next_id = 0, TaskContext.get().partitionId() << 33
+        held: list[tuple] = []  # a document's id, where a segment starts in it, the segment's ids
+        tokens, next_id, fields = 0, TaskContext.get().partitionId() << 33, None
         for batch in batches:
+            fields = _fields(batch.column(0).type)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text, ranks, json), END_ID).astype("<u2")
                 held += [(doc_id, s, ids[s : s + n]) for s, n in segments(len(ids), width)]
                 tokens += len(ids)
             if tokens >= window_tokens:
-                made = pack(held, next_id)
+                made = pack(held, next_id, fields)
                 next_id += made.num_rows
                 held, tokens = [], 0
                 for at in range(0, made.num_rows, 1024):
                     yield made.slice(at, 1024)
         if held:
-            made = pack(held, next_id)
+            made = pack(held, next_id, fields)
             for at in range(0, made.num_rows, 1024):
                 yield made.slice(at, 1024)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{kind}>, starts array<long>")
 
 
 def write_packed(docs: DataFrame, path: str, width: int = WIDTH) -> None:

@@ -46,6 +46,30 @@ def test_ids_equal_the_json_library_over_every_code_point():
         assert B.encode(t, ranks, json).tolist() == (tk.encode(t, add_special_tokens=False).ids if t else [])
 
 
+def odd_texts(n, seed):
+    """Mixtures of words, blanks, marks, special strings, scripts and long runs."""
+    import random
+
+    rng = random.Random(seed)
+    parts = ["the", " ", "  ", "\n", "\t\t", "▁", "<s>", "</s>", "<unk>", "<|endoftext|>", "[MASK]", "naïve", "漢字", "😀", "e\u0301", "\u200b", "\ufeff", "\u00a0", "don't", "1234567", "3.14", "ＦＵＬＬ", "a" * 40, "-" * 30, "é" * 20, "\x00", "\r\n", "ﬁ"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(n)]
+
+
+def test_odd_mixtures_count_and_encode_as_the_libraries_do():
+    texts = odd_texts(3000, 11)
+    model, _ = C.sentencepiece_model(C.default_model())
+    assert C.count_tokens(texts, C.default_model(), piece_chars=20) == [len(x) for x in model.encode(texts)]
+    ranks, json = B.default_ranks(), B.default_json()
+    tk = B.exact(json)
+    for t, e in zip(texts, tk.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert B.encode(t, ranks, json).tolist() == e.ids
+
+
+def test_matrix_of_other_ids(spark):
+    rows = M.packed_ids(spark.createDataFrame([("a", "x y"), (None, "z")], "doc_id string, text string")).collect()
+    assert sorted(map(str, (d for r in rows for d in r["doc_ids"]))) == ["None", "a"]
+
+
 def ids_of(df, end):
     tk = B.exact(B.default_json())
     return sorted(([*tk.encode(r["text"] or "", add_special_tokens=False).ids, end] for r in df.collect()), key=str)

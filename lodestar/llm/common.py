@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -89,14 +90,33 @@ def attach(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
 
 
-def words_of(data: bytes | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes."""
-    return data.split() if data else []
-
-
-def parts(spark: SparkSession, rows: int, each: int) -> int:
-    """As many partitions as rows of a narrow table need, each of them large enough to be worth a task."""
-    return max(spark.sparkContext.defaultParallelism, -(-rows // each))
+def count_limit(df: DataFrame, count: str, bound: int) -> tuple[int, bool]:
+    """The least count, or nearly, that at most ``bound`` rows reach, and whether there are others.
+
+    Limits are all counts up to 40 and a quarter apart from there on.
+    """
+    c = F.col(count)
+    place = F.when(c < 40, c).otherwise(40 + F.floor(F.log(c / 40) / math.log(1.25))).cast("int")
+    sizes = dict(df.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect())  # some two hundred rows at most
+    upto, k = 0, 240
+    while k > 0 and upto + sizes.get(k, 0) <= bound:
+        upto += sizes.get(k, 0)
+        k -= 1
+    least = 0 if k == 0 and upto + sizes.get(0, 0) <= bound else k + 1 if k < 40 else math.ceil(40 * 1.25 ** (k + 1 - 40))
+    return least, least > 0
+
+
+def join_frequent(rows: DataFrame, table: DataFrame, keys: str | list[str], count: str, bound: int) -> DataFrame:
+    """rows joined with table by its unique keys. Keys that many rows may have, by count, are broadcast,
+    ``bound`` of them at most, so that no task gets all rows of one of them."""
+    keys = [keys] if isinstance(keys, str) else keys
+    least, others = count_limit(table, count, bound)
+    often = F.broadcast(table.where(F.col(count) >= least))
+    out = rows.join(often, keys)
+    if not others:
+        return out
+    rest = rows.join(often.select(*keys), keys, "left_anti").join(table.where(F.col(count) < least), keys)
+    return out.unionByName(rest)
 
 
 def text_bytes(column: str) -> F.Column:

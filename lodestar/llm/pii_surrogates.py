@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, fresh, prepare, stable, with_fields
+from ..session import written
+from .common import fresh, join_frequent, prepare, slices, stable, with_fields
 
-#: Draws that keep the format; later ones make the surrogate longer, so that they always end.
-SAME_FORMAT_DRAWS = 6
+#: Draws that keep the format; later ones, when a format is nearly used up, make the surrogate longer, so that they always end.
+SAME_FORMAT_DRAWS = 12
+#: Entities of texts that are broadcast to them, and entities of one value that one task may join.
+FEW_ENTITIES, OFTEN = 1 << 20, 1 << 15
 
 # Honorifics by gender (f, m), and letters that make names in a script.
-HONORIFICS = {"Mr": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Господин": "m", "Госпожа": "f"}
+HONORIFICS = {"Mr": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Господин": "m", "Госпожа": "f", "Dr": "n", "Prof": "n", "Professor": "n"}
 SYLLABLES = {
     "latin": ("b d f g h k l m n p r s t v".split(), "a e i o u".split(), {"f": "a", "m": "n"}),
     "cyrillic": ("б в г д ж з к л м н п р с т".split(), "а е и о у".split(), {"f": "а", "m": "н"}),
@@ -48,11 +51,14 @@ PATTERNS = [
     ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,})"), 1),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"), 0),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"), 0),
+    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]?\d{5,8})(?!\d)"), 0),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
     ("card", re.compile(r"(?<![\d.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])"), 0),
     ("name", re.compile(r"\b(?:" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + r")\.?[ \u00a0](?:(?:Dr|Prof|Dipl|Ing|Mag)\b\.?[- \u00a0])*"), 0),
 ]
+#: Words that a person's own name follows, in any language of the patterns.
+INTRODUCTIONS = ("my name is", "My name is", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo")
+_INTRODUCED = re.compile(r"(?<!\w)(?:" + "|".join(INTRODUCTIONS) + r")[ \u00a0]")
 _DIGIT, _WORDY = re.compile(r"\d"), re.compile(r"(?i)passw|pwd|secret|token|api.?key|access.?key")
 _HONOR = re.compile("|".join(sorted(HONORIFICS, key=len, reverse=True)))
 _WORD, _PART, _TOKEN = re.compile(_NAME), re.compile(_LETTERS), re.compile(rf"(?<!\w){_NAME}(?!\w)")
@@ -155,8 +161,8 @@ def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[i
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, value) in order; where two overlap, the earlier pattern of the list wins.
 
-    A name is the whole run of capitalised words and initials behind an honorific and has the
-    honorific's gender in its type. Where the text has it again, in full or its family name
+    A name is the whole run of capitalised words and initials behind an honorific or an
+    introduction ("my name is") and has the honorific's gender in its type, n if it has none. Where the text has it again, in full or its family name
     alone, that is an entity too.
     """
     if not text:
@@ -175,6 +181,10 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 named = f"name_{HONORIFICS[_HONOR.match(m[0])[0]]}"
             if _holds(kind, value) and not any(s < end and start < e for s, e, _, _ in found):
                 found.append((start, end, named, value))
+    for m in _INTRODUCED.finditer(text) if "m" in text else ():
+        start, end = m.end(), _name_end(text, m.end())
+        if end > start and not any(s < end and start < e for s, e, _, _ in found):
+            found.append((start, end, "name_n", text[start:end]))
     return sorted(found + _mentions(text, found))
 
 
@@ -291,20 +301,31 @@ def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
     return out + str(d.below(10**9)) if more and kind not in ("email", "ip") and not kind.startswith(("word_", "name_")) else out
 
 
-def with_entities(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs and an array of distinct (kind, value) of each text, and that column's name."""
+def in_case_of(value: str, made: str) -> str:
+    """What was made for an address in small letters, with capitals where the value has them before its last dot."""
+    end = min(value.rfind("."), len(made))
+    return "".join(m.upper() if v.isupper() else m for v, m in zip(value[:end], made[:end], strict=True)) + made[end:]
+
+
+_FOUND = "array<struct<start:int,end:int,kind:string,value:string>>"
+_ARROW_FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+#: A text is known by two hashes, as its entities depend on nothing else.
+_KEYS = {"k1": F.xxhash64, "k2": lambda text: F.xxhash64(F.lit(1), text)}
+
+
+def found_in(docs: DataFrame) -> DataFrame:
+    """(k1, k2, found) of distinct texts that have entities: the one pass that looks for them."""
     prepare(docs.sparkSession)
-    (name,) = fresh(docs, "entities")
-    at = docs.columns.index("text")
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
-    schema = with_fields(docs.schema, (name, T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"kind": k, "value": v} for k, v in dict.fromkeys((k, v) for _, _, k, v in entities(t))] for t in batch.column(at).to_pylist()]
-            yield attach(batch, {name: pa.array(found, kind)})
+            for part in slices(batch, 0):
+                hits = [(a, b, e) for t, a, b in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True) if (e := entities(t))]
+                found = [[{"start": s, "end": e, "kind": k, "value": v} for s, e, k, v in h[2]] for h in hits]
+                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), pa.array(found, _ARROW_FOUND)], names=["k1", "k2", "found"])
 
-    return docs.mapInArrow(run, schema), name
+    keyed = docs.select("text", *(f("text").alias(n) for n, f in _KEYS.items()))
+    return written(keyed.mapInArrow(run, f"k1 long, k2 long, found {_FOUND}").dropDuplicates(["k1", "k2"]), "entities")
 
 
 def surrogates(found: DataFrame, key: bytes) -> DataFrame:
@@ -356,34 +377,42 @@ def surrogates(found: DataFrame, key: bytes) -> DataFrame:
 def _replaced(docs: DataFrame, key: bytes) -> tuple[DataFrame, str]:
     """docs with surrogates in its text, and a count of replaced mentions, whose name is second.
 
-    Texts without entities aren't shuffled. The others meet their own entities' surrogates by
-    the hash of id and text; a surrogate found by another row's equal hash is not used.
+    Texts are looked through once. Their entities meet surrogates as narrow rows, and what is to
+    be put where is broadcast to the texts while it is little; beyond that texts are joined.
     """
-    marked, name = with_entities(docs)
-    row, pairs, count = fresh(marked, "_row", "_pairs", "n_entities")
-    seen, seen_name = with_entities(docs.select("doc_id", "text"))
-    mentions = stable(seen.where(F.size(seen_name) > 0).select(F.xxhash64("doc_id", "text").alias("row"), F.explode(seen_name).alias("e")).select("row", F.col("e")["kind"].alias("kind"), F.col("e")["value"].alias("value")))
-    mapping = surrogates(mentions, key)
-    own = mentions.join(mapping, ["kind", "value"]).groupBy("row").agg(F.collect_set(F.struct("kind", "value", "surrogate")).alias("pairs"))
-    clean = marked.where(F.size(name) == 0).select(*docs.columns, F.lit(0).cast("long").alias(count))
-    some = marked.where(F.size(name) > 0).withColumn(row, F.xxhash64("doc_id", "text")).join(own.select(F.col("row").alias(row), F.col("pairs").alias(pairs)), row, "left").select(*docs.columns, pairs)
+    found = found_in(docs)
+    unit = F.when(F.col("e")["kind"] == "email", F.lower(F.col("e")["value"])).otherwise(F.col("e")["value"])
+    mentions = written(found.select("k1", "k2", F.explode("found").alias("e")).select("k1", "k2", F.col("e")["kind"].alias("kind"), unit.alias("value"), "e"), "mentions")
+    times = mentions.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    mapping = written(surrogates(mentions, key).join(times, ["kind", "value"]), "surrogates")
+    put = join_frequent(mentions, mapping, ["kind", "value"], "n", OFTEN).select("k1", "k2", F.struct(F.col("e")["start"].alias("start"), F.col("e")["end"].alias("end"), "kind", "surrogate").alias("p"))
+    put = written(put.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("p")).alias("puts")), "puts")
+    few = (put.agg(F.sum(F.size("puts"))).first()[0] or 0) <= FEW_ENTITIES
+    k1, k2, salt, puts, count = fresh(docs, "_k1", "_k2", "_salt", "_puts", "n_entities")
+    keyed = docs.withColumns({k1: _KEYS["k1"](F.col("text")), k2: _KEYS["k2"](F.col("text"))})
+    put = put.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("puts").alias(puts))
+    if few:
+        joined = keyed.join(F.broadcast(put), [k1, k2], "left")
+    else:  # copies of a text are spread by where they are read
+        joined = keyed.withColumn(salt, F.spark_partition_id() % 16).join(put.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(15)))), [k1, k2, salt], "left")
     at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, counts = [], []
-            for text, known in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
-                to = {(x["kind"], x["value"]): x["surrogate"] for x in known}
-                out, end, hits = [], 0, entities(text)
-                for s, e, kind, value in hits:
-                    out += [text[end:s], to[kind, value]]
-                    end = e
-                texts.append("".join([*out, text[end:]]))
-                counts.append(len(hits))
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(width)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*batch.schema.names[:width], count])
-
-    return clean.union(some.mapInArrow(run, with_fields(docs.schema, (count, T.LongType())))), count
+        for whole in batches:
+            for batch in slices(whole, at):
+                texts, counts = [], []
+                for text, known in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
+                    out, end = [], 0
+                    for p in known or ():
+                        made = in_case_of(text[p["start"] : p["end"]], p["surrogate"]) if p["kind"] == "email" else p["surrogate"]
+                        out += [text[end : p["start"]], made]
+                        end = p["end"]
+                    texts.append("".join([*out, text[end:]]) if known else text)
+                    counts.append(len(known or ()))
+                columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(width)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*batch.schema.names[:width], count])
+
+    return joined.select(*docs.columns, puts).mapInArrow(run, with_fields(docs.schema, (count, T.LongType()))), count
 
 
 def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:

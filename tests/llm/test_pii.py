@@ -101,3 +101,46 @@ def test_many_names_agree_with_their_short_forms(spark):
         assert got["name_f", f] == got["name_m", f] == got["name_f", f"Kim {f}"].split(" ")[1] == got["name_m", f"Kim {f}"].split(" ")[1]
     for draw in range(12):
         assert all(int(o) < 256 for o in P.surrogate(KEY, "ip", "10.1.2.3", draw).split("."))
+
+
+def test_addresses_agree_whatever_their_case(spark):
+    docs = spark.createDataFrame([(1, "to Jane.Roe@Mail.example.com"), (2, "cc jane.roe@mail.EXAMPLE.com, JANE.ROE@mail.example.com")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in P.private_documents(docs, KEY).collect()}
+    one, (two, three) = out[1].split(" ")[1], out[2][3:].split(", ")
+    assert one.lower() == two.lower() == three.lower() and one[0].isupper() and two.split("@")[0].islower() and three.split("@")[0].isupper()
+
+
+def test_names_without_gender_and_national_numbers():
+    got = [(k, v) for _, _, k, v in P.entities("My name is Anna Kowalska. Dr Jane Roe, phone 0301234567 or 0171/5551234. In 2020 he came to me.")]
+    assert got == [("name_n", "Anna Kowalska"), ("name_n", "Jane Roe"), ("phone", "0301234567"), ("phone", "0171/5551234")]
+
+
+def test_joined_texts_are_the_same(docs, monkeypatch):
+    many = docs.select("doc_id", F.concat_ws(" ", "text", F.lit(TEXT)).alias("text")).where("doc_id < 20").union(docs.select("doc_id", "text").where("doc_id >= 180"))
+    few = sorted(map(tuple, P.private_documents(many, KEY).collect()))
+    monkeypatch.setattr(P, "FEW_ENTITIES", -1)
+    monkeypatch.setattr(P, "OFTEN", 3)
+    assert sorted(map(tuple, P.private_documents(many, KEY).collect())) == few
+
+
+def brute(values, key):
+    """Rounds of draws over a list: what clashes with a value or an earlier surrogate, or isn't the least to have it, draws again."""
+    taken, settled, pending, draw = set(values), {}, sorted(values), 0
+    while pending:
+        made = {}
+        for k, v in pending:
+            out = (k, P.surrogate(key, k, v, draw))
+            if out not in taken:
+                made.setdefault(out, v)
+        for (k, out), v in made.items():
+            settled[k, v] = out
+            taken.add((k, out))
+        pending = [x for x in pending if x not in settled]
+        draw += 1
+    return settled
+
+
+def test_mapping_equals_rounds_over_a_list(spark):
+    rows = [("ip", f"{a}.{b}.{c}.1") for a in range(1, 10) for b in range(10) for c in range(10)] + [("phone", f"+1 20{n:02d}") for n in range(40)]
+    got = {(r["kind"], r["value"]): r["surrogate"] for r in P.surrogates(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()}
+    assert got == brute(rows, KEY)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -24,7 +27,28 @@ class EngineConfig:
     bm25_epsilon: float = 0.25
     rrf_k: int = 60
     index_non_source: bool = True
-    strict_lexical_payload: bool = False
+
+    @classmethod
+    def load(cls, path: str | None = None, environment: Mapping[str, str] | None = None, prefix: str = "LODESTAR_") -> EngineConfig:
+        """Defaults, what a JSON file has of them, and what the environment has under the prefix, the last one first."""
+        given = {}
+        if path:
+            with open(path, encoding="utf-8") as f:
+                given = json.load(f)
+        for name, value in (os.environ if environment is None else environment).items():
+            if name.startswith(prefix):
+                given[name.removeprefix(prefix).lower()] = value
+        known = {f.name: f.type for f in fields(cls)}
+        if unknown := sorted(set(given) - set(known)):
+            raise ValueError(f"no such settings: {', '.join(unknown)}")
+        return cls(**{k: _as(known[k], v) for k, v in given.items()})
+
+
+def _as(kind: str, value: object) -> object:
+    """A value of a setting's type; texts of yes and no are booleans."""
+    if kind == "bool" and isinstance(value, str):
+        return value.strip().lower() in ("1", "true", "yes", "on")
+    return {"int": int, "float": float, "bool": bool}[kind](value)
 
 
 DEFAULT = EngineConfig()

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.catalog import upserted
 from ..operators.parse import parse_files, symbols_of
-from ..session import with_package
+from ..session import removed, with_package, written
 from ..sources.files import classified
 
 
@@ -24,42 +23,40 @@ def file_stream(spark: SparkSession, root: str, repository_id: str) -> DataFrame
 def index_files(stream: DataFrame, target: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Keep a table of symbols under target up to date with the stream.
 
-    A micro-batch replaces the symbols of its files. Versions are written side by side and the
-    batch's number names the newest, so a batch that is run again gives the same table.
+    A micro-batch writes the symbols of its own files and nothing else; of a file that comes again
+    the newest batch counts. A batch that is run again writes the same folder anew.
     """
-    spark = with_package(stream.sparkSession)
+    with_package(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
-        files = classified(batch)
-        new = symbols_of(parse_files(files)).drop("ordinal")
-        before = latest_version(spark, target, number)
-        if before is not None:
-            keep = before.join(files.select("repository_id", F.col("path").alias("file_path")).distinct(), ["repository_id", "file_path"], "left_anti")
-            new = keep.unionByName(new)
-        new.write.mode("overwrite").parquet(f"{target}/version={number}")
+        symbols_of(parse_files(classified(batch))).drop("ordinal").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
 
-def latest_version(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The newest version of the table (older than ``below`` if given), or None."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    numbers = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
-    numbers = [n for n in numbers if below is None or n < below]
-    return spark.read.parquet(f"{target}/version={max(numbers)}") if numbers else None
+def current_symbols(spark: SparkSession, target: str) -> DataFrame:
+    """The symbols of every file as its newest batch has them."""
+    rows = spark.read.parquet(target)
+    newest = rows.groupBy("repository_id", "file_path").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["repository_id", "file_path", "batch"], "left_semi").drop("batch")
+
+
+def compact(spark: SparkSession, target: str) -> None:
+    """Put what is current into the newest batch and delete the older ones; run between micro-batches.
+
+    The newest batch is complete before anything goes, so a run that is lost loses nothing.
+    """
+    numbers = sorted(r["batch"] for r in spark.read.parquet(target).select("batch").distinct().collect())
+    kept = written(current_symbols(spark, target), "symbols")
+    kept.write.mode("overwrite").parquet(f"{target}/batch={numbers[-1]}")
+    for n in numbers[:-1]:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={n}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    removed(kept)
 
 
 def status_stream(events: DataFrame, key: str, status: str, at: str, late: str = "10 minutes") -> DataFrame:
     """The last status of each key and hour, closed when events are later than ``late``."""
     hours = F.window(at, "1 hour")
     return events.withWatermark(at, late).groupBy(key, hours).agg(F.max_by(status, at).alias("status"), F.max(at).alias("since"), F.count("*").alias("events")).select(key, F.col("window.start").alias("hour"), "status", "since", "events")
-
-
-def upsert_table(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
-    """old with new rows in place of those with their key."""
-    return upserted(old, new, key)

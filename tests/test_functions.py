@@ -99,3 +99,17 @@ def test_secrets(spark):
 
 def test_cosine_of_zero_vector(spark):
     assert one(spark, vx.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
+
+
+def test_settings_from_file_and_environment(tmp_path):
+    import json
+
+    import pytest
+
+    from lodestar.config import EngineConfig
+
+    (tmp_path / "s.json").write_text(json.dumps({"rrf_k": 10, "bm25_b": 0.5}))
+    got = EngineConfig.load(str(tmp_path / "s.json"), {"LODESTAR_RRF_K": "20", "LODESTAR_INDEX_NON_SOURCE": "no", "HOME": "/"})
+    assert (got.rrf_k, got.bm25_b, got.index_non_source, got.dense_top_k) == (20, 0.5, False, 20)
+    with pytest.raises(ValueError):
+        EngineConfig.load(None, {"LODESTAR_NOTHING": "1"})

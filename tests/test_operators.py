@@ -244,3 +244,59 @@ def test_as_of_takes_the_first_of_equal_states(spark):
     e = spark.createDataFrame([("k", 5), ("k", 1), ("z", 9)], "k string, at int")
     s = spark.createDataFrame([("k", 3, "x", 1), ("k", 3, "y", 2), ("k", 6, "w", 3)], "k string, since int, v string, tie int")
     assert {(r["k"], r["at"], r["v"]) for r in relate.as_of(e, s, ["k"], "at", "since", "v", "tie").collect()} == {("k", 5, "x"), ("k", 1, None), ("z", 9, None)}
+
+
+def test_search_over_a_repository_and_its_missing_parts(spark):
+    from lodestar.plans import search
+
+    source = "class AuthService:\n    \"\"\"Checks users.\"\"\"\n\n    def login(self, name):\n        return find_user(name)\n\ndef find_user(name):\n    return name\n"
+    repo = ingest(files.classified(spark.createDataFrame([("r", "src/auth.py", source.encode()), ("r", "README.md", b"nothing")], "repository_id string, path string, bytes binary")))
+    asked = spark.createDataFrame([(1, "Where is AuthService.login implemented?"), (2, "zzz")], "query_id int, text string")
+    edges = graph.endpoints(repo.edges.withColumn("seq", F.col("line")))
+    found = search.retrieve(asked, repo.symbols, repo.postings, repo.vectors, edges)
+    names = [r["qualified_name"] for r in found.candidates.where("query_id = 1").orderBy("rank").collect()]
+    assert names[0].startswith("AuthService")
+    stats = {(r["query_id"], r["stage"]): r["hits"] for r in found.stats().collect()}
+    assert stats[1, "lexical"] > 0 and stats[1, "names"] + stats[1, "dense"] > 0 and len(stats) == 12
+    prompt = {r["query_id"]: r["prompt"] for r in found.prompts("demo", spark.createDataFrame([(1, 0, "USER: hi")], "query_id int, order int, line string")).collect()}
+    assert prompt[1].startswith("CONVERSATION HISTORY:\nUSER: hi\n\nREPOSITORY: demo\nQUESTION: Where") and "PRIMARY EVIDENCE" in prompt[1] and "INSTRUCTION: " in prompt[1]
+    bare = search.retrieve(asked, repo.symbols, None, None, None)
+    answers = {r["query_id"]: (r["answer"], r["confidence"]) for r in bare.answers().collect()}
+    assert answers[2] == (search.NO_EVIDENCE, "NOT_FOUND") and bare.neighbors.count() == 0
+    assert search.answer_graph(found, edges)[0].count() >= 0
+
+
+def test_status_moves_forward_and_reindexing_is_refused(spark):
+    from lodestar.operators import catalog
+    from lodestar.schemas import REPOSITORIES
+
+    rows = spark.createDataFrame([("a", "PARSING", "u"), ("b", "READY", ""), ("c", "FAILED", "u"), ("d", "READY", "u")], "id string, status string, source_url string")
+    full = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in ((f.name, f.dataType) for f in spark.createDataFrame([], REPOSITORIES).schema)))
+    moved = {r["id"]: r for r in catalog.with_status(full, spark.createDataFrame([("a", "FAILED", None, "x" * 3000), ("d", "PARSING", "no", None), ("c", "QUEUED", "again", None)], "id string, status string, detail string, error string")).collect()}
+    assert moved["a"]["status"] == "FAILED" and len(moved["a"]["error_message"]) == 2000 and moved["a"]["indexing_finished_at"]
+    assert moved["d"]["status"] == "READY" and moved["c"]["status"] == "QUEUED" and moved["c"]["status_detail"] == "again"
+    after, answer = catalog.reindex(full, full.select("id"))
+    assert {r["id"]: r["accepted"] for r in answer.collect()} == {"a": False, "b": False, "c": True, "d": True}
+    assert {r["id"]: (r["status"], r["file_count"]) for r in after.collect()} == {"a": ("PARSING", None), "b": ("READY", None), "c": ("QUEUED", 0), "d": ("QUEUED", 0)}
+    assert {r["id"] for r in catalog.ready(after).collect()} == {"b"}
+    ids = spark.createDataFrame([("ABCDEF00-1111-2222-3333-444455556666",), ("abcdef00111122223333444455556666",), ("x",)], "i string").select(catalog.point_id(F.col("i")).alias("p")).collect()
+    assert [r["p"] for r in ids] == ["abcdef00-1111-2222-3333-444455556666"] * 2 + [None]
+
+
+def test_dense_batch_leaves_out_what_has_no_vector(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", None), (None, [1.0, 0.0]), ("d", [1.0]), ("e", [0.0, 1.0])], "vec_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [2.0, 0.1]), (2, None)], "query_id int, vector array<double>")
+    got = sorted((r["query_id"], r["rank"], r["id"]) for r in dense.nearest_batch(v, q, 2).collect())
+    assert got == [(1, 1, "a"), (1, 2, "b")]
+
+
+def test_a_damaged_archive_fails_alone(spark):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("top/a.py", "x = 1\n" * 500)
+    good = data.getvalue()
+    at = good.index(b"a.py") + 10
+    bad = good[:at] + bytes(b ^ 255 for b in good[at : at + 12]) + good[at + 12 :]
+    rows = spark.createDataFrame([("good", good), ("bad", bad), ("none", b"xx")], "archive string, content binary")
+    got = {r["archive"]: (r["path"], r["error"]) for r in files.zip_members(rows).collect()}
+    assert got["good"] == ("a.py", None) and got["bad"][1].startswith("unreadable") and got["none"][1] == "no archive"

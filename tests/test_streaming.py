@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from lodestar.streaming.ingest import file_stream, index_files, latest_version, status_stream
+from lodestar.operators.parse import parse_files, symbols_of
+from lodestar.streaming.ingest import compact, current_symbols, file_stream, index_files, status_stream
 
 
 def test_incremental_index(spark, tmp_path):
@@ -12,7 +13,12 @@ def test_incremental_index(spark, tmp_path):
     index_files(file_stream(spark, str(root), "r"), target, state, once=True).awaitTermination(60)
     (root / "b.py").write_text("class B:\n    pass\n")
     index_files(file_stream(spark, str(root), "r"), target, state, once=True).awaitTermination(60)
-    assert {(r["file_path"], r["qualified_name"]) for r in latest_version(spark, target).collect()} == {("a.py", "f"), ("b.py", "B")}
+    again = spark.createDataFrame([("r", "a.py", "python", "def other():\n    pass\n")], "repository_id string, path string, language string, content string")
+    symbols_of(parse_files(again)).drop("ordinal").write.parquet(f"{target}/batch=7")  # the file in a later batch
+    for _ in range(2):
+        assert {(r["file_path"], r["qualified_name"]) for r in current_symbols(spark, target).collect()} == {("a.py", "other"), ("b.py", "B")}
+        compact(spark, target)
+    assert spark.read.parquet(target).select("batch").distinct().count() == 1
 
 
 def test_status_stream(spark, sf, tmp_path):

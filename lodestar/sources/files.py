@@ -37,6 +37,11 @@ def classified(files: DataFrame, config: EngineConfig = DEFAULT, extra_ignored:
     )
 
 
+def listing(files: DataFrame) -> DataFrame:
+    """Files in the order of their paths, without their contents."""
+    return files.drop("content", "bytes").orderBy("repository_id", "path")
+
+
 def _decoded(secret: F.Column) -> F.Column:
     @F.pandas_udf("string")
     def lossy(data: pd.Series, skip: pd.Series) -> pd.Series:

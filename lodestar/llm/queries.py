@@ -11,6 +11,7 @@ from .common import table
 from .decontamination import contamination
 from .hilbert_sharding import hilbert_shards
 from .line_dedup import line_dedup
+from .merkle_manifest import verified_documents
 from .pii_surrogates import private_documents
 from .quality_rules import judged
 from .simhash import near_duplicates
@@ -69,9 +70,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and folded roots of documents, of which a seventh is tampered with."""
+    return verified_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package."""
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_matrix, op4_line_dedup, op5_simhash_near_dedup, op6_suffix_tree_lm, op7_pii_surrogates, op8_best_fit_packing, op9_hilbert_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_matrix, op4_line_dedup, op5_simhash_near_dedup, op6_suffix_tree_lm, op7_pii_surrogates, op8_best_fit_packing, op9_hilbert_sharding, op10_quality_rules, op11_merkle_manifest)}
 
 
 #: Words and windows as the contract has them; a window of an item is found by its words.
@@ -121,6 +127,59 @@ FROM k LEFT JOIN common USING (k) GROUP BY r
 """
 
 
+#: CRC-32 of a text's bytes, from a table that its polynomial gives.
+CRC_TABLE_SQL = f"""crc_table AS MATERIALIZED (SELECT list(c ORDER BY n) AS crc FROM (
+  SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: xor(c >> 1, (c & 1) * {0xEDB88320})) AS c FROM (SELECT unnest(range(256)) AS n)))"""
+
+
+def _crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text, where ``crc`` is the table's list."""
+    byte_list = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte_list}), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295)"
+
+
+def _leaf_sql(more: str = "") -> str:
+    """A leaf of documents, with more added to n_chars."""
+    part = lambda v: f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')"
+    return f"sha256({' || '.join(part(f'CAST({c}{more if c == "n_chars" else ""} AS VARCHAR)') for c in ('doc_id', 'source', 'lang', 'n_chars', 'text'))})"
+
+
+#: Levels go up by recursion; a proof's siblings and a tampered leaf's fold go up along them.
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL}, d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '-') AS lang, {_leaf_sql()} AS leaf, {_leaf_sql(" + 1")} AS other,
+    n_chars IS NOT NULL AND coalesce({_crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0, false) AS tampered
+  FROM documents, crc_table
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d
+), low(level, lang, pos, h, n) AS (
+  SELECT 0, lang, pos, leaf, n FROM o
+  UNION ALL SELECT level + 1, lang, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM low WHERE n > 1 GROUP BY level, lang, pos // 2
+), sub AS (
+  SELECT lang, h AS subroot, level AS height, row_number() OVER (ORDER BY lang) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+), high(level, pos, h, n) AS (
+  SELECT 0, pos, subroot, n FROM sub
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY level, pos // 2
+), top AS (
+  SELECT h AS root, level AS height FROM high WHERE n = 1
+), own AS (
+  SELECT r, lang, level, pos >> level AS i FROM (SELECT o.r, o.lang, o.pos, unnest(range(sub.height)) AS level FROM o JOIN sub USING (lang))
+), crown AS (
+  SELECT r, height, level, pos >> level AS i FROM (SELECT o.r, sub.height, sub.pos, unnest(range(top.height)) AS level FROM o JOIN sub USING (lang) CROSS JOIN top)
+), steps AS (
+  SELECT own.r, own.level, low.pos > own.i AS is_right, low.h FROM own LEFT JOIN low ON low.level = own.level AND low.lang = own.lang AND low.pos = xor(own.i, 1)
+  UNION ALL SELECT crown.r, crown.height + crown.level, high.pos > crown.i, high.h FROM crown LEFT JOIN high ON high.level = crown.level AND high.pos = xor(crown.i, 1)
+), walk(r, level, h) AS (
+  SELECT r, 0, CASE WHEN tampered THEN other ELSE leaf END FROM o
+  UNION ALL SELECT r, walk.level + 1, sha256(CASE WHEN s.h IS NULL THEN walk.h WHEN s.is_right THEN walk.h || s.h ELSE s.h || walk.h END) FROM walk JOIN steps s USING (r, level)
+), proofs AS (
+  SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY level), '')) AS proof_sha256, count(*) AS height FROM steps GROUP BY r
+)
+SELECT o.doc_id, o.leaf, sub.subroot, top.root, coalesce(proof_sha256, sha256('')) AS proof_sha256, walk.h AS folded_root, walk.h = top.root AS verified
+FROM o JOIN sub USING (lang) CROSS JOIN top LEFT JOIN proofs USING (r) JOIN walk ON walk.r = o.r AND walk.level = coalesce(proofs.height, 0)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can say what a query returns."""
-    return {"op1_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL}

@@ -10,6 +10,8 @@ from .best_fit_packing import best_fit_packing
 from .common import table
 from .decontamination import contamination
 from .hilbert_sharding import hilbert_shards
+from .importance import resampled
+from .license_scan import BASE, DIGITS, LEAST, RARE, SLACK, TEMPLATES, Index, license_scan
 from .line_dedup import line_dedup
 from .merkle_manifest import verified_documents
 from .pii_surrogates import private_documents
@@ -75,9 +77,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in documents."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of documents, drawn towards the words of the benchmark."""
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries of this package."""
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_matrix, op4_line_dedup, op5_simhash_near_dedup, op6_suffix_tree_lm, op7_pii_surrogates, op8_best_fit_packing, op9_hilbert_sharding, op10_quality_rules, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_token_matrix, op4_line_dedup, op5_simhash_near_dedup, op6_suffix_tree_lm, op7_pii_surrogates, op8_best_fit_packing, op9_hilbert_sharding, op10_quality_rules, op11_merkle_manifest, op12_license_scan, op13_importance_resampling)}
 
 
 #: Words and windows as the contract has them; a window of an item is found by its words.
@@ -180,6 +192,57 @@ FROM o JOIN sub USING (lang) CROSS JOIN top LEFT JOIN proofs USING (r) JOIN walk
 """
 
 
+def _words_sql(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _op12_sql() -> str:
+    """The method in relational steps over the same templates."""
+    index = Index(TEMPLATES)
+    literal = lambda v: str(v) if isinstance(v, (int, list)) else f"'{v}'"
+    values = lambda rows: ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
+    return f"""
+WITH posting(template, word, place) AS (VALUES {values(index.postings())}),
+phrase(k, words, template, place) AS (VALUES {values([(k, w, t, p) for k, (w, t, p) in enumerate(index.phrases)])}),
+template(template, label, needed) AS (VALUES {values([(i, t.label, len(t.keys)) for i, t in enumerate(TEMPLATES)])}),
+base(k, label) AS (VALUES {values(list(enumerate(BASE.values())))}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words_sql("text")} AS w FROM documents),
+occ AS MATERIALIZED (SELECT r, word, p FROM (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS p FROM d) WHERE word IN {tuple(index.vocabulary)!r}),
+starts AS MATERIALIZED (SELECT r, k, template, p, place FROM occ JOIN phrase ON word = words[1] JOIN d USING (r) WHERE list_slice(w, p + 1, p + len(words)) = words),
+df AS (SELECT word, count(DISTINCT r) AS df FROM occ GROUP BY word),
+weight AS (SELECT template, word, coalesce(df, 0) AS df, ln(1 + (SELECT count(*) FROM d) / greatest(coalesce(df, 0), 1)) AS idf FROM (SELECT DISTINCT template, word FROM posting) LEFT JOIN df USING (word)),
+ranks AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY template ORDER BY df, word) AS rank FROM weight),
+total AS (SELECT template, sum(idf) AS total FROM ranks WHERE rank <= {RARE} GROUP BY template),
+picked AS (SELECT r, template, word, idf FROM (SELECT DISTINCT r, word FROM occ) JOIN ranks USING (word) QUALIFY row_number() OVER (PARTITION BY r, template ORDER BY rank) <= {RARE}),
+hit AS (SELECT DISTINCT r, template, word, idf, unnest([f, f + 1]) AS win FROM (SELECT r, template, word, idf, CAST(floor((p - place) / {SLACK}.0) AS BIGINT) AS f FROM occ JOIN picked USING (r, word) JOIN posting USING (template, word))),
+cover AS (SELECT r, template, win, sum(idf) AS got FROM hit GROUP BY ALL),
+key AS (SELECT r, template, win, count(DISTINCT k) AS n FROM (SELECT r, template, k, unnest([f, f + 1]) AS win FROM (SELECT r, template, k, CAST(floor((p - place) / {SLACK}.0) AS BIGINT) AS f FROM starts WHERE template >= 0)) GROUP BY ALL),
+found AS (SELECT r, label, least(round(got / total, {DIGITS}), 1) AS coverage FROM cover JOIN total USING (template) JOIN key USING (r, template, win) JOIN template USING (template) WHERE n = needed),
+kept AS (SELECT * FROM found WHERE coverage >= {LEAST}),
+b AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM starts JOIN base USING (k) WHERE template < 0 GROUP BY r),
+l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM kept UNION ALL SELECT r, label FROM starts JOIN base USING (k) WHERE template < 0) GROUP BY r),
+m AS (SELECT r, max(coverage) AS score FROM kept GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN m USING (r)
+"""
+
+
+OP13_SQL = f"""
+WITH {CRC_TABLE_SQL}, d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words_sql("text")} AS w FROM documents),
+i AS MATERIALIZED (SELECT {_words_sql("text")} AS w FROM benchmark),
+feature AS MATERIALIZED (SELECT word, {_crc_sql("word")} % 10000 AS bucket FROM (SELECT DISTINCT unnest(w) AS word FROM (SELECT w FROM d UNION ALL SELECT w FROM i)), crc_table),
+counts AS MATERIALIZED (SELECT r, bucket, count(*) AS c FROM (SELECT r, unnest(w) AS word FROM d) JOIN feature USING (word) GROUP BY ALL),
+corpus AS (SELECT bucket, sum(c) AS s FROM counts GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS word FROM i) JOIN feature USING (word) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + CAST(1 AS DOUBLE)) * ((SELECT sum(s) FROM corpus) + 10000) / ((s + CAST(1 AS DOUBLE)) * ((SELECT coalesce(sum(t), 0) FROM target) + 10000)))) AS BIGINT) AS gain FROM corpus LEFT JOIN target USING (bucket)),
+weights AS (SELECT r, CAST(sum(c) AS BIGINT) AS n_features, CAST(floor(CAST(sum(c * gain) AS DOUBLE) / sum(c)) AS BIGINT) AS weight FROM counts JOIN gains USING (bucket) GROUP BY r),
+scores AS (SELECT d.r, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM d LEFT JOIN weights USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM drawn) * 10 // 100 THEN rank END AS rank FROM scores LEFT JOIN drawn USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can say what a query returns."""
-    return {"op1_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_line_dedup": OP4_SQL, "op11_merkle_manifest": OP11_SQL, "op12_license_scan": _op12_sql(), "op13_importance_resampling": OP13_SQL}

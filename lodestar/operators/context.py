@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.secrets import MARKER
+from ..session import written
 
 
 def block(name: Column, path: Column, start: Column, end: Column, kind: Column, language: Column, doc: Column, code: Column, with_code: bool = True) -> Column:
@@ -74,7 +75,7 @@ def assembled(questions: DataFrame, primary: DataFrame, related: DataFrame, repo
     sized = first.join(questions.select("query_id", F.length(head).alias("_h")), "query_id").withColumn("order", F.col("rank"))
     opening = sized.select("query_id", F.lit(0).alias("order"), (F.col("_h") + len(title)).alias("size"), F.lit("").alias("block")).distinct()
     kept = within_budget(opening.union(sized.select("query_id", "order", "size", "block")), "query_id", "order", "size", budget)
-    text = kept.where("order > 0").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("order", "block"))).alias("p"), F.sum("size").alias("_p"))
+    text = written(kept.where("order > 0").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("order", "block"))).alias("p"), F.sum("size").alias("_p")), "primary")  # read twice
     refs = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("• "), F.coalesce("qualified_name", F.lit("?")), F.lit(" @ "), F.coalesce("file_path", F.lit("?")), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")).alias("ref")))).alias("r"))
     near = related.withColumn("block", block(*cols, F.lit(None).cast("string"), with_code=False)).withColumn("size", F.length("block"))
     used = opening.select("query_id", F.col("size").alias("_open")).join(text.select("query_id", "_p"), "query_id", "left").select("query_id", (F.col("_open") + F.coalesce("_p", F.lit(0)) + len("=== RELATED CONTEXT ===")).alias("_used"))

@@ -1,7 +1,8 @@
 """The relationship graph: neighbours, bounded searches, impact and induced subgraphs.
 
 Edges are (src, dst, relation_type, confidence) and nodes (id, ...). A search goes level by
-level as a join with the edges and an anti-join with what is visited; depth is small and given.
+level as a join with the edges and an anti-join with what is visited; depth is small and given. A graph
+that is searched often is better stored as ``adjacency`` has it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stable
+from ..session import written
+from .layout import hinted
 
 # Relations that make one symbol depend on another.
 DEPENDENCY_TYPES = ["CALLS", "IMPORTS", "USES", "REFERENCES"]
@@ -73,21 +75,25 @@ def dependencies(edges: DataFrame, node: str, types: list[str] | None = None) ->
 
 
 def levels(arcs: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, id, level) within depth steps of arcs (a, b) from roots (root, id); the least level of each."""
-    visited = roots.select("root", "id", F.lit(0).alias("level"))
-    frontier = visited
+    """(root, id, level) within depth steps of arcs (a, b) from roots (root, id); the least level of each.
+
+    Each level is a table of its own in the shared folder, so plans don't grow with depth, and
+    arcs meet a frontier before anything of them is shuffled: it is broadcast while it is small.
+    """
+    frontier = written(roots.select("root", "id").distinct().withColumn("level", F.lit(0)), "frontier")
+    visited = frontier
     for level in range(1, depth + 1):
-        step = frontier.join(arcs, frontier["id"] == arcs["a"]).select("root", F.col("b").alias("id")).distinct()
-        frontier = step.join(visited.select("root", "id"), ["root", "id"], "left_anti").withColumn("level", F.lit(level))
+        step = arcs.join(hinted(frontier.select("root", "id")), F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
+        frontier = written(step.join(visited.select("root", "id"), ["root", "id"], "left_anti").withColumn("level", F.lit(level)), "frontier")
         visited = visited.union(frontier)
-        if depth > 2 and level < depth:  # or each level would compute all before it twice
-            frontier, visited = stable(frontier), stable(visited)
+        if frontier.isEmpty():
+            break
     return visited
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """(a, b) in both directions, each once."""
-    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
+    """(a, b) in both directions; an edge that is there twice is twice there."""
+    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src"))
 
 
 def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int = 24, types: list[str] | None = None) -> DataFrame:
@@ -101,7 +107,7 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int
 def impact(edges: DataFrame, node: str, depth: int = 3, limit: int = 30) -> DataFrame:
     """(id, level, kind): all direct dependents, and ``limit`` at most of those behind them."""
     spark = edges.sparkSession
-    back = edges.where(F.col("relation_type").isin(DEPENDENCY_TYPES)).select(F.col("dst").alias("a"), F.col("src").alias("b")).distinct()
+    back = edges.where(F.col("relation_type").isin(DEPENDENCY_TYPES)).select(F.col("dst").alias("a"), F.col("src").alias("b"))
     root = spark.range(1).select(F.lit(node).alias("root"), F.lit(node).alias("id"))
     found = levels(back, root, depth).where("level > 0").select("id", "level")
     direct = found.where("level = 1").withColumn("kind", F.lit("direct"))
@@ -111,9 +117,10 @@ def impact(edges: DataFrame, node: str, depth: int = 3, limit: int = 30) -> Data
 def subgraph(edges: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 60) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, level) within depth of any root (id), the ``limit`` nearest, and the edges between them."""
     arcs = undirected(edges)
-    known = roots.join(arcs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    wanted = written(roots.select("id").distinct(), "roots")
+    known = arcs.select(F.col("a").alias("id")).join(hinted(wanted), "id", "left_semi").distinct()
     found = levels(arcs, known.select(F.lit(0).alias("root"), "id"), depth)
-    nodes = found.groupBy("id").agg(F.min("level").alias("level")).orderBy("level", "id").limit(limit)
+    nodes = written(found.groupBy("id").agg(F.min("level").alias("level")).orderBy("level", "id").limit(limit), "nodes")
     inside = nodes.select("id")
     kept = edges.join(F.broadcast(inside.withColumnRenamed("id", "src")), "src", "left_semi").join(F.broadcast(inside.withColumnRenamed("id", "dst")), "dst", "left_semi")  # at most ``limit`` ids
     return nodes, kept

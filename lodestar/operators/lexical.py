@@ -62,6 +62,11 @@ def term_statistics(tokens: DataFrame, corpus: DataFrame, config: EngineConfig =
     """(term, df, idf): a negative idf becomes epsilon times the mean over all terms. A term is counted
     once in each document and summed in tasks, so what is shuffled is terms, not postings."""
     counted = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return weighed_terms(counted, corpus, config)
+
+
+def weighed_terms(counted: DataFrame, corpus: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(term, df, idf) of (term, df), in a corpus of n documents."""
     raw = counted.crossJoin(F.broadcast(corpus.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(config.bm25_epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))

@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import edge_id
 from ..schemas import EDGE_CONFIDENCE
+from ..session import removed, written
 
 
 def as_of(events: DataFrame, states: DataFrame, key: list[str], at: str, since: str, value: str, tie: str) -> DataFrame:
     """events with ``value`` of the latest state at or before each: backward as-of join without a range join.
 
-    States and events of a key are put in one order and the last state is carried on, so each
-    row is shuffled once. Of states that begin together the first by ``tie`` counts.
+    States and events are put in one order of key and time and range-partitioned by it, so a key with
+    very many rows is split by time. Each split carries its last state, a prefix scan over a key's
+    splits says what it starts with, and within a split states go on to events. Of states that begin
+    together the first by ``tie`` counts; rows of null keys go together.
+    """
+    placed = _in_time(events, states, key, at, since, value, tie)
+    splits = placed.groupBy(*key, "_part").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_row"))).alias("_value"))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = splits.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), F.col("_part").alias("_p"), F.last("_value", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy(*key, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumn("_own", F.last("_value", ignorenulls=True).over(inside)).where("_kind = 1")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)], F.col("_part") == F.col("_p"))
+    met = own.join(begun.where("_carried is not null"), same, "left")
+    return met.withColumn(value, F.coalesce("_own", "_carried")).select("_e.*", value)
+
+
+def _in_time(events: DataFrame, states: DataFrame, key: list[str], at: str, since: str, value: str, tie: str) -> DataFrame:
+    """(key, _kind, _value, _e, _row, _part): states and events in order of key and time, kept in the shared folder.
+
+    Rows of one key and time are told apart by where they come from, so they can be split too.
     """
-    first = Window.partitionBy(*key, since).orderBy(tie)
-    opened = states.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    s = opened.select(*key, F.col(since).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_value"), F.lit(None).cast(events.select(F.struct(*events.columns)).schema[0].dataType).alias("_e"))
-    e = events.select(*key, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(states.dtypes)[value]).alias("_value"), F.struct(*events.columns).alias("_e"))
-    w = Window.partitionBy(*key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return s.unionByName(e).withColumn(value, F.last("_value", ignorenulls=True).over(w)).where("_kind = 1").select("_e.*", value)
+    kinds = dict(states.dtypes)
+    opened = states.groupBy(*key, F.col(since).alias("_at")).agg(F.min_by(value, F.struct(tie)).alias("_value"))
+    s = opened.select(*key, "_at", F.lit(0).alias("_kind"), "_value", F.lit(None).cast(events.select(F.struct(*events.columns)).schema[0].dataType).alias("_e"))
+    e = events.select(*key, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(kinds[value]).alias("_value"), F.struct(*events.columns).alias("_e"))
+    rows = written(s.unionByName(e).withColumn("_tie", F.monotonically_increasing_id()), "in_time")
+    order = [*key, "_at", "_kind", "_tie"]
+    out = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie").withColumn("_row", F.monotonically_increasing_id()), "in_time")
+    removed(rows)
+    return out.withColumn("_part", F.shiftright("_row", 33))
 
 
 def first_of(rows: DataFrame, by: list[str], value: str, order: Column, name: str) -> DataFrame:

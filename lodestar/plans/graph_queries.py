@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, relate
+from ..operators import adjacency, graph, relate
+from . import stored
 from .bindings import EDGES_SQL, NODES_SQL, edges, nodes
 from .registry import query, read
 
@@ -51,6 +52,13 @@ def bfs_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighborhood(edges(spark, sf_dir), seeds)
 
 
+@query(f"WITH {_levels_sql(_BOTH, f'SELECT {ORDER!r} AS id', 2)} SELECT '{ORDER}' AS root, id, level FROM reached WHERE level > 0 ORDER BY level, id LIMIT 24")
+def bfs_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over stored neighbours: only buckets of the frontier are read."""
+    seeds = spark.range(1).select(F.lit(ORDER).alias("root"), F.lit(ORDER).alias("id"))
+    return adjacency.neighborhood(stored.stored_graph(spark, sf_dir), seeds)
+
+
 _BACK = f"SELECT DISTINCT dst AS a, src AS b FROM {EDGES_SQL} WHERE relation_type IN {_TYPES}"
 
 
@@ -62,6 +70,14 @@ def impact_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.impact(edges(spark, sf_dir), PART)
 
 
+@query(
+    f"""WITH {_levels_sql(_BACK, f'SELECT {PART!r} AS id', 3)}
+SELECT id, level, 'direct' AS kind FROM reached WHERE level = 1 UNION ALL SELECT * FROM (SELECT id, level, 'indirect' FROM reached WHERE level > 1 ORDER BY level, id LIMIT 30)"""
+)
+def impact_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adjacency.impact(stored.stored_graph(spark, sf_dir), PART)
+
+
 _ROOTS = f"SELECT id FROM {NODES_SQL} WHERE symbol_type IN ('class', 'module', 'file') ORDER BY id LIMIT 10"
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import catalog, dense, fusion, lexical
-from . import search
+from ..operators import catalog, dense, fusion, grams, lexical, postings, vector_index
+from . import search, stored
 from .bindings import QUESTIONS_SQL, SYMBOL_EDGES_SQL, SYMBOLS_SQL, questions, symbol_edges, symbols, tokens_sql
 from .registry import query, read
 
@@ -32,7 +32,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
-    return lexical.build_index(_docs(spark, sf_dir), "doc_id", F.col("text"))
+    return stored.lexical_index(spark, sf_dir)
 
 
 def _terms(spark: SparkSession, text: str, name: str = "q") -> DataFrame:
@@ -71,6 +71,35 @@ def bm25_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_index(spark, sf_dir), asked).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+_ASKED_SQL = f"""q AS (SELECT item_id AS query_id, lower(trim(text)) AS raw, {tokens_sql("text")} AS t FROM benchmark),
+asked AS (SELECT query_id, unnest(CASE WHEN list_contains(t, raw) THEN t ELSE list_prepend(raw, t) END) AS term FROM q)"""
+_BATCH_SQL = f"WITH {_BM25}, {_ASKED_SQL}, {_SCORED} SELECT query_id, id AS doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM {_RANKED} WHERE rank <= 20"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tx.query_tokens(F.col("text"))).alias("term"))
+
+
+@query(_BATCH_SQL)
+def bm25_topk_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's questions over blocked postings, of which those that can't reach the first twenty stay closed."""
+    found = postings.search(stored.blocked_index(spark, sf_dir), _asked(spark, sf_dir)).rows
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(_BATCH_SQL)
+def bm25_topk_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over an index that grew by insertions, deletions and a merge."""
+    found = postings.search(stored.segmented_index(spark, sf_dir).view(), _asked(spark, sf_dir)).rows
+    return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
+def segmented_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics that are sums over segments and what is gone from them."""
+    return stored.segmented_index(spark, sf_dir).view().terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 _COS = "list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
 
 
@@ -102,6 +131,28 @@ def dense_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.nearest_batch(vectors, asked).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
+@query()
+def dense_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector asks the inverted lists; held against the exact search in tests."""
+    vectors = read(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index.search(stored.vectors_index(spark, sf_dir), asked).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND e.label IN (1, 2, 3)) WHERE score >= 0) WHERE rank <= 20"""
+)
+def dense_topk_indexed_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among three labels, all lists probed and all that pass scored exactly: the exact search by way of the index."""
+    vectors, index = read(spark, sf_dir, "embeddings"), stored.vectors_index(spark, sf_dir)
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    kept = F.col("label").isin(1, 2, 3)
+    every = -(-max(1, index.codes.where(kept).count()) // 20)
+    found = vector_index.search(index, asked, probes=len(index.centres), keep=every, where=kept)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(
     """WITH d AS (SELECT item_id, sha256(text) AS h FROM benchmark), s AS (SELECT item_id, seed, sha256(unhex(h) || unhex(lpad(printf('%x', seed), 8, '0'))) AS h FROM d, range(48) r(seed)),
 w AS (SELECT item_id, seed * 8 + i AS p, CAST('0x' || substr(h, i * 8 + 1, 8) AS BIGINT) AS n FROM s, range(8) r(i)),
@@ -123,6 +174,17 @@ def node_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").where(F.contains(F.lower("p_name"), F.lower(F.lit("L wId")))).select("p_partkey", "p_name")
 
 
+_PATTERNS = ["re_ _i", "L wId", "%", "a", "%re%in%", "__e", "zzz", "d w_d", ""]
+_PATTERN_ROWS = ", ".join(f"('{i}', '%{p}%')" for i, p in enumerate(_PATTERNS))
+
+
+@query(f"SELECT query_id, p_partkey, p_name FROM part, (VALUES {_PATTERN_ROWS}) v(query_id, pattern) WHERE p_name ILIKE pattern")
+def names_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names that patterns match, by trigrams where a pattern has some."""
+    patterns = spark.sql(f"SELECT * FROM VALUES {_PATTERN_ROWS} AS v(query_id, pattern)")
+    return grams.matching(stored.part_names(spark, sf_dir), patterns).select("query_id", F.col("id").alias("p_partkey"), F.col("name").alias("p_name"))
+
+
 _LISTS = f"""bm AS (SELECT id, CAST(rank AS INT) AS rank, 0 AS list FROM {_RANKED} WHERE rank <= 20),
 longest AS (SELECT doc_id AS id, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INT) AS rank, 1 AS list FROM documents QUALIFY rank <= 20),
 named AS (SELECT doc_id AS id, CAST(row_number() OVER (ORDER BY doc_id) AS INT) AS rank, 2 AS list FROM documents WHERE text ILIKE '%the%' QUALIFY rank <= 20),
@@ -196,7 +258,7 @@ def hybrid(spark: SparkSession, sf_dir: str, question: str = HYBRID) -> search.R
     """One question through all stages."""
     syms = symbols(spark, sf_dir)
     asked = spark.range(1).select(F.lit("q").alias("query_id"), F.lit(question).alias("text"))
-    return search.retrieve(asked, syms, _index(spark, sf_dir), search.symbol_vectors(syms), symbol_edges(spark, sf_dir))
+    return search.retrieve(asked, syms, lambda: stored.blocked_index(spark, sf_dir), lambda: stored.symbol_vectors(spark, sf_dir), symbol_edges(spark, sf_dir), names=lambda: stored.symbol_names(spark, sf_dir))
 
 
 @query(f"{_HYBRID_SQL} SELECT id AS doc_id, round(rerank_score, 6) AS rerank_score, CAST(rank AS INT) AS rank FROM best")

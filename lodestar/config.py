@@ -27,6 +27,14 @@ class EngineConfig:
     bm25_epsilon: float = 0.25
     rrf_k: int = 60
     index_non_source: bool = True
+    embedding_provider: str = "sha256"
+    embedding_batch_texts: int = 256
+    embedding_batch_bytes: int = 1 << 20
+    vector_lists: int = 0
+    vector_probes: int = 0
+    segment_fan: int = 4
+    stuck_after: str = "1 day"
+    report_replicates: int = 1000
 
     @classmethod
     def load(cls, path: str | None = None, environment: Mapping[str, str] | None = None, prefix: str = "LODESTAR_") -> EngineConfig:
@@ -48,7 +56,7 @@ def _as(kind: str, value: object) -> object:
     """A value of a setting's type; texts of yes and no are booleans."""
     if kind == "bool" and isinstance(value, str):
         return value.strip().lower() in ("1", "true", "yes", "on")
-    return {"int": int, "float": float, "bool": bool}[kind](value)
+    return {"int": int, "float": float, "bool": bool, "str": str}[kind](value)
 
 
 DEFAULT = EngineConfig()

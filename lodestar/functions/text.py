@@ -128,7 +128,14 @@ def short_label(name: Column, width: int = 30) -> Column:
 
 def compact_number(n: Column) -> Column:
     """12, 1.5K, 2.0M."""
-    return F.when(n >= 1_000_000, F.concat(F.format_number(n / 1_000_000, 1), F.lit("M"))).when(n >= 1000, F.concat(F.format_number(n / 1000, 1), F.lit("K"))).otherwise(n.cast("string"))
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1000, F.format_string("%.1fK", n / 1000)).otherwise(n.cast("string"))
+
+
+def relative_time(at: Column, now: Column) -> Column:
+    """just now, 5m ago, 3h ago, 2d ago, each rounded down; a time to come is just now."""
+    minutes = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 60_000_000)
+    said = lambda n, unit: F.concat(F.floor(n).cast("string"), F.lit(f"{unit} ago"))
+    return F.when(minutes < 1, "just now").when(minutes < 60, said(minutes, "m")).when(minutes < 1440, said(minutes / 60, "h")).otherwise(F.when(minutes.isNotNull(), said(minutes / 1440, "d")))
 
 
 # What an answer is asked to do for an intent.

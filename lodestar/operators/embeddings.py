@@ -7,7 +7,7 @@ second run over the same texts embeds nothing.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -15,14 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, EngineConfig
 from ..functions.vectors import SEEDS
 from ..session import written
 from .layout import exists, join_unique
 
-#: Bytes and texts that a provider gets at once, at most; one text at least.
-BATCH_BYTES, BATCH_TEXTS = 1 << 20, 256
-
-
 class Provider(Protocol):
     """Embeds texts. It is sent to tasks, so it has to be picklable; a client is made where it is first used."""
 
@@ -47,6 +44,17 @@ class HashProvider:
         return raw / np.where(norms == 0, 1, norms)[:, None]
 
 
+#: Providers by name; a deployment adds its own.
+PROVIDERS: dict[str, Callable[[], Provider]] = {HashProvider.name: HashProvider}
+
+
+def provider_of(config: EngineConfig = DEFAULT) -> Provider:
+    """The provider that is set."""
+    if config.embedding_provider not in PROVIDERS:
+        raise ValueError(f"no provider {config.embedding_provider}; there are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[config.embedding_provider]()
+
+
 def content_key(text: Column) -> Column:
     """The key of a text's vector; null counts as empty."""
     return F.sha2(F.coalesce(text, F.lit("")), 256)
@@ -55,9 +63,9 @@ def content_key(text: Column) -> Column:
 class VectorTable:
     """Vectors of one provider under a path: (key, vector)."""
 
-    def __init__(self, spark: SparkSession, path: str, provider: Provider) -> None:
-        self.spark, self.provider = spark, provider
-        self.path = f"{path.rstrip('/')}/{provider.name}"
+    def __init__(self, spark: SparkSession, path: str, provider: Provider | None = None, config: EngineConfig = DEFAULT) -> None:
+        self.spark, self.config, self.provider = spark, config, provider or provider_of(config)
+        self.path = f"{path.rstrip('/')}/{self.provider.name}"
 
     def stored(self) -> DataFrame:
         if not exists(self.spark, self.path):
@@ -71,7 +79,7 @@ class VectorTable:
 
     def fill(self, texts: DataFrame, text: str) -> int:
         """Embed what is unknown of texts and keep it; how many that were."""
-        new = written(self.unknown(texts, text).mapInPandas(_embedded(self.provider), "key string, vector array<double>"), "embedded")
+        new = written(self.unknown(texts, text).mapInPandas(_embedded(self.provider, self.config), "key string, vector array<double>"), "embedded")
         n = new.count()
         if n:
             new.write.mode("append").parquet(self.path)
@@ -83,16 +91,16 @@ class VectorTable:
         return join_unique(keyed, self.stored(), "key").select("id", "vector")
 
 
-def _embedded(provider: Provider):
-    """Texts in batches by bytes through a provider."""
+def _embedded(provider: Provider, config: EngineConfig):
+    """Texts through a provider in batches, bounded by their number and bytes; one text at least."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             sizes = rows["text"].map(lambda t: len(t.encode())).to_numpy()
             at = 0
             while at < len(rows):
-                upto = np.cumsum(sizes[at : at + BATCH_TEXTS])
-                end = at + max(1, int(np.searchsorted(upto, BATCH_BYTES, side="right")))
+                upto = np.cumsum(sizes[at : at + config.embedding_batch_texts])
+                end = at + max(1, int(np.searchsorted(upto, config.embedding_batch_bytes, side="right")))
                 part = rows.iloc[at:end]
                 found = np.asarray(provider.embed(part["text"].tolist()), dtype=np.float64)
                 if found.shape != (len(part), provider.dims):

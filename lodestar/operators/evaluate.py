@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
+
 
 def _in(found: Column, wanted: Column) -> Column:
     return F.contains(F.lower(found), F.lower(wanted))
@@ -81,6 +85,70 @@ def report_by_category(measured: DataFrame) -> DataFrame:
     return measured.groupBy("category").agg(F.count("*").alias("questions"), F.avg("recall_at_k").alias("recall_at_k"), F.avg("mrr").alias("mrr"), F.avg("citation_accuracy").alias("citation_accuracy")).orderBy("category")
 
 
+# What a retrieval should reach.
+TARGETS = {"recall_at_k": 0.70, "mrr": 0.60, "citation_accuracy": 0.65}
+#: A table of labelled questions.
+LABELLED = "question string, intent string, expected_symbols array<string>, expected_files array<string>, category string, notes string"
+#: Chances that a weight of mean one is at most 0, 1, 2 and so on; beyond the last it is as good as certain.
+POISSON = [round(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)), 12) for k in range(8)]
+
+
+def labelled(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled questions from JSON lines; lists that are missing are empty, a category that is missing is ``other``."""
+    none = F.array().cast("array<string>")
+    return spark.read.schema(LABELLED).json(path).where("question is not null").withColumns({"expected_symbols": F.coalesce("expected_symbols", none), "expected_files": F.coalesce("expected_files", none), "category": F.coalesce("category", F.lit("other"))})
+
+
+def replicate_weight(question: Column, replicate: Column, seed: int) -> Column:
+    """How often a question is in a replicate: a Poisson number of mean one that seed, replicate and question decide."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), question), 256), 1, 8), 16, 10).cast("double")
+    u = (h + 0.5) / 4294967296.0
+    out = F.when(u <= POISSON[0], 0)
+    for k, upto in enumerate(POISSON[1:], 1):
+        out = out.when(u <= upto, k)
+    return out.otherwise(len(POISSON))
+
+
+def _replicates(measured: DataFrame, measures: list[str], question: str, by: list[str], replicates: int, seed: int) -> DataFrame:
+    """(by, measure, replicate, mean): weighted means of every replicate in one pass. Sums meet in tasks first, so a
+    category of any size moves a row for each replicate and task."""
+    rows = measured.select(*by, F.col(question).alias("_q"), *measures, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("_w", replicate_weight(F.col("_q"), F.col("replicate"), seed))
+    sums = rows.groupBy(*by, "replicate").agg(F.sum("_w").alias("_n"), *(F.sum(F.col("_w") * F.col(m)).alias(m) for m in measures))
+    long = sums.select(*by, "replicate", "_n", F.explode(F.create_map(*(x for m in measures for x in (F.lit(m), F.col(m))))).alias("measure", "total"))
+    return long.where("_n > 0").select(*by, "measure", "replicate", (F.col("total") / F.col("_n")).alias("mean"))
+
+
+def _interval(means: Column, level: float) -> tuple[Column, Column]:
+    """The bounds of sorted replicate means, the outer neighbours of where they fall."""
+    tail, last = (1 - level) / 2, F.size(means) - 1
+    return F.get(means, F.floor(F.lit(tail) * last).cast("int")), F.get(means, F.ceil(F.lit(1 - tail) * last).cast("int"))
+
+
+def bootstrap(measured: DataFrame, measures: list[str], question: str, by: str, replicates: int = DEFAULT.report_replicates, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """(by, measure, mean, low, high): means of a category and intervals of them by the Poisson bootstrap."""
+    means = _replicates(measured, measures, question, [by], replicates, seed).groupBy(by, "measure").agg(F.sort_array(F.collect_list("mean")).alias("means"))  # one number a replicate
+    plain = measured.groupBy(by).agg(*(F.avg(m).alias(m) for m in measures)).select(by, F.explode(F.create_map(*(x for m in measures for x in (F.lit(m), F.col(m))))).alias("measure", "mean"))
+    low, high = _interval(F.col("means"), level)
+    return plain.join(means, [by, "measure"], "left").select(by, "measure", "mean", low.alias("low"), high.alias("high"))
+
+
+def compared(one: DataFrame, other: DataFrame, measures: list[str], question: str, by: str, replicates: int = DEFAULT.report_replicates, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """(by, measure, mean, low, high, above): the difference between two rankings of the same questions, and in how many
+    replicates the first is above. Both get the same weights, so what is hard for both cancels out."""
+    pair = one.select(by, F.col(question), *(F.col(m).alias(f"_{m}") for m in measures)).join(other.select(by, F.col(question), *measures), [by, question])
+    gaps = pair.select(by, question, *((F.col(f"_{m}") - F.col(m)).alias(m) for m in measures))
+    found = bootstrap(gaps, measures, question, by, replicates, seed, level)
+    above = _replicates(gaps, measures, question, [by], replicates, seed).groupBy(by, "measure").agg(F.avg((F.col("mean") > 0).cast("double")).alias("above"))
+    return found.join(above, [by, "measure"], "left")
+
+
+def against_targets(measured: DataFrame, question: str, replicates: int = DEFAULT.report_replicates, seed: int = 7) -> DataFrame:
+    """(measure, mean, low, high, target, met): all questions together against TARGETS; met if the whole interval reaches it."""
+    found = bootstrap(measured.withColumn("_all", F.lit("all")), list(TARGETS), question, "_all", replicates, seed)
+    target = F.element_at(F.create_map(*(F.lit(x) for kv in TARGETS.items() for x in kv)), F.col("measure"))
+    return found.select("measure", "mean", "low", "high", target.alias("target"), (F.col("low") >= target).alias("met"))
+
+
 def write_report(measured: DataFrame, path: str) -> None:
     """The report as JSON files."""
     report(measured).write.mode("overwrite").json(path)

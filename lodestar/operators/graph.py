@@ -114,6 +114,17 @@ def impact(edges: DataFrame, node: str, depth: int = 3, limit: int = 30) -> Data
     return direct.union(found.where("level > 1").orderBy("level", "id").limit(limit).withColumn("kind", F.lit("indirect")))
 
 
+#: What an impact is and isn't.
+IMPACT_NOTE = "This is what could be affected, as far as static relations show it; nothing here has to break."
+
+
+def impact_report(edges: DataFrame, node: str, depth: int = 3, limit: int = 30) -> DataFrame:
+    """One row: symbol_id, direct and indirect dependents in order, and a note; empty lists for a symbol that no edge has."""
+    found = impact(edges, node, depth, limit)
+    listed = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("level", "id")))), lambda x: x["id"]).alias(kind)
+    return found.agg(listed("direct"), listed("indirect")).select(F.lit(node).alias("symbol_id"), "direct", "indirect", F.lit(IMPACT_NOTE).alias("note"))
+
+
 def subgraph(edges: DataFrame, roots: DataFrame, depth: int = 2, limit: int = 60) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, level) within depth of any root (id), the ``limit`` nearest, and the edges between them."""
     arcs = undirected(edges)

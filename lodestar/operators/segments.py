@@ -23,8 +23,6 @@ from ..session import removed, written
 from .lexical import weighed_terms
 from .postings import BlockedIndex, blocks, ranges_of, write_blocks
 
-#: Segments of like size that are merged into one.
-FAN = 4
 _STATE = "version long, body string"
 
 
@@ -127,7 +125,7 @@ class SegmentedIndex:
         version, segments = self.state()
         self._publish(version + 1, self._without(segments, self.documents(segments).where(F.col("repository_id") == repository).select("id")))
 
-    def merge(self, fan: int = FAN) -> bool:
+    def merge(self, fan: int = DEFAULT.segment_fan) -> bool:
         """Make one segment of the segments of a tier that has ``fan`` or more; whether there was one. Tiers are powers of ``fan``."""
         version, segments = self.state()
         tiers: dict[int, list[Segment]] = {}

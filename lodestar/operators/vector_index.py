@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT
+from ..config import DEFAULT, EngineConfig
 from ..session import removed, written
 from .dense import QUERY_BYTES, _unit
 from .lexical import top_k
@@ -65,7 +65,7 @@ class VectorIndex:
         return VectorIndex(spark, path, centres, np.asarray(made["books"]).reshape(groups, -1, dims // groups), made["probes"])
 
 
-def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector: str = "embedding", carry: list[str] | None = None, lists: int | None = None, group: int = GROUP) -> VectorIndex:
+def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector: str = "embedding", carry: list[str] | None = None, lists: int | None = None, group: int = GROUP, config: EngineConfig = DEFAULT) -> VectorIndex:
     """Index all vectors under path; null ids and vectors, and vectors of another length than most, are left out.
 
     Quantisers are fitted on a bounded sample, the rows of least hash of their ids; every vector is
@@ -87,13 +87,14 @@ def build(vectors: DataFrame, path: str, id_col: str = "vec_id", vector: str = "
     sample = written(drawn.select("id", "vector"), "sample")
     first = sample.orderBy(F.xxhash64("id")).limit(SEEDING).select("vector").toPandas()  # bounded by SEEDING
     seeds = _unit(np.stack(first["vector"].to_numpy()).astype(np.float64))
-    count = max(1, min(lists or round(n**0.5), len(seeds)))
+    count = max(1, min(lists or config.vector_lists or round(n**0.5), len(seeds)))
     centres = fitted(sample, seeds[:count], lambda unit, shared: [(0, unit)])[0]
     left = lambda unit, shared: _groups(unit - shared[np.argmax(unit @ shared.T, axis=1)], group)
     seeds_left = np.stack([g for _, g in left(seeds, centres)])
     books = fitted(sample, seeds_left[:, : min(CODES, len(seeds))].reshape(-1, group), lambda unit, shared: left(unit, shared), centres, dims // group)
     index = VectorIndex(spark, path, centres, books, count)
     index.probes = _probes(np.stack(sample.orderBy(F.xxhash64("id").desc()).limit(SEEDING).toPandas()["vector"].to_numpy()).astype(np.float64), centres)
+    index.probes = config.vector_probes or index.probes
     removed(sample)
     coded = rows.mapInPandas(_coded(spark.sparkContext.broadcast((centres, books)), kept), f"id {dict(rows.dtypes)['id']}, {''.join(f'`{c}` {dict(rows.dtypes)[c]}, ' for c in kept)}vector array<float>, code binary, list int")
     placed = written(coded.repartitionByRange("list", "id").sortWithinPartitions("list", "id"), "coded")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, paths, secrets
 from ..functions import text as tx
-from ..operators import catalog, context, evaluate, parse, relate
+from ..operators import catalog, context, evaluate, parse, relate, status
+from ..schemas import INDEX_STATUS
 from .bindings import PATHS_SQL, SYMBOLS_SQL, symbols
 from .bindings import paths as path_rows
 from .registry import query, read
@@ -331,6 +332,67 @@ def eval_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("category", "questions", *(F.round(c, 6).alias(c) for c in ("recall_at_k", "mrr", "citation_accuracy")))
 
 
+_NOW = "2024-01-20 12:00:00"
+_AGO = f"(epoch_us(TIMESTAMP '{_NOW}') - epoch_us(ts)) / 60000000.0"
+
+
+@query(f"SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN (m // 60) || 'h ago' ELSE (m // 1440) || 'd ago' END AS ago FROM (SELECT event_id, CAST(floor({_AGO}) AS BIGINT) AS m FROM events)")
+def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long ago each event was at a given time."""
+    return read(spark, sf_dir, "events").select("event_id", tx.relative_time(F.col("ts"), F.lit(_NOW)).alias("ago"))
+
+
+@query("SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000.0) WHEN n >= 1000 THEN printf('%.1fK', n / 1000.0) ELSE CAST(n AS VARCHAR) END AS n FROM (SELECT o_orderkey, o_orderkey * 100 + 1 AS n FROM orders)")
+def compact_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_orderkey") * 100 + 1
+    return read(spark, sf_dir, "orders").select("o_orderkey", tx.compact_number(n).alias("n"))
+
+
+STEP_OF = {"signup": "QUEUED", "view": "SCANNING", "click": "PARSING", "purchase": "READY", "error": "FAILED"}
+_STEP_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STEP_OF.items()) + " END"
+_PLACE = f"list_position({[s for s in INDEX_STATUS if s != 'FAILED']!r}, {{}})"
+_FOLLOWS = f"""CASE step WHEN 'QUEUED' THEN now IN ('', 'READY', 'FAILED') WHEN 'FAILED' THEN now NOT IN ('', 'READY', 'FAILED') ELSE coalesce({_PLACE.format("step")} > nullif({_PLACE.format("now")}, 0), false) END"""
+
+
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user is a run, an event a change of its status."""
+    step = F.create_map(*(F.lit(x) for kv in STEP_OF.items() for x in kv))
+    return read(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.try_element_at(step, F.col("event_type")).alias("step"))
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, ts, {_STEP_SQL} AS step, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+w(user_id, event_id, ts, n, before, step, held) AS (
+  SELECT user_id, event_id, ts, n, '', step, step = 'QUEUED' FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, ts, n, now, step, {_FOLLOWS} FROM (SELECT e.*, CASE WHEN w.held THEN w.step ELSE w.before END AS now FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)),
+h AS (SELECT user_id, event_id, step, ts, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY n), (SELECT max(ts) FROM events)) AS next FROM w WHERE held)
+SELECT user_id, event_id, ts AS at, before, step AS after, CASE WHEN held THEN 'held' ELSE 'refused' END AS kind FROM w
+UNION ALL SELECT user_id, event_id, ts + INTERVAL 1 DAY, step, step, 'stuck' FROM h WHERE step NOT IN ('READY', 'FAILED') AND ts + INTERVAL 1 DAY < next"""
+)
+def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events change the status of their run, which are refused, and which runs are stuck for a day."""
+    found = status.changes(run_events(spark, sf_dir), "user_id", "step", "ts", "event_id")
+    return found.select(F.col("key").alias("user_id"), F.col("tie").alias("event_id"), "at", "before", "after", "kind")
+
+
+_REPLICATES = 200
+_BOOT = f"""WITH m AS MATERIALIZED (SELECT category, category || '/' || question AS question, recall_at_k, mrr, citation_accuracy FROM {_MEASURES}),
+r AS (SELECT *, (CAST('0x' || left(sha256('7:' || b || ':' || question), 8) AS BIGINT) + 0.5) / 4294967296 AS u FROM m, (SELECT unnest(range(1, {_REPLICATES + 1})) AS b)),
+w AS (SELECT *, CASE {" ".join(f"WHEN u <= {evaluate.POISSON[k]!r} THEN {k}" for k in range(len(evaluate.POISSON)))} ELSE {len(evaluate.POISSON)} END AS w FROM r),
+s AS (SELECT category, measure, b, sum(w * value) / nullif(sum(w), 0) AS mean FROM (SELECT category, b, w, unnest(['recall_at_k', 'mrr', 'citation_accuracy']) AS measure, unnest([recall_at_k, mrr, citation_accuracy]) AS value FROM w) GROUP BY ALL),
+l AS (SELECT category, measure, list_sort(list(mean) FILTER (WHERE mean IS NOT NULL)) AS means FROM s GROUP BY ALL),
+p AS (SELECT category, measure, avg(value) AS mean FROM (SELECT category, unnest(['recall_at_k', 'mrr', 'citation_accuracy']) AS measure, unnest([recall_at_k, mrr, citation_accuracy]) AS value FROM m) GROUP BY ALL)
+SELECT category, measure, round(mean, 6) AS mean, round(means[CAST(floor(0.025 * (len(means) - 1)) AS INT) + 1], 6) AS low, round(means[CAST(ceil(0.975 * (len(means) - 1)) AS INT) + 1], 6) AS high FROM p JOIN l USING (category, measure)"""
+
+
+@query(_BOOT)
+def eval_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the measures by category with intervals of 95 per cent."""
+    m = _measured(spark, sf_dir).withColumn("question", F.concat_ws("/", "lang", "source"))
+    found = evaluate.bootstrap(m, ["recall_at_k", "mrr", "citation_accuracy"], "question", "category", _REPLICATES, 7)
+    return found.select("category", "measure", *(F.round(c, 6).alias(c) for c in ("mean", "low", "high")))
+
+
 SOURCES = [
     ("demo", "src/auth.py", "python", 'import os\nfrom db.users import find\n\nclass Auth:\n    """Checks users."""\n\n    def login(self, name):\n        return find(name.strip())\n\n    def logout(self):\n        self.login("x")\n\n@router.get("/health")\ndef health():\n    return Auth().login("probe")\n'),
     ("demo", "src/broken.py", "python", "class Open:\n    def run(self):\n        pass\n\ndef unfinished(\n"),

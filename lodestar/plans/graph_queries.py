@@ -78,6 +78,18 @@ def impact_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjacency.impact(stored.stored_graph(spark, sf_dir), PART)
 
 
+@query(
+    f"""WITH {_levels_sql(_BACK, f'SELECT {PART!r} AS id', 3)},
+r AS (SELECT id, level FROM reached WHERE level = 1 UNION ALL SELECT * FROM (SELECT id, level FROM reached WHERE level > 1 ORDER BY level, id LIMIT 30))
+SELECT symbol_id, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM r WHERE level = 1 AND symbol_id = '{PART}'), '') AS direct,
+ coalesce((SELECT string_agg(id, ',' ORDER BY level, id) FROM r WHERE level > 1 AND symbol_id = '{PART}'), '') AS indirect, '{graph.IMPACT_NOTE}' AS note FROM (VALUES ('{PART}'), ('no such part')) v(symbol_id)"""
+)
+def impact_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a part's change could affect, and the same of a symbol that isn't there."""
+    reports = [graph.impact_report(edges(spark, sf_dir), node) for node in (PART, "no such part")]
+    return reports[0].union(reports[1]).select("symbol_id", F.array_join("direct", ",").alias("direct"), F.array_join("indirect", ",").alias("indirect"), "note")
+
+
 _ROOTS = f"SELECT id FROM {NODES_SQL} WHERE symbol_type IN ('class', 'module', 'file') ORDER BY id LIMIT 10"
 
 

@@ -13,6 +13,7 @@ from ..functions.vectors import hash_embedding
 from ..operators.lexical import LexicalIndex, build_index
 from ..operators.parse import parse_files, symbols_of
 from ..operators.relate import relationships
+from ..sources.tables import replace_repositories
 
 # The symbol types that are searched; imports alone are not.
 INDEXED = ["file", "module", "class", "interface", "struct", "enum", "function", "method", "endpoint", "variable", "constant", "configuration", "test", "documentation", "type"]
@@ -48,3 +49,20 @@ def ingest(files: DataFrame, index_non_source: bool = True) -> Repository:
     vectors = searched.select("id", "repository_id", "symbol_type", hash_embedding(tx.embedding_text(c("symbol_type"), c("qualified_name"), c("file_path"), c("documentation"), c("code"))).alias("vector"))
     text = tx.lexical_text(c("qualified_name"), c("symbol_name"), c("file_path"), c("documentation"), c("code"))
     return Repository(files, symbols, relationships(parsed, found), vectors, build_index(searched, "id", text))
+
+
+def store(repository: Repository, root: str) -> dict[str, str]:
+    """Write an ingested repository's tables under root, in place of what its repositories had; what failed, by table.
+
+    Files and symbols are what everything else hangs on: if they can't be written, that is raised. Edges
+    and vectors add to them: one that fails is left as it was, and the others are written.
+    """
+    errors = {}
+    for name, rows, needed in (("files", repository.files.drop("content", "bytes"), True), ("symbols", repository.symbols, True), ("relationships", repository.edges, False), ("vectors", repository.vectors, False)):
+        try:
+            replace_repositories(rows, f"{root}/{name}")
+        except Exception as e:  # whatever the rows or the store throw
+            if needed:
+                raise
+            errors[name] = f"{type(e).__name__}: {e}".split("\n")[0][:500]
+    return errors

@@ -267,7 +267,7 @@ def test_a_text_is_embedded_once(spark, tmp_path):
         name = "counting"
 
         def embed(self, texts):
-            if len(texts) > embeddings.BATCH_TEXTS or (len(texts) > 1 and sum(len(t.encode()) for t in texts) > embeddings.BATCH_BYTES):
+            if len(texts) > 256 or (len(texts) > 1 and sum(len(t.encode()) for t in texts) > 1 << 20):
                 raise ValueError("too much at once")
             return super().embed(texts)
 

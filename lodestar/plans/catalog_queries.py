@@ -175,10 +175,24 @@ def normalize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd.union(m.select(-1 - F.col("doc_id"), "path")).select("doc_id", paths.normalized(F.col("path")).alias("path"))
 
 
-@query(f"SELECT doc_id, {', '.join(f'CAST(len(regexp_extract_all(text, {p.replace(chr(39), chr(39) * 2).join((chr(39), chr(39)))})) AS INT) AS {n}' for n, p in secrets.PATTERNS.items())} FROM documents")
+#: Made-up secrets of every kind behind documents' texts, each of its document's id alone.
+_SEEDED_SQL = """(SELECT doc_id, coalesce(text, '') || ' ' || (['api_key = ' || lpad(CAST(doc_id AS VARCHAR), 12, 'x'), 'sk-' || lpad(CAST(doc_id AS VARCHAR), 20, 'x'), 'AKIA' || lpad(CAST(doc_id AS VARCHAR), 16, '0'),
+ 'eyJ' || lpad(CAST(doc_id AS VARCHAR), 10, 'x') || '.' || lpad(CAST(doc_id AS VARCHAR), 10, 'y') || '.' || lpad(CAST(doc_id AS VARCHAR), 10, 'z'), '-----BEGIN RSA ' || 'PRIVATE KEY-----', 'none'])[CAST(doc_id % 6 AS INT) + 1] AS text FROM documents)"""
+
+
+def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lambda n, c: F.lpad(F.col("doc_id").cast("string"), n, c)
+    kinds = F.array(
+        F.concat(F.lit("api_key = "), own(12, "x")), F.concat(F.lit("sk-"), own(20, "x")), F.concat(F.lit("AKIA"), own(16, "0")),
+        F.concat(F.lit("eyJ"), own(10, "x"), F.lit("."), own(10, "y"), F.lit("."), own(10, "z")), F.concat(F.lit("-----BEGIN RSA "), F.lit("PRIVATE KEY-----")), F.lit("none"),
+    )
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.get(kinds, (F.col("doc_id") % 6).cast("int"))).alias("text"))
+
+
+@query(f"SELECT doc_id, {', '.join(f'CAST(len(regexp_extract_all(text, {p.replace(chr(39), chr(39) * 2).join((chr(39), chr(39)))})) AS INT) AS {n}' for n, p in secrets.PATTERNS.items())} FROM {_SEEDED_SQL}")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_counts(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in found.items()))
+    return _seeded(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in found.items()))
 
 
 def _redact_sql() -> str:
@@ -189,15 +203,23 @@ def _redact_sql() -> str:
     return out
 
 
-@query(f"SELECT doc_id, md5({_redact_sql()}) AS redacted_md5, {_redact_sql()} <> text AS redacted FROM documents")
+@query(f"SELECT doc_id, md5({_redact_sql()}) AS redacted_md5, {_redact_sql()} <> text AS redacted FROM {_SEEDED_SQL}")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.redacted(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(out).alias("redacted_md5"), (out != F.col("text")).alias("redacted"))
+    return _seeded(spark, sf_dir).select("doc_id", F.md5(out).alias("redacted_md5"), (out != F.col("text")).alias("redacted"))
+
 
+_WORDS_OF_DOUBT = ["", " INSUFFICIENT evidence here", " It was Not Found", " This is Inferred", " Likely so"]
 
-@query("SELECT conv_id, turn, CASE WHEN contains(lower(text), 'insufficient evidence') OR contains(lower(text), 'not found') THEN 'NOT_FOUND' WHEN contains(lower(text), 'inferred') OR contains(lower(text), 'likely') THEN 'INFERRED' ELSE 'CONFIRMED' END AS grade FROM conversations")
+
+@query(
+    f"""SELECT conv_id, turn, CASE WHEN contains(t, 'insufficient evidence') OR contains(t, 'not found') THEN 'NOT_FOUND' WHEN contains(t, 'inferred') OR contains(t, 'likely') THEN 'INFERRED' ELSE 'CONFIRMED' END AS grade
+FROM (SELECT conv_id, turn, lower(text || ({_WORDS_OF_DOUBT!r})[CAST((conv_id + turn) % 5 AS INT) + 1]) AS t FROM conversations)"""
+)
 def evidence_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.evidence_grade(F.col("text")).alias("grade"))
+    """Conversations with words of doubt behind four of five turns."""
+    said = F.concat("text", F.get(F.array(*map(F.lit, _WORDS_OF_DOUBT)), ((F.col("conv_id") + F.col("turn")) % 5).cast("int")))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.evidence_grade(said).alias("grade"))
 
 
 @query("SELECT event_id, CAST(props->>'k' AS INT) AS k, CAST(json_object('k', CAST(props->>'k' AS INT)) AS VARCHAR) AS again FROM events")
@@ -404,8 +426,31 @@ SOURCES = [
 ]
 
 
-def _parsed(spark: SparkSession) -> DataFrame:
-    return parse.parse_files(spark.createDataFrame(SOURCES, "repository_id string, path string, language string, content string"))
+#: A source for each document, of one language or another: (language, suffix, text with the document's id as #).
+_SHAPES = [
+    ("python", "py", "class Doc#:\n    def run(self):\n        return helper_#()\n"),
+    ("typescript", "ts", "export class Doc# {\n  start() { return x; }\n}\n"),
+    ("java", "java", 'public class Doc# {\n  @GetMapping("/d#")\n  public String all() {\n    return "";\n  }\n}\n'),
+    ("go", "go", "package main\n\nfunc main#() {\n\tif true {\n\t}\n}\n"),
+    ("c", "c", "int add#(int a, int b) {\n  return a + b;\n}\n"),
+]
+#: What each shape holds, as _SYMBOLS and _EDGES have it; a plus is as many columns as the id has digits.
+_SHAPE_SYMBOLS = [
+    (0, "class", "Doc#", 1, 3, 0, "24+", None), (0, "method", "Doc#.run", 2, 3, 4, "24+", "Doc#"), (1, "class", "Doc#", 1, 3, 7, "1", None), (1, "method", "Doc#.start", 2, 2, 2, "23", "Doc#"),
+    (2, "class", "Doc#", 1, 6, 0, "1", None), (2, "endpoint", "GET /d#", 3, 5, 2, "3", "Doc#.all"), (2, "method", "Doc#.all", 3, 5, 2, "3", "Doc#"), (3, "function", "main#", 3, 6, 0, "1", None), (4, "function", "add#", 1, 3, 0, "1", None),
+]
+_SHAPE_EDGES = [
+    *((k, "src/d#." + _SHAPES[k][1], name, "CONTAINS", 1.0, 0, 1, line) for k, _, name, line, *_ in _SHAPE_SYMBOLS),
+    (0, "Doc#.run", "helper_#", "CALLS", 0.55, 1, 0, 3), (2, "GET /d#", "Doc#.all", "ROUTES_TO", 1.0, 1, 1, 2),
+]
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The literal sources, and one for every document."""
+    pick = lambda i: F.get(F.array(*(F.lit(s[i]) for s in _SHAPES)), (F.col("doc_id") % len(_SHAPES)).cast("int"))
+    own = F.col("doc_id").cast("string")
+    made = read(spark, sf_dir, "documents").select(F.lit("documents").alias("repository_id"), F.concat(F.lit("src/d"), own, F.lit("."), pick(1)).alias("path"), pick(0).alias("language"), F.replace(pick(2), F.lit("#"), own).alias("content"))
+    return parse.parse_files(spark.createDataFrame(SOURCES, "repository_id string, path string, language string, content string").unionByName(made))
 
 
 def _values(columns: str, rows: list[tuple]) -> str:
@@ -465,16 +510,28 @@ _EDGES = [
 ]
 
 
-@query(_values("file_path, symbol_type, qualified_name, start_line, end_line, start_column, end_column, parent_symbol, documentation", _SYMBOLS))
+_OWN = "replace({}, '#', CAST(doc_id AS VARCHAR))"
+_SUFFIX = f"({[s[1] for s in _SHAPES]!r})[CAST(doc_id % {len(_SHAPES)} AS INT) + 1]"
+
+
+@query(
+    f"""{_values("file_path, symbol_type, qualified_name, start_line, end_line, start_column, end_column, parent_symbol, documentation", _SYMBOLS)} UNION ALL
+SELECT 'src/d' || doc_id || '.' || {_SUFFIX}, kind, {_OWN.format("name")}, a, b, c, CAST(replace(d, '+', '') AS INT) + CASE WHEN contains(d, '+') THEN length(CAST(doc_id AS VARCHAR)) ELSE 0 END, {_OWN.format("parent")}, NULL
+FROM documents JOIN ({_values("k, kind, name, a, b, c, d, parent", _SHAPE_SYMBOLS)}) ON k = doc_id % {len(_SHAPES)}"""
+)
 def parse_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of the literal sources."""
-    return parse.symbols_of(_parsed(spark)).select("file_path", "symbol_type", "qualified_name", "start_line", "end_line", "start_column", "end_column", "parent_symbol", "documentation")
+    """Symbols of the literal sources and of one for every document."""
+    return parse.symbols_of(_parsed(spark, sf_dir)).select("file_path", "symbol_type", "qualified_name", "start_line", "end_line", "start_column", "end_column", "parent_symbol", "documentation")
 
 
-@query(_values("source_name, target_name, relation_type, confidence, source_known, target_known, evidence", _EDGES))
+@query(
+    f"""{_values("source_name, target_name, relation_type, confidence, source_known, target_known, evidence", _EDGES)} UNION ALL
+SELECT {_OWN.format("one_end")}, {_OWN.format("other_end")}, relation, confidence, source_known, target_known, 'src/d' || doc_id || '.' || {_SUFFIX} || ':' || line
+FROM documents JOIN ({_values("k, one_end, other_end, relation, confidence, source_known, target_known, line", _SHAPE_EDGES)}) ON k = doc_id % {len(_SHAPES)}"""
+)
 def code_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between the literal sources' symbols, and whether each end is one."""
-    parsed = _parsed(spark)
+    """Edges between the sources' symbols, and whether each end is one."""
+    parsed = _parsed(spark, sf_dir)
     edges = relate.relationships(parsed, parse.symbols_of(parsed))
     known = lambda c: F.col(c).isNotNull().cast("int")
     return edges.select("source_name", "target_name", "relation_type", "confidence", known("source_symbol_id").alias("source_known"), known("target_symbol_id").alias("target_known"), "evidence")

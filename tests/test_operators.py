@@ -6,8 +6,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import context, dense, fusion, graph, lexical, parse, relate
+from lodestar.operators import catalog, context, dense, fusion, graph, lexical, parse, relate
 from lodestar.plans.ingestion import ingest
+from lodestar.schemas import TABLES, create_tables
 from lodestar.sources import files, tables
 
 
@@ -300,3 +301,34 @@ def test_a_damaged_archive_fails_alone(spark):
     rows = spark.createDataFrame([("good", good), ("bad", bad), ("none", b"xx")], "archive string, content binary")
     got = {r["archive"]: (r["path"], r["error"]) for r in files.zip_members(rows).collect()}
     assert got["good"] == ("a.py", None) and got["bad"][1].startswith("unreadable") and got["none"][1] == "no archive"
+
+
+def test_nodes_that_are_shown(spark):
+    symbols = spark.createDataFrame([("s1", "a.run", "method", "a.py")], "id string, qualified_name string, symbol_type string, file_path string")
+    shown = graph.shown_nodes(spark.createDataFrame([("s1",), ("os.path",)], "id string"), symbols)
+    assert sorted(map(tuple, shown.collect())) == [("os.path", "os.path", "external", ""), ("s1", "a.run", "method", "a.py")]
+
+
+def test_collection_info(spark):
+    r = catalog.collection_info(spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "vector array<double>")).first()
+    assert (r["points"], r["least_dimensions"], r["dimensions"]) == (2, 1, 2)
+
+
+def test_tables_are_created_once(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS made")
+    try:
+        create_tables(spark, "made")
+        create_tables(spark, "made")
+        assert {r["tableName"] for r in spark.sql("SHOW TABLES IN made").collect()} == set(TABLES) and "repository_id" in spark.table("made.symbols").columns
+    finally:
+        spark.sql("DROP DATABASE made CASCADE")
+
+
+def test_graph_around_an_answer(spark):
+    from lodestar.plans import search
+
+    symbols = spark.createDataFrame([(f"s{i}", "function", f"name{i}", f"m.name{i}", "python", "a.py", 1, 2, None, "code") for i in range(8)], "id string, symbol_type string, symbol_name string, qualified_name string, language string, file_path string, start_line int, end_line int, documentation string, code string")
+    edges = spark.createDataFrame([("s0", "s1", "CALLS"), ("s1", "s2", "CALLS"), ("s2", "s3", "CALLS"), ("s6", "s7", "CALLS")], "src string, dst string, relation_type string")
+    found = search.retrieve(spark.createDataFrame([("q", "where is `name0`")], "query_id string, text string"), symbols, None, None, edges)
+    nodes, kept = search.answer_graph(found, edges)
+    assert sorted(map(tuple, nodes.collect())) == [("s0", 0), ("s1", 1), ("s2", 2)] and sorted((r["src"], r["dst"]) for r in kept.collect()) == [("s0", "s1"), ("s1", "s2")]

@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import written
+from ..session import removed, written
 from .common import fresh, join_frequent, prepare, slices, stable, with_fields
 
 #: Draws that keep the format; later ones, when a format is nearly used up, make the surrogate longer, so that they always end.
@@ -35,13 +37,16 @@ SYLLABLES = {
     "latin": ("b d f g h k l m n p r s t v".split(), "a e i o u".split(), {"f": "a", "m": "n"}),
     "cyrillic": ("б в г д ж з к л м н п р с т".split(), "а е и о у".split(), {"f": "а", "m": "н"}),
     "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ".split(), "α ε ι ο υ".split(), {"f": "α", "m": "ς"}),
+    "armenian": ("բ գ դ զ լ կ հ մ ն պ ս տ ր".split(), "ա ե ի ո".split(), {"f": "ա", "m": "ն"}),
 }
 
 #: Words inside names that stay as they are: particles before a family name, and what follows it.
 PARTICLES = frozenset("van von der den dem zu zur de del della di da dos das du la le les las los y e bin ibn al el d l".split())
 SUFFIXES = frozenset(("Jr", "Sr", "II", "III", "IV"))
-#: Capitals by which initials of a script are exchanged.
+#: Capitals by which initials of a script are exchanged; other scripts have those near their letters.
 CAPITALS = {"latin": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
+#: Characters around a letter among which the other letters of its script are looked for.
+BLOCK = 128
 
 _LETTERS = r"(?:[^\W\d_][\u0300-\u036f]*)+"
 _NAME = rf"{_LETTERS}(?:[-'’]{_LETTERS})*"
@@ -51,10 +56,11 @@ PATTERNS = [
     ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,})"), 1),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), 0),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"), 0),
+    ("ipv6", re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:.]*[\w:])"), 0),
     ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]?\d{5,8})(?!\d)"), 0),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), 0),
     ("card", re.compile(r"(?<![\d.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d-])"), 0),
-    ("name", re.compile(r"\b(?:" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + r")\.?[ \u00a0](?:(?:Dr|Prof|Dipl|Ing|Mag)\b\.?[- \u00a0])*"), 0),
+    ("name", re.compile(r"\b(?:" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + r")\.?(?:[ \u00a0]{1,3}|[ \u00a0]?\r?\n[ \u00a0]{0,3})(?:(?:Dr|Prof|Dipl|Ing|Mag|med|rer|nat|phil|jur|habil)\b\.?[- \u00a0])*"), 0),
 ]
 #: Words that a person's own name follows, in any language of the patterns.
 INTRODUCTIONS = ("my name is", "My name is", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo")
@@ -79,6 +85,8 @@ def _holds(kind: str, value: str) -> bool:
         return 13 <= sum(c.isdigit() for c in value) <= 19
     if kind == "phone":
         return 7 <= sum(c.isdigit() for c in value) <= 15
+    if kind == "ipv6":
+        return any(c.isdigit() for c in value) and value.count(":") <= 7
     if kind == "iban":
         plain = value.replace(" ", "")
         return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
@@ -213,12 +221,34 @@ def _like(text: str, draw: _Draw) -> str:
 
 
 def _hex_like(text: str, draw: _Draw) -> str:
-    return "".join("0123456789abcdef"[draw.below(16)] if c in "0123456789abcdef" else c for c in text)
+    digits = "0123456789abcdef"
+    return "".join(digits[draw.below(16)] if c in digits else digits[draw.below(16)].upper() if c in "ABCDEF" else c for c in text)
 
 
 def _script(text: str) -> str:
-    at = next((ord(c) for c in text if c.isalpha()), 65)
-    return "cyrillic" if 0x400 <= at < 0x530 else "greek" if 0x370 <= at < 0x400 else "latin"
+    """The script of a text's first letter, as Unicode names it."""
+    first = next((c for c in text if c.isalpha()), "a")
+    return unicodedata.name(first, "LATIN").split()[0].split("-")[0].lower()
+
+
+@lru_cache(maxsize=4096)
+def _near(letter: str, small: bool) -> str:
+    """Small letters or capitals of a letter's script, from around it."""
+    start = ord(letter) // BLOCK * BLOCK
+    every = [c for c in map(chr, range(start, start + BLOCK)) if c.isalpha() and _script(c) == _script(letter)]
+    return "".join(c for c in every if (c.islower() if small else c.isupper())) or "".join(every)
+
+
+def _sounds(word: str) -> tuple[list[str] | str, list[str] | str, dict[str, str]]:
+    """What words of a script are made of: two kinds of letters that alternate, and endings by gender where the script has some here."""
+    if _script(word) in SYLLABLES:
+        return SYLLABLES[_script(word)]
+    letters = _near(next(c for c in word if c.isalpha()), True)
+    return letters, letters, {}
+
+
+def _capitals(letter: str) -> str:
+    return CAPITALS.get(_script(letter)) or _near(letter, False)
 
 
 def _name_parts(kind: str, value: str) -> list[tuple[int, int, str, str]]:
@@ -229,7 +259,7 @@ def _name_parts(kind: str, value: str) -> list[tuple[int, int, str, str]]:
         given = kind[-1] if w is not core[-1] else ""
         for p in _PART.finditer(value, w.start(), w.end()):
             if p[0] not in PARTICLES:
-                lone = given and len(p[0]) == 1 and p[0] in CAPITALS[_script(p[0])]
+                lone = given and len(p[0]) == 1 and p[0] in _capitals(p[0])
                 out.append((p.start(), p.end(), "initial" if lone else f"word_{given}", _word_key(p[0])))
     return out
 
@@ -248,16 +278,16 @@ def _person(key: bytes, kind: str, value: str, words: dict[tuple[str, str], str]
 
 def _initial(key: bytes, letter: str) -> str:
     """The next letter on a keyed round of the script's capitals: never the same, never that of another letter."""
-    order = sorted(CAPITALS[_script(letter)], key=lambda c: hmac.new(key, f"initial\0{c}".encode(), hashlib.sha256).digest())
+    order = sorted(_capitals(letter), key=lambda c: hmac.new(key, f"initial\0{c}".encode(), hashlib.sha256).digest())
     return order[(order.index(letter) + 1) % len(order)]
 
 
 def _name_word(key: bytes, kind: str, word: str, draw: int) -> str:
     """A word in small letters that ends as its gender does; later draws have more syllables."""
     d = _Draw(key, kind, word, draw)
-    consonants, vowels, last = SYLLABLES[_script(word)]
+    consonants, vowels, last = _sounds(word)
     made = "".join(consonants[d.below(len(consonants))] + vowels[d.below(len(vowels))] for _ in range(3 + d.below(2) + draw // 2))
-    return made[:-1] + last["f"] if kind == "word_f" else made + last["m"] if kind == "word_m" else made
+    return made[:-1] + last["f"] if kind == "word_f" and last else made + last["m"] if kind == "word_m" and last else made
 
 
 def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
@@ -266,12 +296,14 @@ def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
     d = _Draw(key, kind, value, draw)
     more = draw >= SAME_FORMAT_DRAWS
     if kind == "email":
-        local, _, domain = value.rpartition("@")
-        labels = domain.rpartition(".")[0]
-        out = f"{_like(local, d)}{_like('x9' * 4, d) if more else ''}@{_like(labels, _Draw(key, 'domain', domain.lower(), 0))}.example"
+        return addressed(_local(key, value, draw), surrogate(key, "domain", value.rpartition("@")[2].lower(), 0))
+    if kind == "domain":
+        out = f"{_like(value.rpartition('.')[0], d)}{_like('x9' * 4, d) if more else ''}.example"
     elif kind == "ip":
         span = {n: (0, 256) for n in (1, 2, 3)} if more else {1: (0, 10), 2: (10, 90), 3: (100, 156)}
         out = ".".join(str(span[len(o)][0] + d.below(span[len(o)][1])) for o in value.split("."))
+    elif kind == "ipv6":
+        out = _hex_like(value, d)
     elif kind == "card":
         places = [i for i, c in enumerate(value) if c.isdigit()]
         chars = list(value[0] + _like(value[1:], d))
@@ -298,7 +330,19 @@ def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
         out = _person(key, kind, value, {(k, w): _name_word(key, k, w, draw) for _, _, k, w in _name_parts(kind, value)})
     else:
         out = _like(value, d)
-    return out + str(d.below(10**9)) if more and kind not in ("email", "ip") and not kind.startswith(("word_", "name_")) else out
+    return out + str(d.below(10**9)) if more and kind not in ("domain", "ip") and not kind.startswith(("word_", "name_")) else out
+
+
+def _local(key: bytes, value: str, draw: int) -> str:
+    """An address with another part before its own domain."""
+    d = _Draw(key, "email", value, draw)
+    local, _, domain = value.rpartition("@")
+    return f"{_like(local, d)}{_like('x9' * 4, d) if draw >= SAME_FORMAT_DRAWS else ''}@{domain}"
+
+
+def addressed(address: str, domain: str) -> str:
+    """An address at another domain."""
+    return f"{address.rpartition('@')[0]}@{domain}"
 
 
 def in_case_of(value: str, made: str) -> str:
@@ -331,13 +375,17 @@ def found_in(docs: DataFrame) -> DataFrame:
 def surrogates(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, surrogate) for distinct entities (kind, value): no surrogate is any value of
     its kind, and no two entities of a kind share one, but a family name alone has the same for
-    either gender. Clashes of names are settled by word, so that a word has the same surrogate
-    in all names. Each draw settles all that don't clash."""
+    any gender, and a full name for a gender and none. Each draw settles all that don't clash.
+
+    Clashes of names are settled by word, so that a word has the same surrogate in all names: a given
+    name without a gender is taken for the one that the corpus has it with elsewhere, of two the female
+    one. Domains are settled on their own, and addresses by what is before their domain.
+    """
 
     def drawn(draw: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield b.assign(surrogate=[surrogate(key, k, v, draw) for k, v in zip(b["kind"], b["value"], strict=True)])
+                yield b.assign(surrogate=[_local(key, v, draw) if k == "email" else surrogate(key, k, v, draw) for k, v in zip(b["kind"], b["value"], strict=True)])
 
         return run
 
@@ -351,10 +399,21 @@ def surrogates(found: DataFrame, key: bytes) -> DataFrame:
             made = [_person(key, k, v, {(x["role"], x["word"]): x["surrogate"] for x in own}) for k, v, own in zip(b["kind"], b["value"], b["own"], strict=True)]
             yield b[["kind", "value"]].assign(surrogate=made)
 
+    def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["kind", "value"]].assign(surrogate=[addressed(a, d) for a, d in zip(b["address"], b["other"], strict=True)])
+
     found = stable(found.select("kind", "value").distinct())
     is_name = F.col("kind").startswith("name_")
-    named = found.where(is_name).mapInPandas(words, "kind string, value string, role string, word string")
-    units = stable(found.where(~is_name).union(named.select("role", "word").distinct()))
+    named = written(found.where(is_name).mapInPandas(words, "kind string, value string, role string, word string"), "named")
+    given = named.where("role <> 'word_'").groupBy("word").agg(F.count("*").alias("n"), F.max(F.col("role") == "word_f").alias("f"), F.max(F.col("role") == "word_m").alias("m"))
+    unsure = join_frequent(named.where("role = 'word_n'"), stable(given), "word", "n", OFTEN)
+    sure = named.where("role <> 'word_n'").withColumn("as", F.col("role"))
+    taken_for = written(sure.unionByName(unsure.select("kind", "value", "role", "word", F.when(F.col("f"), "word_f").when(F.col("m"), "word_m").otherwise("word_n").alias("as"))), "named")
+    removed(named)
+    domain = F.element_at(F.split("value", "@"), -1)
+    domains = found.where("kind = 'email'").select(F.lit("domain").alias("kind"), domain.alias("value")).distinct()
+    units = stable(found.where(~is_name).union(domains).union(taken_for.select("as", "word").distinct()))
     family = F.split("kind", "_")[0]  # names clash whatever their gender, and whatever the case of a word
     taken = units.select(family.alias("family"), F.when(family == "word", F.lower("value")).otherwise(F.col("value")).alias("surrogate")).distinct()
     pending, settled, draw = units, None, 0
@@ -369,9 +428,16 @@ def surrogates(found: DataFrame, key: bytes) -> DataFrame:
             break
         taken = taken.union(good.select(family.alias("family"), "surrogate"))
         draw += 1
-    of_word = settled.where(F.col("kind").startswith("word_")).select(F.col("kind").alias("role"), F.col("value").alias("word"), "surrogate")
-    own = named.join(of_word, ["role", "word"]).groupBy("kind", "value").agg(F.collect_list(F.struct("role", "word", "surrogate")).alias("own"))
-    return settled.where(~F.col("kind").startswith("word_")).union(own.mapInPandas(composed, "kind string, value string, surrogate string"))
+    is_word = F.col("kind").startswith("word_")
+    times = taken_for.groupBy("as", "word").agg(F.count("*").alias("n"))
+    of_word = stable(settled.where(is_word).select(F.col("kind").alias("as"), F.col("value").alias("word"), "surrogate").join(times, ["as", "word"]))
+    own = join_frequent(taken_for, of_word, ["as", "word"], "n", OFTEN).groupBy("kind", "value").agg(F.collect_list(F.struct("role", "word", "surrogate")).alias("own"))
+    addresses = settled.where("kind = 'email'").select("kind", "value", F.col("surrogate").alias("address"), domain.alias("domain"))
+    of_domain = settled.where("kind = 'domain'").select(F.col("value").alias("domain"), F.col("surrogate").alias("other"))
+    of_domain = stable(of_domain.join(addresses.groupBy("domain").agg(F.count("*").alias("n")), "domain"))
+    schema = "kind string, value string, surrogate string"
+    mail = join_frequent(addresses, of_domain, "domain", "n", OFTEN).select("kind", "value", "address", "other").mapInPandas(moved, schema)
+    return settled.where(~is_word & ~F.col("kind").isin("email", "domain")).union(own.mapInPandas(composed, schema)).union(mail)
 
 
 def _replaced(docs: DataFrame, key: bytes) -> tuple[DataFrame, str]:

@@ -144,3 +144,42 @@ def test_mapping_equals_rounds_over_a_list(spark):
     rows = [("ip", f"{a}.{b}.{c}.1") for a in range(1, 10) for b in range(10) for c in range(10)] + [("phone", f"+1 20{n:02d}") for n in range(40)]
     got = {(r["kind"], r["value"]): r["surrogate"] for r in P.surrogates(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()}
     assert got == brute(rows, KEY)
+
+
+def test_titles_in_one_text_and_across_texts_keep_one_name(spark):
+    pairs = [("Dr. Anna Weber", "Frau Anna Weber"), ("Prof John Smith", "Mr John Smith"), ("my name is Carla Díaz", "Mrs Carla Díaz"), ("Dr Kim Lee", "Dr Kim Lee")]
+    rows = [(i, f"{a} came, then {b} left.") for i, (a, b) in enumerate(pairs)] + [(10, "Dr Anna Roe"), (11, "Ms Anna Poe"), (12, "Mr Kim Poe"), (13, "Ms Kim Poe"), (14, "Frau Weber")]
+    out = {r["doc_id"]: r["text"] for r in P.private_documents(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    names = lambda i: [v for _, _, k, v in P.entities(out[i]) if k.startswith("name_")]
+    for i in range(len(pairs)):
+        one, other = names(i)
+        assert one == other and one not in rows[i][1]
+    anna, john, kim = names(0)[0].split()[0], names(1)[0].split()[0], names(3)[0].split()[0]
+    assert anna == names(10)[0].split()[0] == names(11)[0].split()[0] and anna.endswith("a") and john.endswith("n")
+    assert kim == names(13)[0].split()[0] != names(12)[0].split()[0]  # of two genders the female one
+    assert names(14)[0] == names(0)[0].split()[1]
+
+
+def test_names_stay_in_their_script():
+    for text, script in (("Mr Արամ Պետրոսյան", "armenian"), ("Mr Νίκος Παππάς", "greek"), ("Госпожа Анна Иванова", "cyrillic"), ("Mr Ⲡⲉⲧⲣⲟⲥ", "coptic")):
+        ((_, _, kind, value),) = P.entities(text)
+        out = P.surrogate(KEY, kind, value, 0)
+        assert out != value and len(out.split()) == len(value.split()) and all(P._script(w) == script and w[0].isupper() for w in out.split())
+    georgian = P.surrogate(KEY, "name_n", "ნინო", 0)
+    assert P._script(georgian) == "georgian" and georgian != "ნინო"
+
+
+def test_distinct_domains_stay_distinct(spark):
+    domains = [f"{a}{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [("email", f"{n}@{d}") for d in domains for n in ("jo", "li")]
+    got = {r["value"]: r["surrogate"] for r in P.surrogates(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()}
+    of = {}
+    for value, made in got.items():
+        of.setdefault(value.split("@")[1], set()).add(made.split("@")[1])
+    assert len(got) == len(rows) == len(set(got.values())) and all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(domains)
+
+
+def test_more_ways_to_write_a_name_and_an_address():
+    got = [(k, v) for _, _, k, v in P.entities("Dr. med. Anna Weber; Mr  John Roe; Herr\nKarl Braun; host 2001:db8::8a2e:370:7334 at 12:30:45, 1:2:3:4:5:6:7:8")]
+    assert got == [("name_n", "Anna Weber"), ("name_m", "John Roe"), ("name_m", "Karl Braun"), ("ipv6", "2001:db8::8a2e:370:7334"), ("ipv6", "1:2:3:4:5:6:7:8")]
+    assert re.fullmatch(r"[0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}", P.surrogate(KEY, "ipv6", "2001:db8::8a2e:370:7334", 0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.parse import parse_files, symbols_of
+from ..operators.segments import SegmentedIndex
 from ..session import removed, with_package, written
 from ..sources.files import classified
 
@@ -56,6 +57,32 @@ def compact(spark: SparkSession, target: str) -> None:
     removed(kept)
 
 
+def index_texts(stream: DataFrame, index: SegmentedIndex, checkpoint: str, id_col: str, text: str, repository: str, once: bool = False) -> StreamingQuery:
+    """Keep a segmented index up to date with a stream of texts; a null text takes its document out.
+
+    A micro-batch is a segment, and small segments are merged as they add up. Of a document that
+    comes twice in a batch the row of the larger ``seq`` counts, if the stream has such a column. A batch that
+    is run again replaces what it brought, so the index is the same as if it had run once.
+    """
+    with_package(stream.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.where(F.col(id_col).isNotNull())
+        if "seq" in rows.columns:
+            rest = [c for c in rows.columns if c != id_col]
+            rows = rows.groupBy(id_col).agg(F.max_by(F.struct(*rest), "seq").alias("_r")).select(id_col, *(F.col("_r")[c].alias(c) for c in rest))
+        kept = written(rows.select(id_col, text, repository), "batch")
+        index.insert_texts(kept.where(F.col(text).isNotNull()), id_col, text, repository)
+        gone = kept.where(F.col(text).isNull()).select(F.col(id_col).alias("id"))
+        if not gone.isEmpty():
+            index.delete(gone)
+        index.merge()
+        removed(kept)
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
+
+
 def status_stream(events: DataFrame, key: str, status: str, at: str, late: str = "10 minutes") -> DataFrame:
     """The last status of each key and hour, closed when events are later than ``late``."""
     hours = F.window(at, "1 hour")

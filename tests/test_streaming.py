@@ -27,3 +27,26 @@ def test_status_stream(spark, sf, tmp_path):
     q = status_stream(events, "user_id", "event_type", "ts").writeStream.format("memory").queryName("statuses").outputMode("complete").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("statuses").agg(F.sum("events")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_texts_that_arrive_are_searched(spark, tmp_path):
+    from lodestar.operators import lexical, postings, segments
+    from lodestar.streaming.ingest import index_texts
+
+    schema = "id string, text string, repository string, seq long"
+    parts = [
+        [("a", "alpha beta", "r", 1), ("b", "beta gamma", "r", 2), ("c", "gamma", "s", 3)],
+        [("a", "old words", "r", 4), ("a", "alpha delta", "r", 5), ("d", "delta delta beta", "s", 6), (None, "no id", "r", 7)],
+        [("b", None, "r", 8), ("e", "epsilon beta", "r", 9)],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    index = segments.SegmentedIndex(spark, str(tmp_path / "index"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    index_texts(stream, index, str(tmp_path / "state"), "id", "text", "repository", once=True).awaitTermination()
+    left = spark.createDataFrame([("a", "alpha delta"), ("c", "gamma"), ("d", "delta delta beta"), ("e", "epsilon beta")], "id string, text string")
+    asked = spark.createDataFrame([("q", w) for w in ("beta", "delta", "gamma", "old")], "query_id string, term string")
+    want = lexical.search(lexical.build_index(left, "id", F.col("text")), asked)
+    shown = lambda df: sorted((r["id"], round(r["score"], 6), r["rank"]) for r in df.collect())
+    assert shown(postings.search(index.view(), asked).rows) == shown(want)
+    assert {r["id"] for r in index.documents().collect()} == {"a", "c", "d", "e"}

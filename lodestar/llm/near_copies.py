@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import removed, written
 from .common import LOWER, prepare, slices, stable, utf8
 from .components import components
 from .simhash import BLOCK, CELL, SEED, cells, covering_masks, majority
@@ -39,8 +40,8 @@ PARTS = 2
 LEADERS, MOST_LEADERS, LEADER_SHINGLES = 4, 256, 1 << 20
 #: Rows of a group's part that one task holds against its leaders.
 PART_ROWS = 4096
-#: Rows that a join may broadcast.
-FEW = 1 << 20
+#: Rows that a join may broadcast, and shingles of leaders.
+FEW, FEW_SHINGLES = 1 << 20, 1 << 22
 #: Rows that a task compares at once.
 _CHUNK = 1 << 16
 
@@ -149,43 +150,68 @@ def _alike(a: Column, b: Column) -> Column:
     return (10 + TENTHS) * both >= TENTHS * (F.size(a) + F.size(b))
 
 
-def _leaders(left: DataFrame, most: int) -> DataFrame:
-    """(root, node, set) of this round's leaders: of the first in each group, those not alike to one before."""
+def _first(left: DataFrame, most: int) -> DataFrame:
+    """(root, node, rank) of the first rows of each group, of left (root, node, first, size): ``most`` at most, and
+    LEADER_SHINGLES together if they are more than one."""
     w = Window.partitionBy("root").orderBy("first")
     first = left.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    first = first.withColumn("so_far", F.sum(F.size("set")).over(w)).where((F.col("rank") == 1) | (F.col("so_far") <= LEADER_SHINGLES))
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        standing: list[np.ndarray] = []
-        stays = []
-        for one in (np.asarray(x) for x in group.sort_values("rank")["set"]):
-            alike = any((10 + TENTHS) * len(np.intersect1d(one, x, assume_unique=True)) >= TENTHS * (len(one) + len(x)) for x in standing)
-            stays.append(not alike)
-            if not alike:
-                standing.append(one)
-        return group.sort_values("rank")[stays][["root", "node", "set"]]
-
-    return first.select("root", "node", "rank", "set").groupBy("root").applyInPandas(choose, "root long, node long, set array<long>")
+    first = first.withColumn("so_far", F.sum("size").over(w)).where((F.col("rank") == 1) | (F.col("so_far") <= LEADER_SHINGLES))
+    return first.select("root", "node", "rank")
+
+
+def _choose(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a group's first rows those that are not alike to one before."""
+    standing: list[np.ndarray] = []
+    stays = []
+    group = group.sort_values("rank")
+    for one in (np.asarray(x) for x in group["set"]):
+        alike = any((10 + TENTHS) * len(np.intersect1d(one, x, assume_unique=True)) >= TENTHS * (len(one) + len(x)) for x in standing)
+        stays.append(not alike)
+        if not alike:
+            standing.append(one)
+    return group[stays][["root", "node", "set"]]
+
+
+def _met(rows: DataFrame, leaders: DataFrame, left: DataFrame) -> DataFrame:
+    """(node, leader, set, of): rows beside all leaders of their group. Leaders are broadcast while their sets are
+    small; beyond that a group is dealt in parts that each meet its leaders."""
+    named = leaders.select("root", F.col("node").alias("leader"), F.col("set").alias("of"))
+    if (leaders.agg(F.sum(F.size("set"))).first()[0] or 0) <= FEW_SHINGLES:
+        return rows.join(F.broadcast(named), "root")
+    parts = left.groupBy("root").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    dealt = named.join(parts, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    own = rows.join(_beside(parts), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    return own.join(dealt, ["root", "part"])
 
 
 def near_copies(members: DataFrame) -> DataFrame:
     """(node) that are near copies of a node that stays, from members (root, node, first, set).
 
-    A group's rows are dealt in parts that each meet the group's leaders, so that a group of any
-    size is spread over tasks.
+    Sets are a table of their own, written anew when half of its rows are settled; what a round moves
+    and keeps are numbers. A group's rows are spread over tasks, whatever its size.
     """
-    left, gone, most = stable(members), None, LEADERS
-    while left.limit(1).count():
-        leaders = stable(_leaders(left, most))
-        parts = left.groupBy("root").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-        dealt = leaders.join(parts, "root").select("root", F.col("node").alias("leader"), F.col("set").alias("of"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        own = left.join(_beside(parts), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        met = own.join(dealt, ["root", "part"]).where((F.col("node") == F.col("leader")) | _alike(F.col("set"), F.col("of")))
-        settled = stable(met.groupBy("node").agg(F.max(F.col("node") == F.col("leader")).alias("leads")))
-        left = stable(left.join(_beside(settled), "node", "left_anti"))
+    sets = written(members.select("root", "node", "first", F.size("set").alias("size"), "set"), "sets")
+    left = written(sets.drop("set"), "left")
+    n = held = left.count()
+    gone, most = None, LEADERS
+    while n:
+        if 2 * n <= held:
+            fewer = written(sets.join(_beside(left.select("node")), "node", "left_semi").select(*sets.columns), "sets")
+            removed(sets)
+            sets, held = fewer, n
+        first = sets.select("node", "set").join(_beside(_first(left, most)), "node")
+        leaders = written(first.groupBy("root").applyInPandas(_choose, "root long, node long, set array<long>"), "leaders")
+        rows = sets.select("root", "node", "set") if held == n else sets.select("root", "node", "set").join(_beside(left.select("node")), "node", "left_semi")
+        met = _met(rows, leaders, left).where((F.col("node") == F.col("leader")) | _alike(F.col("set"), F.col("of")))
+        settled = written(met.groupBy("node").agg(F.max(F.col("node") == F.col("leader")).alias("leads")), "settled")
+        after = written(left.join(_beside(settled), "node", "left_anti").select(*left.columns), "left")
+        for done in (leaders, left):
+            removed(done)
+        left, n = after, after.count()
         some = settled.where(~F.col("leads")).select("node")
         gone = some if gone is None else gone.union(some)
         most = min(4 * most, MOST_LEADERS)
+    removed(sets)
     return members.limit(0).select("node") if gone is None else gone
 
 

@@ -55,6 +55,7 @@ def test_who_stays_and_who_goes(spark, copies, monkeypatch):
     monkeypatch.setattr(N, "LEADERS", 1)
     monkeypatch.setattr(N, "MOST_LEADERS", 2)
     monkeypatch.setattr(N, "FEW", 3)
+    monkeypatch.setattr(N, "FEW_SHINGLES", 500)
     assert {r["doc_id"] for r in N.keep_one(docs, block=16).collect()} == kept
 
 

@@ -6,23 +6,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Path components, names and suffixes that decide what is scanned.
-IGNORED_COMPONENTS = ".git .hg .svn .idea .vscode .venv venv env node_modules dist build target __pycache__ .pytest_cache .mypy_cache .ruff_cache coverage .coverage vendor .next out bin obj".split()
-KEEP_NAMES = (
-    "readme readme.md readme.rst license dockerfile docker-compose.yml docker-compose.yaml package.json package-lock.json pnpm-lock.yaml yarn.lock pyproject.toml requirements.txt pipfile poetry.lock "
-    "pom.xml build.gradle build.gradle.kts go.mod go.sum cargo.toml cargo.lock makefile cmakelists.txt"
-).split()
-KEEP_SUFFIXES = ".md .rst .toml .yml .yaml .ini .cfg .conf .json .sql .graphql .proto".split()
-IGNORED_SUFFIXES = ".png .jpg .jpeg .gif .webp .ico .mp4 .mov .avi .mp3 .wav .pdf .zip .tar .gz .7z .exe .dll .so .dylib .class .o .obj .bin .woff .woff2 .ttf .eot .lock".split()
+IGNORED_COMPONENTS = [
+    ".git", ".hg", ".svn", ".idea", ".vscode", ".venv", "venv", "env", "node_modules", "dist", "build", "target", "__pycache__", ".pytest_cache",
+    ".mypy_cache", ".ruff_cache", "coverage", ".coverage", "vendor", ".next", "out", "bin", "obj",
+]
+KEEP_NAMES = [
+    "readme", "readme.md", "readme.rst", "license", "dockerfile", "docker-compose.yml", "docker-compose.yaml", "package.json", "package-lock.json",
+    "pnpm-lock.yaml", "yarn.lock", "pyproject.toml", "requirements.txt", "pipfile", "poetry.lock", "pom.xml", "build.gradle", "build.gradle.kts",
+    "go.mod", "go.sum", "cargo.toml", "cargo.lock", "makefile", "cmakelists.txt",
+]
+KEEP_SUFFIXES = [".md", ".rst", ".toml", ".yml", ".yaml", ".ini", ".cfg", ".conf", ".json", ".sql", ".graphql", ".proto"]
+IGNORED_SUFFIXES = [
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".mp4", ".mov", ".avi", ".mp3", ".wav", ".pdf", ".zip", ".tar", ".gz", ".7z", ".exe", ".dll",
+    ".so", ".dylib", ".class", ".o", ".obj", ".bin", ".woff", ".woff2", ".ttf", ".eot", ".lock",
+]
 LANGUAGES = {
     ".py": "python", ".pyi": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go",
     ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".cs": "csharp", ".rs": "rust", ".rb": "ruby", ".php": "php", ".kt": "kotlin", ".swift": "swift", ".scala": "scala",
 }
-DOT_KEPT = ".env.example .gitignore .dockerignore".split()
-SECRET_NAMES = ".env .env.local".split()
-SECRET_SUFFIXES = ".pem .key".split()
-CONFIG_NAMES = ".env.example dockerfile docker-compose.yml docker-compose.yaml package.json pyproject.toml requirements.txt pom.xml build.gradle go.mod".split()
-CONFIG_SUFFIXES = ".yml .yaml .toml .json .ini".split()
-URL_HOSTS = "github.com www.github.com gitlab.com www.gitlab.com bitbucket.org www.bitbucket.org".split()
+DOT_KEPT = [".env.example", ".gitignore", ".dockerignore"]
+SECRET_NAMES = [".env", ".env.local"]
+SECRET_SUFFIXES = [".pem", ".key"]
+CONFIG_NAMES = [
+    ".env.example", "dockerfile", "docker-compose.yml", "docker-compose.yaml", "package.json", "pyproject.toml", "requirements.txt", "pom.xml",
+    "build.gradle", "go.mod",
+]
+CONFIG_SUFFIXES = [".yml", ".yaml", ".toml", ".json", ".ini"]
+URL_HOSTS = ["github.com", "www.github.com", "gitlab.com", "www.gitlab.com", "bitbucket.org", "www.bitbucket.org"]
 
 
 def normalized(path: Column) -> Column:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 WORDS = r"[a-zA-Z][a-z]+|[A-Z]+(?=[A-Z][a-z]|[0-9]|_|\b)|[A-Z][a-z]*|[0-9]+"
 
 # Words that are no search terms.
-STOP_WORDS = "where is are the a an how does what which files file function method class in of to and or it this that for on with all find me show explain".split()
+STOP_WORDS = [
+    "where", "is", "are", "the", "a", "an", "how", "does", "what", "which", "files", "file", "function", "method", "class", "in", "of", "to", "and",
+    "or", "it", "this", "that", "for", "on", "with", "all", "find", "me", "show", "explain",
+]
 
 # Intents in the order that breaks ties, and the patterns that vote for them.
 INTENT_RULES = [
@@ -58,10 +61,18 @@ def query_tokens(question: Column) -> Column:
     return F.when(F.array_contains(tokens, raw), tokens).otherwise(F.concat(F.array(raw), tokens))
 
 
+# How a question names a symbol, tried in this order. The last pattern's suffixes are alternatives of one group.
+EXACT_SYMBOL = [
+    r"`([A-Za-z_][\w.]*)`",
+    r'"([A-Za-z_][\w.]*)"',
+    r"\b([A-Z][A-Za-z0-9]*(?:\.[a-z][A-Za-z0-9]*)+)\b",
+    r"\b([A-Z][A-Za-z]{3,}(?:Service|Controller|Repository|Handler|Manager))\b",
+]
+
+
 def exact_symbol(question: Column) -> Column:
     """The symbol a question names: in backticks, in quotes, dotted, or a class by its suffix; else null."""
-    patterns = [r"`([A-Za-z_][\w.]*)`", r'"([A-Za-z_][\w.]*)"', r"\b([A-Z][A-Za-z0-9]*(?:\.[a-z][A-Za-z0-9]*)+)\b", r"\b([A-Z][A-Za-z]{3,}(?:Service|Controller|Repository|Handler|Manager))\b"]
-    return F.coalesce(*(F.nullif(F.regexp_extract(question, p, 1), F.lit("")) for p in patterns))
+    return F.coalesce(*(F.nullif(F.regexp_extract(question, p, 1), F.lit("")) for p in EXACT_SYMBOL))
 
 
 def search_terms(question: Column) -> Column:

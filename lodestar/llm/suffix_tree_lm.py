@@ -15,8 +15,9 @@ bounded: a fuller filter lets more pass, which the exact join behind it takes ou
 The model is one table of keys and numbers: a node has what its distribution leaves to its
 suffix's, an entry has what it adds to that. A text's score is the sum of what its tokens find,
 so the model is looked up in two ways with one result: the most frequent keys, a bounded number,
-are broadcast, and all others are joined. Word counts are looked up likewise. No model, and no
-level of it, is gathered whole.
+are broadcast, and for all others texts send their questions, a block of texts at a time, to the
+pieces of the model. Word counts are looked up likewise. The driver gathers the keys that are broadcast and
+filters, which are bounded; no model, and no level of it, is gathered whole.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import removed, written
 from .common import LOWER, count_limit, join_frequent, prepare, slices, utf8
@@ -48,6 +50,8 @@ HEAD, MODEL_HEAD, OFTEN, FILTER_WORDS = 1 << 18, 3 << 20, 1 << 15, 1 << 22
 #: Tokens that a task sums before it sends them, tokens of the corpus for each reducer, and reducers beyond
 #: which blocks would hold few keys and Spark's own aggregation takes the keys one by one.
 FLUSH_TOKENS, REDUCER_TOKENS, REDUCERS = 1 << 20, 1 << 19, 1 << 12
+#: Keys of a piece of the model, about as many at most; questions, or model keys, that are sent together.
+PIECE_KEYS, FLUSH_ASKED = 1 << 20, 1 << 18
 #: Documents whose crc32 modulo FOLDS is HELD are held out of training.
 FOLDS, HELD = 7, 2
 
@@ -256,7 +260,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 @dataclass
 class SuffixTree:
-    """words: w, c. model: key, value (to base 10), n. The key of a node is its context's, that of an
+    """words: w, c, key (as an entry of the empty context). model: key, value (to base 10), n. The key of a node is its context's, that of an
     entry is its symbol's and its context's; n is how often it was seen, depth the words of its context."""
 
     words: DataFrame
@@ -309,7 +313,7 @@ def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     reducers = max(1, -(-size // 6 // REDUCER_TOKENS))
     zeros = counted(docs, lambda t, c: (np.zeros(len(t), dtype=np.uint64), t), reducers, 1)
-    words = written(zeros.select(F.col("second").alias("w"), F.col("n").alias("c")), "words")
+    words = written(zeros.select(F.col("second").alias("w"), F.col("n").alias("c"), "key"), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = _head(words, head)
     root = (F.col("c") + 1) / F.lit(float(tokens + distinct + 1))
@@ -331,7 +335,7 @@ def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
             sought.destroy()
         rows = join_frequent(counts, contexts, "ctx", "all", often)
         if d == 1:
-            rows = join_frequent(rows, words, "w", "c", often).withColumns({"q": root, "longer": F.col("w")})
+            rows = join_frequent(rows, words.select("w", "c"), "w", "c", often).withColumns({"q": root, "longer": F.col("w")})
         else:  # a suffix has every entry of its contexts, as it has seen it no less often
             rows = rows.join(above.select(F.col("ctx").alias("suffix"), "w", F.col("p").alias("q"), F.bitwise_not("key").alias("longer")), ["suffix", "w"])
         rows = written(rows.select("ctx", "w", "n", "key", "all", "q", "longer"), "tried")
@@ -340,13 +344,15 @@ def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
         entries = written(_entries(rows, states, often), "entries")
         level = states.select(F.col("ctx").alias("key"), F.log10("lam").alias("value"), F.col("all").alias("n")).unionByName(entries.select("key", "value", "n")).withColumn("depth", F.lit(d))
         model = level if model is None else model.unionByName(level)
-        if d == depth:
-            break
         if d > 1:
             removed(contexts)
+        if d == depth:
+            removed(rows)
+            break
         contexts, above = written(_extended(rows.where(F.col("w") != end), states, often), "contexts"), entries
         removed(rows)
         if not contexts.limit(1).count():
+            removed(contexts)
             break
     return SuffixTree(words, model, int(tokens), int(distinct), depth, top)
 
@@ -381,41 +387,32 @@ def _extended(rows: DataFrame, states: DataFrame, often: int) -> DataFrame:
     return join_frequent(longer, states.select(F.col("ctx").alias("suffix"), F.col("all").alias("seen")), "suffix", "seen", often).select("ctx", "suffix", "all")
 
 
-_WORDS, _KEYS = "array<struct<w:bigint,n:bigint>>", "array<struct<k:bigint,n:bigint>>"
-
-
-def _lists(owner: np.ndarray, keys: np.ndarray, texts: int, name: str) -> pa.Array:
-    """For each text its distinct keys with their number."""
-    order = np.lexsort((keys, owner))
-    owner, keys = owner[order], keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.zeros(0, dtype=np.int64)
-    n = np.diff(np.append(starts, len(keys)))
-    offsets = np.searchsorted(owner[starts], np.arange(texts + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(signed(keys[starts])), pa.array(n.astype(np.int64))], [name, "n"]))
-
-
-def score_texts(texts: list[bytes | None], head: Table, model: Table, others: KeyFilter | None, tree_size: int, depth: int) -> tuple:
-    """n_tokens, known, base and score of each text by what is broadcast, the words that are not, and the
-    model keys that may be in the model but are not broadcast."""
+def score_texts(texts: list[bytes | None], head: Table, model: Table, others: KeyFilter, tree_size: int, depth: int) -> tuple:
+    """n_tokens, known, base and score of each text by what is broadcast; then what else may be known: texts,
+    keys and how often, by text. A word is asked for as an entry of the empty context."""
     t, sizes = tokens_of(texts)
     owner = np.repeat(np.arange(len(texts)), sizes)
     at, there = head.find(t)
-    base = np.zeros(len(t))
-    base[there] = np.log10((head.values[at[there]] + 1) / tree_size)
+    base = np.full(len(t), -np.log10(tree_size))
+    base[there] += np.log10(head.values[at[there]] + 1)
     value = base.copy()
     asked: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def ask(places: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        maybe = others.has(keys)
+        asked.append((owner[places[maybe]], keys[maybe]))
+        return maybe
+
     def look_up(places: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Add what is found, ask for what may be elsewhere; which of them there may be."""
         at, found = model.find(keys)
         value[places[found]] += model.values[at[found]]
-        if others:
-            rest = np.flatnonzero(~found)
-            rest = rest[others.has(keys[rest])]
-            asked.append((owner[places[rest]], keys[rest]))
-            found[rest] = True
+        rest = np.flatnonzero(~found)
+        found[rest] = ask(places[rest], keys[rest])
         return found
 
+    rest = np.flatnonzero(~there)
+    ask(rest, entry_key(np.zeros(len(rest), dtype=np.uint64), t[rest]))
     nodes = entries = None  # tokens whose shorter context may be a node; of them, those that may be its entries
     for key, inside in keys_of(t, sizes, depth):
         nodes = np.flatnonzero(inside) if nodes is None else nodes[inside[nodes]]
@@ -427,55 +424,150 @@ def score_texts(texts: list[bytes | None], head: Table, model: Table, others: Ke
         if not len(nodes):
             break
     n = len(texts)
-    some, keys = (np.concatenate(x) for x in zip(*asked, strict=True)) if asked else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+    who, keys = (np.concatenate(x) for x in zip(*asked, strict=True))
+    order = np.lexsort((keys, who))
+    who, keys = who[order], keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (who[1:] != who[:-1])])) if len(keys) else np.zeros(0, dtype=np.int64)
     sums = (np.bincount(owner[there], minlength=n), np.bincount(owner, weights=base, minlength=n), np.bincount(owner, weights=value, minlength=n))
-    return sizes, *sums, _lists(owner[~there], t[~there], n, "w"), _lists(some, keys, n, "k")
+    return sizes, *sums, who[starts], keys[starts], np.diff(np.append(starts, len(keys)))
+
+
+#: Rows of a stream: a piece of the model, what a block of texts asks of a piece, a text.
+_PIECE, _ASKED, _TEXT = 0, 1, 2
+
+
+def _streamed(kind: int, columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows of a kind, null in the columns of other kinds."""
+    n = len(columns["r"])
+    columns |= {"kind": pa.array(np.full(n, kind, dtype=np.int32))}
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+
+def _dealt(bits: int, keys: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
+    """For each piece with any of the keys, these and what belongs to them, in the order given."""
+    r = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(r, kind="stable")
+    cuts = np.searchsorted(r[order], np.arange(1, 1 << bits))
+    for k, at in enumerate(np.split(order, cuts)):
+        if len(at):
+            yield k, [x[at].tobytes() for x in (keys, *others)]
+
 
+def _blocks(kind: int, block: int, bits: int, schema: pa.Schema, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys, owners and numbers as one row of bytes for each piece."""
+    for r, (keys, owners, numbers) in _dealt(bits, *arrays):
+        yield _streamed(kind, {"r": pa.array([r], pa.int32()), "block": pa.array([block], pa.int64())} | {c: pa.array([x], pa.binary()) for c, x in (("keys", keys), ("owners", owners), ("numbers", numbers))}, schema)
 
-def score(docs: DataFrame, tree: SuffixTree, model_head: int = MODEL_HEAD, filter_words: int = FILTER_WORDS) -> DataFrame:
+
+def score(docs: DataFrame, tree: SuffixTree, model_head: int = MODEL_HEAD, filter_words: int = FILTER_WORDS, piece: int = PIECE_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     score is the log10 probability of the whole text, its end included. A null or empty text is
     its end alone. Every row has its own result; a null doc_id stays null and counts as trained
     on; an empty table gives no rows; other columns are not read.
+
+    Words and model keys that are not broadcast are dealt into pieces by their first bits. A task
+    has one piece, a bounded number of keys, and takes the questions to it one block of texts after
+    the other, so however many texts ask for one key, it holds one block's. Rows are numbered in
+    their partitions: docs has to be a table, or of the same rows in the same order when computed again.
     """
     spark = prepare(docs.sparkSession)
     tree_size, depth, head = tree.tokens + tree.distinct + 1, tree.depth, tree.head
-    least, more = count_limit(tree.model, "n", model_head)
+    least, _ = count_limit(tree.model, "n", model_head)
     key, value = _columns(tree.model.where(F.col("n") >= least).select("key", F.col("value").cast("float")))
     model = spark.sparkContext.broadcast(Table(key.view(np.uint64), value))
-    rest = tree.model.where(F.col("n") < least)
-    others = _filter(rest, "key", filter_words) if more else None
+    words = tree.words.where(F.col("c") < head.value[1]).select("key", F.log10(F.col("c") + 1).alias("value"), F.lit(1).alias("word"))
+    rest = words.unionByName(tree.model.where(F.col("n") < least).select("key", "value", F.lit(0).alias("word")))
+    others = _filter(rest, "key", filter_words)
+    bits = max(3, (rest.count() // piece).bit_length())
     kind = docs.schema["doc_id"].dataType.simpleString()
+    texts_ddl = f"doc_id {kind}, tokens long, known long, base double, score double"
+    ddl = f"r int, kind int, block long, keys binary, owners binary, numbers binary, {texts_ddl}"
+    schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
+    last = schema.names.index("doc_id")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys, values, word = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+            yield from _blocks(_PIECE, 0, bits, schema, keys.view(np.uint64), word.astype(np.uint32), values)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= FLUSH_ASKED:
+                yield from flush()
+                held = []
+        if held:
+            yield from flush()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = first = TaskContext.get().partitionId() << 40
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            who, keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _blocks(_ASKED, first, bits, schema, keys, who.astype(np.uint32), n.astype(np.uint32))
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, 1):
-                n, known, base, value, words, keys = score_texts(utf8(b.column(1)), head.value[0], model.value, others.value if others else None, tree_size, depth)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(value), words, keys], names=["doc_id", "tokens", "known", "base", "score", "words", "keys"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(step, f"doc_id {kind}, tokens long, known long, base double, score double, words {_WORDS}, keys {_KEYS}")
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    n = F.col("x")["n"]
-    words = rows.select("row", F.explode("words").alias("x")).select("row", F.col("x")["w"].alias("w"), n.alias("n")).join(tree.words, "w", "left")
-    log = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree_size)))
-    more_ = words.select("row", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known2"), log.alias("base2"), log.alias("score2"))
-    if others:
-        keys = rows.select("row", F.explode("keys").alias("x")).select("row", F.col("x")["k"].alias("key"), n.alias("m")).join(rest.select("key", "value"), "key")
-        more_ = more_.unionByName(keys.select("row", F.lit(0).cast("long").alias("known2"), F.lit(0.0).alias("base2"), (F.col("m") * F.col("value")).alias("score2")))
-    sums = more_.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known2", "base2", "score2")))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.drop("words", "keys").join(sums, "row", "left").select(
+                *sums, who, keys, n = score_texts(utf8(b.column(1)), head.value[0], model.value, others.value, tree_size, depth)
+                rows = np.arange(row, row + b.num_rows)
+                yield _streamed(_TEXT, {"r": pa.array((rows % (1 << bits)).astype(np.int32)), "block": pa.array(rows), "doc_id": b.column(0)} | dict(zip(("tokens", "known", "base", "score"), map(pa.array, sums), strict=True)), schema)
+                held.append((who + (row - first), keys, n))
+                row += b.num_rows
+                if sum(len(h[0]) for h in held) >= FLUSH_ASKED:
+                    yield from flush()
+                    held, first = [], row
+        if held:
+            yield from flush()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["row", *schema.names[last:]], [pa.int64(), *schema.types[last:]]
+        at, held, found = None, [], None
+        for batch in batches:
+            kinds = batch.column(1).to_numpy()
+            texts = batch.filter(pa.array(kinds == _TEXT))
+            if texts.num_rows:
+                yield pa.RecordBatch.from_arrays([texts.column(2), *texts.columns[last:]], names=names)
+            for i in np.flatnonzero(kinds != _TEXT).tolist():
+                r, block, keys, owners, numbers = (batch.column(c)[i].as_py() for c in (0, 2, 3, 4, 5))
+                if r != at:
+                    at, held, found = r, [], None
+                # all keys of a piece have the same first bits
+                keys, owners = np.frombuffer(keys, dtype=np.uint64) << np.uint64(bits), np.frombuffer(owners, dtype=np.uint32)
+                if kinds[i] == _PIECE:
+                    held.append((keys, np.frombuffer(numbers, dtype=np.float64), owners))
+                    continue
+                if found is None:
+                    k, v, w = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0))
+                    found, held = Table(k, np.stack([v, w], axis=1)), []
+                place, there = found.find(keys)
+                n, owners = np.frombuffer(numbers, dtype=np.uint32)[there].astype(np.float64), owners[there].astype(np.int64)
+                (value, word), who = found.values[place[there]].T, np.unique(owners)
+                slot = np.searchsorted(who, owners)
+                known, base, total = (np.bincount(slot, weights=x, minlength=len(who)) for x in (n * word, n * word * value, n * value))
+                out = {"row": pa.array(who + block), "known": pa.array(known.astype(np.int64)), "base": pa.array(base), "score": pa.array(total)}
+                yield pa.RecordBatch.from_arrays([out.get(c, pa.nulls(len(who), t)) for c, t in zip(names, types, strict=True)], names=names)
+
+    stream = docs.select("doc_id", "text").mapInArrow(ask, ddl).union(rest.mapInArrow(packed, ddl))
+    settled = stream.repartitionById(1 << bits, F.col("r")).sortWithinPartitions("r", "kind").mapInArrow(settle, f"row long, {texts_ddl}")
+    sums = settled.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")))
+    return sums.select(
         "doc_id",
         is_held_out(F.col("doc_id")).alias("held_out"),
         F.col("tokens").alias("n_tokens"),
-        (F.col("known") + zero("known2")).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(tree.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("base2")).alias("base_score"),
-        (F.col("score") + zero("score2")).alias("score"),
+        F.col("base").alias("base_score"),
+        F.col("score").alias("score"),
     )
 
 
 def suffix_tree_scores(docs: DataFrame) -> DataFrame:
-    """Train on the rows that are not held out, and score all rows."""
-    return score(docs, train(docs.where(~is_held_out(F.col("doc_id")))))
+    """Train on the rows that are not held out, and score all rows. The scores are a table; the model is gone."""
+    tree = train(docs.where(~is_held_out(F.col("doc_id"))))
+    scores = written(score(docs, tree), "scores")
+    removed(tree.model)
+    removed(tree.words)
+    return scores

@@ -50,7 +50,7 @@ def longest(nodes, past, depth):
 
 @pytest.mark.parametrize(
     "depth,least,gain,limits",
-    [(4, 2, 0.5, {}), (4, 2, 0.5, {"head": 50, "often": 20, "filter_words": 64, "model_head": 100}), (2, 4, 1.0, {"often": 1}), (M.DEPTH, M.LEAST, M.GAIN, {"model_head": 30})],
+    [(4, 2, 0.5, {}), (4, 2, 0.5, {"head": 50, "often": 20, "filter_words": 64, "model_head": 100, "piece": 40}), (2, 4, 1.0, {"often": 1}), (M.DEPTH, M.LEAST, M.GAIN, {"model_head": 30})],
 )
 def test_scores_equal_brute_force(docs, depth, least, gain, limits):
     rows = docs.select("doc_id", "text").collect()
@@ -60,10 +60,10 @@ def test_scores_equal_brute_force(docs, depth, least, gain, limits):
     assert max(map(len, nodes)) >= min(depth, 3)
     limits = dict(limits)
     filter_words = limits.get("filter_words", M.FILTER_WORDS)
-    model_head = limits.pop("model_head", M.MODEL_HEAD)
+    model_head, piece = limits.pop("model_head", M.MODEL_HEAD), limits.pop("piece", M.PIECE_KEYS)
     made = M.train(docs.where(~M.is_held_out(F.col("doc_id"))), depth, least, gain, **limits)
     assert made.model.where("depth = 1").count() > 0 and made.model.count() >= len(nodes) - 1
-    got = {r["doc_id"]: r for r in M.score(docs, made, model_head, filter_words).collect()}
+    got = {r["doc_id"]: r for r in M.score(docs, made, model_head, filter_words, piece).collect()}
     for r, t, h in zip(rows, tokens, held, strict=True):
         g = got[r["doc_id"]]
         assert g["held_out"] == h and g["n_tokens"] == len(t) and g["n_known"] == sum(uni[w] > 0 for w in t) and g["train_tokens"] == total

@@ -9,7 +9,7 @@ mass, and a discount, to its suffix's; the root is the add-one unigram distribut
 scored by the longest suffix of its past that is a node.
 
 Counting is one pass for each depth. A task sums what it has seen and sends it on in blocks of
-sorted keys; what it sends is held against a filter of the contexts to be tried, whose size is
+pairs; what it sends is held against a filter of the contexts to be tried, whose size is
 bounded: a fuller filter lets more pass, which the exact join behind it takes out.
 
 The model is one table of keys and numbers: a node has what its distribution leaves to its
@@ -194,7 +194,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], reducers: int, least: int) -> DataFrame:
     """(first, second, n, key) of the pairs that ``pairs`` takes from texts' tokens, n >= least; the key is entry_key's.
 
-    A task sends, for each reducer, its sorted keys and counts as one row of bytes; with more than
+    A task sends, for each reducer, its pairs and counts as one row of bytes; with more than
     REDUCERS of them, a row for each key, which Spark sums.
     """
     single = reducers > REDUCERS
@@ -216,13 +216,12 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
                     cut = slice(k, k + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(signed(first[cut])), pa.array(signed(second[cut])), pa.array(n[cut].astype(np.int64)), pa.array(signed(~keys[cut]))], names=["first", "second", "n", "key"])
                 return
-            # in a block by the first key, whose repetitions then take little room
-            cuts = np.searchsorted(keys, np.array([min(width * r, (1 << 64) - 1) for r in range(1, reducers)], dtype=np.uint64))
-            rows = []
-            for r, (a, b, c) in enumerate(zip(np.split(first, cuts), np.split(second, cuts), np.split(n, cuts), strict=True)):
-                if len(a):
-                    order = np.argsort(a)
-                    rows.append((r, a[order].tobytes(), b[order].tobytes(), c[order].tobytes()))
+            # pairs of one first key are in few blocks and lie together there, so it takes little room; more reducers are more blocks
+            parts = max(4, reducers.bit_length() - 4)
+            dealt = mix(first, second >> np.uint64(64 - parts))
+            order = np.argsort(dealt)
+            cuts = np.searchsorted(dealt[order], np.array([min(width * r, (1 << 64) - 1) for r in range(1, reducers)], dtype=np.uint64))
+            rows = [(r, a.tobytes(), b.tobytes(), c.tobytes()) for r, (a, b, c) in enumerate(zip(*(np.split(x[order], cuts) for x in (first, second, n)), strict=True)) if len(a)]
             for k in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 256], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["r", "a", "b", "n"])
 
@@ -260,7 +259,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 @dataclass
 class SuffixTree:
-    """words: w, c, key (as an entry of the empty context). model: key, value (to base 10), n. The key of a node is its context's, that of an
+    """words: w, c, key (of its pair with 0). model: key, value (to base 10), n. The key of a node is its context's, that of an
     entry is its symbol's and its context's; n is how often it was seen, depth the words of its context."""
 
     words: DataFrame
@@ -312,8 +311,8 @@ def train(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, gain: float =
     spark = prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
     reducers = max(1, -(-size // 6 // REDUCER_TOKENS))
-    zeros = counted(docs, lambda t, c: (np.zeros(len(t), dtype=np.uint64), t), reducers, 1)
-    words = written(zeros.select(F.col("second").alias("w"), F.col("n").alias("c"), "key"), "words")
+    single = counted(docs, lambda t, c: (t, np.zeros(len(t), dtype=np.uint64)), reducers, 1)
+    words = written(single.select(F.col("first").alias("w"), F.col("n").alias("c"), "key"), "words")
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = _head(words, head)
     root = (F.col("c") + 1) / F.lit(float(tokens + distinct + 1))
@@ -389,7 +388,7 @@ def _extended(rows: DataFrame, states: DataFrame, often: int) -> DataFrame:
 
 def score_texts(texts: list[bytes | None], head: Table, model: Table, others: KeyFilter, tree_size: int, depth: int) -> tuple:
     """n_tokens, known, base and score of each text by what is broadcast; then what else may be known: texts,
-    keys and how often, by text. A word is asked for as an entry of the empty context."""
+    keys and how often, by text. A word is asked for by its pair with 0, which is no entry."""
     t, sizes = tokens_of(texts)
     owner = np.repeat(np.arange(len(texts)), sizes)
     at, there = head.find(t)
@@ -412,7 +411,7 @@ def score_texts(texts: list[bytes | None], head: Table, model: Table, others: Ke
         return found
 
     rest = np.flatnonzero(~there)
-    ask(rest, entry_key(np.zeros(len(rest), dtype=np.uint64), t[rest]))
+    ask(rest, entry_key(t[rest], np.zeros(len(rest), dtype=np.uint64)))
     nodes = entries = None  # tokens whose shorter context may be a node; of them, those that may be its entries
     for key, inside in keys_of(t, sizes, depth):
         nodes = np.flatnonzero(inside) if nodes is None else nodes[inside[nodes]]

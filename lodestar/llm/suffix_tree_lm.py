@@ -23,6 +23,7 @@ filters, which are bounded; no model, and no level of it, is gathered whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -52,6 +53,10 @@ HEAD, MODEL_HEAD, OFTEN, FILTER_WORDS = 1 << 18, 3 << 20, 1 << 15, 1 << 22
 FLUSH_TOKENS, REDUCER_TOKENS, REDUCERS = 1 << 20, 1 << 19, 1 << 12
 #: Keys of a piece of the model, about as many at most; questions, or model keys, that are sent together.
 PIECE_KEYS, FLUSH_ASKED = 1 << 20, 1 << 18
+#: Tokens of the corpus for each piece, and bits of a piece's number that these give at most: 4096 of FLUSH_ASKED are a row then.
+PIECE_TOKENS, MOST_BITS = 1 << 21, 6
+#: Rows that Parquet's reader takes at once: arrays of long texts stay small.
+READ_ROWS = 512
 #: Documents whose crc32 modulo FOLDS is HELD are held out of training.
 FOLDS, HELD = 7, 2
 
@@ -191,6 +196,21 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
 
 
+def _runs_of_bytes(values: np.ndarray, edges: np.ndarray) -> pa.BinaryArray:
+    """The values between every two edges as one row of bytes, without a copy of them."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _flat(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    """The numbers in rows of bytes, end to end."""
+    parts = []
+    for c in column.chunks:
+        _, offsets, data = c.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int32)[[c.offset, c.offset + len(c)]]
+        parts.append(np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[1]])
+    return np.concatenate(parts).view(dtype)
+
+
 def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], reducers: int, least: int) -> DataFrame:
     """(first, second, n, key) of the pairs that ``pairs`` takes from texts' tokens, n >= least; the key is entry_key's.
 
@@ -206,6 +226,7 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
 
         def flush() -> Iterator[pa.RecordBatch]:
             first, second = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             keys = mix(first, second)
             at, starts = _runs(keys)
             n = np.diff(np.append(starts, len(keys))).astype(np.uint32)
@@ -221,9 +242,11 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
             dealt = mix(first, second >> np.uint64(64 - parts))
             order = np.argsort(dealt)
             cuts = np.searchsorted(dealt[order], np.array([min(width * r, (1 << 64) - 1) for r in range(1, reducers)], dtype=np.uint64))
-            rows = [(r, a.tobytes(), b.tobytes(), c.tobytes()) for r, (a, b, c) in enumerate(zip(*(np.split(x[order], cuts) for x in (first, second, n)), strict=True)) if len(a)]
-            for k in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 256], strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["r", "a", "b", "n"])
+            del dealt, keys, at, starts
+            edges = np.concatenate([[0], cuts, [len(n)]])
+            some = np.flatnonzero(np.diff(edges))
+            edges = np.append(edges[some], len(n))
+            yield from slices(pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(_runs_of_bytes(x[order], edges) for x in (first, second, n))], names=["r", "a", "b", "n"]), 1)
 
         for batch in batches:
             for part in slices(batch, 0):
@@ -237,19 +260,18 @@ def counted(docs: DataFrame, pairs: Callable[[np.ndarray, np.ndarray], tuple[np.
         if held:
             yield from flush()
 
-    def total(group: pd.DataFrame) -> pd.DataFrame:
-        first, second = (np.frombuffer(b"".join(group[c]), dtype=np.uint64) for c in ("a", "b"))
-        n = np.frombuffer(b"".join(group["n"]), dtype=np.uint32).astype(np.int64)
+    def total(group: pa.Table) -> pa.Table:
+        first, second, n = (_flat(group.column(c), t) for c, t in (("a", np.uint64), ("b", np.uint64), ("n", np.uint32)))
         keys = mix(first, second)
         order, starts = _runs(keys)
-        sums = np.add.reduceat(n[order], starts)
+        sums = np.add.reduceat(n[order], starts, dtype=np.int64)
         kept = sums >= least
-        at = order[starts][kept]
-        return pd.DataFrame({"first": signed(first[at]), "second": signed(second[at]), "n": sums[kept], "key": signed(~keys[at])})
+        at = order[starts[kept]]
+        return pa.table({"first": signed(first[at]), "second": signed(second[at]), "n": sums[kept], "key": signed(~keys[at])})
 
     if single:
         return docs.select("text").mapInArrow(send, "first long, second long, n long, key long").groupBy("first", "second", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("first", "second", "n", "key")
-    return docs.select("text").mapInArrow(send, "r int, a binary, b binary, n binary").groupBy("r").applyInPandas(total, "first long, second long, n long, key long")
+    return docs.select("text").mapInArrow(send, "r int, a binary, b binary, n binary").groupBy("r").applyInArrow(total, "first long, second long, n long, key long")
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -442,20 +464,23 @@ def _streamed(kind: int, columns: dict[str, pa.Array], schema: pa.Schema) -> pa.
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
 
-def _dealt(bits: int, keys: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """For each piece with any of the keys, these and what belongs to them, in the order given."""
-    r = (keys >> np.uint64(64 - bits)).astype(np.int64)
+def _blocks(kind: int, block: int, bits: int, schema: pa.Schema, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys, owners and numbers as one row of bytes for each piece, in batches of bounded size."""
+    r = (arrays[0] >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(r, kind="stable")
-    cuts = np.searchsorted(r[order], np.arange(1, 1 << bits))
-    for k, at in enumerate(np.split(order, cuts)):
-        if len(at):
-            yield k, [x[at].tobytes() for x in (keys, *others)]
+    pieces, starts = np.unique(r[order], return_index=True)
+    if not len(pieces):
+        return
+    edges = np.append(starts, len(r))
+    columns = {c: _runs_of_bytes(x[order], edges) for c, x in zip(("keys", "owners", "numbers"), arrays, strict=True)}
+    columns |= {"r": pa.array(pieces.astype(np.int32)), "block": pa.array(np.full(len(pieces), block, dtype=np.int64))}
+    yield from slices(_streamed(kind, columns, schema), schema.names.index("keys"))
 
 
-def _blocks(kind: int, block: int, bits: int, schema: pa.Schema, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Keys, owners and numbers as one row of bytes for each piece."""
-    for r, (keys, owners, numbers) in _dealt(bits, *arrays):
-        yield _streamed(kind, {"r": pa.array([r], pa.int32()), "block": pa.array([block], pa.int64())} | {c: pa.array([x], pa.binary()) for c, x in (("keys", keys), ("owners", owners), ("numbers", numbers))}, schema)
+def _piece_bits(keys: int, tokens: int, piece: int) -> int:
+    """Pieces, as a power of two, for keys that are not broadcast: so many that a piece has about ``piece`` keys at most,
+    and more for many tokens, as these ask, until a block has few keys for each."""
+    return max(3, (keys // piece).bit_length(), min(MOST_BITS, (tokens // PIECE_TOKENS).bit_length()))
 
 
 def score(docs: DataFrame, tree: SuffixTree, model_head: int = MODEL_HEAD, filter_words: int = FILTER_WORDS, piece: int = PIECE_KEYS) -> DataFrame:
@@ -478,7 +503,7 @@ def score(docs: DataFrame, tree: SuffixTree, model_head: int = MODEL_HEAD, filte
     words = tree.words.where(F.col("c") < head.value[1]).select("key", F.log10(F.col("c") + 1).alias("value"), F.lit(1).alias("word"))
     rest = words.unionByName(tree.model.where(F.col("n") < least).select("key", "value", F.lit(0).alias("word")))
     others = _filter(rest, "key", filter_words)
-    bits = max(3, (rest.count() // piece).bit_length())
+    bits = _piece_bits(rest.count(), tree.tokens, piece)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts_ddl = f"doc_id {kind}, tokens long, known long, base double, score double"
     ddl = f"r int, kind int, block long, keys binary, owners binary, numbers binary, {texts_ddl}"
@@ -563,10 +588,23 @@ def score(docs: DataFrame, tree: SuffixTree, model_head: int = MODEL_HEAD, filte
     )
 
 
+@contextmanager
+def _read_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Parquet's reader takes so many rows at once meanwhile."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def suffix_tree_scores(docs: DataFrame) -> DataFrame:
     """Train on the rows that are not held out, and score all rows. The scores are a table; the model is gone."""
-    tree = train(docs.where(~is_held_out(F.col("doc_id"))))
-    scores = written(score(docs, tree), "scores")
+    with _read_rows(docs.sparkSession, READ_ROWS):
+        tree = train(docs.where(~is_held_out(F.col("doc_id"))))
+        scores = written(score(docs, tree), "scores")
     removed(tree.model)
     removed(tree.words)
     return scores

@@ -1,8 +1,10 @@
 import collections
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,45 @@ def test_many_reducers_count_the_same(docs, monkeypatch):
     assert sorted(map(tuple, M.counted(docs, pairs, 5, 2).collect())) == blocks and blocks
 
 
+class Steps:
+    """Takes a DataFrame's place and keeps the functions that are given to it."""
+
+    def __init__(self):
+        self.functions = []
+
+    def __getattr__(self, name):
+        return lambda *args: (self.functions.extend(a for a in args if callable(a)), self)[1]
+
+
+def test_a_task_that_counts_sends_small_batches_and_holds_little():
+    words = np.random.default_rng(1).integers(0, 1 << 40, size=(48, 25_000))
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(map(str, w)) for w in words.tolist()])], names=["text"])
+    steps = Steps()
+    M.counted(steps, lambda t, c: (t, t + np.uint64(1)), 200, 1)
+    send, _ = steps.functions
+    sent, largest = 0, 0
+    tracemalloc.start()
+    for batch in send(iter([texts])):
+        sent += sum(len(x) for x in batch.column(3).to_pylist()) // 4
+        largest = max(largest, batch.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == len(np.unique(words)) + 2  # ends once in each of two flushes
+    assert largest < 4 << 20 and peak < 90 << 20
+
+
+def test_pieces_grow_with_the_tokens_that_ask():
+    assert [M._piece_bits(n, t, 1 << 20) for n, t in ((0, 0), (1 << 24, 0), (1 << 22, 1 << 26), (1 << 22, 1 << 40))] == [3, 5, 6, 6]
+    keys = np.random.default_rng(1).integers(0, 2**63, size=1 << 18, dtype=np.uint64) * np.uint64(2)
+    schema = pa.schema([(c, t) for c, t in (("r", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("numbers", pa.binary()))])
+    got = list(M._blocks(1, 7, 6, schema, keys, np.arange(1 << 18, dtype=np.uint32), np.ones(1 << 18, dtype=np.uint32)))
+    assert 1 < len(got) <= 4 and sum(b.num_rows for b in got) == 64 and max(b.nbytes for b in got) < 2 << 20
+    for b in got:
+        for r, k, o in zip(*(b.column(c).to_pylist() for c in ("r", "keys", "owners")), strict=True):
+            at = np.frombuffer(o, dtype=np.uint32)
+            assert (np.frombuffer(k, dtype=np.uint64) == keys[at]).all() and (keys[at] >> np.uint64(58) == r).all()
+
+
 def test_table_and_filter():
     keys = np.random.default_rng(1).integers(0, 2**63, size=5000, dtype=np.uint64) * np.uint64(2)
     table = M.Table(keys[:3000], np.arange(3000))

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.text import tokenize
-from ..session import removed, written
+from ..session import cleaned, removed, written
+from .layout import hinted
 from .lexical import weighed_terms
-from .postings import BlockedIndex, blocks, ranges_of, write_blocks
+from .postings import BlockedIndex, frequencies, packed, ranged, write_blocks
 
 _STATE = "version long, body string"
 
@@ -43,7 +44,7 @@ class Segment:
 
 
 class SegmentedIndex:
-    """An index under a path. ``documents`` are (repository_id, id, tokens); an id is there once."""
+    """An index under a path. ``documents`` are (repository_id, id, range, tokens); an id is there once."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -76,12 +77,15 @@ class SegmentedIndex:
         return reduce(DataFrame.unionByName, found) if found else None
 
     def documents(self, segments: list[Segment] | None = None) -> DataFrame:
-        """(segment, repository_id, id, tokens) that are there."""
+        """(segment, repository_id, id, range, tokens) that are there. Segments that nothing is gone from are read as they are."""
         segments = self.state()[1] if segments is None else segments
-        rows, gone = self._tables(segments, "documents"), self._gone(segments, "documents")
-        if rows is None:
-            return self.spark.createDataFrame([], "segment string, repository_id string, id string, tokens array<string>")
-        return rows if gone is None else rows.join(gone.select("segment", "id"), ["segment", "id"], "left_anti")
+        if not segments:
+            return self.spark.createDataFrame([], "segment string, repository_id string, id string, range long, tokens array<string>")
+        whole, broken = [s for s in segments if not s.gone], [s for s in segments if s.gone]
+        found = [self._tables(whole, "documents")] if whole else []
+        if broken:
+            found.append(self._tables(broken, "documents").join(hinted(self._gone(broken, "documents").select("segment", "id")), ["segment", "id"], "left_anti"))
+        return reduce(DataFrame.unionByName, found)
 
     def terms(self, segments: list[Segment] | None = None) -> DataFrame:
         """(term, df) of documents that are there: sums over segments, without what is gone."""
@@ -98,18 +102,19 @@ class SegmentedIndex:
         n = sum(s.live for s in segments)
         corpus = self.spark.range(1).select(F.lit(n).alias("n"), F.lit(sum(s.length - s.gone_length for s in segments) / n).alias("avgdl"))
         gone = self._gone(segments, "documents")
-        return BlockedIndex(self._tables(segments, "blocks"), written(weighed_terms(self.terms(segments), corpus, config), "terms"), corpus, None if gone is None else gone.select("segment", "id"))
+        return BlockedIndex(self._tables(segments, "blocks"), written(weighed_terms(self.terms(segments), corpus, config), "terms"), corpus, None if gone is None else gone.select("segment", "range", "id"))
 
     # -- changing
 
     def insert(self, documents: DataFrame) -> None:
         """Documents (repository_id, id, tokens) come; those whose ids are there already take their place."""
         version, segments = self.state()
-        new = self._segment(documents)
+        twice = not documents.groupBy("id").count().where("count > 1").isEmpty()  # ids alone
+        new = self._segment(documents.dropDuplicates(["id"]) if twice else documents)
         if new is None:
             return
         ids = self.spark.read.parquet(f"{self.path}/segments/{new.name}/documents").select("id")
-        self._publish(version + 1, [*self._without(segments, ids), new])
+        self._publish(version + 1, [*self._without(segments, self._those(segments, ids)), new])
 
     def insert_texts(self, docs: DataFrame, id_col: str, text: str, repository: str) -> None:
         """Tokenize and insert; null ids are left out, a null text is empty."""
@@ -118,12 +123,12 @@ class SegmentedIndex:
     def delete(self, ids: DataFrame) -> None:
         """Documents with these ids (id) go; ids that aren't there change nothing."""
         version, segments = self.state()
-        self._publish(version + 1, self._without(segments, ids))
+        self._publish(version + 1, self._without(segments, self._those(segments, ids.distinct())))
 
     def invalidate(self, repository: str) -> None:
         """All documents of a repository go."""
         version, segments = self.state()
-        self._publish(version + 1, self._without(segments, self.documents(segments).where(F.col("repository_id") == repository).select("id")))
+        self._publish(version + 1, self._without(segments, self.documents(segments).where(F.col("repository_id") == repository)))
 
     def merge(self, fan: int = DEFAULT.segment_fan) -> bool:
         """Make one segment of the segments of a tier that has ``fan`` or more; whether there was one. Tiers are powers of ``fan``."""
@@ -154,29 +159,42 @@ class SegmentedIndex:
         return sorted(out)
 
     def _segment(self, documents: DataFrame) -> Segment | None:
-        """Write a segment; None if there is nothing to write."""
+        """Write a segment of documents with unique ids; None if there is nothing to write."""
         name = uuid.uuid4().hex
         at = f"{self.path}/segments/{name}"
-        documents.select("repository_id", "id", "tokens").dropDuplicates(["id"]).write.parquet(f"{at}/documents")
+        with cleaned(self.spark):
+            ranged(documents.select("repository_id", "id", "tokens")).write.parquet(f"{at}/documents")
         rows = self.spark.read.parquet(f"{at}/documents")
-        size = rows.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("length")).first()
-        if not size["n"]:
+        n = rows.count()
+        if not n:
             return None
-        rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{at}/terms")
-        write_blocks(blocks(rows, ranges_of(size["n"])), f"{at}/blocks")
-        return Segment(name, size["n"], size["length"])
-
-    def _without(self, segments: list[Segment], ids: DataFrame) -> list[Segment]:
-        """The segments after ids are gone: their rows, and the frequencies that go, as tables of their own."""
+        write_blocks(packed(rows), f"{at}/blocks")
+        made = self.spark.read.parquet(f"{at}/blocks")
+        with cleaned(self.spark):
+            frequencies(made).write.parquet(f"{at}/terms")
+        return Segment(name, n, made.agg(F.sum("length")).first()[0] or 0)
+
+    def _those(self, segments: list[Segment], ids: DataFrame) -> DataFrame | None:
+        """Documents that have these ids (id), each once. Ids are joined alone, so that no tokens move but those of what is found."""
         if not segments:
-            return []
+            return None
+        found = written(self.documents(segments).select("segment", "id").join(hinted(ids.select("id")), "id", "left_semi"), "found")
+        here = {r["segment"] for r in found.select("segment").distinct().collect()}  # segments are few
+        some = [s for s in segments if s.name in here]
+        return self._tables(some, "documents").join(hinted(found), ["segment", "id"], "left_semi") if some else None
+
+    def _without(self, segments: list[Segment], rows: DataFrame | None) -> list[Segment]:
+        """The segments after documents are gone: their rows, and the frequencies that go, as tables of their own."""
+        if rows is None:
+            return segments
         name = uuid.uuid4().hex
         at = f"{self.path}/gone/{name}"
-        lost = written(self.documents(segments).join(ids.select("id").distinct(), "id", "left_semi").select("segment", "id", "tokens"), "lost")
+        lost = written(rows.select("segment", "id", "range", "tokens"), "lost")
         sums = {r["segment"]: r for r in lost.groupBy("segment").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("length")).collect()}  # a row a segment
         if sums:
-            lost.select("segment", "id").write.parquet(f"{at}/documents")
-            lost.select("segment", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df")).write.parquet(f"{at}/terms")
+            with cleaned(self.spark):
+                lost.select("segment", "id", "range").write.parquet(f"{at}/documents")
+                lost.select("segment", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df")).write.parquet(f"{at}/terms")
         removed(lost)
         change = lambda s: Segment(s.name, s.docs, s.length, (*s.gone, name), s.gone_docs + sums[s.name]["n"], s.gone_length + sums[s.name]["length"])
         return [change(s) if s.name in sums else s for s in segments]

@@ -110,6 +110,44 @@ def test_blocks_are_bounded_for_a_term_of_all_documents(spark):
     assert blocks.sum() == 5_000 and blocks.max() < 2 * postings.RANGE
 
 
+def rows_shuffled(spark):
+    """Rows that all stages of the session have shuffled so far."""
+    every = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(every.apply(i).shuffleWriteRecords() for i in range(every.size()))
+
+
+def test_postings_are_not_shuffled_for_an_index(spark, tmp_path):
+    words = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(60)).cast("string")))
+    spark.range(0, 3_000, 1, 3).select("id", words.alias("tokens")).write.parquet(str(tmp_path / "tokens"))
+    tokens = spark.read.parquet(str(tmp_path / "tokens"))
+    before = rows_shuffled(spark)
+    index = postings.build(tokens, str(tmp_path / "b"))
+    assert index.blocks.agg(F.sum(F.size("postings"))).first()[0] > 60_000
+    assert rows_shuffled(spark) - before < 20_000
+
+
+def test_no_pairs_of_questions_and_documents_are_shuffled(spark, tmp_path):
+    tokens = spark.range(2_000).select("id", F.array(F.lit("the"), F.lit("of"), F.concat(F.lit("w"), (F.col("id") % 50).cast("string"))).alias("tokens"))
+    index = postings.build(tokens, str(tmp_path / "b"))
+    asked = spark.range(40).select(F.col("id").alias("query_id"), F.explode(F.array(F.lit("the"), F.lit("of"), F.concat(F.lit("w"), F.col("id").cast("string")))).alias("term"))
+    before = rows_shuffled(spark)
+    found = postings.search(index, asked, 5)
+    assert found.rows.count() == 200 and rows_shuffled(spark) - before < 40 * 2_000 / 4
+
+
+def test_repeated_and_null_ids_in_blocks(spark, tmp_path):
+    made = [(1, "a b b"), (1, "a b b"), (2, "a c"), (2, "a"), (None, "c d"), *((i, f"a x{i} e") for i in range(3, 400))]
+    tokens = spark.createDataFrame([(i, t.split()) for i, t in made], "id long, tokens array<string>")
+    asked = spark.createDataFrame([("q", t) for t in ("b", "c", "d", "x7")], "query_id string, term string")
+    index = postings.build(tokens, str(tmp_path / "b"))
+    post = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    avgdl = sum(len(t.split()) for _, t in made) / len(made)
+    worth = F.col("idf") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / avgdl))
+    want = post.join(asked, "term").join(index.terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(worth), 6).alias("score"))
+    assert rows(postings.search(index, asked).rows.select("query_id", "id", F.round("score", 6).alias("score"))) == rows(want) and want.count() == 4
+    assert index.terms.where("term = 'b'").first()["df"] == 1 and index.corpus.first()["n"] == len(made)
+
+
 def rebuilt(docs):
     return lexical.build_index(docs, "doc_id", F.col("text"))
 

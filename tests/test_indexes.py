@@ -58,6 +58,17 @@ def test_all_lists_and_candidates_are_the_exact_search(vectors, vector_lists):
     assert [(r["query_id"], r["id"], r["rank"]) for r in got.orderBy("query_id", "rank").collect()] == [(r["query_id"], r["id"], r["rank"]) for r in want.orderBy("query_id", "rank").collect()]
 
 
+def test_the_exact_search_by_way_of_lists_moves_no_candidates(spark, vectors, vector_lists):
+    asked = vectors.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    where = F.col("label").isin(1, 2, 3)
+    every = vectors.where(where).count()
+    before = rows_shuffled(spark)
+    got = ranked(vector_index.search(vector_lists, asked, probes=len(vector_lists.centres), keep=every, where=where))
+    moved = rows_shuffled(spark) - before
+    assert got == ranked(dense.nearest_batch(vectors.where(where), asked)) and len(got) == 200 * 20
+    assert moved < 200 * every
+
+
 def test_few_lists_are_read_where_vectors_have_neighbourhoods(spark, tmp_path):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 32))
@@ -330,6 +341,22 @@ def test_a_provider_that_gives_too_few_is_refused(spark, tmp_path):
         embeddings.VectorTable(spark, str(tmp_path), Short()).fill(spark.createDataFrame([("a",)], "text string"), "text")
 
 
+def test_symbols_are_embedded_where_they_are(spark, sf, tmp_path):
+    from lodestar.plans import bindings, search, stored
+
+    at = str(tmp_path / "tables")
+    os.symlink(sf, at)
+    before = rows_shuffled(spark)
+    got = stored.symbol_vectors(spark, at)
+    assert rows_shuffled(spark) == before
+    symbols = bindings.symbols(spark, sf)
+    want = {r["id"]: r["vector"] for r in search.symbol_vectors(symbols).collect()}
+    found = {r["id"]: r["vector"] for r in got.collect()}
+    assert len(found) == symbols.count() and all(np.allclose(found[i], v) for i, v in want.items())
+    files = {os.path.dirname(f) for f in got.inputFiles()}
+    assert len(files) == 1 and not any(os.path.isdir(e.path) for e in os.scandir(files.pop().removeprefix("file:")))
+
+
 def test_join_of_a_frequent_key(spark):
     left = spark.range(1_000).select("id", F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("key"))
     right = spark.createDataFrame([("hot", 1), ("950", 2), ("none", 3)], "key string, v int")

@@ -195,6 +195,19 @@ def test_segments_equal_a_rebuild_after_every_change(spark, texts, questions, tm
     assert version == 9
 
 
+def test_no_tokens_move_for_documents_that_come(spark, tmp_path):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("doc_id", i), F.lit(40)).cast("string"))))
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"))
+    index = segments.SegmentedIndex(spark, str(tmp_path / "s"))
+    index.insert_texts(docs.where("doc_id < 3000"), "doc_id", "text", "lang")
+    before = rows_shuffled(spark)
+    twice = docs.where("doc_id >= 2990").union(docs.where("doc_id = 2995"))  # ten take their place, one comes twice
+    index.insert_texts(docs.where("doc_id >= 2990"), "doc_id", "text", "lang")
+    assert rows_shuffled(spark) - before < 5_000
+    index.insert_texts(twice, "doc_id", "text", "lang")
+    assert index.documents().count() == 4_000 and [s.live for s in index.state()[1]] == [2_990, 1_010]
+
+
 # -- names
 
 
